@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from ..session import read_table
+from .bpe import bpe_digests
 from .exact_dedup import exact_dedup, exact_dedup_sql
+from .langid import language_id
 from .licenses import license_scan, license_sql
 from .secrets import secret_scan, secret_sql
+from .token_counts import token_counts, trial_edits
+from .token_files import token_files
 
 
 def _on_documents(operator):
@@ -17,6 +21,10 @@ def queries() -> dict:
         "op1_license_scan": _on_documents(license_scan),
         "op2_exact_dedup": _on_documents(exact_dedup),
         "op3_secret_scan": _on_documents(secret_scan),
+        "op5_token_files": _on_documents(token_files),
+        "op6_token_counts": _on_documents(lambda docs: token_counts(docs, trial_edits())),
+        "op7_language_id": _on_documents(language_id),
+        "op8_bpe_encode_decode": _on_documents(bpe_digests),
     }
 
 
