@@ -8,6 +8,7 @@ from .exact_dedup import exact_dedup, exact_dedup_sql
 from .langid import language_id
 from .licenses import license_scan, license_sql
 from .secrets import secret_scan, secret_sql
+from .simhash import simhash_components
 from .token_counts import token_counts, trial_edits
 from .token_files import token_files
 
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op1_license_scan": _on_documents(license_scan),
         "op2_exact_dedup": _on_documents(exact_dedup),
         "op3_secret_scan": _on_documents(secret_scan),
+        "op4_simhash_components": _on_documents(simhash_components),
         "op5_token_files": _on_documents(token_files),
         "op6_token_counts": _on_documents(lambda docs: token_counts(docs, trial_edits())),
         "op7_language_id": _on_documents(language_id),
