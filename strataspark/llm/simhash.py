@@ -234,7 +234,7 @@ def _bucket_links(most: int):
         key = table.column("key").to_numpy()
         order = np.argsort(key, kind="stable")
         key, node = key[order], table.column("node").to_numpy()[order]
-        words = np.stack([table.column(f"f{k}").to_numpy() for k in range(LANES)], 1)[order]
+        words = np.stack([table.column(f"f{k}").to_numpy() for k in range(LANES)], 1)[order].view(np.uint64)
         edge = np.flatnonzero(np.diff(key)) + 1
         starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
         us, vs = [], []
