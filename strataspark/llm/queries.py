@@ -9,6 +9,7 @@ from .langid import language_id
 from .licenses import license_scan, license_sql
 from .secrets import secret_scan, secret_sql
 from .simhash import simhash_components
+from .suffix_dedup import suffix_dedup
 from .token_counts import token_counts, trial_edits
 from .token_files import token_files
 
@@ -27,6 +28,7 @@ def queries() -> dict:
         "op6_token_counts": _on_documents(lambda docs: token_counts(docs, trial_edits())),
         "op7_language_id": _on_documents(language_id),
         "op8_bpe_encode_decode": _on_documents(bpe_digests),
+        "op10_suffix_dedup": _on_documents(suffix_dedup),
     }
 
 
