@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..session import read_table
 from .bpe import bpe_digests
+from .decontam import leaks
 from .exact_dedup import exact_dedup, exact_dedup_sql
 from .langid import language_id
 from .licenses import license_scan, license_sql
@@ -28,6 +29,7 @@ def queries() -> dict:
         "op6_token_counts": _on_documents(lambda docs: token_counts(docs, trial_edits())),
         "op7_language_id": _on_documents(language_id),
         "op8_bpe_encode_decode": _on_documents(bpe_digests),
+        "op9_decontamination": lambda spark, sf_dir: leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")),
         "op10_suffix_dedup": _on_documents(suffix_dedup),
     }
 
