@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 
 SHARE = 0.2  # edits that an item of a leaked passage may have, as a share of its characters
-GRAM = 12  # bytes from a word start that propose where a window begins
+GRAM = 8  # bytes from a word start that propose where a window begins
 SLACK = 24  # places that the proposals for one window may differ by
-REPEATS = 96  # embeddings, each with its own walk
-SAMPLED = 3  # bits of each embedding that must agree
+REPEATS = 128  # embeddings, each with its own walk
+SAMPLED = 4  # letters of each embedding that must agree
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16_000_000
 STRETCH = 2_000_000
@@ -125,7 +125,7 @@ def grams(b: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(items: Items, at, key) -> tuple[np.ndarray, np.ndarray]:
-    """Item-sized windows ``(item, begin)``: two grams of the item in line propose one (one gram of an item with under four)."""
+    """Item-sized windows ``(item, begin)``: three grams of the item in line propose one (two of an item with under eight, one of an item with under four)."""
     item, begin, place = items.proposals(at, key)
     if not len(item):
         return item, begin
@@ -138,85 +138,96 @@ def _windows(items: Items, at, key) -> tuple[np.ndarray, np.ndarray]:
     _, one = np.unique(np.stack([group, place], 1), axis=0, return_index=True)
     np.add.at(distinct, group[one], 1)
     size = np.diff(np.concatenate([first, [len(item)]]))
-    on = distinct >= np.where(items.n_grams[item[first]] < 4, 1, 2)
+    on = distinct >= np.minimum(3, 1 + items.n_grams[item[first]] // 4)
     return item[first[on]], begin[first[on] + size[on] // 2]
 
 
-def _collide(items: Items, b: np.ndarray, item: np.ndarray, begin: np.ndarray, repeats: int = REPEATS) -> np.ndarray:
-    """Windows whose sampled embedding bits agree with the item's in one of the repeats."""
+def _collide(items: Items, item: np.ndarray, windows: list[bytes], repeats: int = REPEATS) -> np.ndarray:
+    """Windows whose sampled embedding letters agree with the item's in one of the repeats."""
     hit = np.zeros(len(item), bool)
-    lengths = np.array([len(x) for x in items.bytes])[item] if len(item) else np.zeros(0, np.int64)
+    lengths = np.array([len(x) for x in items.bytes])[item]
     order = np.argsort(lengths, kind="stable")
-    for s in range(0, len(order), 512):
-        own = order[s : s + 512]
+    for s in range(0, len(order), 2048):
+        own = order[s : s + 2048]
         width = int(lengths[own].max())
-        place = np.maximum(begin[own], 0)[:, None] + np.arange(width)
-        text = b[np.minimum(place, len(b) - 1)]
+        text = np.frombuffer(b"".join(windows[k].ljust(width, b"\0")[:width] for k in own.tolist()), np.uint8).reshape(len(own), width)
         used, back = np.unique(item[own], return_inverse=True)
-        known = np.zeros((len(used), width), np.uint8)
-        for r, k in enumerate(used.tolist()):
-            known[r, : len(items.bytes[k])] = np.frombuffer(items.bytes[k], np.uint8)
+        known = np.frombuffer(b"".join(items.bytes[k].ljust(width, b"\0") for k in used.tolist()), np.uint8).reshape(len(used), width)
         known_len = np.array([len(items.bytes[k]) for k in used.tolist()])
-        left = np.arange(len(own))
+        left, steps = np.arange(len(own)), int(known_len.min())  # both walks stay inside their strings
         for r in range(repeats):
-            if not len(left):
-                break
-            rng = np.random.default_rng(SEED * 1000 + r)
-            steps = int(known_len.min())  # both walks are inside their strings there
-            at = np.sort(rng.integers(0, steps, SAMPLED))
-            a = cgk(text[left], lengths[own][left], int(at[-1]) + 1, SEED + r)[:, at]
-            k = cgk(known, known_len, int(at[-1]) + 1, SEED + r)[:, at]
-            same = (a == k[back[left]]).all(1)
+            at = np.sort(np.random.default_rng((SEED, r)).integers(0, steps, SAMPLED))
+            both = np.concatenate([text[left], known])
+            letters = cgk(both, np.concatenate([lengths[own][left], known_len]), int(at[-1]) + 1, SEED + r)[:, at]
+            same = (letters[: len(left)] == letters[len(left) :][back[left]]).all(1)
             hit[own[left[same]]] = True
             left = left[~same]
+            if not len(left):
+                break
     return hit
 
 
+class _Scanner:
+    """Windows of the texts of a task; they are kept until there are many, so that the walks run over many at once."""
+
+    def __init__(self, items: Items):
+        self.items = items
+        self.rows: list[tuple] = []  # doc_id, item, window, text around it
+
+    def propose(self, ids: list, texts: list[bytes]) -> list[tuple]:
+        """Take in some texts; pairs with short items come back at once."""
+        items, raw = self.items, b"".join(texts)
+        starts = np.cumsum([0, *map(len, texts)])
+        at, key = grams(np.frombuffer(raw + bytes(GRAM), np.uint8), len(raw))
+        item, begin = _windows(items, at, key)
+        middle = begin + np.array([len(x) // 2 for x in items.bytes])[item]
+        own = np.searchsorted(starts, np.clip(middle, 0, len(raw) - 1), side="right") - 1
+        for k, first, d in zip(item.tolist(), begin.tolist(), own.tolist(), strict=True):
+            length = len(items.bytes[k])
+            room = int(items.share * length) + SLACK
+            low, high = max(first - room, int(starts[d])), min(first + length + room, int(starts[d + 1]))
+            self.rows.append((ids[d], k, raw[max(first, low) : max(first, low) + length], raw[low:high]))
+        found = []
+        for k in items.short:
+            needle = b" " + items.bytes[k] + b" "
+            found += [(i, items.ids[k], 0, len(items.texts[k])) for i, t in zip(ids, texts, strict=True) if needle in b" " + t]
+        return found
+
+    def verified(self) -> list[tuple]:
+        items, rows, self.rows = self.items, self.rows, []
+        if not rows:
+            return []
+        hit = _collide(items, np.array([r[1] for r in rows]), [r[2] for r in rows])
+        best: dict[tuple, int] = {}
+        for h in np.flatnonzero(hit).tolist():
+            doc_id, k, _, around = rows[h]
+            room = int(items.share * len(items.texts[k]))
+            edits, _ = edit_distance_within(items.texts[k], around.decode("utf-8", "replace"))
+            if edits <= room:
+                best[doc_id, k] = min(edits, best.get((doc_id, k), edits))
+        return [(d, items.ids[k], e, len(items.texts[k])) for (d, k), e in best.items()]
+
+
 def _scan(items_sent):
-    def run(batches):
-        items = items_sent.value
-        held, ids, size = [], [], 0
-
-        def found():
-            raw = b"".join(held)
-            starts = np.cumsum([0, *map(len, held)])
-            b = np.frombuffer(raw + bytes(GRAM), np.uint8)
-            at, key = grams(b, len(raw))
-            item, begin = _windows(items, at, key)
-            own = np.searchsorted(starts, np.clip(begin + 1, 0, len(raw) - 1), side="right") - 1
-            best: dict[tuple[int, int], tuple[int, int]] = {}
-            hits = np.flatnonzero(_collide(items, b, item, begin)) if len(item) else []
-            for h in hits:
-                k = int(item[h])
-                room = int(items.share * len(items.texts[k]))
-                length = len(items.bytes[k])
-                for d in {int(own[h]), max(int(own[h]) - 1, 0), min(int(own[h]) + 1, len(held) - 1)}:
-                    low = max(int(begin[h]) - room - SLACK, int(starts[d]))
-                    high = min(int(begin[h]) + length + 2 * room + SLACK, int(starts[d + 1]))
-                    if high - low < length // 2:
-                        continue
-                    edits, _ = edit_distance_within(items.texts[k], raw[low:high].decode("utf-8", "replace"))
-                    if edits <= room and edits < best.get((d, k), (room + 1,))[0]:
-                        best[d, k] = (edits, low)
-            for k in items.short:
-                needle = b" " + items.bytes[k] + b" "
-                for d, t in enumerate(held):
-                    if needle in b" " + t:
-                        best[d, k] = (0, 0)
-            rows = [(ids[d], items.ids[k], e, len(items.texts[k])) for (d, k), (e, _) in best.items()]
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], names=["doc_id", "item_id", "edits", "item_chars"])
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], names=["doc_id", "item_id", "edits", "item_chars"])
 
+    def run(batches):
+        scanner = _Scanner(items_sent.value)
+        texts, ids, size, out = [], [], 0, []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                one = plain(text) + b" \0 "
-                held.append(one)
+                texts.append(plain(text) + b" \0 ")
                 ids.append(doc_id)
-                size += len(one)
+                size += len(texts[-1])
                 if size >= STRETCH:
-                    yield found()
-                    held, ids, size = [], [], 0
-        if held:
-            yield found()
+                    out += scanner.propose(ids, texts)
+                    texts, ids, size = [], [], 0
+                    if len(scanner.rows) >= 20_000:
+                        yield batch_of(scanner.verified())
+        if texts:
+            out += scanner.propose(ids, texts)
+        yield batch_of(out + scanner.verified())
 
     return run
 
@@ -240,10 +251,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Both texts are lower-cased, with one space for what is neither letter nor digit. A leak is a passage within
     ``share`` of the item's length in edits; ``edits`` is the exact distance of the best passage found near a window.
 
-    Windows of an item's size are taken where two 12-byte grams at word starts stand in line with the item's, from
-    all words of the whole text. Each goes through up to 96 CGK embeddings with three sampled letters;
+    Windows of an item's size are taken where three 8-byte grams at word starts stand in line with the item's (fewer for
+    items of a few words), from all words of the whole text. Each goes through up to 128 CGK embeddings with four sampled letters;
     what agrees once is verified exactly. A verbatim passage is always found; recall under edits is measured
-    against brute force in the tests. Items of under 12 bytes leak where they stand as whole words.
+    against brute force in the tests. Items of under 8 bytes leak where they stand as whole words.
 
     Null and empty texts leak nothing, null items and ids of items are left out, repeated rows of documents are one pair
     with the least distance, and an empty side gives no rows. The benchmark is a query set and is sent

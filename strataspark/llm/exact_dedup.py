@@ -228,7 +228,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts are equal when identical after each run of white space became one
     space; the smallest ``doc_id`` of equal texts stays. Null text is the empty
     text. Rows without an id never win over one with an id. A repeated row
-    (same id and text) counts in ``group_size`` and is kept with its twin;
+    (same id and text) counts in ``group_size`` and is marked as its twin is;
     ``keep_first`` leaves one of them. Other columns are not looked at.
 
     The text leaves the scan as a digest only. A very frequent digest is counted
@@ -247,12 +247,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns; of repeated rows one stays.
 
-    The decision joins back on the id, never on the text: one shuffle of the kept rows' ids.
+    The decision joins back on the id: ids of rows that go, against all rows.
     """
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    marked = exact_dedup(docs, id_col, text_col)
+    kept = marked.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    kept = materialise(kept.select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha"), "n"), "exact-kept")
+    out = docs.join(kept.select("__keep").distinct(), docs[id_col].cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    if kept.filter("n > 1").isEmpty():
+        return out
+    digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WHITE, " "), 256)
+    return out.withColumn("__digest", digest).dropDuplicates([id_col, "__digest"]).drop("__digest")
 
 
 def exact_dedup_sql() -> str:
