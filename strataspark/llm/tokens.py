@@ -9,7 +9,7 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread for each Python worker
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 1_500_000
 # Fixed value: the pre-token pattern of the byte-level vocabulary.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -20,6 +20,13 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable ones for themselves, the others from 256 on, in order."""
+    own = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 class _Unsafe(Exception):
     """The piece touches white space on its left, so it cannot be encoded by itself."""
 
@@ -27,15 +34,19 @@ class _Unsafe(Exception):
 class _Pieces(dict):
     """Encodings of pieces (what follows one space), as little-endian 32-bit ids; bounded."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, word):
         super().__init__()
         self.encode = encode
+        self.word = word
+        self.marks = {c: encode(c) for c in ".,"}
 
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[0].isspace():
             raise _Unsafe
-        if piece[-1] in ".," and piece[:-1].isalpha():  # letters and the mark after them are pre-tokens of their own
-            ids = self[piece[:-1]] + self.encode(piece[-1])
+        if piece.isalpha():
+            ids = self.word(f" {piece}")
+        elif piece[-1] in ".," and piece[:-1].isalpha():  # letters and the mark after them are pre-tokens of their own
+            ids = self[piece[:-1]] + self.marks[piece[-1]]
         else:
             ids = self.encode(f" {piece}")
         if len(self) < CACHE_ENTRIES:
@@ -59,12 +70,19 @@ class ByteEncoder:
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pre = regex.compile(PRE_TOKENS)
-        self.pieces = _Pieces(self._library)
+        self.model = self.tokenizer.model
+        self.letters = dict(enumerate(byte_letters()))
+        self.pieces = _Pieces(self._library, self._letters_only)
         self.words: dict[str, bytes] = {}
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _letters_only(self, text: str) -> bytes:
+        """A space and letters are one pre-token, so the library's model is asked without its pre-tokenizer."""
+        found = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
+        return b"".join([t.id.to_bytes(4, "little") for t in found])
+
     def _word(self, word: str) -> bytes:
         ids = self.words.get(word)
         if ids is None:
