@@ -14,16 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .tokens import default_path
+from .tokens import byte_letters, default_path
 
 CACHE_ENTRIES = 300_000
-
-
-def _byte_letters() -> list[str]:
-    """The letter that stands for each byte: printable ones for themselves, the others from 256 on, in order."""
-    own = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAC + 1), *range(0xAE, 0xFF + 1)]
-    rest = (k for k in range(256, 512))
-    return [chr(b) if b in set(own) else chr(next(rest)) for b in range(256)]
+BATCH_BYTES = 4_000_000
 
 
 class _Chunks(dict):
@@ -62,7 +56,7 @@ class WordBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pre = regex.compile(split["pattern"]["Regex"])
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
         self.chunks = _Chunks(self._chunk)
         self.words: dict[str, tuple[bytes, str]] = {}
 
@@ -143,27 +137,34 @@ def word_bpe(path: str | None) -> WordBpe:
     return _known[path]
 
 
+def _whole(bpe: WordBpe, ids, texts):
+    """Batches of ids and decoded texts, each of a few MB however long the texts are."""
+    held, first, size = [], 0, 0
+    for k, text in enumerate(texts, 1):
+        held.append(bpe.encode(text))
+        size += len(held[-1][0])
+        if size >= BATCH_BYTES or k == len(texts):
+            lists = [np.frombuffer(h[0], "<u4").astype(np.int32) for h in held]
+            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            columns = [ids.slice(first, len(held)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists))), pa.array([h[1] for h in held], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
+            held, first, size = [], k, 0
+
+
 def _encoded(path: str | None, whole: bool):
     def run(batches):
         bpe = word_bpe(path)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            found = [bpe.encode(t) for t in texts]
             if whole:
-                lists = [np.frombuffer(f[0], "<u4") for f in found]
-                ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-                flat = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
-                columns = [ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([f[1] for f in found], pa.string())]
-                names = ["doc_id", "ids", "decoded"]
-            else:
-                columns = [
-                    ids,
-                    pa.array([len(f[0]) // 4 for f in found], pa.int64()),
-                    pa.array([hashlib.sha256(f[0]).hexdigest() for f in found], pa.string()),
-                    pa.array([hashlib.sha256(f[1].encode()).hexdigest() for f in found], pa.string()),
-                ]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield from _whole(bpe, ids, texts)
+                continue
+            rows = []
+            for text in texts:
+                found = bpe.encode(text)
+                rows.append((len(found[0]) // 4, hashlib.sha256(found[0]).hexdigest(), hashlib.sha256(found[1].encode()).hexdigest()))
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
