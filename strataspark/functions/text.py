@@ -31,10 +31,11 @@ def file_stem(c: Column) -> Column:
 
 
 def certificate_number(c: Column) -> Column:
-    """First number of a printed token: minus variants, letters for digits, decimal commas; nothing behind a plus-minus sign."""
+    """First number of a printed token: minus variants, letters beside digits that stand for them, decimal commas; nothing behind a plus-minus sign."""
     head = F.regexp_replace(c, "(±|\\+/-).*$", "")
     plain = F.translate(F.translate(head, "−–—", "---"), ",", ".")
-    fixed = F.translate(plain, "OolI", "0011")
+    fixed = F.regexp_replace(plain, r"(?<=[\d.])[Oo]|[Oo](?=[\d.])", "0")
+    fixed = F.regexp_replace(fixed, r"(?<=[\d.])[lI]|[lI](?=[\d.])", "1")
     return F.regexp_extract(fixed, r"-?\d+(?:\.\d+)?", 0).try_cast("double")
 
 

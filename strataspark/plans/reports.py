@@ -29,7 +29,7 @@ def table_lines(rows: DataFrame, columns: list[tuple[str, str, int | None]], ord
     """
     from ..operators.ranks import global_rank
 
-    cell = lambda n, d: F.coalesce(F.col(n).cast("string") if d is None else F.format_string(f"%.{d}f", F.col(n)), F.lit(""))
+    cell = lambda n, d: F.coalesce(F.col(n).cast("string") if d is None else F.when(F.col(n).isNotNull(), F.format_string(f"%.{d}f", F.col(n))), F.lit(""))
     wide = rows.agg(*[F.greatest(F.coalesce(F.max(F.length(cell(n, d))), F.lit(0)), F.lit(len(h))).alias(f"w{k}") for k, (n, h, d) in enumerate(columns)]).head()
     widths = [wide[f"w{k}"] for k in range(len(columns))]
     body = global_rank(rows, order, "rank").select((F.col("rank") + 2).alias("rank"), F.concat_ws(" ", *[F.lpad(cell(n, d), w, " ") for (n, _, d), w in zip(columns, widths, strict=True)]).alias("line"))
