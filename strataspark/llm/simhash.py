@@ -173,17 +173,18 @@ def simhash_components(docs: DataFrame, words: int = 3, id_col: str = "doc_id",
 
 # Near-duplicates at a similarity: 256 bits, of which pairs of shingle sets with Jaccard 0.8 differ in 0.15.
 LANES = 4
-TABLES = 96
+TABLES = 128
 KEY_BITS = 20
+HOT = 50_000  # prints of one key above which its rows are dealt to several tasks
 RING = 8  # segments of the ring in the chain test
 
 
 def bits_for(similarity: float) -> int:
-    """Differing bits of 256 that sets of one size with this Jaccard similarity have, and one and a half standard deviations more."""
+    """Differing bits of 256 that sets of one size with this Jaccard similarity have, and two standard deviations more."""
     cosine = 2 * similarity / (1 + similarity)
     share = np.arccos(cosine) / np.pi
     total = 64 * LANES
-    return int(round(total * share + 1.5 * (total * share * (1 - share)) ** 0.5))
+    return int(round(total * share + 2 * (total * share * (1 - share)) ** 0.5))
 
 
 def _samples() -> np.ndarray:
@@ -224,7 +225,21 @@ def _near(a: np.ndarray, rest: np.ndarray, most: int) -> np.ndarray:
     return holds & (total <= most)
 
 
-def _bucket_links(most: int):
+def _hot_keys(asked: DataFrame, lanes: list[str], rows: int) -> DataFrame | None:
+    """Keys that over ``HOT`` prints share, with the number of shares to deal them in; None if there is none.
+
+    They are told from every 64th print (by hash): a key of ``HOT`` has some 800 of those, far above the mark of half as many.
+    The result is a plan for dealing rows out; every row is dealt.
+    """
+    if rows <= HOT:
+        return None
+    some = asked.filter(F.pmod(F.xxhash64("node"), F.lit(64)) == 0).select("node", *lanes)
+    keys = some.mapInArrow(_file_keys, "key long, node long, " + ", ".join(f"{c} long" for c in lanes)).groupBy("key").agg((F.count(F.lit(1)) * 64).alias("n"))
+    hot = materialise(keys.filter(F.col("n") > HOT // 2).select("key", F.ceil(F.col("n") / (HOT // 2)).alias("shares")), "hot-keys")
+    return None if hot.isEmpty() else hot
+
+
+def _bucket_links(most: int, salted: bool = False):
     """Spanning links of each bucket: from a member to all still unreached members near it, until none is left to ask."""
 
     def run(batches):
@@ -232,6 +247,8 @@ def _bucket_links(most: int):
         if not table.num_rows:
             return
         key = table.column("key").to_numpy()
+        if salted:
+            key = key * 1_000_003 + table.column("salt").to_numpy()
         order = np.argsort(key, kind="stable")
         key, node = key[order], table.column("node").to_numpy()[order]
         words = np.stack([table.column(f"f{k}").to_numpy() for k in range(LANES)], 1)[order].view(np.uint64)
@@ -272,7 +289,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     """``doc_id, component_id`` of every row: groups of texts whose shingle sets are similar.
 
     The similarity is read off 256-bit fingerprints of runs of ``words`` words. At 0.8 no pigeonhole of whole
-    segments is selective, so candidates share a chain of neighbouring bits in one of 96 tables (rings in fixed orders), which
+    segments is selective, so candidates share a chain of neighbouring bits in one of 128 tables (rings in fixed orders), which
     nearly all pairs of that similarity do; the chain test with proportional budgets then prunes, and the full distance decides.
     Within a bucket links are spanning ones, found without making its pairs.
     Texts without words are not near anything. Equal fingerprints are one point.
@@ -284,9 +301,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     ship_package(docs.sparkSession)
     filed = asked.select("node", *lanes).mapInArrow(_file_keys, "key long, node long, " + ", ".join(f"{c} long" for c in lanes))
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), unique.count() * TABLES // 1_000_000 + 1)
-    links = filed.repartition(parts, "key").mapInArrow(_bucket_links(bits_for(similarity)), "u long, v long")
-    roots = components(links)
+    unique_rows = unique.count()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), unique_rows * TABLES // 1_000_000 + 1)
+    most, ddl = bits_for(similarity), "u long, v long"
+    hot = _hot_keys(asked, lanes, unique_rows)
+    if hot is None:
+        roots = components(filed.repartition(parts, "key").mapInArrow(_bucket_links(most), ddl))
+    else:
+        # a key that very many share is dealt to several tasks; what links within them leaves one row a component, and those meet again
+        salted = filed.join(hot, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), F.col("shares")), F.lit(0)))
+        links = materialise(salted.select("key", "node", *lanes, "salt").repartition(parts, "key", "salt").mapInArrow(_bucket_links(most, True), ddl), "near-links")
+        first = components(links).withColumnRenamed("node", "__node")
+        again = filed.join(hot.select("key"), "key").join(first, F.col("node") == F.col("__node"), "left")
+        ones = again.groupBy("key", F.coalesce("root", "node").alias("r")).agg(F.min(F.struct("node", *lanes)).alias("m")).select("key", "m.*")
+        roots = components(links.unionByName(ones.repartition(parts, "key").mapInArrow(_bucket_links(most), ddl)))
     named = unique.join(roots, unique["node"] == roots["node"], "left").select(*lanes, F.coalesce("root", unique["node"]).alias("component_id"))
     empty = ~F.greatest(*[F.col(c) != 0 for c in lanes])
     return marked.join(named, lanes).select("doc_id", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

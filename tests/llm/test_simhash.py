@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from strataspark.llm import simhash
@@ -80,7 +81,9 @@ def test_chain_test_never_drops_a_near_pair():
         assert bool(simhash._near(a[k], b[k : k + 1], 47)[0]) == (d <= 47)
 
 
-def test_near_duplicates_are_caught_and_others_left(spark):
+@pytest.mark.parametrize("hot", [50_000, 20])
+def test_near_duplicates_are_caught_and_others_left(spark, monkeypatch, hot):
+    monkeypatch.setattr(simhash, "HOT", hot)
     rng = random.Random(9)
     texts = _texts(rng, 60, 3, 300, 6)
     shingles = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
