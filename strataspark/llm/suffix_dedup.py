@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -261,19 +262,24 @@ _FOUND_DDL = "gram long, sign binary, o1 int, o2 int"
 
 
 def _sort_anchors(batches):
-    """Partitions hold all members of their grams; each gram is ordered and compared by itself."""
-    by: dict[int, list] = {}
-    for batch in batches:
-        for gram, *rest in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            by.setdefault(gram, []).append(rest)
-    rows = []
-    for gram, group in by.items():
-        found = repeated_distances([(b, lo, hi) for _, b, lo, hi in group])
-        rows += [(gram, g[0], a, b) for g, spans in zip(group, found, strict=True) for a, b in spans]
-        if len(rows) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_FOUND)], schema=_FOUND)
-            rows = []
-    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_FOUND)], schema=_FOUND)
+    """Partitions come sorted by gram; each gram's members are ordered and compared by themselves."""
+
+    def rows():
+        for batch in batches:
+            yield from zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)
+
+    def batch_of(found):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], f.type) for k, f in enumerate(_FOUND)], schema=_FOUND)
+
+    out = []
+    for gram, group in itertools.groupby(rows(), key=lambda r: r[0]):
+        members = list(group)
+        found = repeated_distances([(b, lo, hi) for _, _, b, lo, hi in members])
+        out += [(gram, m[1], a, b) for m, spans in zip(members, found, strict=True) for a, b in spans]
+        if len(out) > 50_000:
+            yield batch_of(out)
+            out = []
+    yield batch_of(out)
 
 
 def _list_windows(batches):
@@ -329,6 +335,7 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "a", "lo", "hi")).alias("at")
     )
     sizes = members.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total")).filter("total > 1")
+    sizes = materialise(sizes, "anchor-sizes")  # both sides of a join are then plain exchanges, which adaptive execution can split
     live = materialise(members.join(sizes, "gram").select("gram", "sign", "n", "kinds", "at.*"), "anchor-members")
     whole = live.filter("n > 1").select("gram", "sign", F.col("lo").alias("o1"), F.col("hi").alias("o2"))
     asked = live.filter("kinds > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "sign", "n", "kinds", "a", "lo", "hi")).alias("ms"))
@@ -341,11 +348,12 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     spark = keyed.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     usual = fetched.filter(F.col("kinds") <= SPLIT).select("gram", "sign", "b", "lo", "hi")
-    sorted_ = usual.repartition(parts, "gram").mapInArrow(_sort_anchors, _FOUND_DDL)
+    sorted_ = usual.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_sort_anchors, _FOUND_DDL)
     windows = fetched.filter(F.col("kinds") > SPLIT).select("gram", "sign", "b", "lo", "hi").distinct().mapInArrow(_list_windows, "gram long, sign binary, o int, own binary")
     common_windows = windows.groupBy("gram", "own").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     counted = windows.join(common_windows, ["gram", "own"]).select("gram", "sign", F.col("o").alias("o1"), F.col("o").alias("o2"))
     ranges = whole.unionByName(sorted_).unionByName(counted).groupBy("gram", "sign").agg(F.collect_set(F.struct("o1", "o2")).alias("rs"))
+    ranges = materialise(ranges, "anchor-ranges")
     hits = rows.join(ranges, ["gram", "sign"]).select("k1", "k2", F.explode(F.transform("rs", lambda r: F.struct((F.col("a") - r["o2"]).alias("s"), (F.col("a") - r["o1"] + WIDTH).alias("e")))).alias("x"))
     return hits.groupBy("k1", "k2").agg(F.collect_list("x").alias("spans"))
 
