@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cameras, features, fits, grid, neighbours
+from ..operators import cameras, diagnostics, features, fits, grid, neighbours
 from . import mosaic, reports, terrain
 from .catalogue import hyp, query
 from .tables import CELLS, FULL, GRID, KEYS, SURFACE, full_surface, near, points, rounded, surface
@@ -214,3 +214,70 @@ def _(t, spark, d):
     e = t("embeddings")
     pairs = e.select(F.col("vec_id").alias("q"), F.col("embedding").alias("a"), "label").join(e.select(F.col("vec_id").alias("p"), F.col("embedding").alias("b"), "label"), "label").filter("q <> p")
     return pairs.withColumn("d2", neighbours._squared(F.col("a"), F.col("b"))).groupBy("q").agg(F.min_by("p", F.struct("d2", "p")).alias("p"))
+
+
+# ---- block diagnostics -------------------------------------------------------------------------
+
+@query("class_names", "SELECT DISTINCT l_linenumber, CASE l_linenumber WHEN 1 THEN 'Unclassified' WHEN 2 THEN 'Ground' WHEN 3 THEN 'Low vegetation' WHEN 4 THEN 'Medium vegetation' WHEN 5 THEN 'High vegetation' WHEN 6 THEN 'Building' WHEN 7 THEN 'Low noise' END AS name FROM lineitem")
+def _(t, spark, d):
+    return t("lineitem").select("l_linenumber").distinct().select("l_linenumber", diagnostics.class_name(F.col("l_linenumber")).alias("name"))
+
+
+@query("colour_ramp", "SELECT c_custkey, floor(CASE WHEN v <= 0.5 THEN v / 0.5 * 255 ELSE 255 END + 0.5)::INT AS r, floor(CASE WHEN v <= 0.5 THEN v / 0.5 * 128 ELSE 128 + (v - 0.5) / 0.5 * -128 END + 0.5)::INT AS g FROM (SELECT c_custkey, greatest(0.0, least(1.0, c_acctbal / 10007)) AS v FROM customer)")
+def _(t, spark, d):
+    ramp = diagnostics.colour_ramp(F.col("c_acctbal") / 10_007, [(0.0, (0, 0, 0)), (0.5, (255, 128, 0)), (1.0, (255, 0, 0))])
+    return t("customer").select("c_custkey", ramp.alias("c")).select("c_custkey", "c.r", "c.g")
+
+
+@query("depth_band", "SELECT o_orderkey FROM orders, (SELECT median(o_totalprice) AS m FROM orders) WHERE o_totalprice > 0.45 * m AND o_totalprice < 2.2 * m")
+def _(t, spark, d):
+    return diagnostics.depth_band(t("orders"), "o_totalprice").select("o_orderkey")
+
+
+@query("stride_sample", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r, greatest(1, count(*) OVER () // 300) AS step FROM orders) WHERE r % step = 0")
+def _(t, spark, d):
+    return diagnostics.every(t("orders"), ["o_orderkey"], 300).select("o_orderkey")
+
+
+@query("readiness", """WITH n AS (SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer), u AS (SELECT count(*) FILTER (s_suppkey % 2 = 1) AS c, count(*) FILTER (s_suppkey % 2 = 0) AS k FROM supplier WHERE s_suppkey IN (SELECT o_orderkey % 50 FROM orders))
+SELECT * FROM (SELECT 'blocker' AS level, 'starved_photos' AS code, count(*) FILTER (n < 3) AS n FROM n UNION ALL SELECT 'warning', 'thin_photos', count(*) FILTER (n BETWEEN 3 AND 5) FROM n) WHERE n > 0 UNION ALL SELECT 'blocker', 'control', c FROM u WHERE c < 3 UNION ALL SELECT 'warning', 'no_checks', k FROM u WHERE k = 0""")
+def _(t, spark, d):
+    obs = t("orders").select(F.col("o_custkey").alias("image_id"), (F.col("o_orderkey") % 50).alias("point_id"))
+    return diagnostics.readiness(t("customer").select(F.col("c_custkey").alias("image_id")), obs, t("supplier").select(F.col("s_suppkey").alias("point_id"), (F.col("s_suppkey") % 2 == 0).alias("is_check")))
+
+
+@query("tie_summary", "WITH n AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) SELECT count(*) AS tracks, count(*) FILTER (n >= 3) AS multi_ray, round(avg(n), 6) AS mean_rays, max(n) AS most_rays FROM n")
+def _(t, spark, d):
+    return rounded(diagnostics.tie_summary(t("lineitem").select(F.col("l_orderkey").alias("point_id"), F.col("l_suppkey").alias("image_id"))))
+
+
+@query("jobs_listing", "SELECT o_orderkey AS job_id FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 200")
+def _(t, spark, d):
+    jobs = t("orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("created"), F.col("o_orderstatus").alias("status"))
+    return diagnostics.jobs_listing(jobs, 200).select("job_id")
+
+
+@query("accept_control", """WITH e AS (SELECT s_suppkey AS point_id, s_acctbal / 100 AS ex, (s_suppkey % 10)::DOUBLE AS ey, s_nationkey AS im FROM supplier), p AS (SELECT c_custkey, c_nationkey AS im, c_acctbal / 100 AS x, (c_custkey % 10)::DOUBLE AS y FROM customer)
+SELECT p.c_custkey, min(e.point_id) AS point_id FROM p LEFT JOIN e ON sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey)) <= 1.5 AND e.im <> p.im GROUP BY p.c_custkey""")
+def _(t, spark, d):
+    e = t("supplier").select(F.col("s_suppkey").alias("point_id"), (F.col("s_acctbal") / 100).alias("x"), (F.col("s_suppkey") % 10).cast("double").alias("y"), F.col("s_nationkey").alias("image_id"))
+    p = t("customer").select("c_custkey", F.col("c_nationkey").alias("image_id"), (F.col("c_acctbal") / 100).alias("x"), (F.col("c_custkey") % 10).cast("double").alias("y"), F.col("c_custkey").cast("double").alias("z"))
+    return diagnostics.accept_control(p, e).select("c_custkey", "point_id")
+
+
+@query("scene_crop", "SELECT c_custkey, round(2 * -y + 5, 6) AS x, round(2 * x - 1, 6) AS y FROM (SELECT c_custkey, c_acctbal / 100 AS x, c_nationkey::DOUBLE AS y FROM customer) WHERE 2 * -y + 5 BETWEEN -40 AND 5 AND 2 * x - 1 BETWEEN 0 AND 100")
+def _(t, spark, d):
+    p = t("customer").select("c_custkey", (F.col("c_acctbal") / 100).alias("x"), F.col("c_nationkey").cast("double").alias("y"), F.lit(0.0).alias("z"))
+    moved = diagnostics.similarity_3d(p, 2.0, [[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]], [5.0, -1.0, 0.0])
+    return rounded(diagnostics.crop(moved, (-40.0, 0.0, -1.0, 5.0, 100.0, 1.0)).select("c_custkey", "x", "y"))
+
+
+@query("distortion_verdict", "SELECT p_partkey, CASE WHEN p_size / 20.0 < 0.5 THEN 'good' WHEN p_size / 20.0 < 2 THEN 'check' ELSE 'suspect' END AS verdict FROM part")
+def _(t, spark, d):
+    return t("part").select("p_partkey", diagnostics.distortion_verdict(F.col("p_size") / 20.0).alias("verdict"))
+
+
+@query("pixel_centres", "SELECT o_orderkey, round(o_totalprice + CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE -0.5 END, 4) AS col FROM orders")
+def _(t, spark, d):
+    o = t("orders").select("o_orderkey", F.col("o_totalprice").alias("col"), F.lit(0.0).alias("row"), (F.col("o_orderkey") % 2 == 0).alias("automatic"), F.lit(2.0).alias("scale"))
+    return diagnostics.pixel_centres(o, 3).select("o_orderkey", near("col", 4).alias("col"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataspark.functions import geometry as G
 from strataspark.functions import text as T
-from strataspark.operators import cameras, features, fits, graph, grid, imports, neighbours, residuals, statistics, stencils
+from strataspark.operators import cameras, diagnostics, features, fits, graph, grid, imports, neighbours, residuals, statistics, stencils
 from strataspark.operators.ranks import global_rank
 from strataspark.plans import mosaic, reports, terrain
 
@@ -331,3 +331,37 @@ def test_report_lines(spark, tmp_path):
     assert lines == [" Id Value", "---------", "  a  1.50", "bbb      ", "  c 22.25"]
     reports.write_lines(reports.table_lines(rows, [("id", "Id", None)], ["id"]), str(tmp_path / "r"))
     assert b"\r\n" in b"".join(p.read_bytes() for p in (tmp_path / "r").glob("*.txt"))
+
+
+def test_diagnostics(spark):
+    words = spark.createDataFrame([(1, "length", 50.0, 10.0, 90.0, 20.0), (1, "Focal", 0.0, 11.0, 40.0, 21.0), (1, "153,692", 100.0, 9.0, 140.0, 19.0), (1, "next", 0.0, 40.0, 30.0, 50.0)], "page int, text string, x0 double, y0 double, x1 double, y1 double")
+    lines = diagnostics.word_rows(words)
+    assert [r["line"] for r in lines.orderBy("row").collect()] == ["Focal length 153,692", "next"]
+    assert diagnostics.certificate_fields(lines).head()["focal_mm"] == "153,692"
+    marks = spark.createDataFrame([("a", 100.0, 0.0), ("b", -100.2, 0.0), ("c", 0.0, 100.0), ("d", 3.0, -100.0)], "slot string, x_mm double, y_mm double")
+    assert [(r["a"], r["b"]) for r in diagnostics.mirror_check(marks, {"a": "b", "c": "d"}).collect()] == [("c", "d")]
+    cov = np.diag([0.01, 0.01, 0.04, 0, 0, 0])
+    assert abs(diagnostics.corner_uncertainty(np.array([0, 0, 1000.0, 0, 0, 0]), cov, 150.0, 75.0, 75.0, 0.0) - math.sqrt(0.02 + 0.04 * 0.5)) < 1e-6
+    some = diagnostics.subsample(spark.range(1000), "id", 50).collect()
+    assert some == diagnostics.subsample(spark.range(1000).repartition(9), "id", 50).collect() and len({r["id"] for r in some}) == 50
+
+
+def test_headings_from_shifts(spark):
+    rows = []
+    for turn, (a, b, dx, dy) in {0.5: (1, 2, 100.0, 0.0), -2.0: (3, 4, 0.0, 80.0)}.items():
+        # a ground vector turned into the image: things ahead move back
+        u, v = math.cos(-turn) * dx - math.sin(-turn) * dy, math.sin(-turn) * dx + math.cos(-turn) * dy
+        rows += [(a, b, 500.0, 500.0, 500.0 - u, 500.0 + v)] * 15
+    m = spark.createDataFrame(rows, "a int, b int, col_a double, row_a double, col_b double, row_b double")
+    pos = spark.createDataFrame([(1, 0.0, 0.0), (2, 100.0, 0.0), (3, 0.0, 1000.0), (4, 0.0, 1080.0), (5, 10.0, 1100.0)], "image_id int, x double, y double")
+    got = {r["image_id"]: (round(r["kappa"], 6), r["pairs"]) for r in diagnostics.headings(m, pos).collect()}
+    assert got == {1: (0.5, 1), 2: (0.5, 1), 3: (-2.0, 1), 4: (-2.0, 1), 5: (-2.0, 0)}
+
+
+def test_snapshots_and_colmap_lines(spark, tmp_path):
+    for ns, v in ((5, "a"), (9, "b")):
+        diagnostics.save_snapshot(spark.createDataFrame([(v,)], "v string"), str(tmp_path), ns)
+    assert diagnostics.read_snapshot(spark, str(tmp_path)).head()["v"] == "b" and diagnostics.read_snapshot(spark, str(tmp_path), 7).head()["v"] == "a"
+    images = spark.createDataFrame([(1, "a.jpg", 1, 10.0, 20.0, 30.0, 0.0, 0.0, 0.0)], "image_id int, name string, camera_id int, X0 double, Y0 double, Z0 double, omega double, phi double, kappa double")
+    line = diagnostics.colmap_images(images).head()["line"].split()
+    assert line[0] == "1" and line[-1] == "a.jpg" and [float(v) for v in line[5:8]] == [-10.0, 20.0, 30.0] and abs(float(line[2])) == 1.0
