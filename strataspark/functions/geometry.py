@@ -57,6 +57,26 @@ def apply_distortion(x: Column, y: Column, k: list[float], x0: float = 0.0, y0:
     return done["x"] + x0, done["y"] + y0
 
 
+LENS_PARAMETERS = ("dx0", "dy0", "df", "k1", "k2", "k3", "p1", "p2", "b1", "b2")
+
+
+def self_calibration(x: Column, y: Column, values: dict[str, float], focal: float, radius: float) -> tuple[Column, Column]:
+    """Film corrections of ten lens parameters: principal point, focal length, three radial, two decentring, two of shape.
+
+    Radial and decentring terms are those of coordinates over ``radius``, so that all parameters are of one size.
+    """
+    unknown = set(values) - set(LENS_PARAMETERS)
+    if unknown:
+        raise ValueError(f"no such lens parameters: {', '.join(sorted(unknown))}")
+    v = {n: float(values.get(n) or 0.0) for n in LENS_PARAMETERS}
+    a, b = x / radius, y / radius
+    r2 = a * a + b * b
+    grow = v["df"] / focal + r2 * (v["k1"] + r2 * (v["k2"] + r2 * v["k3"]))
+    off_x = v["p1"] * (3 * a * a + b * b) + 2 * v["p2"] * a * b
+    off_y = v["p2"] * (a * a + 3 * b * b) + 2 * v["p1"] * a * b
+    return v["dx0"] + x * grow + radius * off_x + v["b1"] * x + v["b2"] * y, v["dy0"] + y * grow + radius * off_y
+
+
 def affine(col: Column, row: Column, t: list[float]) -> tuple[Column, Column]:
     """Map coordinates of a pixel centre under a transform ``a, b, c, d, e, f``."""
     a, b, c, d, e, f = t
@@ -98,6 +118,25 @@ def rpc_forward(lon: Column, lat: Column, height: Column, model: dict) -> tuple[
     return sample * model["samp_scale"] + model["samp_off"], line * model["line_scale"] + model["line_off"]
 
 
+def rpc_inverse(sample: Column, line: Column, height: Column, model: dict, steps: int = 8) -> tuple[Column, Column]:
+    """Longitude and latitude of a pixel at a height, by Newton steps with differences; the state is one struct."""
+    ds, dl = 1e-5 * model["long_scale"], 1e-5 * model["lat_scale"]
+
+    def step(s, _):
+        a, b = rpc_forward(s["lon"], s["lat"], height, model)
+        ax, bx = rpc_forward(s["lon"] + ds, s["lat"], height, model)
+        ay, by = rpc_forward(s["lon"], s["lat"] + dl, height, model)
+        p, q, r, t = (ax - a) / ds, (ay - a) / dl, (bx - b) / ds, (by - b) / dl
+        det = p * t - q * r
+        det = F.when(F.abs(det) > 1e-30, det)
+        ra, rb = sample - a, line - b
+        return F.struct((s["lon"] + (t * ra - q * rb) / det).alias("lon"), (s["lat"] + (p * rb - r * ra) / det).alias("lat"))
+
+    start = F.struct(F.lit(float(model["long_off"])).alias("lon"), F.lit(float(model["lat_off"])).alias("lat"))
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
+    return done["lon"], done["lat"]
+
+
 # Semi-major axis and flattening of the ellipsoids that the presets name.
 ELLIPSOIDS = {"WGS84": (6378137.0, 1 / 298.257223563), "Clarke1880": (6378249.145, 1 / 293.4663077)}
 

@@ -281,3 +281,14 @@ def _(t, spark, d):
 def _(t, spark, d):
     o = t("orders").select("o_orderkey", F.col("o_totalprice").alias("col"), F.lit(0.0).alias("row"), (F.col("o_orderkey") % 2 == 0).alias("automatic"), F.lit(2.0).alias("scale"))
     return diagnostics.pixel_centres(o, 3).select("o_orderkey", near("col", 4).alias("col"))
+
+
+@query("self_calibration", """WITH q AS (SELECT c_custkey, c_acctbal / 100 AS x, c_nationkey * 4.0 - 50 AS y FROM customer), n AS (SELECT *, x / 100 AS a, y / 100 AS b, (x * x + y * y) / 10000 AS r2 FROM q)
+SELECT c_custkey, round(0.01 + x * (0.02 / 150 + 0.003 * r2 - 0.001 * r2 * r2) + 100 * (0.0005 * (3 * a * a + b * b) + 2 * -0.0002 * a * b) + 0.0001 * x, 6) AS dx,
+round(-0.02 + y * (0.02 / 150 + 0.003 * r2 - 0.001 * r2 * r2) + 100 * (-0.0002 * (a * a + 3 * b * b) + 2 * 0.0005 * a * b), 6) AS dy FROM n""")
+def _(t, spark, d):
+    from ..functions.geometry import self_calibration
+
+    lens = {"dx0": 0.01, "dy0": -0.02, "df": 0.02, "k1": 0.003, "k2": -0.001, "p1": 0.0005, "p2": -0.0002, "b1": 0.0001}
+    dx, dy = self_calibration(F.col("c_acctbal") / 100, F.col("c_nationkey") * 4.0 - 50, lens, 150.0, 100.0)
+    return rounded(t("customer").select("c_custkey", dx.alias("dx"), dy.alias("dy")))

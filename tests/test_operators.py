@@ -365,3 +365,16 @@ def test_snapshots_and_colmap_lines(spark, tmp_path):
     images = spark.createDataFrame([(1, "a.jpg", 1, 10.0, 20.0, 30.0, 0.0, 0.0, 0.0)], "image_id int, name string, camera_id int, X0 double, Y0 double, Z0 double, omega double, phi double, kappa double")
     line = diagnostics.colmap_images(images).head()["line"].split()
     assert line[0] == "1" and line[-1] == "a.jpg" and [float(v) for v in line[5:8]] == [-10.0, 20.0, 30.0] and abs(float(line[2])) == 1.0
+
+
+def test_rational_model_there_and_back(spark):
+    rng = random.Random(2)
+    poly = lambda first: [first, *[rng.uniform(-1e-3, 1e-3) for _ in range(19)]]
+    samp, line = poly(0.0), poly(0.0)
+    samp[1], line[2] = 1.0, -1.0
+    model = {"long_off": 31.0, "lat_off": -25.0, "height_off": 1000.0, "long_scale": 0.1, "lat_scale": 0.1, "height_scale": 500.0, "samp_off": 5000.0, "line_off": 4000.0, "samp_scale": 5000.0, "line_scale": 4000.0, "samp_num": samp, "samp_den": poly(1.0), "line_num": line, "line_den": poly(1.0)}
+    df = spark.createDataFrame([(31.0 + rng.uniform(-0.09, 0.09), -25.0 + rng.uniform(-0.09, 0.09), rng.uniform(600, 1400)) for _ in range(20)], "lon double, lat double, h double")
+    s, t = G.rpc_forward(F.col("lon"), F.col("lat"), F.col("h"), model)
+    lon, lat = G.rpc_inverse(F.col("s"), F.col("l"), F.col("h"), model)
+    for r in df.select("*", s.alias("s"), t.alias("l")).select("*", lon.alias("lon2"), lat.alias("lat2")).collect():
+        assert abs(r["lon"] - r["lon2"]) < 1e-9 and abs(r["lat"] - r["lat2"]) < 1e-9
