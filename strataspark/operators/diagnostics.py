@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import quaternion, rotation
 from ..session import ship_package
+from .neighbours import nearest
 from .ranks import global_rank
 
 # Labels of the point classes of the LAS format.
@@ -92,10 +93,11 @@ def headings(matches: DataFrame, positions: DataFrame, least: int = 12) -> DataF
     both = pairs.select(F.col("a").alias("image_id"), "turn", "w").unionByName(pairs.select(F.col("b").alias("image_id"), "turn", "w"))
     own = both.groupBy("image_id").agg(F.atan2(F.sum(F.col("w") * F.sin("turn")), F.sum(F.col("w") * F.cos("turn"))).alias("kappa"), F.count(F.lit(1)).alias("pairs"))
     placed = positions.join(own, "image_id", "left")
-    have = placed.filter("kappa is not null").select(F.col("x").alias("hx"), F.col("y").alias("hy"), F.col("kappa").alias("hk"), F.col("image_id").alias("hid"))
-    lost = placed.filter("kappa is null").select("image_id", "x", "y")
-    away = F.hypot(F.col("x") - F.col("hx"), F.col("y") - F.col("hy"))
-    near = lost.join(F.broadcast(have) if have.limit(10_001).count() <= 10_000 else have, F.lit(True)).groupBy("image_id").agg(F.min_by("hk", F.struct(away, F.col("hid"))).alias("hk"))
+    have = placed.filter("kappa is not null").select("image_id", "x", "y", "kappa")
+    box = placed.agg(F.count(F.lit(1)).alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).head()
+    size = max(box["w"] or 0.0, box["h"] or 0.0, 1.0) / max(1.0, math.sqrt(box["n"]))
+    closest = nearest(have, 1, size, "image_id", ("x", "y"), placed.filter("kappa is null"))
+    near = closest.join(have.select(F.col("image_id").alias("p"), F.col("kappa").alias("hk")), "p").select(F.col("q").alias("image_id"), "hk")
     return placed.join(near, "image_id", "left").select("image_id", F.coalesce("kappa", "hk").alias("kappa"), F.coalesce("pairs", F.lit(0)).alias("pairs"))
 
 

@@ -76,10 +76,18 @@ def ordered_by_distance(frames: DataFrame, start: str | None = None) -> DataFram
 
 
 def overlaps(frames: DataFrame) -> DataFrame:
-    """Common area of each two frames that meet; an interval join on west and east."""
-    a, b = (frames.select(F.col("layer").alias(f"{s}_layer"), F.struct("west", "south", "east", "north").alias(s)) for s in "ab")
-    met = a.join(b, (F.col("a_layer") < F.col("b_layer")) & (F.col("a.west") < F.col("b.east")) & (F.col("b.west") < F.col("a.east")))
-    return met.select("a_layer", "b_layer", overlap_area("a", "b").alias("area")).filter("area > 0")
+    """Common area of each two frames that meet.
+
+    Frames are filed under the cells they touch, cells being as large as the largest frame (so at most four each), and
+    meet in an equi-join; a pair counts in the cell of its common corner only.
+    """
+    size = frames.agg(F.greatest(F.max(F.col("east") - F.col("west")), F.max(F.col("north") - F.col("south"))).alias("s")).head()["s"] or 1.0
+    cell = lambda c: F.floor(F.col(c) / float(size))
+    filed = frames.withColumns({"__i": F.explode(F.sequence(cell("west"), cell("east")))}).withColumn("__j", F.explode(F.sequence(cell("south"), cell("north"))))
+    a, b = (filed.select("__i", "__j", F.col("layer").alias(f"{s}_layer"), F.struct("west", "south", "east", "north").alias(s)) for s in "ab")
+    met = a.join(b, ["__i", "__j"]).filter(F.col("a_layer") < F.col("b_layer"))
+    corner = (F.floor(F.greatest("a.west", "b.west") / float(size)) == F.col("__i")) & (F.floor(F.greatest("a.south", "b.south") / float(size)) == F.col("__j"))
+    return met.filter(corner).select("a_layer", "b_layer", overlap_area("a", "b").alias("area")).filter("area > 0")
 
 
 def union_bounds(frames: DataFrame) -> DataFrame:
