@@ -174,6 +174,7 @@ def simhash_components(docs: DataFrame, words: int = 3, id_col: str = "doc_id",
 # Near-duplicates at a similarity: 256 bits, of which pairs of shingle sets with Jaccard 0.8 differ in 0.15.
 LANES = 4
 TABLES = 128
+FIRST = 24  # tables whose links are made before the others, which then only link what is still apart
 KEY_BITS = 20
 HOT = 50_000  # prints of one key above which its rows are dealt to several tasks
 RING = 8  # segments of the ring in the chain test
@@ -198,19 +199,25 @@ def _samples() -> np.ndarray:
     return np.array(out[:TABLES])
 
 
-def _file_keys(batches):
-    samples = _samples()
-    weights = 1 << np.arange(KEY_BITS, dtype=np.int64)
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        words = np.stack([batch.column(k + 1).to_numpy(zero_copy_only=False) for k in range(LANES)], 1).astype("<i8")
-        for k in range(0, len(ids), 2000):
-            own = words[k : k + 2000]
-            bits = np.unpackbits(own.view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
-            keys = (bits[:, samples.reshape(-1)].reshape(len(own), TABLES, KEY_BITS) @ weights) + (np.arange(TABLES, dtype=np.int64) << KEY_BITS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.reshape(-1)), *[pa.array(np.repeat(c, TABLES)) for c in (ids[k : k + 2000], *own.T)]], names=["key", "node", *[f"f{j}" for j in range(LANES)]]
-            )
+def _file_keys(first: int, last: int):
+    """Rows ``key, node, label, f0..`` of each print in the tables from ``first`` to ``last``."""
+
+    def run(batches):
+        samples = _samples()[first:last]
+        n = len(samples)
+        weights = 1 << np.arange(KEY_BITS, dtype=np.int64)
+        tables = np.arange(first, last, dtype=np.int64) << KEY_BITS
+        for batch in batches:
+            ids, labels = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            words = np.stack([batch.column(k + 2).to_numpy(zero_copy_only=False) for k in range(LANES)], 1).astype("<i8")
+            for k in range(0, len(ids), 2000):
+                own = words[k : k + 2000]
+                bits = np.unpackbits(own.view(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
+                keys = (bits[:, samples.reshape(-1)].reshape(len(own), n, KEY_BITS) @ weights) + tables
+                columns = [np.repeat(c, n) for c in (ids[k : k + 2000], labels[k : k + 2000], *own.T)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *map(pa.array, columns)], names=["key", "node", "label", *[f"f{j}" for j in range(LANES)]])
+
+    return run
 
 
 def _near(a: np.ndarray, rest: np.ndarray, most: int) -> np.ndarray:
@@ -225,7 +232,7 @@ def _near(a: np.ndarray, rest: np.ndarray, most: int) -> np.ndarray:
     return holds & (total <= most)
 
 
-def _hot_keys(asked: DataFrame, lanes: list[str], rows: int) -> DataFrame | None:
+def _hot_keys(asked: DataFrame, rows: int, first: int, last: int) -> DataFrame | None:
     """Keys that over ``HOT`` prints share, with the number of shares to deal them in; None if there is none.
 
     They are told from every 64th print (by hash): a key of ``HOT`` has some 800 of those, far above the mark of half as many.
@@ -233,35 +240,47 @@ def _hot_keys(asked: DataFrame, lanes: list[str], rows: int) -> DataFrame | None
     """
     if rows <= HOT:
         return None
-    some = asked.filter(F.pmod(F.xxhash64("node"), F.lit(64)) == 0).select("node", *lanes)
-    keys = some.mapInArrow(_file_keys, "key long, node long, " + ", ".join(f"{c} long" for c in lanes)).groupBy("key").agg((F.count(F.lit(1)) * 64).alias("n"))
+    keys = _filed(asked.filter(F.pmod(F.xxhash64("node"), F.lit(64)) == 0), first, last).groupBy("key").agg((F.count(F.lit(1)) * 64).alias("n"))
     hot = materialise(keys.filter(F.col("n") > HOT // 2).select("key", F.ceil(F.col("n") / (HOT // 2)).alias("shares")), "hot-keys")
     return None if hot.isEmpty() else hot
 
 
+_LANES = [f"f{k}" for k in range(LANES)]
+
+
+def _filed(asked: DataFrame, first: int, last: int) -> DataFrame:
+    return asked.select("node", "label", *_LANES).mapInArrow(_file_keys(first, last), "key long, node long, label long, " + ", ".join(f"{c} long" for c in _LANES))
+
+
 def _bucket_links(most: int, salted: bool = False):
-    """Spanning links of each bucket: from a member to all still unreached members near it, until none is left to ask."""
+    """Links of labels in each bucket: from a member to all still unreached members near it, until none is left to ask.
+
+    Members of one label are together already and make no link.
+    """
 
     def run(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
+        table = pa.Table.from_batches(batches)
         key = table.column("key").to_numpy()
         if salted:
             key = key * 1_000_003 + table.column("salt").to_numpy()
-        order = np.argsort(key, kind="stable")
-        key, node = key[order], table.column("node").to_numpy()[order]
-        words = np.stack([table.column(f"f{k}").to_numpy() for k in range(LANES)], 1)[order].view(np.uint64)
+        order = np.lexsort((table.column("node").to_numpy(), key))
+        key, label = key[order], table.column("label").to_numpy()[order]
+        words = np.stack([table.column(c).to_numpy() for c in _LANES], 1)[order].view(np.uint64)
         edge = np.flatnonzero(np.diff(key)) + 1
         starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
         us, vs = [], []
         two = np.flatnonzero(ends - starts == 2)
         if len(two):
             a, b = starts[two], starts[two] + 1
-            ok = np.bitwise_count(words[a] ^ words[b]).sum(1) <= most
-            us.append(node[a[ok]])
-            vs.append(node[b[ok]])
+            ok = (label[a] != label[b]) & (np.bitwise_count(words[a] ^ words[b]).sum(1) <= most)
+            us.append(label[a[ok]])
+            vs.append(label[b[ok]])
         for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
+            if (label[s:e] == label[s]).all():
+                continue
             left = np.arange(s, e)
             queue: list[int] = []
             while len(left):
@@ -270,12 +289,13 @@ def _bucket_links(most: int, salted: bool = False):
                     if not len(left):
                         break
                 at = queue.pop()
-                hit = _near(words[at], words[left], most)
+                same = label[left] == label[at]
+                hit = same | _near(words[at], words[left], most)
                 if hit.any():
-                    found = left[hit]
-                    us.append(np.full(len(found), node[at]))
-                    vs.append(node[found])
-                    queue.extend(found.tolist())
+                    found = left[hit & ~same]
+                    us.append(np.full(len(found), label[at]))
+                    vs.append(label[found])
+                    queue.extend(left[hit].tolist())
                     left = left[~hit]
         if us:
             u, v = np.concatenate(us), np.concatenate(vs)
@@ -297,24 +317,30 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     marked = materialise(fingerprints(docs, words, LANES, id_col, text_col, distinct=True), "near-prints")
     lanes = [f"f{k}" for k in range(LANES)]
     unique = materialise(marked.groupBy(*lanes).agg(F.min("doc_id").alias("node")), "near-unique")
-    asked = unique.filter(F.greatest(*[F.col(c) != 0 for c in lanes])).filter(F.col("node").isNotNull())
+    asked = unique.filter(F.greatest(*[F.col(c) != 0 for c in lanes])).filter(F.col("node").isNotNull()).withColumn("label", F.col("node"))
     ship_package(docs.sparkSession)
-    filed = asked.select("node", *lanes).mapInArrow(_file_keys, "key long, node long, " + ", ".join(f"{c} long" for c in lanes))
-    spark = docs.sparkSession
-    unique_rows = unique.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), unique_rows * TABLES // 1_000_000 + 1)
-    most, ddl = bits_for(similarity), "u long, v long"
-    hot = _hot_keys(asked, lanes, unique_rows)
+    rows, least, most = unique.count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), bits_for(similarity)
+    parts = lambda tables: max(least, rows * tables // 1_000_000 + 1)
+    links = lambda d, n, *by, salted=False: d.repartition(parts(n), *by).mapInArrow(_bucket_links(most, salted), "u long, v long")
+    hot = _hot_keys(asked, rows, 0, FIRST)
+    filed = _filed(asked, 0, FIRST)
+    if hot is None:
+        early = links(filed, FIRST, "key")
+    else:  # a key that very many share is dealt to several tasks; the other tables link what that leaves apart
+        dealt = filed.join(hot, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), F.col("shares")), F.lit(0)))
+        early = links(dealt.drop("shares"), FIRST, "key", "salt", salted=True)
+    first = materialise(components(early).withColumnRenamed("node", "__node"), "near-first")
+    joined = materialise(asked.join(first, asked["node"] == first["__node"], "left").select("node", F.coalesce("root", "node").alias("label"), *lanes), "near-labels")
+    hot = _hot_keys(joined, rows, FIRST, TABLES)
+    filed = _filed(joined, FIRST, TABLES)
     if hot is None:
-        roots = components(filed.repartition(parts, "key").mapInArrow(_bucket_links(most), ddl))
-    else:
-        # a key that very many share is dealt to several tasks; what links within them leaves one row a component, and those meet again
-        salted = filed.join(hot, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), F.col("shares")), F.lit(0)))
-        links = materialise(salted.select("key", "node", *lanes, "salt").repartition(parts, "key", "salt").mapInArrow(_bucket_links(most, True), ddl), "near-links")
-        first = components(links).withColumnRenamed("node", "__node")
-        again = filed.join(hot.select("key"), "key").join(first, F.col("node") == F.col("__node"), "left")
-        ones = again.groupBy("key", F.coalesce("root", "node").alias("r")).agg(F.min(F.struct("node", *lanes)).alias("m")).select("key", "m.*")
-        roots = components(links.unionByName(ones.repartition(parts, "key").mapInArrow(_bucket_links(most), ddl)))
-    named = unique.join(roots, unique["node"] == roots["node"], "left").select(*lanes, F.coalesce("root", unique["node"]).alias("component_id"))
+        late = links(filed, TABLES - FIRST, "key")
+    else:  # of such a key one member of each label asks
+        usual = filed.join(hot, "key", "left_anti")
+        ones = filed.join(hot.select("key"), "key").groupBy("key", "label").agg(F.min(F.struct("node", *lanes)).alias("m")).select("key", "m.node", "label", *[f"m.{c}" for c in lanes])
+        late = links(usual.select("key", "node", "label", *lanes).unionByName(ones), TABLES - FIRST, "key")
+    second = components(late).withColumnRenamed("node", "__label")
+    roots = joined.join(second, joined["label"] == second["__label"], "left").select(*lanes, F.coalesce("root", "label").alias("component_id"))
+    named = unique.join(roots, lanes, "left").select(*lanes, F.coalesce("component_id", "node").alias("component_id"))
     empty = ~F.greatest(*[F.col(c) != 0 for c in lanes])
     return marked.join(named, lanes).select("doc_id", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
