@@ -16,6 +16,8 @@ GRAM = 8  # bytes from a word start that propose where a window begins
 SLACK = 24  # places that the proposals for one window may differ by
 REPEATS = 128  # embeddings, each with its own walk
 SAMPLED = 4  # letters of each embedding that must agree
+STRETCHES = 8  # parts of a walk that are asked by themselves too
+WALK_BYTES = 2_000_000  # of the windows that walk together
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16_000_000
 STRETCH = 2_000_000
@@ -143,23 +145,36 @@ def _windows(items: Items, at, key) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _collide(items: Items, item: np.ndarray, windows: list[bytes], repeats: int = REPEATS) -> np.ndarray:
-    """Windows whose sampled embedding letters agree with the item's in one of the repeats."""
+    """Windows whose sampled embedding letters agree with the item's in one of the repeats.
+
+    A walk moves about one letter in two steps, so the letters are drawn from as many steps as twice the item's length: from
+    the whole item, at places that follow from repeat and length alone and not from what else is looked at. Each walk is asked
+    for letters from all of it, and from each of its stretches: walks that edits threw apart have met again in some of them.
+    """
     hit = np.zeros(len(item), bool)
-    lengths = np.array([len(x) for x in items.bytes])[item]
+    sizes = np.array([len(x) for x in items.bytes])
+    lengths = sizes[item]
     order = np.argsort(lengths, kind="stable")
-    for s in range(0, len(order), 2048):
+    s = 0
+    while s < len(order):
         own = order[s : s + 2048]
+        own = own[: max(1, int(np.searchsorted(lengths[own] * np.arange(1, len(own) + 1), WALK_BYTES, "right")))]
+        s += len(own)
         width = int(lengths[own].max())
         text = np.frombuffer(b"".join(windows[k].ljust(width, b"\0")[:width] for k in own.tolist()), np.uint8).reshape(len(own), width)
         used, back = np.unique(item[own], return_inverse=True)
         known = np.frombuffer(b"".join(items.bytes[k].ljust(width, b"\0") for k in used.tolist()), np.uint8).reshape(len(used), width)
-        known_len = np.array([len(items.bytes[k]) for k in used.tolist()])
-        left, steps = np.arange(len(own)), int(known_len.min())  # both walks stay inside their strings
+        known_len = sizes[used]
+        left = np.arange(len(own))
         for r in range(repeats):
-            at = np.sort(np.random.default_rng((SEED, r)).integers(0, steps, SAMPLED))
+            share = np.random.default_rng((SEED, r)).random((1 + STRETCHES, SAMPLED))
+            share[1:] = (share[1:] + np.arange(STRETCHES)[:, None]) / STRETCHES
+            at = (share.reshape(-1) * 2 * known_len[:, None]).astype(np.int64)
             both = np.concatenate([text[left], known])
-            letters = cgk(both, np.concatenate([lengths[own][left], known_len]), int(at[-1]) + 1, SEED + r)[:, at]
-            same = (letters[: len(left)] == letters[len(left) :][back[left]]).all(1)
+            walks = cgk(both, np.concatenate([lengths[own][left], known_len]), int(at.max()) + 1, SEED + r)
+            mine = back[left]
+            same = np.take_along_axis(walks[: len(left)], at[mine], 1) == np.take_along_axis(walks[len(left) :], at, 1)[mine]
+            same = same.reshape(len(left), -1, SAMPLED).all(2).any(1)
             hit[own[left[same]]] = True
             left = left[~same]
             if not len(left):
