@@ -177,6 +177,7 @@ TABLES = 128
 FIRST = 24  # tables whose links are made before the others, which then only link what is still apart
 KEY_BITS = 20
 HOT = 50_000  # prints of one key above which its rows are dealt to several tasks
+COUNTED = 64  # one print of so many is counted to tell such keys
 RING = 8  # segments of the ring in the chain test
 
 
@@ -235,12 +236,12 @@ def _near(a: np.ndarray, rest: np.ndarray, most: int) -> np.ndarray:
 def _hot_keys(asked: DataFrame, rows: int, first: int, last: int) -> DataFrame | None:
     """Keys that over ``HOT`` prints share, with the number of shares to deal them in; None if there is none.
 
-    They are told from every 64th print (by hash): a key of ``HOT`` has some 800 of those, far above the mark of half as many.
+    They are told from one print of ``COUNTED`` (by hash): a key of ``HOT`` has some 800 of those, far above the mark of half as many.
     The result is a plan for dealing rows out; every row is dealt.
     """
     if rows <= HOT:
         return None
-    keys = _filed(asked.filter(F.pmod(F.xxhash64("node"), F.lit(64)) == 0), first, last).groupBy("key").agg((F.count(F.lit(1)) * 64).alias("n"))
+    keys = _filed(asked.filter(F.pmod(F.xxhash64("node"), F.lit(COUNTED)) == 0), first, last).groupBy("key").agg((F.count(F.lit(1)) * COUNTED).alias("n"))
     hot = materialise(keys.filter(F.col("n") > HOT // 2).select("key", F.ceil(F.col("n") / (HOT // 2)).alias("shares")), "hot-keys")
     return None if hot.isEmpty() else hot
 
@@ -252,6 +253,18 @@ def _filed(asked: DataFrame, first: int, last: int) -> DataFrame:
     return asked.select("node", "label", *_LANES).mapInArrow(_file_keys(first, last), "key long, node long, label long, " + ", ".join(f"{c} long" for c in _LANES))
 
 
+def _dealt(filed: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows with the block (``salt``) of their key that they are compared in.
+
+    A usual key is one block. The rows of a hot one have a share each, and every two shares are a block, so that all
+    its members still meet: a row goes to one block less than there are shares.
+    """
+    shares = F.coalesce("shares", F.lit(1))
+    own = filed.join(hot, "key", "left").withColumn("shares", shares).withColumn("own", F.pmod(F.xxhash64("node"), "shares"))
+    pairs = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).filter((F.col("shares") == 1) | (F.col("other") != F.col("own")))
+    return pairs.withColumn("salt", F.least("own", "other") * F.col("shares") + F.greatest("own", "other")).drop("shares", "own", "other")
+
+
 def _bucket_links(most: int, salted: bool = False):
     """Links of labels in each bucket: from a member to all still unreached members near it, until none is left to ask.
 
@@ -326,19 +339,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     filed = _filed(asked, 0, FIRST)
     if hot is None:
         early = links(filed, FIRST, "key")
-    else:  # a key that very many share is dealt to several tasks; the other tables link what that leaves apart
-        dealt = filed.join(hot, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("node"), F.col("shares")), F.lit(0)))
-        early = links(dealt.drop("shares"), FIRST, "key", "salt", salted=True)
+    else:
+        early = links(_dealt(filed, hot), FIRST, "key", "salt", salted=True)
     first = materialise(components(early).withColumnRenamed("node", "__node"), "near-first")
     joined = materialise(asked.join(first, asked["node"] == first["__node"], "left").select("node", F.coalesce("root", "node").alias("label"), *lanes), "near-labels")
     hot = _hot_keys(joined, rows, FIRST, TABLES)
     filed = _filed(joined, FIRST, TABLES)
     if hot is None:
         late = links(filed, TABLES - FIRST, "key")
-    else:  # of such a key one member of each label asks
-        usual = filed.join(hot, "key", "left_anti")
-        ones = filed.join(hot.select("key"), "key").groupBy("key", "label").agg(F.min(F.struct("node", *lanes)).alias("m")).select("key", "m.node", "label", *[f"m.{c}" for c in lanes])
-        late = links(usual.select("key", "node", "label", *lanes).unionByName(ones), TABLES - FIRST, "key")
+    else:
+        late = links(_dealt(filed, hot), TABLES - FIRST, "key", "salt", salted=True)
     second = components(late).withColumnRenamed("node", "__label")
     roots = joined.join(second, joined["label"] == second["__label"], "left").select(*lanes, F.coalesce("root", "label").alias("component_id"))
     named = unique.join(roots, lanes, "left").select(*lanes, F.coalesce("component_id", "node").alias("component_id"))
