@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,7 @@ from ..session import ship_package
 
 SHARE = 0.2  # edits that an item of a leaked passage may have, as a share of its characters
 GRAM = 8  # bytes from a word start that propose where a window begins
+RUN = 32  # bytes without a space beyond which each letter counts as a word start
 SLACK = 24  # places that the proposals for one window may differ by
 REPEATS = 128  # embeddings, each with its own walk
 SAMPLED = 4  # letters of each embedding that must agree
@@ -27,10 +30,20 @@ _MARKS = bytes(c for c in range(128) if not chr(c).isalnum())
 _PLAIN = bytes(32 if c in _MARKS else ord(chr(c).lower()) if c < 128 else c for c in range(256))
 
 
+@lru_cache(None)
+def _is_mark(c: str) -> bool:
+    """Punctuation, symbols, blanks and controls beyond ASCII."""
+    return c > "\x7f" and (unicodedata.category(c)[0] in "PSZ" or unicodedata.category(c) in ("Cc", "Cf"))
+
+
 def plain(text: str | None) -> bytes:
     """Letters in lower case and digits, with one space between words; as UTF-8."""
     raw = text or ""
-    raw = (raw if raw.isascii() else raw.lower()).encode("utf-8", "surrogatepass")
+    if not raw.isascii():
+        raw = raw.lower()
+        for c in filter(_is_mark, set(raw)):
+            raw = raw.replace(c, " ")
+    raw = raw.encode("utf-8", "surrogatepass")
     return b" ".join(raw.translate(_PLAIN).split())
 
 
@@ -102,6 +115,21 @@ class Items:
         self.place = np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)[order]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.key >> np.uint64(44)).astype(np.int64)] = True
+        lone = np.zeros(1 << 20, bool)
+        lone[(self.key[self.n_grams[self.item] == 1] >> np.uint64(44)).astype(np.int64)] = True
+        self.lone = lone if lone.any() else None
+
+    def grams_of_text(self, b: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The grams of a text; if items have a single one, also those at all other letters that may be it."""
+        at, key = grams(b, end)
+        if self.lone is None:
+            return at, key
+        rest = np.flatnonzero((b[:end] != 32) & (b[:end] & 0xC0 != 0x80))
+        rest = rest[rest + GRAM <= end]
+        more = _keys(b, rest)
+        on = self.lone[(more >> np.uint64(44)).astype(np.int64)]
+        at, one = np.unique(np.concatenate([at, rest[on]]), return_index=True)
+        return at, np.concatenate([key, more[on]])[one]
 
     def proposals(self, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``(item, begin, place)`` of each gram of the texts that an item has too."""
@@ -115,15 +143,29 @@ class Items:
 
 
 def grams(b: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word starts up to ``end - GRAM``, and a hash of the bytes from each; ``b`` is padded."""
-    space = b[:end] == 32
-    at = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    """Places up to ``end - GRAM`` and a hash of the bytes from each; ``b`` is padded.
+
+    Places are word starts, each letter of three bytes or more (of scripts that may write without spaces), and each
+    letter of a run without a space that is longer than ``RUN`` bytes.
+    """
+    own = b[:end]
+    space = own == 32
+    start = ~space & np.concatenate([[True], space[:-1]])[:end]
+    edge = np.concatenate([[-1], np.flatnonzero(space), [end]])
+    inside = own >= 0xE0
+    for k in np.flatnonzero(np.diff(edge) > RUN + 1).tolist():
+        inside[edge[k] + 1 : edge[k + 1]] = True
+    at = np.flatnonzero(start | (inside & (own & 0xC0 != 0x80)))
     at = at[at + GRAM <= end]
+    return at, _keys(b, at)
+
+
+def _keys(b: np.ndarray, at: np.ndarray) -> np.ndarray:
     eight = np.ndarray((len(b) - 7,), "<u8", b, strides=(1,)) if len(b) >= 8 else np.zeros(0, "<u8")
     with np.errstate(over="ignore"):
         key = (eight[at] * np.uint64(0x9E3779B97F4A7C15)) ^ (eight[at + GRAM - 8] + np.uint64(0x632BE59BD9B4E019))
         key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return at, key ^ (key >> np.uint64(32))
+    return key ^ (key >> np.uint64(32))
 
 
 def _windows(items: Items, at, key) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +235,7 @@ class _Scanner:
         """Take in some texts; pairs with short items come back at once."""
         items, raw = self.items, b"".join(texts)
         starts = np.cumsum([0, *map(len, texts)])
-        at, key = grams(np.frombuffer(raw + bytes(GRAM), np.uint8), len(raw))
+        at, key = items.grams_of_text(np.frombuffer(raw + bytes(GRAM), np.uint8), len(raw))
         item, begin = _windows(items, at, key)
         middle = begin + np.array([len(x) // 2 for x in items.bytes])[item]
         own = np.searchsorted(starts, np.clip(middle, 0, len(raw) - 1), side="right") - 1
@@ -213,6 +255,7 @@ class _Scanner:
         if not rows:
             return []
         hit = _collide(items, np.array([r[1] for r in rows]), [r[2] for r in rows])
+        hit |= np.array([items.bytes[r[1]] in r[3] for r in rows])
         best: dict[tuple, int] = {}
         for h in np.flatnonzero(hit).tolist():
             doc_id, k, _, around = rows[h]
@@ -267,7 +310,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     ``share`` of the item's length in edits; ``edits`` is the exact distance of the best passage found near a window.
 
     Windows of an item's size are taken where three 8-byte grams at word starts stand in line with the item's (fewer for
-    items of a few words), from all words of the whole text. Each goes through up to 128 CGK embeddings with four sampled letters;
+    items of a few words), from all words of the whole text. In scripts that write without spaces and in long runs each
+    letter counts as a word start, and for items with a single gram all letters are looked at. Each goes through up to 128 CGK embeddings with four sampled letters;
     what agrees once is verified exactly. A verbatim passage is always found; recall under edits is measured
     against brute force in the tests. Items of under 8 bytes leak where they stand as whole words.
 

@@ -32,3 +32,25 @@ def test_items_of_mixed_length_with_edits_at_the_head(share):
         alone[len(batch)] = {(d, i) for d, i, _, _ in scanner.verified()}
     assert {(k, k) for k, _ in items} <= alone[60]
     assert alone[1] == {(1, 1)}
+
+
+HAN = "".join(map(chr, range(0x4E00, 0x4E00 + 2000)))
+THAI = "".join(map(chr, [*range(0x0E01, 0x0E3A), *range(0x0E40, 0x0E4E)]))
+
+
+@pytest.mark.parametrize("letters,size", [(HAN, 40), (HAN, 3), (THAI, 60), ("abcdefghijklmnopqrstuvwxyz0123456789", 64), ("abcdefghijklmnopqrstuvwxyz0123456789", 20)])
+@pytest.mark.parametrize("before", ["", "。", "「", "—"])
+def test_a_verbatim_passage_in_a_run_without_spaces(letters, size, before):
+    rng = random.Random(4)
+    run = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    items = [(k, run(size)) for k in range(10)]
+    scanner = decontam._Scanner(decontam.Items(items))
+    texts = [decontam.plain(f"{run(rng.randint(1, 90))}{before}{t}{run(50)}") + b" \0 " for _, t in items]
+    found = scanner.propose([k for k, _ in items], texts) + scanner.verified()
+    assert {(d, i, e) for d, i, e, _ in found} >= {(k, k, 0) for k in range(10)}
+
+
+def test_marks_beyond_ascii_part_words_and_vowel_signs_do_not():
+    assert decontam.plain("“Hé”—l’eau…fin").decode() == "hé l eau fin"
+    assert decontam.plain("好。「吗」").decode() == "好 吗"
+    assert decontam.plain("ที่นี่").decode() == "ที่นี่"
