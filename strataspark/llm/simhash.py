@@ -178,6 +178,7 @@ FIRST = 24  # tables whose links are made before the others, which then only lin
 KEY_BITS = 20
 HOT = 50_000  # prints of one key above which its rows are dealt to several tasks
 COUNTED = 64  # one print of so many is counted to tell such keys
+SMALL = 16  # rows of a bucket up to which all its pairs are candidates
 RING = 8  # segments of the ring in the chain test
 
 
@@ -265,9 +266,11 @@ def _dealt(filed: DataFrame, hot: DataFrame) -> DataFrame:
     return pairs.withColumn("salt", F.least("own", "other") * F.col("shares") + F.greatest("own", "other")).drop("shares", "own", "other")
 
 
-def _bucket_links(most: int, salted: bool = False):
-    """Links of labels in each bucket: from a member to all still unreached members near it, until none is left to ask.
+def _bucket_links(most: int, salted: bool = False, mixed: bool = False):
+    """Candidate links ``u, v`` of labels in each bucket, with the members ``a, b`` that make them.
 
+    In buckets of up to ``SMALL`` rows these are all near pairs. In larger ones they go from a member to all still unreached
+    members near it, to the nearest of each label, until none is left to ask; ``mixed`` asks in another order in each bucket.
     Members of one label are together already and make no link.
     """
 
@@ -279,19 +282,24 @@ def _bucket_links(most: int, salted: bool = False):
         key = table.column("key").to_numpy()
         if salted:
             key = key * 1_000_003 + table.column("salt").to_numpy()
-        order = np.lexsort((table.column("node").to_numpy(), key))
-        key, label = key[order], table.column("label").to_numpy()[order]
+        node = table.column("node").to_numpy()
+        with np.errstate(over="ignore"):
+            turn = (node * 0x5851F42D4C957F2D + key) * 0x2545F4914F6CDD1D if mixed else node
+        order = np.lexsort((node, turn ^ (turn >> 29) if mixed else turn, key))
+        key, node, label = key[order], node[order], table.column("label").to_numpy()[order]
         words = np.stack([table.column(c).to_numpy() for c in _LANES], 1)[order].view(np.uint64)
         edge = np.flatnonzero(np.diff(key)) + 1
         starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
-        us, vs = [], []
-        two = np.flatnonzero(ends - starts == 2)
-        if len(two):
-            a, b = starts[two], starts[two] + 1
-            ok = (label[a] != label[b]) & (np.bitwise_count(words[a] ^ words[b]).sum(1) <= most)
-            us.append(label[a[ok]])
-            vs.append(label[b[ok]])
-        for s, e in zip(starts[ends - starts > 2].tolist(), ends[ends - starts > 2].tolist(), strict=True):
+        us, vs = [], []  # rows of the members of a link
+        for apart in range(1, SMALL):
+            at = np.arange(len(key) - apart)
+            size = np.repeat(ends - starts, ends - starts)
+            at = at[(size[at] <= SMALL) & (key[at] == key[at + apart]) & (label[at] != label[at + apart])]
+            at = at[np.bitwise_count(words[at] ^ words[at + apart]).sum(1) <= most]
+            us.append(at)
+            vs.append(at + apart)
+        large = ends - starts > SMALL
+        for s, e in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
             if (label[s:e] == label[s]).all():
                 continue
             left = np.arange(s, e)
@@ -306,25 +314,58 @@ def _bucket_links(most: int, salted: bool = False):
                 hit = same | _near(words[at], words[left], most)
                 if hit.any():
                     found = left[hit & ~same]
-                    us.append(np.full(len(found), label[at]))
-                    vs.append(label[found])
+                    found = found[np.argsort(np.bitwise_count(words[found] ^ words[at]).sum(1), kind="stable")]
+                    found = found[np.unique(label[found], return_index=True)[1]]
+                    us.append(np.full(len(found), at))
+                    vs.append(found)
                     queue.extend(left[hit].tolist())
                     left = left[~hit]
-        if us:
-            u, v = np.concatenate(us), np.concatenate(vs)
-            pairs = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+        u, v = np.concatenate([*us, np.zeros(0, np.int64)]), np.concatenate([*vs, np.zeros(0, np.int64)])
+        if len(u):
+            u, v = np.where(node[u] < node[v], u, v), np.where(node[u] < node[v], v, u)
+            one = np.unique(np.stack([node[u], node[v]], 1), axis=0, return_index=True)[1]
+            u, v = u[one], v[one]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (label[u], label[v], node[u], node[v])], names=["u", "v", "a", "b"])
 
     return run
 
 
+def _sets(words: int):
+    """``node, shingles`` of each text: the distinct hashes of its runs of words."""
+
+    def run(batches):
+        for batch in batches:
+            held, first, size = [], 0, 0
+            for k, text in enumerate(batch.column(1).to_pylist(), 1):
+                held.append(np.unique(np.concatenate([*shingle_hashes(text, words), np.zeros(0, np.uint64)])).view(np.int64))
+                size += len(held[-1])
+                if size >= 500_000 or k == batch.num_rows:
+                    ends = np.cumsum([0, *map(len, held)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(held)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))], names=["node", "shingles"])
+                    held, first, size = [], k, 0
+
+    return run
+
+
+def _confirmed(links: DataFrame, texts: DataFrame, words: int, similarity: float, name: str) -> DataFrame:
+    """``u, v`` of the candidate links whose members ``a, b`` have shingle sets of this Jaccard similarity, counted exactly."""
+    asked = materialise(links.groupBy("a", "b").agg(F.first("u").alias("u"), F.first("v").alias("v")), f"{name}-asked")
+    nodes = asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct()
+    sets = texts.join(nodes, "node", "left_semi").mapInArrow(_sets(words), "node long, shingles array<long>").groupBy("node").agg(F.min("shingles").alias("shingles"))
+    sets = materialise(sets, f"{name}-sets")
+    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    both = asked.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    return both.filter(F.col("common") >= (F.size("sa") + F.size("sb") - F.col("common")) * F.lit(similarity) - 1e-9).select("u", "v")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component_id`` of every row: groups of texts whose shingle sets are similar.
 
     The similarity is read off 256-bit fingerprints of runs of ``words`` words. At 0.8 no pigeonhole of whole
     segments is selective, so candidates share a chain of neighbouring bits in one of 128 tables (rings in fixed orders), which
-    nearly all pairs of that similarity do; the chain test with proportional budgets then prunes, and the full distance decides.
-    Within a bucket links are spanning ones, found without making its pairs.
+    nearly all pairs of that similarity do; the chain test with proportional budgets and the full distance then prune.
+    Within a large bucket candidates are spanning ones, found without making its pairs. Each candidate is confirmed by the
+    exact Jaccard similarity of the two shingle sets before it links.
     Texts without words are not near anything. Equal fingerprints are one point.
     """
     marked = materialise(fingerprints(docs, words, LANES, id_col, text_col, distinct=True), "near-prints")
@@ -334,14 +375,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     ship_package(docs.sparkSession)
     rows, least, most = unique.count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), bits_for(similarity)
     parts = lambda tables: max(least, rows * tables // 1_000_000 + 1)
-    links = lambda d, n, *by, salted=False: d.repartition(parts(n), *by).mapInArrow(_bucket_links(most, salted), "u long, v long")
+    links = lambda d, n, *by, salted=False: d.repartition(parts(n), *by).mapInArrow(_bucket_links(most, salted, n != FIRST), "u long, v long, a long, b long")
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     hot = _hot_keys(asked, rows, 0, FIRST)
     filed = _filed(asked, 0, FIRST)
     if hot is None:
         early = links(filed, FIRST, "key")
     else:
         early = links(_dealt(filed, hot), FIRST, "key", "salt", salted=True)
-    first = materialise(components(early).withColumnRenamed("node", "__node"), "near-first")
+    first = materialise(components(_confirmed(early, texts, words, similarity, "near-early")).withColumnRenamed("node", "__node"), "near-first")
     joined = materialise(asked.join(first, asked["node"] == first["__node"], "left").select("node", F.coalesce("root", "node").alias("label"), *lanes), "near-labels")
     hot = _hot_keys(joined, rows, FIRST, TABLES)
     filed = _filed(joined, FIRST, TABLES)
@@ -349,7 +391,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
         late = links(filed, TABLES - FIRST, "key")
     else:
         late = links(_dealt(filed, hot), TABLES - FIRST, "key", "salt", salted=True)
-    second = components(late).withColumnRenamed("node", "__label")
+    second = components(_confirmed(late, texts, words, similarity, "near-late")).withColumnRenamed("node", "__label")
     roots = joined.join(second, joined["label"] == second["__label"], "left").select(*lanes, F.coalesce("root", "label").alias("component_id"))
     named = unique.join(roots, lanes, "left").select(*lanes, F.coalesce("component_id", "node").alias("component_id"))
     empty = ~F.greatest(*[F.col(c) != 0 for c in lanes])

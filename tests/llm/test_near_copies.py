@@ -35,6 +35,7 @@ def _roots(n, links):
 def test_members_of_a_hot_key_all_meet(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", 2)  # each key that two prints share
     monkeypatch.setattr(simhash, "COUNTED", 1)
+    monkeypatch.setattr(simhash, "_confirmed", lambda links, *rest: links.select("u", "v"))  # candidates only
     rng = random.Random(3)
     texts = [t for _ in range(2) for t in _chain(rng, 60, changed=9)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -42,3 +43,21 @@ def test_members_of_a_hot_key_all_meet(spark, monkeypatch):
     want = _roots(len(texts), _links(np.array([prints[k] for k in range(len(texts))], "<i8"), simhash.bits_for(0.8)))
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
     assert [got[k] for k in range(len(texts))] == want
+
+
+def test_texts_under_the_similarity_do_not_link(spark):
+    rng = random.Random(6)
+    texts = []
+    for k in range(150):  # pairs of about 0.84, 0.7 and 0.6
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        other = list(base)
+        for at in rng.sample(range(20), (3, 7, 10)[k % 3]):
+            other[at * 10] = f"w{rng.randrange(5000)}"
+        texts += [" ".join(base), " ".join(other)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in texts]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    near = [len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) >= 0.8 for k in range(0, 300, 2)]
+    linked = [got[k] == got[k + 1] for k in range(0, 300, 2)]
+    assert sum(near) == 50
+    assert not any(x and not n for x, n in zip(linked, near, strict=True))
+    assert sum(x and n for x, n in zip(linked, near, strict=True)) >= 46
