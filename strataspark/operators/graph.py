@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, release
 
 MAX_ROUNDS = 60
 
@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialise(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, now = now, materialise(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(before)
         mark = _mark(now)
         if mark == seen:
             break

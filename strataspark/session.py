@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 _cleaned: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -35,14 +36,17 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests in local mode) a local folder is set.
+    Where the setting is absent, a session in one process (``local[..]``, as in tests) gets a folder of its own; on a
+    cluster no machine-local folder can stand in, so there it is an error.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where:
-        where = os.path.join(tempfile.gettempdir(), "strataspark-checkpoints")
-        sc.setCheckpointDir(where)
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if sc.applicationId not in _own:
+            _own[sc.applicationId] = tempfile.mkdtemp(prefix="strataspark-shared-")
+        where = _own[sc.applicationId]
     base = f"{where.rstrip('/')}/strataspark-{sc.applicationId}"
     if base not in _cleaned:
         _cleaned.add(base)
@@ -69,7 +73,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialise`` gave, once all that reads them has run; others are left alone."""
+    for table in tables:
+        if path := getattr(table, "scratch_path", None):
+            _remove(table.sparkSession, path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
