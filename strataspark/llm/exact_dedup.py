@@ -249,16 +249,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns; of repeated rows one stays.
 
-    The decision joins back on the id: ids of rows that go, against all rows.
+    The decision joins back on id and digest (of rows that stay, against all rows), so rows that share an id, or have
+    none, are told apart by their texts. Of equal texts without any id one row stays.
     """
     marked = exact_dedup(docs, id_col, text_col)
-    kept = marked.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
-    kept = materialise(kept.select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha"), "n"), "exact-kept")
-    out = docs.join(kept.select("__keep").distinct(), docs[id_col].cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    if kept.filter("n > 1").isEmpty():
-        return out
-    digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WHITE, " "), 256)
-    return out.withColumn("__digest", digest).dropDuplicates([id_col, "__digest"]).drop("__digest")
+    kept = marked.filter("kept").groupBy("doc_id", F.unhex("text_sha256").alias("sha")).agg(F.count(F.lit(1)).alias("n"))
+    kept = materialise(kept.select(F.col("doc_id").alias("__keep"), F.col("sha").alias("__sha"), F.col("n").alias("__n")), "exact-kept")
+    columns = docs.columns
+    digest = F.unhex(F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WHITE, " "), 256))
+    rows = docs.select("*", F.col(id_col).cast("long").alias("__id"), digest.alias("__digest"))
+    stays = (rows["__digest"] == kept["__sha"]) & rows["__id"].eqNullSafe(kept["__keep"])
+    out = rows.join(kept.select("__keep", "__sha"), stays, "left_semi")
+    if not kept.filter("__n > 1").isEmpty():
+        out = out.dropDuplicates(["__id", "__digest"])
+    return out.select(*columns)
 
 
 def exact_dedup_sql() -> str:
