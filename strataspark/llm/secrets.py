@@ -23,6 +23,7 @@ KINDS = [
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, r"eyJ[A-Za-z0-9_-]+\.eyJ"),
 ]
 BASE_KINDS = 3
+BLOCK = 256
 PLACEHOLDER = "(?i)example|changeme|placeholder|dummy|sample|your_|redacted|xxxx"
 
 
@@ -30,7 +31,8 @@ def _found(text: Column, rank: int) -> Column:
     """Array of ``(start, rank, end, value)`` of one kind.
 
     ``split`` gives what lies between the matches and ``regexp_extract_all`` the
-    matches, so their lengths add up to the places, in code points.
+    matches, so their lengths add up to the places, in code points. The sums run in blocks of ``BLOCK`` matches
+    from where the block begins, so the work follows the number of matches and not its square.
     """
     kind, pattern, group, least, quick = KINDS[rank]
     if kind == "hex":  # a run that is long enough holds no other match, so short runs need not be listed
@@ -39,16 +41,32 @@ def _found(text: Column, rank: int) -> Column:
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     one = F.arrays_zip(between.alias("b"), whole.alias("w"), value.alias("v"))
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")
-    start = lambda s, x: s["at"] + F.length(x["b"])
-    end = lambda s, x: start(s, x) + F.coalesce(F.length(x["w"]), F.lit(0))
+    ddl = "array<struct<start:int,rank:int,end:int,value:string>>"
+    length = lambda x: F.length(x["b"]) + F.coalesce(F.length(x["w"]), F.lit(0))
+
+    def blocks(rows):
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(rows), F.lit(1)), F.lit(BLOCK))
+        parts = F.transform(firsts, lambda k: F.slice(rows, k, BLOCK))
+        return F.transform(parts, lambda b: F.struct(b.alias("rows"), F.aggregate(b, F.lit(0), lambda n, x: n + length(x)).alias("n")))
 
     def step(s, x):
-        hit = F.struct(start(s, x).alias("start"), F.lit(rank).alias("rank"), end(s, x).alias("end"), x["v"].alias("value"))
-        return F.struct(end(s, x).alias("at"), F.when(F.length(x["v"]) >= least, F.concat(s["out"], F.array(hit))).otherwise(s["out"]).alias("out"))
+        start = s["at"] + F.length(x["b"])
+        end = s["at"] + length(x)
+        hit = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["v"].alias("value"))
+        return F.struct(end.alias("at"), F.when(F.length(x["v"]) >= least, F.concat(s["out"], F.array(hit))).otherwise(s["out"]).alias("out"))
+
+    def hits(parts):
+        begins = F.aggregate(parts, F.array(F.lit(0)), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x["n"])))
+        own = lambda z: F.aggregate(z["s"]["rows"], F.struct(z["at"].alias("at"), F.array().cast(ddl).alias("out")), step, lambda s: s["out"])
+        return F.flatten(F.transform(F.filter(F.arrays_zip(parts.alias("s"), begins.alias("at")), lambda z: z["s"].isNotNull()), own))
+
+    spans = _let(one, lambda rows: _let(blocks(rows), hits))
+    return F.when(text.rlike(quick), spans).otherwise(F.array().cast(ddl))
 
-    spans = F.aggregate(one, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
-    return F.when(text.rlike(quick), spans).otherwise(empty)
+
+def _let(value: Column, of) -> Column:
+    """``of(value)``, with ``value`` computed once however often it stands inside lambdas."""
+    return F.element_at(F.transform(F.array(value), of), 1)
 
 
 def _joined(spans: Column) -> Column:
@@ -80,13 +98,15 @@ def secret_scan(
 
     Only hashes of values are aggregated, in two steps (value and owner, then value), so
     one value in a third of all documents leaves a row for each task and owner, and the
-    class joins back to the rows that hold a candidate, splittable by adaptive execution.
+    class joins back to the rows that hold a candidate, splittable by adaptive execution. The work in a text
+    follows the number of its matches.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(repo_col), F.lit("")).alias("repo"),
         F.coalesce(F.col(owner_col), F.lit("")).alias("owner"),
+        text.alias("whole"),
         *[_found(text, k).alias(f"f{k}") for k in range(len(KINDS))],
     )
     base = F.array_sort(F.concat(*[F.col(f"f{k}") for k in range(BASE_KINDS)]))
@@ -96,6 +116,7 @@ def secret_scan(
             "doc_id", "repo", "owner",
             *[F.size(f"f{k}").cast("long").alias(f"n_{KINDS[k][0]}") for k in range(BASE_KINDS)],
             F.sha2(_joined(base), 256).alias("base_sha256"),
+            F.when(F.size(every) > 0, F.unhex(F.sha2("whole", 256))).alias("row_key"),
             F.transform(every, lambda s: F.struct(
                 s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), F.unhex(F.sha2(s["value"], 256)).alias("value_hash"),
                 (~s["value"].rlike(PLACEHOLDER) & (F.size(F.array_distinct(F.split(s["value"], ""))) >= 6)).alias("plausible"),
@@ -103,29 +124,34 @@ def secret_scan(
         ),
         "secret-spans",
     )
-    held = scanned.filter(F.size("found") > 0).select("doc_id", "repo", "owner", F.col("found"), F.explode("found").alias("x")).select(
-        "doc_id", "repo", "owner", "found", "x.*"
-    )
-    owners = held.groupBy("value_hash", "owner").agg(F.lit(1).alias("one")).groupBy("value_hash").agg(F.count("one").alias("owners"))
-    repos = held.groupBy("value_hash", "repo").agg(F.lit(1).alias("one")).groupBy("value_hash").agg(F.count("one").alias("repos"))
-    classes = owners.join(repos, "value_hash").select("value_hash", ((F.col("owners") >= wide_owners) | (F.col("repos") >= wide_owners)).alias("shared"))
-    key = ["doc_id", "repo", "owner", "spans"]
+    key = ["doc_id", "repo", "owner", "row_key"]
+    held = scanned.filter(F.size("found") > 0).select(*key, F.explode("found").alias("x")).select(*key, "x.*")
+
+    def holders(c: str, n: str) -> DataFrame:
+        return held.groupBy("value_hash", c).agg(F.lit(1).alias("one")).groupBy("value_hash").agg(F.count("one").alias(n))
+
+    classes = holders("owner", "owners").select("value_hash", (F.col("owners") >= wide_owners).alias("shared"))
+    if repo_col != owner_col:
+        repos = holders("repo", "repos").withColumnRenamed("value_hash", "__hash")
+        both = classes.join(repos, classes["value_hash"] == repos["__hash"])
+        classes = both.select("value_hash", (F.col("shared") | (F.col("repos") >= wide_owners)).alias("shared"))
     mark = F.struct("start", "rank", "end")
     judged = (
-        held.withColumn("spans", _joined(F.col("found")))
-        .join(classes, "value_hash")
+        held.join(classes, "value_hash")
         .groupBy(*key)
         .agg(
             F.collect_set(F.when(F.col("shared"), mark)).alias("shared"),
             F.collect_set(F.when(~F.col("shared"), mark)).alias("owned"),
             F.array_sort(F.collect_set(F.when(~F.col("shared") & F.col("plausible"), mark))).alias("live"),
         )
-        .select(*[F.col(k).alias(f"j_{k}") for k in key], F.size("shared").alias("n_shared"), F.size("owned").alias("n_owned"), F.size("live").alias("n_live"), _joined(F.col("live")).alias("live_spans"))
-    )
-    rows = scanned.withColumn("spans", _joined(F.col("found")))
-    same = [rows[k].eqNullSafe(judged[f"j_{k}"]) for k in key]
-    return rows.join(judged, same, "left").select(
-        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans",
+        .select(
+            *[F.col(k).alias(f"j_{k}") for k in key],
+            F.size("shared").alias("n_shared"), F.size("owned").alias("n_owned"), F.size("live").alias("n_live"), _joined(F.col("live")).alias("live_spans"),
+        )
+    )
+    same = [scanned[k].eqNullSafe(judged[f"j_{k}"]) for k in key]
+    return scanned.join(judged, same, "left").select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", _joined(F.col("found")).alias("spans"),
         *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_shared", "n_owned", "n_live")],
         F.coalesce("live_spans", F.lit("")).alias("live_spans"),
     )

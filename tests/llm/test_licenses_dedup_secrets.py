@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from strataspark.llm import exact_dedup, licenses, secrets
 
@@ -70,11 +71,28 @@ def test_exact_dedup_and_index_updates(spark, odd):
     assert 6 not in counts and counts[1] == 3 and after.count() == index.count() - 1
 
 
+def test_rows_that_share_an_id_or_have_none_are_told_apart(spark):
+    rows = [(0, "Y"), (1, "X"), (1, "Y"), (1, "X"), (None, "Y"), (None, "Z"), (None, "Z"), (None, None), (2, "")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = exact_dedup.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(0, "Y"), (1, "X"), (None, "Z"), (2, "")], key=str)
+
+
+PATTERNS = [  # written out from the contract, not taken from the module
+    ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", 6),
+    ("access", "(AKIA[A-Z0-9]+)", 20),
+    ("hex", "([0-9a-f]+)", 24),
+    ("github", "(gh[oprsu]_[A-Za-z0-9]+)", 40),
+    ("jwt", r"(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)", 40),
+]
+
+
 def _brute(text):
     out = []
-    for rank, (kind, pattern, group, least, _) in enumerate(secrets.KINDS):
+    for rank, (kind, pattern, least) in enumerate(PATTERNS):
         for m in re.finditer(pattern, text):
-            if len(m.group(group)) >= least:
+            if len(m.group(1)) >= least:
                 out.append((m.start(), rank, m.end(), kind))
     return sorted(out)
 
@@ -98,3 +116,14 @@ def test_ownership_separates_copied_examples(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, repo string, owner string")
     got = {r["doc_id"]: (r["n_shared"], r["n_owned"], r["n_live"], r["live_spans"]) for r in secrets.secret_scan(df, repo_col="repo", owner_col="owner").collect()}
     assert got[0] == (1, 0, 0, "") and got[9] == (0, 3, 1, "assign:0:19")
+
+
+def test_a_text_of_very_many_digests(spark):
+    text = "\n".join(f"{hashlib.sha256(str(k).encode()).hexdigest()}  file{k}" for k in range(50_000))
+    df = spark.createDataFrame([(1, text, "a"), (2, text, "b"), (1, text, "a")], "doc_id long, text string, source string")
+    began = time.time()
+    got = secrets.secret_scan(df).collect()
+    assert time.time() - began < 60
+    want = ",".join(f"hex:{m.start()}:{m.end()}" for m in re.finditer("[0-9a-f]{24,}", text))
+    assert [(r["n_hex"], r["n_owned"], r["n_live"]) for r in got] == [(50_000, 50_000, 50_000)] * 3
+    assert {r["spans"] for r in got} == {want} == {r["live_spans"] for r in got}
