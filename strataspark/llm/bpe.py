@@ -14,26 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .tokens import byte_letters, default_path
+from .tokens import Memo, byte_letters, default_path
 
-CACHE_ENTRIES = 300_000
 BATCH_BYTES = 4_000_000
 
 
-class _Chunks(dict):
-    """What lies between two spaces -> (ids as bytes, vocabulary strings joined by spaces); bounded."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, chunk: str):
-        found = self.encode(chunk)
-        if len(self) < CACHE_ENTRIES:
-            self[chunk] = found
-        return found
-
-
 class WordBpe:
     """Encoder and decoder for a vocabulary file of the tokenizers library with word ends.
 
@@ -57,8 +42,8 @@ class WordBpe:
         self.pre = regex.compile(split["pattern"]["Regex"])
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.letters = byte_letters()
-        self.chunks = _Chunks(self._chunk)
-        self.words: dict[str, tuple[bytes, str]] = {}
+        self.chunks = Memo(self._chunk)
+        self.words = Memo(self._word)
 
     def merge(self, word: str) -> list[str]:
         """The symbols of one pre-token after all merges, lowest rank first and leftmost of equal ranks."""
@@ -86,41 +71,27 @@ class WordBpe:
                 heappush(queue, (r, i, symbols[i], left))
         return [s for s in symbols if s is not None]
 
-    def _word(self, word: str) -> tuple[bytes, str]:
-        found = self.words.get(word)
-        if found is None:
-            known = [s for s in self.merge(word) if s in self.vocab]  # without an unknown token, other symbols are left out
-            found = np.array([self.vocab[s] for s in known], "<u4").tobytes(), " ".join(known)
-            if len(self.words) < CACHE_ENTRIES:
-                self.words[word] = found
-        return found
+    def _word(self, word: str) -> bytes:
+        known = [self.vocab[s] for s in self.merge(word) if s in self.vocab]  # without an unknown token, other symbols are left out
+        return np.array(known, "<u4").tobytes()
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        found = [self._word(w) for w in self.pre.findall(chunk)]
-        return b"".join(f[0] for f in found), " ".join(f[1] for f in found if f[1])
+    def _chunk(self, chunk: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.pre.findall(chunk)))
 
     def normalise(self, text: str) -> str:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()  # each letter by itself: no final sigma
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """Ids as little-endian 32-bit integers, and the decoded text (vocabulary strings joined by spaces)."""
+    def encode(self, text: str | None) -> bytes:
+        """Ids as little-endian 32-bit integers."""
         text = text or ""
-        if self.special_at.search(text):
-            parts = []
-            for part in self.special_at.split(text):
-                if part in self.special:
-                    parts.append((self.special[part].to_bytes(4, "little"), part))
-                elif part:
-                    parts.append(self._plain(part))
-        else:
+        if not self.special_at.search(text):
             return self._plain(text)
-        return b"".join(p[0] for p in parts), " ".join(p[1] for p in parts if p[1])
+        return b"".join(self.special[part].to_bytes(4, "little") if part in self.special else self._plain(part) for part in self.special_at.split(text))
 
-    def _plain(self, text: str) -> tuple[bytes, str]:
-        found = list(map(self.chunks.__getitem__, self.normalise(text).split(" ")))
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1]])
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.chunks.__getitem__, self.normalise(text).split(" "))) if text else b""
 
     def decode(self, ids: bytes) -> str:
         """Vocabulary strings one after another, a space between: the file names no decoder that would join them otherwise."""
@@ -138,15 +109,15 @@ def word_bpe(path: str | None) -> WordBpe:
 
 
 def _whole(bpe: WordBpe, ids, texts):
-    """Batches of ids and decoded texts, each of a few MB however long the texts are."""
+    """Batches of ids and what they decode to, each of a few MB however long the texts are."""
     held, first, size = [], 0, 0
     for k, text in enumerate(texts, 1):
         held.append(bpe.encode(text))
-        size += len(held[-1][0])
+        size += len(held[-1])
         if size >= BATCH_BYTES or k == len(texts):
-            lists = [np.frombuffer(h[0], "<u4").astype(np.int32) for h in held]
-            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            columns = [ids.slice(first, len(held)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists))), pa.array([h[1] for h in held], pa.string())]
+            ends = np.cumsum([0, *[len(h) // 4 for h in held]]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(held), "<i4")))
+            columns = [ids.slice(first, len(held)), lists, pa.array(map(bpe.decode, held), pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
             held, first, size = [], k, 0
 
@@ -162,7 +133,7 @@ def _encoded(path: str | None, whole: bool):
             rows = []
             for text in texts:
                 found = bpe.encode(text)
-                rows.append((len(found[0]) // 4, hashlib.sha256(found[0]).hexdigest(), hashlib.sha256(found[1].encode()).hexdigest()))
+                rows.append((len(found) // 4, hashlib.sha256(found).hexdigest(), hashlib.sha256(bpe.decode(found).encode()).hexdigest()))
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

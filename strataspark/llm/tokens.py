@@ -9,7 +9,9 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread for each Python worker
 
-CACHE_ENTRIES = 1_500_000
+MEMO_BYTES = 100_000_000  # of the entries of one generation, with some 150 bytes that each takes besides its text
+MEMO_ENTRY = 150
+MEMO_LONGEST = 100  # characters of a piece that is remembered
 # Fixed value: the pre-token pattern of the byte-level vocabulary.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -31,27 +33,32 @@ class _Unsafe(Exception):
     """The piece touches white space on its left, so it cannot be encoded by itself."""
 
 
-class _Pieces(dict):
-    """Encodings of pieces (what follows one space), as little-endian 32-bit ids; bounded."""
+class Memo(dict):
+    """What ``make`` gave for each piece, bounded in bytes.
 
-    def __init__(self, encode, word):
+    When it is full it becomes the old generation, from which pieces come back as they are asked for; so it
+    follows the texts, where a table that keeps whoever came first would serve ever fewer of them.
+    """
+
+    def __init__(self, make):
         super().__init__()
-        self.encode = encode
-        self.word = word
-        self.marks = {c: encode(c) for c in ".,"}
+        self.make = make
+        self.old: dict = {}
+        self.room = MEMO_BYTES
 
     def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace():
-            raise _Unsafe
-        if piece.isalpha():
-            ids = self.word(f" {piece}")
-        elif piece[-1] in ".," and piece[:-1].isalpha():  # letters and the mark after them are pre-tokens of their own
-            ids = self[piece[:-1]] + self.marks[piece[-1]]
-        else:
-            ids = self.encode(f" {piece}")
-        if len(self) < CACHE_ENTRIES:
-            self[piece] = ids
-        return ids
+        found = self.old.get(piece)
+        if found is None:
+            found = self.make(piece)
+        if len(piece) <= MEMO_LONGEST:
+            size = len(piece) + MEMO_ENTRY
+            if self.room < size:
+                self.old = dict(self)
+                self.clear()
+                self.room = MEMO_BYTES
+            self.room -= size
+            self[piece] = found
+        return found
 
 
 class ByteEncoder:
@@ -72,8 +79,9 @@ class ByteEncoder:
         self.pre = regex.compile(PRE_TOKENS)
         self.model = self.tokenizer.model
         self.letters = dict(enumerate(byte_letters()))
-        self.pieces = _Pieces(self._library, self._letters_only)
-        self.words: dict[str, bytes] = {}
+        self.pieces = Memo(self._piece)
+        self.words = Memo(self._library)
+        self.marks = {c: self._library(c) for c in ".,"}
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -83,23 +91,25 @@ class ByteEncoder:
         found = self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
         return b"".join([t.id.to_bytes(4, "little") for t in found])
 
-    def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self._library(word)
-            if len(self.words) < CACHE_ENTRIES // 4:
-                self.words[word] = ids
-        return ids
+    def _piece(self, piece: str) -> bytes:
+        """What follows one space."""
+        if not piece or piece[0].isspace():
+            raise _Unsafe
+        if piece.isalpha():
+            return self._letters_only(f" {piece}")
+        if piece[-1] in ".," and piece[:-1].isalpha():  # letters and the mark after them are pre-tokens of their own
+            return self.pieces[piece[:-1]] + self.marks[piece[-1]]
+        return self._library(f" {piece}")
 
     def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         first, *rest = text.split(" ")
         try:
-            head = self._word(first) if first else b""
+            head = self.words[first] if first else b""
             return head + b"".join(map(self.pieces.__getitem__, rest))
         except _Unsafe:
-            return b"".join(map(self._word, self.pre.findall(text)))
+            return b"".join(map(self.words.__getitem__, self.pre.findall(text)))
 
     def encode(self, text: str | None) -> bytes:
         """Ids as bytes, four each; null is the empty text."""

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from strataspark.llm import bpe, token_counts, token_files
+from strataspark.llm import bpe, token_counts, token_files, tokens
 from strataspark.llm.tokens import byte_encoder, default_path
 
 BYTE = Tokenizer.from_file(default_path("byte_bpe_50k.json"))
@@ -25,10 +25,22 @@ def test_byte_ids_are_the_librarys(text):
 @settings(max_examples=300, deadline=None)
 @given(PIECES)
 def test_word_ids_and_decoding_are_the_librarys(text):
-    ids, decoded = bpe.word_bpe(None).encode(text)
+    ids = bpe.word_bpe(None).encode(text)
     want = WORD.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(ids, "<u4").tolist() == want
-    assert decoded == WORD.decode(want, skip_special_tokens=False) == bpe.word_bpe(None).decode(ids)
+    assert bpe.word_bpe(None).decode(ids) == WORD.decode(want, skip_special_tokens=False)
+
+
+def test_a_memo_follows_what_is_asked(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_BYTES", 2000)
+    made = []
+    memo = tokens.Memo(lambda x: made.append(x) or x.encode())
+    for k in range(300):
+        assert memo[f"w{k}"] == b"w%d" % k
+        assert memo["often"] == b"often"
+        assert len(memo) + len(memo.old) <= 2 * 2000 // tokens.MEMO_ENTRY
+    assert made.count("often") == 1 and len(made) == 301
+    assert memo["x" * 500] == b"x" * 500 and "x" * 500 not in memo
 
 
 @settings(max_examples=200, deadline=None)
