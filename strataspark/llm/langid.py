@@ -24,78 +24,128 @@ def _lower(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def hashes(points: np.ndarray, whole: bool = True) -> np.ndarray:
-    """Buckets of all n-grams that begin in a stretch; ``whole`` also lists the shorter ones of its tail."""
-    out = []
-    reach = max(ORDERS) - 1
+def hashes(points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, bucket)`` of each n-gram of the texts that ``points`` is joined from; ``ends`` are their ends, and no n-gram crosses one."""
+    row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    rows, buckets = [], []
     with np.errstate(over="ignore"):
         for n in ORDERS:
-            m = len(points) - n + 1 if whole else len(points) - reach
+            m = len(points) - n + 1
             if m <= 0:
                 continue
             h = np.full(m, n, np.uint32)
             for k in range(n):
                 h = (h ^ points[k : k + m]) * np.uint32(_MIX[n])
                 h ^= h >> np.uint32(15)
-            out.append(h & np.uint32(BUCKETS - 1))
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+            inside = row[:m] == row[n - 1 :]
+            rows.append(row[:m][inside])
+            buckets.append(h[inside] & np.uint32(BUCKETS - 1))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    return np.concatenate(rows), np.concatenate(buckets)
 
 
-def _all_hashes(text: str):
+def _stretches(text: str):
+    """Parts of a text that hold each of its n-grams once."""
     points = _lower(text)
     if len(points) <= STRETCH:
-        yield hashes(points)
+        yield points, None
         return
     reach = max(ORDERS) - 1
     for k in range(0, len(points), STRETCH):
-        last = k + STRETCH >= len(points)
-        yield hashes(points[k : k + STRETCH + (0 if last else reach)], last)
+        tail = points[k + STRETCH : k + STRETCH + reach]
+        yield points[k : k + STRETCH + reach], tail if len(tail) else None
+
+
+def _batches(texts):
+    """``(rows, points, ends, twice)`` of many stretches at once; n-grams of ``twice`` (the overlap of two stretches) count once too often."""
+    rows, parts, size = [], [], 0
+    for k, text in enumerate(texts):
+        if not text:
+            continue
+        for points, tail in _stretches(text):
+            rows.append((k, 1))
+            parts.append(points)
+            if tail is not None:
+                rows.append((k, -1))
+                parts.append(tail)
+            size += len(points)
+            if size >= 4 * STRETCH:
+                yield np.array(rows), np.concatenate(parts), np.cumsum([len(p) for p in parts])
+                rows, parts, size = [], [], 0
+    if parts:
+        yield np.array(rows), np.concatenate(parts), np.cumsum([len(p) for p in parts])
 
 
 @dataclass
 class Model:
-    """``languages`` and, for each bucket (row), the log probability in each language (column); ``prior`` is their log share."""
+    """``languages`` and, for each bucket (row), the log probability in each language (column).
+
+    ``prior`` is the log share of each language among the learned documents, ``usual`` the log probability that an
+    n-gram of it has on average, and ``chance`` that of an n-gram of any other letters.
+    """
 
     languages: list[str]
     log_prob: np.ndarray
     prior: np.ndarray
+    usual: np.ndarray
+    chance: np.ndarray
 
-    def scores(self, text: str) -> tuple[str, float]:
-        """Best language and its posterior probability, averaged over the evidence of a thousand n-grams at most.
+    def score_all(self, texts: list) -> list[tuple[str, float, float]]:
+        """Best language, its posterior probability and the evidence for it, of each text.
 
-        ``und`` and 0.0 for a text without a letter, or if nothing was learned.
+        The counts of n-grams of a batch are a sparse matrix (texts x buckets) and its product with the log
+        matrix gives all sums at once. The posterior takes the evidence of a thousand n-grams at most. ``evidence`` is
+        1 where n-grams are as likely as in the learned documents of the language and 0 where they are as those
+        of other letters; unlike the posterior it does not saturate.
+        ``und``, 0.0 and 0.0 for a text without a letter, or if nothing was learned.
         """
-        if not text or not self.languages or not any(map(str.isalpha, text)):
-            return NO_LANGUAGE, 0.0
-        total, n = np.zeros(len(self.languages)), 0
-        for h in _all_hashes(text):
-            counts = np.bincount(h, minlength=BUCKETS)  # sparse: only the buckets that occur are looked up
-            at = np.flatnonzero(counts)
-            total += counts[at] @ self.log_prob[at]
-            n += len(h)
-        z = total * min(1.0, 1000 / max(n, 1)) + self.prior
-        best = int(np.argmax(z))
-        p = np.exp(z - z[best])
-        return self.languages[best], float(1 / p.sum())
+        total, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
+        if self.languages:
+            for rows, points, ends in _batches(texts):
+                part, bucket = hashes(points, ends)
+                order = np.argsort(part, kind="stable")
+                part, bucket = part[order], bucket[order]
+                if not len(part):
+                    continue
+                first = np.flatnonzero(np.diff(part, prepend=-1))
+                sums = np.add.reduceat(self.log_prob[bucket], first, axis=0)
+                own, sign = rows[part[first]].T
+                np.add.at(total, own, sums * sign[:, None])
+                np.add.at(n, own, np.diff(first, append=len(part)) * sign)
+        mean = total / np.maximum(n, 1)[:, None]
+        z = mean * np.minimum(n, 1000)[:, None] + self.prior
+        out = []
+        for k, text in enumerate(texts):
+            if not text or not self.languages or not any(map(str.isalpha, text)):
+                out.append((NO_LANGUAGE, 0.0, 0.0))
+                continue
+            best = int(np.argmax(z[k]))
+            evidence = (mean[k, best] - self.chance[best]) / (self.usual[best] - self.chance[best])
+            out.append((self.languages[best], float(1 / np.exp(z[k] - z[k, best]).sum()), float(min(1.0, max(0.0, evidence)))))
+        return out
 
 
 def _count(batches):
-    """Sparse counts of a task's labelled texts, one row for each language: bounded by languages x buckets."""
+    """Sparse counts of a task's labelled texts, one row for each language: bounded by languages x buckets. Entry ``BUCKETS`` counts texts."""
     counts: dict[str, np.ndarray] = {}
-    docs: dict[str, int] = {}
     for batch in batches:
-        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            docs[lang] = docs.get(lang, 0) + 1
-            for h in _all_hashes(text or ""):
-                own += np.bincount(h, minlength=BUCKETS)
+        langs = batch.column(1).to_pylist()
+        for lang in langs:
+            counts.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))[BUCKETS] += 1
+        for rows, points, ends in _batches(batch.column(0).to_pylist()):
+            part, bucket = hashes(points, ends)
+            for own in {langs[k] for k in rows[:, 0].tolist()}:
+                mine = np.array([s if langs[k] == own else 0 for k, s in rows.tolist()])
+                found = np.bincount(bucket, weights=mine[part], minlength=BUCKETS)
+                counts[own][:BUCKETS] += found.astype(np.int64)
     rows = sorted(counts)
     lists = [np.flatnonzero(counts[k]) for k in rows]
     ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
     pack = lambda parts, kind: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]).astype(kind)))
     yield pa.RecordBatch.from_arrays(
-        [pa.array(rows, pa.string()), pa.array([docs[k] for k in rows], pa.int64()), pack(lists, np.int32), pack([counts[k][at] for k, at in zip(rows, lists, strict=True)], np.int64)],
-        names=["lang", "docs", "buckets", "counts"],
+        [pa.array(rows, pa.string()), pack(lists, np.int32), pack([counts[k][at] for k, at in zip(rows, lists, strict=True)], np.int64)],
+        names=["lang", "buckets", "counts"],
     )
 
 
@@ -115,38 +165,47 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
         mark = int(-(2**63) + share * 2**64) if share < 1 else 2**63 - 1
         limit = keys.filter(F.col("h") <= F.lit(mark)).orderBy("h").limit(sample_rows).agg(F.max("h")).head()[0]
         rows = rows.filter(F.xxhash64(F.col(key_col)) <= F.lit(limit))
-    parts = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(_count, "lang string, docs long, buckets array<int>, counts array<long>")
-    sums = parts.select("lang", "docs", F.explode(F.arrays_zip("buckets", "counts")).alias("x")).groupBy("lang", F.col("x.buckets").alias("bucket")).agg(F.sum("x.counts").alias("n"))
+    parts = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(_count, "lang string, buckets array<int>, counts array<long>")
+    sums = parts.select("lang", F.explode(F.arrays_zip("buckets", "counts")).alias("x")).groupBy("lang", F.col("x.buckets").alias("bucket")).agg(F.sum("x.counts").alias("n"))
     held = sums.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts")).collect()
-    languages = sorted(r["lang"] for r in held)
-    counts = np.zeros((BUCKETS, len(languages)))
-    for r in held:
-        counts[r["buckets"], languages.index(r["lang"])] = r["counts"]
-    log_prob = np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * BUCKETS)) if languages else counts
-    return Model(languages, log_prob, np.zeros(len(languages)))
+    return model_of({r["lang"]: (r["buckets"], r["counts"]) for r in held})
+
+
+def model_of(held: dict[str, tuple[list[int], list[int]]]) -> Model:
+    """The model of each language's buckets and counts; the count of bucket ``BUCKETS`` is that of its texts."""
+    languages = sorted(held)
+    counts = np.zeros((BUCKETS + 1, len(languages)))
+    for k, lang in enumerate(languages):
+        counts[held[lang][0], k] = held[lang][1]
+    docs, counts = counts[BUCKETS], counts[:BUCKETS]
+    if not languages:
+        return Model(languages, counts, docs, docs, docs)
+    log_prob = np.log((counts + SMOOTHING) / (counts.sum(0) + SMOOTHING * BUCKETS))
+    usual = (counts * log_prob).sum(0) / np.maximum(counts.sum(0), 1)
+    return Model(languages, log_prob, np.log(docs / docs.sum()), usual, log_prob.mean(0))
 
 
 def _predict(model):
     def run(batches):
         m = model.value
         for batch in batches:
-            found = [m.scores(t) for t in batch.column(0).to_pylist()]
+            found = m.score_all(batch.column(0).to_pylist())
             rest = [batch.column(k) for k in range(1, batch.num_columns)]
             yield pa.RecordBatch.from_arrays(
-                [*rest, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                names=[*batch.schema.names[1:], "lang_pred", "score"],
+                [*rest, pa.array([f[0] for f in found], pa.string()), *[pa.array([f[k] for f in found], pa.float64()) for k in (1, 2)]],
+                names=[*batch.schema.names[1:], "lang_pred", "score", "evidence"],
             )
 
     return run
 
 
 def predict(docs: DataFrame, model: Model, keep: dict, text_col: str = "text") -> DataFrame:
-    """``keep`` (names to columns, with their types) and ``lang_pred``, ``score`` of each row; the matrix is broadcast (buckets x languages)."""
+    """``keep`` (names to columns, with their types) and ``lang_pred``, ``score``, ``evidence`` of each row; the matrix is broadcast (buckets x languages)."""
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(text_col).alias("__text"), *[c.alias(k) for k, c in keep.items()])
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(_predict(spark.sparkContext.broadcast(model)), f"{ddl}, lang_pred string, score double")
+    return rows.mapInArrow(_predict(spark.sparkContext.broadcast(model)), f"{ddl}, lang_pred string, score double, evidence double")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -154,10 +213,10 @@ def held_out(id_col: str = "doc_id"):
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` of every row, from its text alone.
+    """``doc_id, held_out, lang_pred, score, evidence`` of every row, from its text alone.
 
     Learns from rows with a label whose ``crc32(id) mod 5`` is not 0. A null text and one without a letter are
-    ``und`` with score 0; a null id is not held out and not learned from. With no labelled row all is ``und``.
+    ``und`` with score and evidence 0; a null id is not held out and not learned from. With no labelled row all is ``und``.
     Repeated rows are answered each. Whole texts are scored, long ones in stretches.
     """
     out = F.coalesce(held_out(id_col), F.lit(False))

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -26,15 +27,55 @@ def test_language_does_not_learn_from_held_out_rows(spark):
     assert {r["lang_pred"] for r in got} == {"en"}
 
 
-def test_sample_is_bounded_and_stretches_do_not_change_counts(spark, monkeypatch):
-    text = "où est la bibliothèque? " * 40
-    whole = np.bincount(langid.hashes(langid._lower(text)), minlength=langid.BUCKETS)
+def _bucket(gram):
+    """One n-gram at a time, from the definition of the hash."""
+    h = len(gram)
+    for c in gram:
+        h = (h ^ ord(c)) * langid._MIX[len(gram)] & 0xFFFFFFFF
+        h ^= h >> 15
+    return h & (langid.BUCKETS - 1)
+
+
+def _grams(text):
+    text = text.lower()
+    return [_bucket(text[k : k + n]) for n in langid.ORDERS for k in range(len(text) - n + 1)]
+
+
+def test_scores_against_brute_force(monkeypatch):
+    rng = random.Random(5)
+    letters = {"aa": "abcdé ", "bb": "defgà ", "cc": "xyz日 "}
+    learned = [(k, "".join(rng.choice(letters[k]) for _ in range(rng.randint(0, 90)))) for k in letters for _ in range(40 if k == "aa" else 10)]
     monkeypatch.setattr(langid, "STRETCH", 37)
-    assert np.array_equal(sum(np.bincount(h, minlength=langid.BUCKETS) for h in langid._all_hashes(text)), whole)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in learned]), pa.array([k for k, _ in learned])], names=["text", "lang"])
+    model = langid.model_of({r["lang"]: (r["buckets"], r["counts"]) for r in next(langid._count([batch])).to_pylist()})
+    counts = {k: Counter(g for lang, t in learned if lang == k for g in _grams(t)) for k in letters}
+    sums = {k: sum(c.values()) for k, c in counts.items()}
+    logs = lambda k, g: math.log((counts[k][g] + langid.SMOOTHING) / (sums[k] + langid.SMOOTHING * langid.BUCKETS))
+    texts = ["".join(rng.choice("abcdefgxyzéà日 ") for _ in range(rng.choice([1, 2, 5, 36, 37, 38, 39, 74, 75, 200, 1500]))) for _ in range(60)] + [None, "", "12 !", "a"]
+    got = model.score_all(texts)
+    assert got == [model.score_all([t])[0] for t in texts]  # what else is in the batch does not matter
+    for text, (lang, score, evidence) in zip(texts, got, strict=True):
+        if not text or not any(map(str.isalpha, text)):
+            assert (lang, score, evidence) == ("und", 0.0, 0.0)
+            continue
+        grams = _grams(text)
+        mean = {k: sum(logs(k, g) for g in grams) / len(grams) for k in letters}
+        z = {k: mean[k] * min(len(grams), 1000) + math.log((40 if k == "aa" else 10) / 60) for k in letters}
+        best = max(sorted(z), key=z.get)
+        assert lang == best and score == pytest.approx(1 / sum(math.exp(v - z[best]) for v in z.values()))
+        usual = sum(n * logs(best, g) for g, n in counts[best].items()) / sums[best]
+        chance = sum(logs(best, g) for g in range(langid.BUCKETS)) / langid.BUCKETS
+        assert evidence == pytest.approx(min(1, max(0, (mean[best] - chance) / (usual - chance))), abs=1e-9)
+
+
+def test_sample_is_bounded_and_evidence_does_not_saturate(spark):
     rows = [(k, "bonjour" if k % 2 else "hello", "fr" if k % 2 else "en") for k in range(300)]
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=40)
-    assert model.languages == ["en", "fr"] and model.scores("bonjour")[0] == "fr"
-    assert model.scores(None) == model.scores("12 !") == ("und", 0.0)
+    assert model.languages == ["en", "fr"]
+    (lang, _, near), (_, score, far) = model.score_all(["bonjour", "知彼知己百戰不殆" * 20])
+    assert lang == "fr" and near > 0.9 and score > 0.5 and far < 0.2
 
 
 def _slow(item, text):
