@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,30 +32,11 @@ EQUIVALENT = [
     ("wilful", "willful"),
 ]
 
-# (identifier, whole text of the licence or of its notice)
-CATALOGUE = [
+# (identifier, whole text of a notice); the texts of whole licences are files of the folder ``licences``
+NOTICES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
-    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software
-and associated documentation files (the "Software"), to deal in the Software without restriction, including
-without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies
-of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following
-conditions:
-The above copyright notice and this permission notice shall be included in all copies or substantial portions
-of the Software.
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
-TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
-THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
-CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
-DEALINGS IN THE SOFTWARE."""),
-    ("0BSD", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee
-is hereby granted.
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
-ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL,
-DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
-PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION
-WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except
@@ -73,16 +55,45 @@ the specific language governing permissions and limitations under the License.""
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
 ]
 
-COPYRIGHT_LINE = "^(portions )?(copyright|c)( c)? [0-9]{4}|^(portions )?copyright c |^all rights reserved$"
+# Titles that stand over a licence text or are left out.
+TITLES = {
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD License"],
+    "ISC": ["ISC License", "The ISC License"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "Unlicense": ["The Unlicense"],
+    "Zlib": ["zlib License"],
+}
+TERMS_END = "END OF TERMS AND CONDITIONS"  # what follows is advice on use, and is often left out
+
+
+def licence_texts(folder: Path = Path(__file__).parent / "licences") -> list[tuple[str, str]]:
+    """The texts of a folder of licences, with the forms that they are passed on in: with a title, without the advice at the end."""
+    out = []
+    for path in sorted(folder.glob("*.txt")):
+        name, text = path.stem, path.read_text(encoding="utf-8")
+        forms = [text, *[f"{t}\n{text}" for t in TITLES.get(name, [])]]
+        if TERMS_END in text:
+            forms += [text[: text.index(TERMS_END)], text[: text.index(TERMS_END) + len(TERMS_END)]]
+        out += [(name, t) for t in forms]
+    return out
+
+
+# A line that begins so is dropped, unless it is running text of a licence that happens to begin a line with the word.
+COPYRIGHT_LINE = "^(portions )?copyright( |$)|^(portions )?c [0-9]{4}|^all rights reserved$"
+RUNNING_LINE = "^copyright (notices?|holders?|owners?|laws?|licenses?|licences?|statements?|disclaimers?|interests?|treaty|treaties|protection|permission|status|ownership|infringement|and|or|in|is|on|to|as|for|if|that|under|this)( |$)"
+# The mark of a list item, which differs between copies (1. or a) or a star), but for (c).
+LIST_MARK = r"^[ \t]*(?:[0-9]{1,2}[.)]|[a-z][.)]|\((?:[0-9]{1,2}|[abd-z])\))[ \t]+"
 
 
 def canonical(text: str) -> list[str]:
     """Canonical lines of one text, as the column form below makes them; used for the catalogue."""
-    flat = re.sub(r"[^a-z0-9\n]+", " ", text.replace("©", "(c)").lower())
-    lines = [x.strip(" ") for x in flat.split("\n")]
+    bare = re.sub(f"(?m){LIST_MARK}", "", text.replace("©", "(c)").lower())
+    flat = re.sub(r"[^a-z0-9\n]+", " ", bare)
     out = []
-    for line in lines:
-        if line and not re.search(COPYRIGHT_LINE, line):
+    for line in (x.strip(" ") for x in flat.split("\n")):
+        if line and not (re.search(COPYRIGHT_LINE, line) and not re.search(RUNNING_LINE, line)):
             for a, b in EQUIVALENT:
                 line = re.sub(rf"\b{a}\b", b, line)
             out.append(line)
@@ -92,7 +103,7 @@ def canonical(text: str) -> list[str]:
 def catalogue_digests(catalogue=None) -> list[tuple[str, str, int]]:
     """(digest, licence id, length) of every known text; the first of equal digests is kept."""
     found: dict[str, tuple[str, int]] = {}
-    for name, text in CATALOGUE if catalogue is None else catalogue:
+    for name, text in NOTICES + licence_texts() if catalogue is None else catalogue:
         whole = " ".join(canonical(text or ""))
         if whole:
             found.setdefault(hashlib.sha256(whole.encode()).hexdigest(), (name, len(whole)))
@@ -101,9 +112,10 @@ def catalogue_digests(catalogue=None) -> list[tuple[str, str, int]]:
 
 def canonical_lines(text):
     """Column of canonical lines: case, punctuation, copyright lines and spellings made equal."""
-    flat = F.regexp_replace(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("©"), F.lit("(c)"))), "[^a-z0-9\n]+", " ")
+    bare = F.regexp_replace(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("©"), F.lit("(c)"))), f"(?md){LIST_MARK}", "")
+    flat = F.regexp_replace(bare, "[^a-z0-9\n]+", " ")
     lines = F.transform(F.split(flat, "\n", -1), lambda x: F.trim(x))
-    lines = F.filter(lines, lambda x: (x != "") & ~x.rlike(COPYRIGHT_LINE))
+    lines = F.filter(lines, lambda x: (x != "") & ~(x.rlike(COPYRIGHT_LINE) & ~x.rlike(RUNNING_LINE)))
 
     def spelled(x):
         for a, b in EQUIVALENT:
@@ -124,7 +136,9 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and empty texts have the digest of the empty text and match nothing;
     repeated rows are answered row by row; other columns are not looked at.
 
-    The catalogue is fixed by the caller and its size does not follow the data:
+    Case, punctuation, list marks, line breaks, copyright lines and equivalent spellings do not matter. The catalogue has the
+    texts in the folder ``licences`` (with and without titles and the advice behind their terms) and short notices, or
+    is the caller's list of ``(id, text)``. Its size does not follow the data:
     the whole texts meet it in a broadcast hash join on the digest and the few
     lines of a fitting length in a literal map, so that nothing is shuffled.
     """
@@ -157,8 +171,8 @@ def license_sql() -> str:
         line = rf"regexp_replace({line}, '\b{a}\b', '{b}', 'g')"
     return rf"""
 WITH known(digest, license_id) AS (VALUES {known}),
-flat AS (SELECT doc_id, string_split(regexp_replace(lower(replace(coalesce(text, ''), '©', '(c)')), '[^a-z0-9\n]+', ' ', 'g'), chr(10)) AS raw FROM documents),
-kept AS (SELECT doc_id, list_filter(list_transform(raw, lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT regexp_matches(x, '{COPYRIGHT_LINE}')) AS ls FROM flat),
+flat AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(lower(replace(coalesce(text, ''), '©', '(c)')), '(?m){LIST_MARK}', '', 'g'), '[^a-z0-9\n]+', ' ', 'g'), chr(10)) AS raw FROM documents),
+kept AS (SELECT doc_id, list_filter(list_transform(raw, lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT (regexp_matches(x, '{COPYRIGHT_LINE}') AND NOT regexp_matches(x, '{RUNNING_LINE}'))) AS ls FROM flat),
 lines AS (SELECT doc_id, list_transform(ls, lambda x: {line}) AS ls FROM kept),
 whole AS (SELECT doc_id, sha256(coalesce(array_to_string(ls, ' '), '')) AS text_digest FROM lines),
 notice AS (

@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 import time
+from pathlib import Path
+
+import pytest
 
 from strataspark.llm import exact_dedup, licenses, secrets
 
@@ -19,12 +22,66 @@ def test_canonical_text_meets_the_catalogue(spark):
 
 
 def test_column_form_is_the_plain_form(spark):
-    texts = [t for _, t in licenses.CATALOGUE] + ["Organisation, whilst Licence ©2020", "Ünïcode straße LICENCE\r\n\tx"]
+    texts = [t for _, t in licenses.NOTICES + licenses.licence_texts()] + ["Organisation, whilst Licence ©2020", "Ünïcode straße LICENCE\r\n\tx"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["text_digest"] for r in licenses.license_scan(df).collect()}
     assert got == {k: hashlib.sha256(" ".join(licenses.canonical(t)).encode()).hexdigest() for k, t in enumerate(texts)}
 
 
+def _passed_on(rng, text, title):
+    """A copy as projects carry it: other line breaks, case, marks, spellings and a copyright line of its own."""
+    words = [p.split() for p in text.split("\n\n")]
+    width = rng.choice([40, 60, 100])
+    out = [title] * (title is not None) + [rng.choice(["Copyright (c) 2011-2020 Some Body <x@y.z>", "Copyright Acme Corp", "Copyright Acme 2020", "© 1999 Others", "Portions copyright (C) Them"])]
+    for p in words:
+        line = ""
+        for w in p:
+            w = rng.choice([w, w, w, w.upper(), w.replace(",", ""), w.replace('"', "``")])
+            w = {"acknowledgment": "acknowledgement", "license": "licence", "authorized": "authorised"}.get(w, w)
+            if re.fullmatch(r"\d\.", w) or (len(line) + len(w) > width and w.lower() != "copyright"):
+                out.append(line)
+                line = ""
+            line += f" {w}"
+        out += [line, ""]
+    return "\r\n".join(out)
+
+
+def test_whole_licence_texts_are_found(spark):
+    rng = random.Random(9)
+    small = {n: (Path(licenses.__file__).parent / "licences" / f"{n}.txt").read_text() for n in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "Unlicense", "0BSD")}
+    rows, want = [], {}
+    for name, text in small.items():
+        for title in [None, *licenses.TITLES[name]]:
+            rows.append((len(rows), _passed_on(rng, text, title)))
+            want[len(rows) - 1] = name
+    for name, text in licenses.licence_texts():  # long ones as they are, with a line changed, and cut short
+        rows.append((len(rows), "\ufeff" + text.replace("\n", "\r\n")))
+        want[len(rows) - 1] = name
+    rows += [(len(rows), small["MIT"] + " And more."), (len(rows) + 1, small["MIT"][:-30])]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in want} == want
+    assert got[len(rows) - 2] is None and got[len(rows) - 1] is None
+
+
+def test_published_licence_files_are_found(spark):
+    """The licence files of packages that are installed here, where their metadata names one licence."""
+    from importlib.metadata import distributions
+
+    rows, want = [], []
+    for d in distributions():
+        one = (d.metadata.get("License-Expression") or "").strip()
+        names = [f for f in d.files or () if Path(str(f)).name in ("LICENSE", "LICENSE.txt")]
+        if one in ("MIT", "Apache-2.0", "ISC", "BSD-2-Clause") and len(names) == 1 and names[0].locate().exists():
+            rows.append((len(rows), names[0].locate().read_text(encoding="utf-8", errors="replace")))
+            want.append((one, d.metadata["Name"]))
+    if len(rows) < 5:
+        pytest.skip("too few packages with one licence")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [w for k, w in enumerate(want) if got[k] is None]
+    assert len(missed) <= 0.3 * len(rows), missed
+    assert all(got[k] in (None, one) for k, (one, _) in enumerate(want))
+
+
 def test_cuckoo_index_against_a_dictionary():
     rng = random.Random(4)
     index, live = exact_dedup.CuckooIndex(buckets=2), {}
