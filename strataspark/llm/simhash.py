@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..session import materialise, ship_package
+from ..session import materialise, release, ship_package
 
 SEED = 42
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -74,16 +74,19 @@ def _fingerprints(words: int, lanes: int, distinct: bool):
             texts = batch.column(1).to_pylist()
             found = np.array([fingerprint(t, words, lanes, distinct) for t in texts], np.uint64).reshape(-1, lanes)
             columns = [pa.array(found[:, k].view(np.int64)) for k in range(lanes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *[f"f{k}" for k in range(lanes)]])
+            rest = range(2, batch.num_columns)
+            names = ["doc_id", *[batch.schema.names[k] for k in rest], *[f"f{k}" for k in range(lanes)]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(k) for k in rest], *columns], names=names)
 
     return run
 
 
-def fingerprints(docs: DataFrame, words: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
-    """``doc_id, f0, f1, ..`` (signed longs with the bits of the fingerprint)."""
+def fingerprints(docs: DataFrame, words: int, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False, hashed: bool = False) -> DataFrame:
+    """``doc_id, f0, f1, ..`` (signed longs with the bits of the fingerprint); ``hashed`` adds ``t``, a hash of the text."""
     ship_package(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints(words, lanes, distinct), "doc_id long, " + ", ".join(f"f{k} long" for k in range(lanes)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.xxhash64(text_col).alias("t")] * hashed)
+    ddl = ["doc_id long", *["t long"] * hashed, *[f"f{k} long" for k in range(lanes)]]
+    return rows.mapInArrow(_fingerprints(words, lanes, distinct), ", ".join(ddl))
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -347,52 +350,87 @@ def _sets(words: int):
     return run
 
 
-def _confirmed(links: DataFrame, texts: DataFrame, words: int, similarity: float, name: str) -> DataFrame:
-    """``u, v`` of the candidate links whose members ``a, b`` have shingle sets of this Jaccard similarity, counted exactly."""
-    asked = materialise(links.groupBy("a", "b").agg(F.first("u").alias("u"), F.first("v").alias("v")), f"{name}-asked")
-    nodes = asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct()
-    sets = texts.join(nodes, "node", "left_semi").mapInArrow(_sets(words), "node long, shingles array<long>").groupBy("node").agg(F.min("shingles").alias("shingles"))
+def _asked(links: DataFrame, name: str, known: DataFrame | None = None) -> DataFrame:
+    """Each pair of members ``a, b`` once, with its labels; pairs of ``known`` have been answered and are left out."""
+    links = links.groupBy("a", "b").agg(F.first("u").alias("u"), F.first("v").alias("v"))
+    return materialise(links if known is None else links.join(known.select("a", "b"), ["a", "b"], "left_anti"), name)
+
+
+def _confirmed(asked: DataFrame, texts: DataFrame, unique: DataFrame, words: int, similarity: float, name: str) -> DataFrame:
+    """``u, v`` of the pairs whose members ``a, b`` have shingle sets of this Jaccard similarity, counted exactly."""
+    members = asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct().join(unique.select("node", "doc_id", "t"), "node")
+    rows = texts.withColumnsRenamed({"doc_id": "__id", "t": "__t"})
+    mine = members.join(rows, (members["t"] == rows["__t"]) & members["doc_id"].eqNullSafe(rows["__id"])).select("node", "text")
+    sets = mine.mapInArrow(_sets(words), "node long, shingles array<long>").groupBy("node").agg(F.min("shingles").alias("shingles"))
     sets = materialise(sets, f"{name}-sets")
     one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = asked.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.filter(F.col("common") >= (F.size("sa") + F.size("sb") - F.col("common")) * F.lit(similarity) - 1e-9).select("u", "v")
+    found = both.filter(F.col("common") >= (F.size("sa") + F.size("sb") - F.col("common")) * F.lit(similarity) - 1e-9).select("u", "v")
+    found = materialise(found, f"{name}-found")
+    release(sets)
+    return found
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, component_id`` of every row: groups of texts whose shingle sets are similar.
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, t, component_id, first`` of every row: groups of texts whose shingle sets are similar.
 
     The similarity is read off 256-bit fingerprints of runs of ``words`` words. At 0.8 no pigeonhole of whole
     segments is selective, so candidates share a chain of neighbouring bits in one of 128 tables (rings in fixed orders), which
     nearly all pairs of that similarity do; the chain test with proportional budgets and the full distance then prune.
     Within a large bucket candidates are spanning ones, found without making its pairs. Each candidate is confirmed by the
     exact Jaccard similarity of the two shingle sets before it links.
-    Texts without words are not near anything. Equal fingerprints are one point.
+
+    ``component_id`` is the least id of the group (rows without an id count only where no row has one), and ``first`` marks
+    the row that it names; ``t`` is a hash of the text, which tells rows of one id apart. Repeated rows are marked alike.
+    Texts without words (null and empty ones too) are not near anything. Equal fingerprints are one point.
     """
-    marked = materialise(fingerprints(docs, words, LANES, id_col, text_col, distinct=True), "near-prints")
-    lanes = [f"f{k}" for k in range(LANES)]
-    unique = materialise(marked.groupBy(*lanes).agg(F.min("doc_id").alias("node")), "near-unique")
-    asked = unique.filter(F.greatest(*[F.col(c) != 0 for c in lanes])).filter(F.col("node").isNotNull()).withColumn("label", F.col("node"))
-    ship_package(docs.sparkSession)
-    rows, least, most = unique.count(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), bits_for(similarity)
-    parts = lambda tables: max(least, rows * tables // 1_000_000 + 1)
-    links = lambda d, n, *by, salted=False: d.repartition(parts(n), *by).mapInArrow(_bucket_links(most, salted, n != FIRST), "u long, v long, a long, b long")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    hot = _hot_keys(asked, rows, 0, FIRST)
-    filed = _filed(asked, 0, FIRST)
-    if hot is None:
-        early = links(filed, FIRST, "key")
-    else:
-        early = links(_dealt(filed, hot), FIRST, "key", "salt", salted=True)
-    first = materialise(components(_confirmed(early, texts, words, similarity, "near-early")).withColumnRenamed("node", "__node"), "near-first")
-    joined = materialise(asked.join(first, asked["node"] == first["__node"], "left").select("node", F.coalesce("root", "node").alias("label"), *lanes), "near-labels")
-    hot = _hot_keys(joined, rows, FIRST, TABLES)
-    filed = _filed(joined, FIRST, TABLES)
-    if hot is None:
-        late = links(filed, TABLES - FIRST, "key")
-    else:
-        late = links(_dealt(filed, hot), TABLES - FIRST, "key", "salt", salted=True)
-    second = components(_confirmed(late, texts, words, similarity, "near-late")).withColumnRenamed("node", "__label")
-    roots = joined.join(second, joined["label"] == second["__label"], "left").select(*lanes, F.coalesce("root", "label").alias("component_id"))
-    named = unique.join(roots, lanes, "left").select(*lanes, F.coalesce("component_id", "node").alias("component_id"))
-    empty = ~F.greatest(*[F.col(c) != 0 for c in lanes])
-    return marked.join(named, lanes).select("doc_id", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    marked = materialise(fingerprints(docs, words, LANES, id_col, text_col, distinct=True, hashed=True), "near-prints")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    unique = marked.groupBy(*_LANES).agg(F.min(rank).alias("x")).select(*_LANES, "x.doc_id", "x.t", F.monotonically_increasing_id().alias("node"))
+    unique = materialise(unique, "near-unique")
+    filled = F.greatest(*[F.col(c) != 0 for c in _LANES])
+    asked = unique.filter(filled).select("node", F.col("node").alias("label"), *_LANES)
+    spark = docs.sparkSession
+    ship_package(spark)
+    rows, least, most = unique.count(), int(spark.conf.get("spark.sql.shuffle.partitions")), bits_for(similarity)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+
+    def candidates(prints: DataFrame, first: int, last: int, mixed: bool) -> DataFrame:
+        hot, filed, by = _hot_keys(prints, rows, first, last), _filed(prints, first, last), ["key"]
+        if hot is not None:
+            filed, by = _dealt(filed, hot), ["key", "salt"]
+        parts = max(least, rows * (last - first) // 1_000_000 + 1)
+        return filed.repartition(parts, *by).mapInArrow(_bucket_links(most, hot is not None, mixed), "u long, v long, a long, b long")
+
+    early = _asked(candidates(asked, 0, FIRST, False), "near-early")
+    found = _confirmed(early, texts, unique, words, similarity, "near-early")
+    roots = materialise(components(found).withColumnsRenamed({"node": "__node"}), "near-first")
+    joined = asked.join(roots, asked["node"] == roots["__node"], "left").select("node", F.coalesce("root", "node").alias("label"), *_LANES)
+    joined = materialise(joined, "near-labels")
+    late = _asked(candidates(joined, FIRST, TABLES, True), "near-late", early)
+    more = _confirmed(late, texts, unique, words, similarity, "near-late")
+    roots2 = components(more).withColumnsRenamed({"node": "__label"})
+    labelled = joined.join(roots2, joined["label"] == roots2["__label"], "left").select("node", F.coalesce("root", "label").alias("label"))
+    named = unique.join(labelled, "node")
+    heads = named.groupBy("label").agg(F.min(rank).alias("head"))
+    named = materialise(named.select("label", *_LANES).join(heads, "label").select(*_LANES, "head"), "near-groups")
+    release(early, late, found, more, roots, joined, unique)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    head = F.coalesce("head", own)
+    return marked.join(named, _LANES, "left").select("doc_id", "t", head["doc_id"].alias("component_id"), head.eqNullSafe(own).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id`` of every row, as ``near_groups`` finds them."""
+    return near_groups(docs, words, similarity, id_col, text_col).select("doc_id", "component_id")
+
+
+def keep_first_of_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The first row of each group of ``near_groups``, with all columns of ``docs``; of repeated rows one stays."""
+    first = near_groups(docs, words, similarity, id_col, text_col).filter("first").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n"))
+    first = materialise(first.select(F.col("doc_id").alias("__first"), F.col("t").alias("__hash"), F.col("n").alias("__n")), "near-kept")
+    rows = docs.select("*", F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__t"))
+    out = rows.join(first.select("__first", "__hash"), (rows["__t"] == first["__hash"]) & rows["__id"].eqNullSafe(first["__first"]), "left_semi")
+    if not first.filter("__n > 1").isEmpty():
+        out = out.dropDuplicates(["__id", "__t"])
+    return out.select(*docs.columns)

@@ -35,7 +35,7 @@ def _roots(n, links):
 def test_members_of_a_hot_key_all_meet(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", 2)  # each key that two prints share
     monkeypatch.setattr(simhash, "COUNTED", 1)
-    monkeypatch.setattr(simhash, "_confirmed", lambda links, *rest: links.select("u", "v"))  # candidates only
+    monkeypatch.setattr(simhash, "_confirmed", lambda asked, *rest: asked.select("u", "v"))  # candidates only
     rng = random.Random(3)
     texts = [t for _ in range(2) for t in _chain(rng, 60, changed=9)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -61,3 +61,16 @@ def test_texts_under_the_similarity_do_not_link(spark):
     assert sum(near) == 50
     assert not any(x and not n for x, n in zip(linked, near, strict=True))
     assert sum(x and n for x, n in zip(linked, near, strict=True)) >= 46
+
+
+def test_clashing_and_missing_ids(spark):
+    rng = random.Random(2)
+    a, b, c = ([f"{x}{rng.randrange(3000)}" for _ in range(120)] for x in "abc")
+    near = lambda words: " ".join([*words[:60], "other", *words[61:]])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(b)), (None, near(a)), (None, " ".join(c)), (None, near(c)), (9, None), (9, ""), (8, " "), (5, " ".join(a))]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, node int")
+    got = {(r["doc_id"], r["t"]): (r["component_id"], r["first"]) for r in simhash.near_groups(df).collect()}
+    assert sorted(got.values(), key=str) == sorted([(5, True), (5, True), (5, False), (5, False), (None, True), (None, False), (9, True), (9, True), (8, True)], key=str)
+    kept = [(r["doc_id"], r["text"]) for r in simhash.keep_first_of_near(df).collect()]
+    assert sorted(k for k in kept if k[0] is not None and (k[1] or "").strip()) == sorted([rows[0], rows[1]])
+    assert sum(k[0] is None for k in kept) == 1 and len(kept) == 6
