@@ -16,11 +16,15 @@ from ..session import ship_package
 SHARE = 0.2  # edits that an item of a leaked passage may have, as a share of its characters
 GRAM = 8  # bytes from a word start that propose where a window begins
 RUN = 32  # bytes without a space beyond which each letter counts as a word start
-SLACK = 24  # places that the proposals for one window may differ by
-REPEATS = 128  # embeddings, each with its own walk
-SAMPLED = 4  # letters of each embedding that must agree
-STRETCHES = 8  # parts of a walk that are asked by themselves too
+SLACK = 12  # places that the grams of one window may be out of line
+COVER = 13  # bytes of an item that grams in line must cover
+REPEATS = 128  # embeddings, each with its own walk and tables
+SAMPLED = 4  # letters of an embedding that make a key
+STRETCHES = 8  # parts of a walk that have tables of their own, beside the one of the whole walk
+CLASS = 1.12  # items whose lengths are within this factor share tables
 WALK_BYTES = 2_000_000  # of the windows that walk together
+HITS = 4_000_000  # grams found in items that are looked at together; above, texts are halved
+LEAST_PIECE = 4096
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16_000_000
 STRETCH = 2_000_000
@@ -91,23 +95,31 @@ def cgk(windows: np.ndarray, lengths: np.ndarray, steps: int, seed: int) -> np.n
 
 
 class Items:
-    """A block of benchmark items, with the grams that propose windows and the sampled embeddings."""
+    """A block of benchmark items, with the grams that propose windows and the classes of length that share tables."""
 
     def __init__(self, rows: list[tuple[int, str]], share: float = SHARE):
         self.share = share
         self.ids = [i for i, _ in rows]
         self.bytes = [plain(t) for _, t in rows]
         self.texts = [b.decode("utf-8", "replace") for b in self.bytes]
+        self.sizes = np.array([len(b) for b in self.bytes], np.int64)
+        self.kind = (np.log(np.maximum(self.sizes, 1)) / np.log(CLASS)).astype(np.int64)
+        self.longest = int(self.sizes.max(initial=0))
         keys, items, places = [], [], []
-        self.short = [k for k, b in enumerate(self.bytes) if b and len(b) < GRAM]
-        self.n_grams = np.zeros(len(rows), np.int64)
+        self.short: dict[int, dict[bytes, list[int]]] = {}  # items under a gram, by their number of words
+        self.need = np.full(len(rows), COVER)  # bytes that grams in line must cover: no more than all grams of the item do
+        lone = []
         for k, b in enumerate(self.bytes):
             if len(b) >= GRAM:
                 at, key = grams(np.frombuffer(b + bytes(GRAM), np.uint8), len(b))
                 keys.append(key)
                 items.append(np.full(len(at), k))
                 places.append(at)
-                self.n_grams[k] = len(at)
+                self.need[k] = min(COVER, GRAM + np.minimum(np.diff(at), GRAM).sum())
+                if len(at) == 1:
+                    lone.append(key)
+            elif b:
+                self.short.setdefault(b.count(b" ") + 1, {}).setdefault(b, []).append(k)
         key = np.concatenate([*keys, np.zeros(0, np.uint64)])
         order = np.argsort(key, kind="stable")
         self.key = key[order]
@@ -115,9 +127,10 @@ class Items:
         self.place = np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)[order]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.key >> np.uint64(44)).astype(np.int64)] = True
-        lone = np.zeros(1 << 20, bool)
-        lone[(self.key[self.n_grams[self.item] == 1] >> np.uint64(44)).astype(np.int64)] = True
-        self.lone = lone if lone.any() else None
+        self.lone = None
+        if lone:
+            self.lone = np.zeros(1 << 20, bool)
+            self.lone[(np.concatenate(lone) >> np.uint64(44)).astype(np.int64)] = True
 
     def grams_of_text(self, b: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The grams of a text; if items have a single one, also those at all other letters that may be it."""
@@ -131,12 +144,15 @@ class Items:
         at, one = np.unique(np.concatenate([at, rest[on]]), return_index=True)
         return at, np.concatenate([key, more[on]])[one]
 
-    def proposals(self, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(item, begin, place)`` of each gram of the texts that an item has too."""
+    def found(self, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the grams that items have too, with where the items' list of each begins and how many items have it."""
         on = self.seen[(key >> np.uint64(44)).astype(np.int64)]
         at, key = at[on], key[on]
         low, high = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
-        count = high - low
+        return at, low, high - low
+
+    def proposals(self, at: np.ndarray, low: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(item, begin, place)`` of each gram of the texts and each item that has it."""
         which = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         place = self.place[which]
         return self.item[which], np.repeat(at, count) - place, place
@@ -168,9 +184,9 @@ def _keys(b: np.ndarray, at: np.ndarray) -> np.ndarray:
     return key ^ (key >> np.uint64(32))
 
 
-def _windows(items: Items, at, key) -> tuple[np.ndarray, np.ndarray]:
-    """Item-sized windows ``(item, begin)``: three grams of the item in line propose one (two of an item with under eight, one of an item with under four)."""
-    item, begin, place = items.proposals(at, key)
+def _windows(items: Items, at, low, count) -> tuple[np.ndarray, np.ndarray]:
+    """Item-sized windows ``(item, begin)``: where grams in line with the item's cover enough of its bytes."""
+    item, begin, place = items.proposals(at, low, count)
     if not len(item):
         return item, begin
     order = np.lexsort((place, begin, item))
@@ -178,50 +194,69 @@ def _windows(items: Items, at, key) -> tuple[np.ndarray, np.ndarray]:
     new = np.concatenate([[True], (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > SLACK)])
     first = np.flatnonzero(new)
     group = np.cumsum(new) - 1
-    distinct = np.zeros(len(first), np.int64)
-    _, one = np.unique(np.stack([group, place], 1), axis=0, return_index=True)
-    np.add.at(distinct, group[one], 1)
+    order = np.lexsort((place, group))
+    in_line, step = group[order], np.minimum(np.diff(place[order], prepend=0), GRAM)
+    step[np.flatnonzero(np.diff(in_line, prepend=-1))] = GRAM
     size = np.diff(np.concatenate([first, [len(item)]]))
-    on = distinct >= np.minimum(3, 1 + items.n_grams[item[first]] // 4)
+    on = np.bincount(in_line, weights=step) >= items.need[item[first]]
     return item[first[on]], begin[first[on] + size[on] // 2]
 
 
-def _collide(items: Items, item: np.ndarray, windows: list[bytes], repeats: int = REPEATS) -> np.ndarray:
-    """Windows whose sampled embedding letters agree with the item's in one of the repeats.
+def _sampled(walks: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Keys of each walk (row): ``SAMPLED`` letters, for each of the tables of a repeat."""
+    letters = np.ascontiguousarray(walks[:, at]).reshape(len(walks), -1, SAMPLED)
+    return letters.view(np.uint32)[:, :, 0]
+
+
+def _meet(mine: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs ``(row of mine, row of known)`` with one key in some table (column)."""
+    rows, items = [], []
+    for t in range(known.shape[1]):
+        order = np.argsort(known[:, t], kind="stable")
+        keys = known[order, t]
+        low, high = np.searchsorted(keys, mine[:, t], "left"), np.searchsorted(keys, mine[:, t], "right")
+        count = high - low
+        rows.append(np.repeat(np.arange(len(mine)), count))
+        items.append(order[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))])
+    return np.concatenate(rows), np.concatenate(items)
+
+
+def candidates(items: Items, item: np.ndarray, windows: list[bytes], repeats: int = REPEATS) -> list[tuple[int, int]]:
+    """Pairs ``(window, item)`` that have a key in common in one of the tables.
 
-    A walk moves about one letter in two steps, so the letters are drawn from as many steps as twice the item's length: from
-    the whole item, at places that follow from repeat and length alone and not from what else is looked at. Each walk is asked
-    for letters from all of it, and from each of its stretches: walks that edits threw apart have met again in some of them.
+    Each repeat embeds all items of one class of length and the windows of their size, and has a table of keys for the
+    whole walk and one for each stretch of it: walks that edits threw apart have met again in some of them. A key is
+    ``SAMPLED`` letters, at places drawn from as many steps as twice the length, since a walk moves about one letter in
+    two. The draws follow from repeat and class alone and not from what else is looked at. A window asks until
+    the item that it was proposed for has met it, and meets any other item of the tables on the way.
     """
-    hit = np.zeros(len(item), bool)
-    sizes = np.array([len(x) for x in items.bytes])
-    lengths = sizes[item]
-    order = np.argsort(lengths, kind="stable")
-    s = 0
-    while s < len(order):
-        own = order[s : s + 2048]
-        own = own[: max(1, int(np.searchsorted(lengths[own] * np.arange(1, len(own) + 1), WALK_BYTES, "right")))]
-        s += len(own)
-        width = int(lengths[own].max())
-        text = np.frombuffer(b"".join(windows[k].ljust(width, b"\0")[:width] for k in own.tolist()), np.uint8).reshape(len(own), width)
-        used, back = np.unique(item[own], return_inverse=True)
+    pairs: set[int] = set()
+    kinds, n = items.kind[item], max(1, len(items.ids))
+    for kind in np.unique(kinds).tolist():
+        used = np.flatnonzero((items.kind == kind) & (items.sizes >= GRAM))
+        shortest, width = int(np.ceil(CLASS**kind)), int(items.sizes[used].max())
         known = np.frombuffer(b"".join(items.bytes[k].ljust(width, b"\0") for k in used.tolist()), np.uint8).reshape(len(used), width)
-        known_len = sizes[used]
-        left = np.arange(len(own))
-        for r in range(repeats):
-            share = np.random.default_rng((SEED, r)).random((1 + STRETCHES, SAMPLED))
-            share[1:] = (share[1:] + np.arange(STRETCHES)[:, None]) / STRETCHES
-            at = (share.reshape(-1) * 2 * known_len[:, None]).astype(np.int64)
-            both = np.concatenate([text[left], known])
-            walks = cgk(both, np.concatenate([lengths[own][left], known_len]), int(at.max()) + 1, SEED + r)
-            mine = back[left]
-            same = np.take_along_axis(walks[: len(left)], at[mine], 1) == np.take_along_axis(walks[len(left) :], at, 1)[mine]
-            same = same.reshape(len(left), -1, SAMPLED).all(2).any(1)
-            hit[own[left[same]]] = True
-            left = left[~same]
-            if not len(left):
-                break
-    return hit
+        lot = max(1, WALK_BYTES // width)
+        mine = np.flatnonzero(kinds == kind)
+        for s in range(0, len(mine), lot):
+            left = mine[s : s + lot]
+            text = np.frombuffer(b"".join(windows[k].ljust(width, b"\0")[:width] for k in left.tolist()), np.uint8).reshape(len(left), width)
+            length = items.sizes[item[left]]
+            for r in range(repeats):
+                share = np.random.default_rng((SEED, r)).random((1 + STRETCHES, SAMPLED))
+                share[1:] = (share[1:] + np.arange(STRETCHES)[:, None]) / STRETCHES
+                at = (share.reshape(-1) * 2 * shortest).astype(np.int64)
+                walks = cgk(np.concatenate([text, known]), np.concatenate([length, items.sizes[used]]), int(at.max()) + 1, SEED + r)
+                keys = _sampled(walks, at)
+                row, met = _meet(keys[: len(left)], keys[len(left) :])
+                pairs.update((left[row] * n + used[met]).tolist())
+                done = np.zeros(len(left), bool)
+                done[row[used[met] == item[left[row]]]] = True
+                if done.any():
+                    left, text, length = left[~done], text[~done], length[~done]
+                if not len(left):
+                    break
+    return [divmod(p, n) for p in sorted(pairs)]
 
 
 class _Scanner:
@@ -233,32 +268,50 @@ class _Scanner:
 
     def propose(self, ids: list, texts: list[bytes]) -> list[tuple]:
         """Take in some texts; pairs with short items come back at once."""
+        self._propose(ids, texts)
+        items, found = self.items, []
+        for n, known in items.short.items():
+            for i, t in zip(ids, texts, strict=True):
+                words = t.split()
+                for phrase in known.keys() & (set(words) if n == 1 else {b" ".join(w) for w in zip(*(words[k:] for k in range(n)), strict=False)}):
+                    found += [(i, items.ids[k], 0, len(items.texts[k])) for k in known[phrase]]
+        return found
+
+    def _propose(self, ids: list, texts: list[bytes]) -> None:
         items, raw = self.items, b"".join(texts)
         starts = np.cumsum([0, *map(len, texts)])
         at, key = items.grams_of_text(np.frombuffer(raw + bytes(GRAM), np.uint8), len(raw))
-        item, begin = _windows(items, at, key)
-        middle = begin + np.array([len(x) // 2 for x in items.bytes])[item]
+        at, low, count = items.found(at, key)
+        overlap = 2 * items.longest + 64
+        if int(count.sum()) > HITS and (len(texts) > 1 or len(raw) > LEAST_PIECE + 2 * overlap):  # grams that very many items have: in halves, which hold each window whole
+            half = len(texts) // 2
+            if half:
+                parts = [(ids[:half], texts[:half]), (ids[half:], texts[half:])]
+            else:
+                parts = [(ids, [raw[: len(raw) // 2 + overlap]]), (ids, [raw[len(raw) // 2 - overlap :]])]
+            for part in parts:
+                self._propose(*part)
+            return
+        item, begin = _windows(items, at, low, count)
+        middle = begin + items.sizes[item] // 2
         own = np.searchsorted(starts, np.clip(middle, 0, len(raw) - 1), side="right") - 1
         for k, first, d in zip(item.tolist(), begin.tolist(), own.tolist(), strict=True):
             length = len(items.bytes[k])
-            room = int(items.share * length) + SLACK
+            room = int(items.share * length) + 2 * SLACK
             low, high = max(first - room, int(starts[d])), min(first + length + room, int(starts[d + 1]))
             self.rows.append((ids[d], k, raw[max(first, low) : max(first, low) + length], raw[low:high]))
-        found = []
-        for k in items.short:
-            needle = b" " + items.bytes[k] + b" "
-            found += [(i, items.ids[k], 0, len(items.texts[k])) for i, t in zip(ids, texts, strict=True) if needle in b" " + t]
-        return found
 
     def verified(self) -> list[tuple]:
         items, rows, self.rows = self.items, self.rows, []
         if not rows:
             return []
-        hit = _collide(items, np.array([r[1] for r in rows]), [r[2] for r in rows])
-        hit |= np.array([items.bytes[r[1]] in r[3] for r in rows])
+        pairs = candidates(items, np.array([r[1] for r in rows]), [r[2] for r in rows])
+        pairs += [(h, r[1]) for h, r in enumerate(rows) if items.bytes[r[1]] in r[3]]
         best: dict[tuple, int] = {}
-        for h in np.flatnonzero(hit).tolist():
-            doc_id, k, _, around = rows[h]
+        for h, k in pairs:
+            doc_id, _, _, around = rows[h]
+            if best.get((doc_id, k)) == 0:
+                continue
             room = int(items.share * len(items.texts[k]))
             edits, _ = edit_distance_within(items.texts[k], around.decode("utf-8", "replace"))
             if edits <= room:
@@ -309,10 +362,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Both texts are lower-cased, with one space for what is neither letter nor digit. A leak is a passage within
     ``share`` of the item's length in edits; ``edits`` is the exact distance of the best passage found near a window.
 
-    Windows of an item's size are taken where three 8-byte grams at word starts stand in line with the item's (fewer for
-    items of a few words), from all words of the whole text. In scripts that write without spaces and in long runs each
-    letter counts as a word start, and for items with a single gram all letters are looked at. Each goes through up to 128 CGK embeddings with four sampled letters;
-    what agrees once is verified exactly. A verbatim passage is always found; recall under edits is measured
+    Windows of an item's size are taken where 8-byte grams at word starts stand in line with the item's and cover 13 of
+    its bytes (or all that its grams cover), from all words of the whole text. In scripts that write without spaces and in long runs each
+    letter counts as a word start, and for items with a single gram all letters are looked at. Each window asks the tables of up
+    to 128 CGK embeddings, whose keys are four sampled letters, for items of about its length;
+    what it meets there is verified exactly. A verbatim passage is always found; recall under edits is measured
     against brute force in the tests. Items of under 8 bytes leak where they stand as whole words.
 
     Null and empty texts leak nothing, null items and ids of items are left out, repeated rows of documents are one pair

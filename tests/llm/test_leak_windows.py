@@ -1,5 +1,7 @@
 import random
+import re
 
+import numpy as np
 import pytest
 
 from strataspark.llm import decontam
@@ -34,6 +36,75 @@ def test_items_of_mixed_length_with_edits_at_the_head(share):
     assert alone[1] == {(1, 1)}
 
 
+def _letters(text):
+    """Upper to lower case, one space for what is neither letter nor digit."""
+    return re.sub(r"[\W_]+", " ", text.lower()).strip()
+
+
+def _least_edits(item, texts):
+    """Least edit distance of the item to any part of each text, row by row of the whole table."""
+    n = max(map(len, texts))
+    rows = np.array([[ord(c) for c in t.ljust(n, "\0")] for t in texts], np.int32)
+    at = np.arange(n + 1)
+    before = np.zeros((len(texts), n + 1), np.int32)
+    for k, c in enumerate(item, 1):
+        now = before + 1
+        now[:, 1:] = np.minimum(now[:, 1:], before[:, :-1] + (rows != ord(c)))
+        now[:, 0] = k
+        before = np.minimum.accumulate(now - at, axis=1) + at
+    return before.min(1)
+
+
+def _with_edits(rng, text, n):
+    for _ in range(n):
+        k = rng.randrange(len(text))
+        text = rng.choice([text[:k] + text[k + 1 :], text[:k] + rng.choice(text) + text[k:], text[:k] + rng.choice(text) + text[k + 1 :]])
+    return text
+
+
+@pytest.mark.parametrize("share", [0, 0.1, 0.15, 0.2])
+def test_recall_against_all_pairs_by_a_plain_distance(spark, share):
+    rng = random.Random(int(100 * share))
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").orderBy("item_id").collect()]
+    plain = [_letters(t) for _, t in items]
+    docs = []
+    for k in range(3 * len(items)):
+        host = " ".join("".join(rng.choice(["th", "er", "on", "an", "ing", "re", "st", "ou"]) for _ in range(rng.randint(1, 4))) for _ in range(60))
+        own = plain[k % len(items)]
+        docs.append((k, f"{host} {_with_edits(rng, own, int(share * len(own))).upper()}, {host}" if k < 2 * len(items) else host))
+    read = [_letters(t) for _, t in docs]
+    want = {(d, items[i][0]) for i, t in enumerate(plain) for d in np.flatnonzero(_least_edits(t, read) <= int(0.2 * len(t))).tolist()}
+    rows = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]) for r in rows}
+    assert len(want) >= 2 * len(items) * 0.9
+    assert got <= want
+    print(f"recall at {share}: {len(got)} of {len(want)}")
+    assert len(got) >= (1 if share == 0 else 0.9) * len(want), f"{len(got)} of {len(want)}"
+
+
+def test_grams_of_very_many_items_are_looked_at_in_halves(monkeypatch):
+    rng = random.Random(5)
+    items = [(k, f"what is the question of the day {_cut(rng, 60)} what is the question") for k in range(20)]
+    filler = "what is the question of the day " * 12
+    texts = [decontam.plain(f"{filler} {items[k][1]} {filler}") + b" \0 " for k in (3, 15)]
+    found = []
+    for hits in (decontam.HITS, 300):
+        monkeypatch.setattr(decontam, "HITS", hits)
+        monkeypatch.setattr(decontam, "LEAST_PIECE", 256)
+        scanner = decontam._Scanner(decontam.Items(items))
+        scanner.propose([3, 15], texts)
+        assert {(d, k) for d, k, _, _ in scanner.rows} >= {(3, 3), (15, 15)}
+        found.append({(d, i) for d, i, e, _ in scanner.verified() if e == 0})
+    assert found[0] == found[1] == {(3, 3), (15, 15)}
+
+
+def test_items_under_a_gram_leak_as_whole_words():
+    items = [(1, "ab"), (2, "ab cd"), (3, "cd"), (4, "ab"), (5, "x y z w")]
+    scanner = decontam._Scanner(decontam.Items(items))
+    texts = [decontam.plain(t) + b" \0 " for t in ("zab cd", "ab-cd", "X, y; z w!", "abc")]
+    assert {(d, i) for d, i, _, _ in scanner.propose([10, 11, 12, 13], texts)} == {(10, 3), (11, 1), (11, 2), (11, 3), (11, 4), (12, 5)}
+
+
 HAN = "".join(map(chr, range(0x4E00, 0x4E00 + 2000)))
 THAI = "".join(map(chr, [*range(0x0E01, 0x0E3A), *range(0x0E40, 0x0E4E)]))
 
