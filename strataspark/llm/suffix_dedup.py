@@ -18,6 +18,8 @@ GRAM = 64  # bytes of the gram that anchors a string
 STRETCH = 1 << 20
 SHALLOW = 24  # bytes behind the gram that multikey quicksort looks at; blind tries order what is still equal
 PAIRS = 24  # members of an anchor up to which they are compared pair by pair
+DEAL = 256  # distinct surroundings of an anchor above which its windows are dealt by what they must share
+RANGES = 8  # ranges of distances that they are dealt in
 SPLIT = 50_000  # distinct surroundings of an anchor above which strings are counted one by one
 
 
@@ -213,7 +215,7 @@ def _ranges(marks: np.ndarray, base: int) -> list[tuple[int, int]]:
     return [(base + int(s), base + int(e) - 1) for s, e in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def repeated_distances(members: list[tuple[bytes, int, int]]) -> list[list[tuple[int, int]]]:
+def repeated_distances(members: list[tuple[bytes, int, int]], pairs: int = PAIRS) -> list[list[tuple[int, int]]]:
     """For each member of an anchor (its bytes, ``lo``, ``hi``) the ranges of distances whose window another member has too.
 
     The anchor stands ``hi`` bytes into the member. Windows at one distance ``o`` are equal if the texts
@@ -223,7 +225,7 @@ def repeated_distances(members: list[tuple[bytes, int, int]]) -> list[list[tuple
     right = [b[hi:] for b, _, hi in members]
     order, shared = deep_shallow(right, GRAM)
     marks = [np.zeros(hi - lo + 1, bool) for _, lo, hi in members]
-    if n <= PAIRS:
+    if n <= pairs:
         left = [b[:hi][::-1] for b, _, hi in members]
         for x in range(n):
             reach = WIDTH
@@ -261,25 +263,49 @@ _FOUND = pa.schema([("gram", pa.int64()), ("sign", pa.binary()), ("o1", pa.int32
 _FOUND_DDL = "gram long, sign binary, o1 int, o2 int"
 
 
-def _sort_anchors(batches):
-    """Partitions come sorted by gram; each gram's members are ordered and compared by themselves."""
-
-    def rows():
-        for batch in batches:
-            yield from zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)
+def _sort_anchors(pairs: int):
+    """Partitions come sorted by key; each key's members are ordered and compared by themselves."""
 
     def batch_of(found):
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], f.type) for k, f in enumerate(_FOUND)], schema=_FOUND)
 
-    out = []
-    for gram, group in itertools.groupby(rows(), key=lambda r: r[0]):
-        members = list(group)
-        found = repeated_distances([(b, lo, hi) for _, _, b, lo, hi in members])
-        out += [(gram, m[1], a, b) for m, spans in zip(members, found, strict=True) for a, b in spans]
-        if len(out) > 50_000:
-            yield batch_of(out)
-            out = []
-    yield batch_of(out)
+    def run(batches):
+        rows = (r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True))
+        out = []
+        for _, group in itertools.groupby(rows, key=lambda r: r[0]):
+            members = list(group)
+            if len(members) < 2:
+                continue
+            found = repeated_distances([(b, lo, hi) for *_, b, lo, hi in members], pairs)
+            out += [(m[1], m[2], a, b) for m, spans in zip(members, found, strict=True) for a, b in spans]
+            if len(out) > 50_000:
+                yield batch_of(out)
+                out = []
+        yield batch_of(out)
+
+    return run
+
+
+_DEALT = pa.schema([("key", pa.int64()), ("gram", pa.int64()), ("sign", pa.binary()), ("b", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32())])
+_DEALT_DDL = "key long, gram long, sign binary, b binary, lo int, hi int"
+
+
+def _deal(batches):
+    """Members of anchors with very many surroundings, one row for each range of distances, with a key of what its windows share.
+
+    Windows at distances ``a..z`` that are equal agree in the ``a`` bytes before the anchor and the ``WIDTH - z`` from it on.
+    So equal windows get one key, and members that differ there are not brought together.
+    """
+    width = -(-(WIDTH - GRAM + 1) // RANGES)
+    for batch in batches:
+        out = []
+        for gram, sign, b, lo, hi in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            for part in range(lo // width, hi // width + 1):
+                a, z = max(lo, part * width), min(hi, part * width + width - 1)
+                first, last = part * width, min(part * width + width - 1, WIDTH - GRAM)
+                key = xxhash.xxh3_64_intdigest(b[hi - first : hi + WIDTH - last], gram % 2**64) ^ part
+                out.append((key - (1 << 64) if key >> 63 else key, gram, sign, b[hi - z : hi - a + WIDTH], a, z))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_DEALT)], schema=_DEALT)
 
 
 def _list_windows(batches):
@@ -326,7 +352,8 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     1. Windows of 400 bytes are gathered into runs with one anchor gram (a minimizer), some 170 windows a row.
     2. Rows whose bytes are the same become one member with a count, before the shuffle. Anchors that occur once end here.
     3. Members of an anchor with other surroundings fetch their bytes and are sorted by
-       the suffix at the anchor; neighbours in that order show which windows repeat.
+       the suffix at the anchor; neighbours in that order show which windows repeat. An anchor with very many
+       surroundings is dealt first, by bytes that equal windows share, so that no task gets all of it.
     4. Removed ranges go back to all rows of the member, and to their texts.
     """
     ship_package(keyed.sparkSession)
@@ -347,8 +374,9 @@ def repeated_spans(keyed: DataFrame) -> DataFrame:
     fetched = materialise(fetched, "anchor-bytes")
     spark = keyed.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    usual = fetched.filter(F.col("kinds") <= SPLIT).select("gram", "sign", "b", "lo", "hi")
-    sorted_ = usual.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(_sort_anchors, _FOUND_DDL)
+    usual = fetched.filter(F.col("kinds") <= DEAL).select(F.col("gram").alias("key"), "gram", "sign", "b", "lo", "hi")
+    many = fetched.filter((F.col("kinds") > DEAL) & (F.col("kinds") <= SPLIT)).select("gram", "sign", "b", "lo", "hi").mapInArrow(_deal, _DEALT_DDL)
+    sorted_ = usual.unionByName(many).repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_sort_anchors(PAIRS), _FOUND_DDL)
     windows = fetched.filter(F.col("kinds") > SPLIT).select("gram", "sign", "b", "lo", "hi").distinct().mapInArrow(_list_windows, "gram long, sign binary, o int, own binary")
     common_windows = windows.groupBy("gram", "own").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     counted = windows.join(common_windows, ["gram", "own"]).select("gram", "sign", F.col("o").alias("o1"), F.col("o").alias("o2"))

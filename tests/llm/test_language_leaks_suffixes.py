@@ -123,7 +123,7 @@ def _brute(rows, width):
     return out
 
 
-@pytest.mark.parametrize("ways", [{}, {"PAIRS": 1}, {"SPLIT": 2}])
+@pytest.mark.parametrize("ways", [{}, {"PAIRS": 1}, {"SPLIT": 2}, {"DEAL": 1}, {"DEAL": 1, "PAIRS": 1}])
 def test_suffix_dedup_against_brute_force(spark, monkeypatch, ways):
     for k, v in ways.items():
         monkeypatch.setattr(suffix_dedup, k, v)
