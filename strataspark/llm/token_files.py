@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise, ship_package
@@ -183,9 +183,12 @@ def _writer(path: str | None, end_id: int):
     return write
 
 
-def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID, to: str | None = None) -> DataFrame:
     """Encode whole texts, append ``end_id`` to each, and write the ids in ascending id order; returns a reader of the files.
 
+    ``to`` is the folder that they are written to, on any store; it must not exist. Without it they are scratch files
+    that go with the application. ``path`` names the tokenizer.
+
     A file is a Parquet container, so that Spark's committer guards against lost and repeated tasks on any store.
     A row is a block: ids of its documents and their lengths, group offsets and Simple-8b words.
     ``shard`` orders the blocks (a range of ids each), then ``block``.
@@ -204,7 +207,16 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         shard = F.coalesce(F.size(F.filter(edges, lambda c: c < key)), F.lit(0))
     rows = docs.select(shard.cast("int").alias("shard"), key.alias("doc_id"), F.col(text_col).alias("text"))
     placed = rows.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return materialise(placed.mapInArrow(_writer(path, end_id), _BLOCKS_DDL), "token-ids")
+    blocks = placed.mapInArrow(_writer(path, end_id), _BLOCKS_DDL)
+    if to is None:
+        return materialise(blocks, "token-ids")
+    blocks.write.option("compression", "zstd").parquet(to)
+    return open_token_files(spark, to)
+
+
+def open_token_files(spark: SparkSession, at: str) -> DataFrame:
+    """The blocks of files that ``write_token_files`` left in a folder; ``read_token_files`` and ``document_ids`` decode them."""
+    return spark.read.schema(_BLOCKS_DDL).parquet(at)
 
 
 _DOCS_DDL = "doc_id long, start long, n_tokens long, ids_crc32 long"

@@ -81,6 +81,19 @@ def test_token_files(spark, monkeypatch):
             assert zlib.crc32(ids.astype("<u4").tobytes()) == got[doc_id]["ids_crc32"]
 
 
+def test_token_files_stay_where_they_are_asked_to(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"text {k} " * k) for k in range(20)], "doc_id long, text string")
+    to = f"{tmp_path}/ids"
+    token_files.write_token_files(df, to=to)
+    again = token_files.open_token_files(spark, to)
+    assert sorted(token_files.read_token_files(again).collect()) == sorted(token_files.token_files(df).collect())
+    blocks = [r.asDict() for r in again.collect()]
+    ids = next(i for b in blocks if (i := token_files.document_ids(b, 7)) is not None)
+    assert ids.tolist() == [*BYTE.encode("text 7 " * 7, add_special_tokens=False).ids, 2]
+    with pytest.raises(Exception, match="(?i)already exists"):
+        token_files.write_token_files(df, to=to)
+
+
 def test_word_bpe_on_rows(spark):
     texts = ["Hello, WORLD  it's", "", "Ärger über Öl 2024"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
