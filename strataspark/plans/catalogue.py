@@ -371,14 +371,10 @@ def _(t, spark, d):
     return rounded(neighbours.stereo_pairs(images, neighbours.co_occurrence(t("lineitem"), "l_suppkey", "l_orderkey"), 10_000.0, 2, 1))
 
 
-_EDGES = "e AS (SELECT DISTINCT o_custkey * 2 AS u, (o_orderkey % 500) * 2 + 1 AS v FROM orders WHERE o_totalprice > 350000)"
-
-
-@query("connected_components", f"""WITH RECURSIVE {_EDGES}, b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), w(node, root) AS (SELECT u, u FROM b UNION SELECT b.v, w.root FROM w JOIN b ON b.u = w.node WHERE w.root < b.v OR TRUE)
-SELECT node, min(root) AS root FROM w GROUP BY node""")
+@query("connected_components", """WITH s AS (SELECT o_custkey * 2 AS u, o_orderkey * 2 + 1 AS v FROM orders), r AS (SELECT u, least(u, min(v)) AS root FROM s GROUP BY u)
+SELECT u AS node, root FROM r UNION SELECT s.v, r.root FROM s JOIN r ON r.u = s.u""")
 def _(t, spark, d):
-    o = t("orders").filter("o_totalprice > 350000")
-    return graph.components(o.select((F.col("o_custkey") * 2).alias("u"), (F.col("o_orderkey") % 500 * 2 + 1).alias("v")))
+    return graph.components(t("orders").select((F.col("o_custkey") * 2).alias("u"), (F.col("o_orderkey") * 2 + 1).alias("v")))
 
 
 @query("raster_patches", None)
@@ -478,11 +474,11 @@ def _(t, spark, d):
 
 # ---- imports, joins, sets ----------------------------------------------------------------------
 
-@query("upsert", """WITH o AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS bal FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS id, upper(c_name) AS name, CASE WHEN c_acctbal > 0 THEN c_acctbal * 2 END AS bal FROM customer WHERE c_custkey % 2 = 0)
+@query("upsert", """WITH o AS (SELECT c_custkey AS id, c_name AS name, c_acctbal AS bal FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS id, upper(c_name) AS name, CASE WHEN c_acctbal > 0 THEN c_acctbal * 2 END AS bal FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0)
 SELECT coalesce(n.id, o.id) AS id, coalesce(n.name, o.name) AS name, coalesce(n.bal, o.bal) AS bal, CASE WHEN o.id IS NULL THEN 'new' WHEN n.id IS NULL THEN 'kept' ELSE 'updated' END AS state FROM o FULL JOIN n ON o.id = n.id""")
 def _(t, spark, d):
     c = t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("bal"))
-    new = c.filter("id % 2 = 0").select("id", F.upper("name").alias("name"), F.when(F.col("bal") > 0, F.col("bal") * 2).alias("bal"))
+    new = c.filter("id % 2 = 0 or id % 3 = 0").select("id", F.upper("name").alias("name"), F.when(F.col("bal") > 0, F.col("bal") * 2).alias("bal"))
     return imports.upsert(c.filter("id % 3 <> 0"), new, "id")
 
 
@@ -499,10 +495,10 @@ def _(t, spark, d):
     return imports.unmatched(t("customer").select(F.col("c_custkey").alias("id")), t("orders").select(F.col("o_custkey").alias("id")), "id")
 
 
-@query("number_ids", "SELECT o_orderkey, printf('T%04d', row_number() OVER (ORDER BY o_orderdate, o_orderkey) + (SELECT max(c_custkey) FROM customer)) AS point_id FROM orders WHERE o_totalprice > 300000")
+@query("number_ids", "SELECT o_orderkey, printf('T%04d', row_number() OVER (ORDER BY o_orderdate, o_orderkey) + (SELECT max(c_custkey) FROM customer)) AS point_id FROM orders")
 def _(t, spark, d):
     taken = t("customer").select(F.format_string("T%04d", "c_custkey").alias("point_id"))
-    return imports.number_ids(t("orders").filter("o_totalprice > 300000").select("o_orderkey", "o_orderdate"), taken, "T", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "point_id")
+    return imports.number_ids(t("orders").select("o_orderkey", "o_orderdate"), taken, "T", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "point_id")
 
 
 @query("carry_labels", "SELECT o_orderkey AS index, coalesce(CASE WHEN o_orderkey % 5 = 0 THEN 2 END, 1)::SMALLINT AS classification FROM orders")

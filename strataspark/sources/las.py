@@ -3,31 +3,27 @@
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import ship_package
+from .blobs import open_system, write_files
+
 CHUNK = 1_000_000
 SCHEMA = "index long, x double, y double, z double, intensity int, return_number short, number_of_returns short, classification short, file string"
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    if "://" in path or path.startswith("file:"):
-        system, inner = fs.FileSystem.from_uri(path)
-    else:
-        system, inner = fs.LocalFileSystem(), path
-    return system, inner
-
-
 def files(path: str) -> list[str]:
     """The file, or the ``.las`` files of a folder."""
     from pyarrow import fs
 
-    system, inner = _open(path)
+    system, inner = open_system(path)
     info = system.get_file_info(inner)
     if info.type == fs.FileType.Directory:
         return sorted(f.path for f in system.get_file_info(fs.FileSelector(inner)) if f.path.lower().endswith(".las"))
@@ -77,7 +73,7 @@ class _Reader(DataSourceReader):
     def partitions(self):
         """A range of points each; only headers are read here."""
         out = []
-        system, _ = _open(self.path)
+        system, _ = open_system(self.path)
         for f in files(self.path):
             with system.open_input_file(f) as s:
                 h = header(s.read(375))
@@ -87,7 +83,7 @@ class _Reader(DataSourceReader):
     def read(self, part) -> Iterator[pa.RecordBatch]:
         if not part.count:
             return
-        system, _ = _open(self.path)
+        system, _ = open_system(self.path)
         with system.open_input_file(part.path) as s:
             h = header(s.read(375))
             done = 0
@@ -133,3 +129,70 @@ def encode(points: dict, scale: float = 0.001) -> bytes:
     rows[:, 14] = np.asarray(points["return_number"], np.uint8) | np.asarray(points["number_of_returns"], np.uint8) << 3
     rows[:, 15] = points["classification"]
     return bytes(head) + rows.tobytes()
+
+
+def read_las(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+    """The points of a file or a folder."""
+    ship_package(spark)
+    spark.dataSource.register(LasDataSource)
+    return spark.read.format("las").option("chunk", chunk).load(path)
+
+
+HEADER = "file string, points long, point_format int, west double, east double, south double, north double, low double, high double"
+
+
+def _headers(batches):
+    names = [c.split()[0] for c in HEADER.split(", ")]
+    for batch in batches:
+        rows = []
+        for path in batch.column(0).to_pylist():
+            system, inner = open_system(path)
+            with system.open_input_file(inner) as s:
+                h = header(s.read(375))
+            rows.append((path, h["count"], h["kind"], *[float(h[k]) for k in names[3:]]))
+        types = [pa.string(), pa.int64(), pa.int32(), *[pa.float64()] * 6]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """What the headers of the ``.las`` files of a folder say, one row a file; no point is read."""
+    ship_package(spark)
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.las").load(path).select("path")
+    return paths.mapInArrow(_headers, HEADER)
+
+
+FIELDS = ["x", "y", "z", "intensity", "return_number", "number_of_returns", "classification"]
+
+
+def _encoded(scale: float, most: int):
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for k in range(0, batch.num_rows, most):
+                part = batch.slice(k, most)
+                if n + part.num_rows > most:
+                    yield _file(held, scale)
+                    held, n = [], 0
+                held.append(part)
+                n += part.num_rows
+        if held:
+            yield _file(held, scale)
+
+    return run
+
+
+def _file(batches: list[pa.RecordBatch], scale: float) -> pa.RecordBatch:
+    table = pa.Table.from_batches(batches)
+    raw = encode({k: table.column(k).to_numpy() for k in FIELDS}, scale)
+    return pa.RecordBatch.from_arrays([pa.array([f"{uuid.uuid4().hex}.las"]), pa.array([raw], pa.binary())], names=["name", "content"])
+
+
+def write_las(points: DataFrame, path: str, scale: float = 0.001, most: int = CHUNK) -> None:
+    """Write points as LAS files of up to ``most`` points, one or more a partition. Columns that are missing are 0; points without a place are left out."""
+    have = {c: F.col(c) for c in points.columns}
+    rows = points.filter("x is not null and y is not null and z is not null").select(
+        *[have[c].cast("double").alias(c) for c in "xyz"],
+        *[F.coalesce(have.get(c, F.lit(0)).cast("int"), F.lit(0)).alias(c) for c in FIELDS[3:]],
+    )
+    ship_package(points.sparkSession)
+    write_files(rows.mapInArrow(_encoded(scale, most), "name string, content binary"), path)

@@ -6,11 +6,13 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .blobs import write_files
 
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8}
 _CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
@@ -165,3 +167,25 @@ def read_text_grid(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     cells = lines.select((F.col("line") - len(head)).cast("int").alias("row"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("col", "v"))
     v = F.col("v").try_cast("double")
     return cells.select("row", "col", F.when(v != head.get("nodata_value", -9999.0), v).alias("value")), head
+
+
+def _tiffs(cols: int, west: float, north: float, cell_x: float, cell_y: float, rows_a_file: int):
+    def run(key, part):
+        first = int(key[0]) * rows_a_file
+        values = np.full((int(part["rows"].iloc[0]), cols), np.nan)
+        values[part["row"].to_numpy() - first, part["col"].to_numpy()] = part["value"].to_numpy(float)
+        raw = encode_tiff(values, west, north - first * cell_y, cell_x, cell_y)
+        return pd.DataFrame({"name": [f"rows-{first:08d}.tif"], "content": [raw]})
+
+    return run
+
+
+def write_tiff(cells: DataFrame, grid, path: str, rows_a_file: int = 256) -> None:
+    """Write ``row, col, value`` as single-band TIFF files, each a band of rows of the grid, so that no task holds more than one band."""
+    spark = cells.sparkSession
+    ship_package(spark)
+    band = F.floor(F.col("row") / rows_a_file).cast("int")
+    rows = F.least(F.lit(rows_a_file), F.lit(grid.rows) - band * rows_a_file)
+    parts = cells.select("row", "col", F.col("value").cast("double").alias("value"), band.alias("band"), rows.alias("rows"))
+    made = parts.groupBy("band").applyInPandas(_tiffs(grid.cols, grid.west, grid.north, grid.cell_x, grid.cell_y, rows_a_file), "name string, content binary")
+    write_files(made, path)

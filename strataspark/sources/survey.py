@@ -9,18 +9,21 @@ from pyspark.sql import functions as F
 
 from ..functions.text import european_float
 
-# Names that a column of each role goes by, as letters and digits.
+# The names that files may give a column of each role, as letters and digits.
 ALIASES = {
-    "id": ["id", "name", "point", "pointid", "pointno", "pointname", "number", "no", "nr", "pt", "label"],
-    "x": ["x", "east", "easting", "e", "xcoord", "lon", "longitude", "xlo", "ximage"],
-    "y": ["y", "north", "northing", "n", "ycoord", "lat", "latitude", "ylo", "yimage"],
-    "z": ["z", "h", "height", "elevation", "elev", "alt", "altitude", "zcoord"],
-    "type": ["type", "kind", "role", "class", "check"],
-    "image": ["image", "imagename", "photo", "file", "filename", "name", "id"],
-    "omega": ["omega", "om", "roll"],
-    "phi": ["phi", "pitch"],
-    "kappa": ["kappa", "kap", "yaw", "heading"],
-}
+    "id": ["id", "point", "pointid", "pointno", "pointnum", "pointnumber", "pointname", "name", "station", "stationid", "stationno", "no", "nr", "number", "label", "pt", "ptid", "ptno", "beacon", "mark", "target", "gcp", "gcpid", "code", "descriptor"],
+    "x": ["x", "easting", "east", "e", "lon", "long", "longitude", "xlo", "xcoord"],
+    "y": ["y", "northing", "north", "n", "lat", "latitude", "ylo", "ycoord"],
+    "z": ["z", "elevation", "elev", "height", "h", "alt", "altitude", "ortho", "orthoheight", "zcoord"],
+    "image": ["image", "imagename", "photo", "frame", "img", "picture", "file", "filename", "photoid"],
+    "col": ["col", "column", "sample", "px", "pixel", "ximage", "i"],
+    "row": ["row", "line", "py", "yimage", "j"],
+    "omega": ["omega", "om", "roll", "w"],
+    "phi": ["phi", "ph", "pitch", "p"],
+    "kappa": ["kappa", "ka", "kap", "yaw", "heading", "k"],
+    "sigma": ["sigma", "sd", "stddev", "accuracy", "precision", "weight"],
+    "type": ["type", "kind", "class", "use", "role", "check"],
+}
 CHECK_WORDS = ("check", "chk", "c", "0", "false")
 COMMENTS = ("#", "//", ";;")
 SNIFF_LINES = 50
@@ -31,13 +34,14 @@ def _key(text: str) -> str:
 
 
 def match_columns(header: list[str], roles: list[str]) -> dict[str, int]:
-    """Role to column place: for each role the first of its names that is there; a column has one role."""
+    """Role to column place: for each role the leftmost column with one of its names that no role before it took."""
     keys, out = [_key(h) for h in header], {}
     for role in roles:
-        for alias in ALIASES[role]:
-            if alias in keys and keys.index(alias) not in out.values():
-                out[role] = keys.index(alias)
-                break
+        free = [k for k, key in enumerate(keys) if key in ALIASES[role] and k not in out.values()]
+        if free:
+            out[role] = free[0]
+    if "image" in roles and "image" not in out and "id" in map(_key, header):  # flight logs that call the photo its id
+        out["image"] = keys.index("id")
     return out
 
 

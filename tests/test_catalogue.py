@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from strataspark.plans import catalogue, catalogue_more  # noqa: F401
+from strataspark.plans import catalogue, catalogue_files, catalogue_more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
