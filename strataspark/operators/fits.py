@@ -37,6 +37,33 @@ def fit(df: DataFrame, terms: list[Column], targets: list[Column]) -> tuple[np.n
     return x, float(np.sqrt(rest.sum() / row["n"])), row["n"]
 
 
+def precision(df: DataFrame, terms: list[Column], target: Column) -> dict:
+    """Coefficients, ``sigma0``, their covariance and the redundancy of a fit, from one row of sums."""
+    k = len(terms)
+    row = normal_sums(df, terms, [target]).head()
+    x, rest = _solve(row, k, 1)
+    a = np.zeros((k, k))
+    a[np.triu_indices(k)] = row["ata"]
+    inverse = np.linalg.pinv(a + np.triu(a, 1).T)
+    free = row["n"] - k
+    sigma0 = float(np.sqrt(rest[0] / free)) if free > 0 else float("nan")
+    return {"x": x[0], "sigma0": sigma0, "inverse": inverse, "covariance": sigma0**2 * inverse, "redundancy": free}
+
+
+def checked(df: DataFrame, terms: list[Column], target: Column) -> DataFrame:
+    """Rows with ``residual``, ``redundancy`` (how far the others check it, 0..1) and ``w``, the standardised residual of data snooping.
+
+    The inverse of the small normal matrix goes into the expression of each row, so the rows themselves do not move.
+    An observation that nothing checks has no ``w``.
+    """
+    found = precision(df, terms, target)
+    residual = target - sum((F.lit(float(c)) * t for c, t in zip(found["x"], terms, strict=True)), F.lit(0.0))
+    share = sum((F.lit(float(q)) * terms[i] * terms[j] for i, row in enumerate(found["inverse"]) for j, q in enumerate(row)), F.lit(0.0))
+    redundancy = F.greatest(F.lit(0.0), 1.0 - share)
+    out = df.withColumns({"residual": residual, "redundancy": redundancy})
+    return out.withColumn("w", F.when(F.col("redundancy") > 1e-9, F.col("residual") / (F.lit(max(found["sigma0"], 1e-9)) * F.sqrt("redundancy"))))
+
+
 def affine_fit(marks: DataFrame) -> tuple[np.ndarray, float, int]:
     """Affine from ``col, row`` to ``x, y``: rows ``(a, b, c)`` of either coordinate. Needs three marks, for a residual four."""
     return fit(marks, [F.col("col"), F.col("row"), F.lit(1.0)], [F.col("x"), F.col("y")])

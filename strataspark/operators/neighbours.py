@@ -5,10 +5,12 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, ship_package
 
 AXES = ("x", "y", "z")
 
@@ -89,8 +91,12 @@ def relabel(points: DataFrame, noise: DataFrame, low: Column, key: str = "index"
 
 
 def co_occurrence(seen: DataFrame, item: str, group: str, least: int = 1) -> DataFrame:
-    """``a, b, shared``: pairs of items and the groups both are in. Groups are the points of a block, so small."""
-    rows = seen.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
+    """``a, b, shared``: pairs of items and the groups both are in. Groups are the points of a block, so small.
+
+    The distinct rows are written first: both sides of the join are then plain exchanges, and a group that is large all the
+    same is split over tasks. Counts are combined before the shuffle.
+    """
+    rows = materialise(seen.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct(), "co-occurrence")
     pairs = rows.select("g", F.col("i").alias("a")).join(rows.select("g", F.col("i").alias("b")), "g").filter("a < b")
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
 
@@ -121,18 +127,47 @@ def _squared(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q).cast("double") * (p - q).cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+MATCH_ROWS = 1024  # left descriptors of a block whose distances to the right ones are held at once
+
+
+def _matches(ratio: float):
+    """Mutual best matches of one block, by products of descriptor matrices."""
+
+    def run(part):
+        left, right = part[part["side"] == 0], part[part["side"] == 1]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": [], "distance": []})
+        left, right = left.sort_values("id", kind="stable"), right.sort_values("id", kind="stable")  # ties go to the least id
+        ids_a, ids_b = left["id"].to_numpy(), right["id"].to_numpy()
+        one, two = (np.array(d["vector"].tolist(), float) for d in (left, right))
+        best, d2 = np.zeros(len(one), np.int64), np.zeros(len(one))
+        second, back, back_d = np.full(len(one), np.inf), np.zeros(len(two), np.int64), np.full(len(two), np.inf)
+        for s in range(0, len(one), MATCH_ROWS):
+            part = one[s : s + MATCH_ROWS]
+            far = np.maximum((part**2).sum(1)[:, None] - 2 * part @ two.T + (two**2).sum(1), 0.0)
+            rows = np.arange(len(part))
+            own = far.argmin(1)
+            nearer = far.min(0) < back_d
+            back[nearer], back_d[nearer] = far.argmin(0)[nearer] + s, far.min(0)[nearer]
+            best[s : s + len(part)], d2[s : s + len(part)] = own, ((part - two[own]) ** 2).sum(1)
+            far[rows, own] = np.inf
+            second[s : s + len(part)] = far.min(1)
+        good = (np.sqrt(d2) < ratio * np.sqrt(second)) & (back[best] == np.arange(len(one)))
+        return pd.DataFrame({"a": ids_a[good], "b": ids_b[best[good]], "distance": np.sqrt(d2[good])})
+
+    return run
+
+
 def ratio_match(left: DataFrame, right: DataFrame, ratio: float = 0.8, block: str = "block") -> DataFrame:
     """Mutual best matches of descriptors within a block that pass the ratio test: ``a, b, distance``.
 
-    ``left`` and ``right`` have ``id, vector`` and a block column; a block is a photo pair, whose features are bounded by the detector.
+    ``left`` and ``right`` have ``id, vector`` and a block column. A block is a photo pair, whose features the detector
+    bounds, and is one task: descriptors move once, and distances are products of matrices in parts of bounded height.
     """
-    pairs = left.select(F.col("id").alias("a"), F.col("vector").alias("va"), block).join(right.select(F.col("id").alias("b"), F.col("vector").alias("vb"), block), block)
-    d = pairs.select("a", "b", _squared(F.col("va"), F.col("vb")).alias("d2"))
-    by_a = d.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d2", "b"))).filter("r <= 2")
-    best = by_a.groupBy("a").agg(F.min_by("b", "r").alias("b"), F.min_by("d2", "r").alias("d2"), F.max(F.when(F.col("r") == 2, F.col("d2"))).alias("second"))
-    best = best.filter(F.col("second").isNull() | (F.sqrt("d2") < ratio * F.sqrt("second")))
-    back = d.groupBy("b").agg(F.min_by("a", F.struct("d2", "a")).alias("a"))
-    return best.join(back, ["a", "b"]).select("a", "b", F.sqrt("d2").alias("distance"))
+    kind = left.schema["id"].dataType.simpleString()
+    both = [d.select(F.col(block).alias("block"), F.lit(k).alias("side"), "id", "vector") for k, d in enumerate((left, right))]
+    ship_package(left.sparkSession)
+    return both[0].unionByName(both[1]).groupBy("block").applyInPandas(_matches(ratio), f"a {kind}, b {kind}, distance double")
 
 
 def overlap_area(a: str, b: str) -> Column:

@@ -18,7 +18,7 @@ def rms(v: Column) -> Column:
 
 def residual_table(residuals: DataFrame, images: DataFrame, control: DataFrame, show: str = "all") -> DataFrame:
     """Residuals ``image_id, point_id, dx, dy`` with names and kinds (``gcp``, ``check``, else ``tie``), worst first."""
-    named = residuals.join(F.broadcast(images.select("image_id", F.col("name").alias("image"))), "image_id", "left").join(
+    named = residuals.join(images.select("image_id", F.col("name").alias("image")), "image_id", "left").join(
         control.select("point_id", F.when(F.col("is_check"), "check").otherwise("gcp").alias("kind")), "point_id", "left"
     )
     rows = named.withColumns({"kind": F.coalesce("kind", F.lit("tie")), "magnitude": F.hypot("dx", "dy")})

@@ -377,7 +377,13 @@ def _(t, spark, d):
     return graph.components(t("orders").select((F.col("o_custkey") * 2).alias("u"), (F.col("o_orderkey") * 2 + 1).alias("v")))
 
 
-@query("raster_patches", None)
+_PATCHES = f"""{SURFACE}, f AS (SELECT "row", col, ("row"::BIGINT << 32) | col AS id, value FROM s WHERE value > 5), ed AS (
+SELECT f.id AS u, g.id AS v FROM f JOIN f g ON abs(f."row" - g."row") + abs(f.col - g.col) = 1),
+w(node, root) AS (SELECT id, id FROM f UNION SELECT ed.v, w.root FROM w JOIN ed ON ed.u = w.node),
+pt AS (SELECT node, min(root) AS patch FROM w GROUP BY node), sz AS (SELECT patch, count(*) AS cells FROM pt GROUP BY patch)"""
+
+
+@query("raster_patches", f'WITH RECURSIVE {_PATCHES} SELECT f."row", f.col, pt.patch, sz.cells FROM f JOIN pt ON pt.node = f.id JOIN sz USING (patch)')
 def _(t, spark, d):
     return graph.raster_patches(surface(spark, d).filter("value > 5"))
 
@@ -644,7 +650,17 @@ def _(t, spark, d):
     return spark.range(1).select(near(F.lit(float(x[0, 0])), 4).alias("slope"), near(F.lit(float(x[0, 1])), 3).alias("intercept"))
 
 
-@query("ray_points", None)
+_RAYS = """ry AS (SELECT l_orderkey AS point_id, l_quantity AS cx, l_discount * 100 AS cy, 100.0::DOUBLE AS cz, ((l_orderkey % 50) - l_quantity)::DOUBLE AS dx, 5 - l_discount * 100 AS dy, -100.0::DOUBLE AS dz FROM lineitem),
+n2 AS (SELECT *, dx * dx + dy * dy + dz * dz AS q FROM ry),
+pj AS (SELECT *, 1 - dx * dx / q AS p00, -dx * dy / q AS p01, -dx * dz / q AS p02, 1 - dy * dy / q AS p11, -dy * dz / q AS p12, 1 - dz * dz / q AS p22 FROM n2),
+su AS (SELECT point_id, count(*) AS rays, sum(p00) AS a, sum(p01) AS b, sum(p02) AS c, sum(p11) AS d, sum(p12) AS e, sum(p22) AS f,
+  sum(p00 * cx + p01 * cy + p02 * cz) AS r0, sum(p01 * cx + p11 * cy + p12 * cz) AS r1, sum(p02 * cx + p12 * cy + p22 * cz) AS r2 FROM pj GROUP BY point_id),
+dt AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM su),
+ok AS (SELECT * REPLACE (CASE WHEN abs(det) > 1e-12 THEN det END AS det) FROM dt)"""
+
+
+@query("ray_points", f"""WITH {_RAYS} SELECT point_id, rays, round((r0 * (d * f - e * e) - b * (r1 * f - e * r2) + c * (r1 * e - d * r2)) / det, 6) AS x,
+round((a * (r1 * f - e * r2) - r0 * (b * f - e * c) + c * (b * r2 - r1 * c)) / det, 6) AS y, round((a * (d * r2 - r1 * e) - b * (b * r2 - r1 * c) + r0 * (b * e - d * c)) / det, 6) AS z FROM ok""")
 def _(t, spark, d):
     o = t("lineitem").select(F.col("l_orderkey").alias("point_id"), F.col("l_quantity").alias("cx"), (F.col("l_discount") * 100).alias("cy"), F.lit(100.0).alias("cz"), ((F.col("l_orderkey") % 50) - F.col("l_quantity")).cast("double").alias("dx"), (5 - F.col("l_discount") * 100).alias("dy"), F.lit(-100.0).alias("dz"))
     return rounded(fits.ray_points(o))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cameras, diagnostics, features, fits, grid, neighbours
+from ..operators import cameras, diagnostics, features, fits, grid, neighbours, volumes
 from . import mosaic, reports, terrain
-from .catalogue import hyp, query
-from .tables import CELLS, FULL, GRID, KEYS, SURFACE, full_surface, near, points, rounded, surface
+from .catalogue import _PATCHES, hyp, query
+from .tables import CELLS, FULL, GRID, KEYS, SURFACE, TWO, full_surface, near, points, rounded, surface
 
 _R = 3
 _NEAREST = f"""{FULL}, d AS (SELECT f."row", f.col, min(row(i.a * i.a + j.b * j.b, s.value)) AS m FROM f, (SELECT unnest(range(-{_R}, {_R + 1})) AS a) i, (SELECT unnest(range(-{_R}, {_R + 1})) AS b) j
@@ -68,7 +68,7 @@ def _(t, spark, d):
     return terrain.depth_buffer(t("lineitem").select(F.col("l_extendedprice").alias("u"), F.col("l_quantity").alias("v"), F.col("l_discount").alias("depth")), 5.0)
 
 
-@query("despeckle", None)
+@query("despeckle", f'WITH RECURSIVE {_PATCHES} SELECT f."row", f.col, round(f.value, 6) AS value FROM f JOIN pt ON pt.node = f.id JOIN sz USING (patch) WHERE sz.cells >= 4')
 def _(t, spark, d):
     return rounded(terrain.despeckle(surface(spark, d).filter("value > 5").select("row", "col", "value"), 4))
 
@@ -103,7 +103,15 @@ def _(t, spark, d):
     return spark.createDataFrame([(int(k), round(g, 6), round(o, 6)) for k, (g, o) in found.items()], "layer int, gain double, shift double")
 
 
-@query("quantile_match", None)
+_SHARES = ", ".join(f"{k / 100}" for k in range(101))
+
+
+@query("quantile_match", f"""WITH {TWO}, bo AS (SELECT a.value AS va, b.value AS vb FROM a JOIN b USING ("row", col)),
+q AS (SELECT unnest(range(101)) AS k, unnest(quantile_cont(va, [{_SHARES}])) AS qa, unnest(quantile_cont(vb, [{_SHARES}])) AS qb FROM bo),
+ac AS (SELECT k, max(qa + k * 1e-6) OVER (ORDER BY k) AS a0, qb AS b0 FROM q), st AS (SELECT k, a0, b0, lead(a0) OVER (ORDER BY k) AS a1, lead(b0) OVER (ORDER BY k) AS b1, max(a0) OVER () AS top, min(a0) OVER () AS low FROM ac),
+ce AS (SELECT "row", col, greatest((SELECT any_value(low) FROM st), least((SELECT any_value(top) FROM st), value)) AS v FROM a),
+pk AS (SELECT ce."row", ce.col, v, min(k) AS k FROM ce JOIN st ON st.a1 IS NOT NULL AND a0 <= v AND (v < a1 OR a1 = top) GROUP BY ALL)
+SELECT "row", col, round(b0 + (v - a0) / (a1 - a0) * (b1 - b0), 6) AS value FROM pk JOIN st USING (k)""")
 def _(t, spark, d):
     return rounded(mosaic.quantile_match(surface(spark, d, "O").select("row", "col", "value"), surface(spark, d, "F").select("row", "col", "value")))
 
@@ -141,7 +149,9 @@ def _(t, spark, d):
     return reports.residual_listing(r).select("line")
 
 
-@query("report_table", None)
+@query("report_table", """WITH w AS (SELECT greatest(max(length(n_nationkey::VARCHAR)), 2)::INT AS a, greatest(max(length(n_name)), 4)::INT AS b, greatest(max(length(n_regionkey::VARCHAR)), 6)::INT AS c FROM nation)
+SELECT 0::BIGINT AS rank, lpad('Id', a, ' ') || ' ' || lpad('Name', b, ' ') || ' ' || lpad('Region', c, ' ') AS line FROM w UNION ALL SELECT 1, repeat('-', a + b + c + 2) FROM w
+UNION ALL SELECT row_number() OVER (ORDER BY n_nationkey) + 1, lpad(n_nationkey::VARCHAR, a, ' ') || ' ' || lpad(n_name, b, ' ') || ' ' || lpad(n_regionkey::VARCHAR, c, ' ') FROM nation, w""")
 def _(t, spark, d):
     return reports.table_lines(t("nation"), [("n_nationkey", "Id", None), ("n_name", "Name", None), ("n_regionkey", "Region", None)], ["n_nationkey"])
 
@@ -292,3 +302,60 @@ def _(t, spark, d):
     lens = {"dx0": 0.01, "dy0": -0.02, "df": 0.02, "k1": 0.003, "k2": -0.001, "p1": 0.0005, "p2": -0.0002, "b1": 0.0001}
     dx, dy = self_calibration(F.col("c_acctbal") / 100, F.col("c_nationkey") * 4.0 - 50, lens, 150.0, 100.0)
     return rounded(t("customer").select("c_custkey", dx.alias("dx"), dy.alias("dy")))
+
+
+# ---- depth maps, voxels, precision -------------------------------------------------------------
+
+_DEPTHS = "dp AS (SELECT l_suppkey AS image_id, l_partkey % 20 AS \"row\", l_orderkey % 20 AS col, 100 + l_discount * 20 AS depth FROM lineitem)"
+
+
+@query("depth_consensus", f"""WITH {_DEPTHS}, m AS (SELECT image_id, "row", col, median(depth) AS mid FROM dp GROUP BY ALL),
+k AS (SELECT dp.* FROM dp JOIN m USING (image_id, "row", col) WHERE abs(depth - mid) <= 0.003 * mid) SELECT image_id, "row", col, round(avg(depth), 6) AS depth, count(*) AS agree FROM k GROUP BY ALL HAVING avg(depth) BETWEEN 100.17 AND 101.87""")
+def _(t, spark, d):
+    seen = t("lineitem").select(F.col("l_suppkey").alias("image_id"), (F.col("l_partkey") % 20).alias("row"), (F.col("l_orderkey") % 20).alias("col"), (100 + F.col("l_discount") * 20).alias("depth"))
+    bounds = t("supplier").select(F.col("s_suppkey").alias("image_id"), F.lit(100.17).alias("near"), F.lit(101.87).alias("far"))
+    return rounded(volumes.depth_consensus(seen, 0.003, bounds))
+
+
+_SEEN = "sn AS (SELECT l_partkey % 500 AS voxel, (l_quantity - 20) / 10 AS sdf, l_tax * 1000 AS red FROM lineitem)"
+
+
+@query("fused_distances", f"WITH {_SEEN} SELECT voxel, round(avg(greatest(-1, least(1, sdf / 1.5))), 6) AS value, count(*) AS weight, round(avg(red) FILTER (abs(sdf) < 1.5), 6) AS red FROM sn WHERE sdf > -1.5 GROUP BY voxel")
+def _(t, spark, d):
+    seen = t("lineitem").select((F.col("l_partkey") % 500).alias("voxel"), ((F.col("l_quantity") - 20) / 10).alias("sdf"), (F.col("l_tax") * 1000).alias("red"))
+    return rounded(volumes.fuse_distances(seen, 1.5, ["red"]))
+
+
+_FUSED = "fu AS (SELECT (c_custkey % 7)::INT AS ix, (c_custkey // 7 % 11)::INT AS iy, (c_custkey // 77)::INT AS iz, c_acctbal AS value, 1 AS weight FROM customer)"
+
+
+@query("surface_voxels", f"""WITH {_FUSED}, cr AS (
+SELECT f.ix + 0.5 + f.value / (f.value - g.value) AS x, f.iy + 0.5 AS y, f.iz + 0.5 AS z FROM fu f JOIN fu g ON g.ix = f.ix + 1 AND g.iy = f.iy AND g.iz = f.iz WHERE (f.value < 0) <> (g.value < 0) UNION ALL
+SELECT f.ix + 0.5, f.iy + 0.5 + f.value / (f.value - g.value), f.iz + 0.5 FROM fu f JOIN fu g ON g.ix = f.ix AND g.iy = f.iy + 1 AND g.iz = f.iz WHERE (f.value < 0) <> (g.value < 0) UNION ALL
+SELECT f.ix + 0.5, f.iy + 0.5, f.iz + 0.5 + f.value / (f.value - g.value) FROM fu f JOIN fu g ON g.ix = f.ix AND g.iy = f.iy AND g.iz = f.iz + 1 WHERE (f.value < 0) <> (g.value < 0))
+SELECT round(x * 2.0, 6) AS x, round(y * 2.0, 6) AS y, round(z * 2.0, 6) AS z FROM cr""")
+def _(t, spark, d):
+    key = F.col("c_custkey")
+    fused = t("customer").select((key % 7).cast("int").alias("ix"), (F.floor(key / 7) % 11).cast("int").alias("iy"), F.floor(key / 77).cast("int").alias("iz"), F.col("c_acctbal").alias("value"), F.lit(1).alias("weight"))
+    return rounded(volumes.surface_voxels(fused, 2.0))
+
+
+_LINE = "ln AS (SELECT p_partkey, p_retailprice / 100 AS x, p_size + 0.3 * p_retailprice / 100 AS y FROM part), ss AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, sum(x * x) - count(*) * avg(x) * avg(x) AS sxx, sum(x * y) - count(*) * avg(x) * avg(y) AS sxy, sum(y * y) - count(*) * avg(y) * avg(y) AS syy FROM ln), li AS (SELECT *, sxy / sxx AS b, my - sxy / sxx * mx AS a, sqrt((syy - sxy * sxy / sxx) / (n - 2)) AS s0 FROM ss)"
+
+
+def _line(t):
+    x = F.col("p_retailprice") / 100
+    return t("part").select("p_partkey", x.alias("x"), (F.col("p_size") + 0.3 * x).alias("y"))
+
+
+@query("fit_precision", f"WITH {_LINE} SELECT round(a, 5) AS a, round(b, 5) AS b, round(s0, 5) AS sigma0, round(s0 * sqrt(1.0 / n + mx * mx / sxx), 5) AS sigma_a, round(s0 / sqrt(sxx), 5) AS sigma_b, (n - 2)::BIGINT AS redundancy FROM li")
+def _(t, spark, d):
+    p = fits.precision(_line(t), [F.lit(1.0), F.col("x")], F.col("y"))
+    values = [*p["x"], p["sigma0"], p["covariance"][0, 0] ** 0.5, p["covariance"][1, 1] ** 0.5]
+    return rounded(spark.range(1).select(*[F.lit(float(v)).alias(k) for k, v in zip(("a", "b", "sigma0", "sigma_a", "sigma_b"), values, strict=True)], F.lit(int(p["redundancy"])).cast("long").alias("redundancy")), 5)
+
+
+@query("redundancy_numbers", f"WITH {_LINE}, rd AS (SELECT p_partkey, y - a - b * x AS v, 1 - 1.0 / n - (x - mx) * (x - mx) / sxx AS r, s0 FROM ln, li) SELECT p_partkey, round(v, 5) AS residual, round(r, 6) AS redundancy, round(v / (s0 * sqrt(r)), 5) AS w FROM rd")
+def _(t, spark, d):
+    c = fits.checked(_line(t), [F.lit(1.0), F.col("x")], F.col("y"))
+    return c.select("p_partkey", near("residual", 5).alias("residual"), near("redundancy", 6).alias("redundancy"), near("w", 5).alias("w"))
