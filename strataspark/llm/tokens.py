@@ -40,11 +40,12 @@ class Memo(dict):
     follows the texts, where a table that keeps whoever came first would serve ever fewer of them.
     """
 
-    def __init__(self, make):
+    def __init__(self, make, part: int = 1):
         super().__init__()
         self.make = make
         self.old: dict = {}
-        self.room = MEMO_BYTES
+        self.size = MEMO_BYTES // part
+        self.room = self.size
 
     def __missing__(self, piece: str) -> bytes:
         found = self.old.get(piece)
@@ -55,7 +56,7 @@ class Memo(dict):
             if self.room < size:
                 self.old = dict(self)
                 self.clear()
-                self.room = MEMO_BYTES
+                self.room = self.size
             self.room -= size
             self[piece] = found
         return found
@@ -80,7 +81,7 @@ class ByteEncoder:
         self.model = self.tokenizer.model
         self.letters = dict(enumerate(byte_letters()))
         self.pieces = Memo(self._piece)
-        self.words = Memo(self._library)
+        self.words = Memo(self._library, 4)
         self.marks = {c: self._library(c) for c in ".,"}
 
     def _library(self, text: str) -> bytes:
