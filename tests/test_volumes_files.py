@@ -35,8 +35,8 @@ def test_tiff_bands_of_rows(spark, tmp_path):
     cells = spark.range(300).select((F.col("id") / 30).cast("int").alias("row"), (F.col("id") % 30).cast("int").alias("col"), F.when(F.col("id") % 7 > 0, F.col("id") / 4).alias("value"))
     rasters.write_tiff(cells, g, str(tmp_path / "t"), rows_a_file=3)
     info = {r["file"]: r for r in rasters.tiff_info(spark, str(tmp_path / "t")).collect()}
-    assert sorted(r["height"] for r in info.values()) == [g.rows - 9, 3, 3, 3] and max(r["north"] for r in info.values()) == 50
-    got = {(r["row"] + round((50 - info[r["file"]]["north"]) / 5), r["col"]): r["value"] for r in rasters.read_tiff(spark, str(tmp_path / "t")).collect()}
+    assert sorted(r["height"] for r in info.values()) == [g.rows - 9, 3, 3, 3] and max(r["north"] for r in info.values()) == g.north
+    got = {(r["row"] + round((g.north - info[r["file"]]["north"]) / 5), r["col"]): r["value"] for r in rasters.read_tiff(spark, str(tmp_path / "t")).collect()}
     assert {k: v for k, v in got.items() if k[0] < 10 and k[1] < 30} == {(k // 30, k % 30): (k / 4 if k % 7 else None) for k in range(300)}
     assert all(v is None for k, v in got.items() if k[0] >= 10 or k[1] >= 30)
 
