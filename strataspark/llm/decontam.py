@@ -18,13 +18,14 @@ GRAM = 8  # bytes from a word start that propose where a window begins
 RUN = 32  # bytes without a space beyond which each letter counts as a word start
 SLACK = 12  # places that the grams of one window may be out of line
 COVER = 13  # bytes of an item that grams in line must cover
-REPEATS = 40  # embeddings, each with its own walk and tables
-MEET = 3  # tables in which a window and an item must meet
-HOPE = 20  # embeddings after which a window that has not met its item once is given up
+REPEATS = 64  # embeddings, each with its own walk and tables
+MEET = 4  # tables in which a window and an item must meet
+TOGETHER = 8  # embeddings that are made side by side
+HOPE = 24  # embeddings after which a window that has not met its item once is given up
 SAMPLED = 4  # letters of an embedding that make a key
 STRETCHES = 8  # parts of a walk that have tables of their own, beside the one of the whole walk
 CLASS = 1.12  # items whose lengths are within this factor share tables
-WALK_BYTES = 2_000_000  # of the windows that walk together
+WALK_BYTES = 500_000  # of the windows that walk together
 HITS = 4_000_000  # grams found in items that are looked at together; above, texts are halved
 LEAST_PIECE = 4096
 BLOCK_ITEMS = 20_000
@@ -79,21 +80,25 @@ def edit_distance_within(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
-def cgk(windows: np.ndarray, lengths: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """CGK embedding of each row: at every step the letter under the walk goes out, and a random bit of step and letter says if the walk moves on.
+def cgk(windows: np.ndarray, lengths: np.ndarray, steps: int, seeds: list[int]) -> np.ndarray:
+    """CGK embeddings ``[step, seed, row]``: at every step the letter under the walk goes out, and a random bit of step and letter says if the walk moves on.
 
     Edits that two strings differ by throw their walks apart only until they meet again, so the edit distance shows
-    as a Hamming distance. Behind a string's end the embedding is 0.
+    as a Hamming distance. Behind a string's end the embedding is 0. The walks of all seeds run side by side.
     """
     n, width = windows.shape
-    moves = np.random.default_rng(seed).integers(0, 2, (steps, 256), dtype=np.uint8)
-    out = np.zeros((n, steps), np.uint8)
-    at, rows = np.zeros(n, np.int64), np.arange(n)
+    reach = max(width, steps) + 1  # a walk takes no more than one letter a step
+    letters = np.zeros((n, reach), np.uint8)
+    letters[:, :width] = np.where(np.arange(width) < lengths[:, None], windows, 0)
+    letters = letters.reshape(-1)
+    moves = np.stack([np.random.default_rng(s).integers(0, 2, (steps, 256), dtype=np.uint8) for s in seeds], 1).reshape(steps, -1)
+    at = np.tile(np.arange(n, dtype=np.int64) * reach, len(seeds))
+    table = np.repeat(np.arange(len(seeds), dtype=np.int64) * 256, n)
+    out = np.zeros((steps, len(at)), np.uint8)
     for t in range(steps):
-        letter = np.where(at < lengths, windows[rows, np.minimum(at, width - 1)], 0).astype(np.uint8)
-        out[:, t] = letter
-        at += moves[t][letter]
-    return out
+        out[t] = letters[at]
+        at += moves[t][table + out[t]]
+    return out.reshape(steps, len(seeds), n)
 
 
 class Items:
@@ -205,9 +210,8 @@ def _windows(items: Items, at, low, count) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sampled(walks: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Keys of each walk (row): ``SAMPLED`` letters, for each of the tables of a repeat."""
-    letters = np.ascontiguousarray(walks[:, at]).reshape(len(walks), -1, SAMPLED)
-    return letters.view(np.uint32)[:, :, 0]
+    """Keys of each walk (column): ``SAMPLED`` letters, for each of the tables of a repeat."""
+    return np.ascontiguousarray(walks[at].T).view(np.uint32)
 
 
 def _meet(mine: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,6 +227,13 @@ def _meet(mine: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(items)
 
 
+def _places(repeat: int, length: int) -> np.ndarray:
+    """Steps of the walks of a repeat whose letters are drawn: ``SAMPLED`` for the whole walk, then for each stretch of it."""
+    share = np.random.default_rng((SEED, repeat)).random((1 + STRETCHES, SAMPLED))
+    share[1:] = (share[1:] + np.arange(STRETCHES)[:, None]) / STRETCHES
+    return (share.reshape(-1) * 2 * length).astype(np.int64)
+
+
 def candidates(items: Items, item: np.ndarray, windows: list[bytes], repeats: int = REPEATS) -> list[tuple[int, int]]:
     """Pairs ``(window, item)`` that have keys in common in the tables.
 
@@ -246,16 +257,17 @@ def candidates(items: Items, item: np.ndarray, windows: list[bytes], repeats: in
             left = mine[s : s + lot]
             text = np.frombuffer(b"".join(windows[k].ljust(width, b"\0")[:width] for k in left.tolist()), np.uint8).reshape(len(left), width)
             length, times = items.sizes[item[left]], np.zeros(len(left), np.int64)
-            for r in range(repeats):
-                share = np.random.default_rng((SEED, r)).random((1 + STRETCHES, SAMPLED))
-                share[1:] = (share[1:] + np.arange(STRETCHES)[:, None]) / STRETCHES
-                at = (share.reshape(-1) * 2 * shortest).astype(np.int64)
-                walks = cgk(np.concatenate([text, known]), np.concatenate([length, items.sizes[used]]), int(at.max()) + 1, SEED + r)
-                keys = _sampled(walks, at)
-                row, met = _meet(keys[: len(left)], keys[len(left) :])
-                met_all.append(left[row] * n + used[met])
-                times += np.bincount(row[used[met] == item[left[row]]], minlength=len(left))
-                more = (times < MEET) & ((times > 0) | (r + 1 != HOPE))
+            for first in range(0, repeats, TOGETHER):
+                drawn = range(first, min(repeats, first + TOGETHER))
+                places = [_places(r, shortest) for r in drawn]
+                both, sizes = np.concatenate([text, known]), np.concatenate([length, items.sizes[used]])
+                walks = cgk(both, sizes, max(int(p.max()) for p in places) + 1, [SEED + r for r in drawn])
+                for k, at in enumerate(places):
+                    keys = _sampled(walks[:, k], at)
+                    row, met = _meet(keys[: len(left)], keys[len(left) :])
+                    met_all.append(left[row] * n + used[met])
+                    times += np.bincount(row[used[met] == item[left[row]]], minlength=len(left))
+                more = (times < MEET) & ((times > 0) | (first + TOGETHER != HOPE))
                 if not more.all():
                     left, text, length, times = left[more], text[more], length[more], times[more]
                 if not len(left):
@@ -370,8 +382,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Windows of an item's size are taken where 8-byte grams at word starts stand in line with the item's and cover 13 of
     its bytes (or all that its grams cover), from all words of the whole text. In scripts that write without spaces and in long runs each
     letter counts as a word start, and for items with a single gram all letters are looked at. Each window asks the tables of up
-    to 40 CGK embeddings, whose keys are four sampled letters, for items of about its length;
-    what it meets there in three tables is verified exactly. A verbatim passage is always found; recall under edits is measured
+    to 64 CGK embeddings, whose keys are four sampled letters, for items of about its length;
+    what it meets there in four tables is verified exactly. A verbatim passage is always found; recall under edits is measured
     against brute force in the tests. Items of under 8 bytes leak where they stand as whole words.
 
     Null and empty texts leak nothing, null items and ids of items are left out, repeated rows of documents are one pair
