@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import cameras, diagnostics, features, fits, grid, neighbours, volumes
@@ -31,7 +33,19 @@ def _(t, spark, d):
     return rounded(terrain.fill_voids(full_surface(spark, d), 2, "idw"))
 
 
-@query("height_model", None)
+_FILL_HEIGHT = """nv AS (SELECT v."row", v.col, arg_min(s.value, row((v."row" - s."row") * (v."row" - s."row") + (v.col - s.col) * (v.col - s.col), s.value)) AS value
+FROM gl v, gl s WHERE v.value IS NULL AND s.value IS NOT NULL GROUP BY v."row", v.col), fl AS (SELECT v."row", v.col, coalesce(v.value, nv.value) AS value FROM gl v LEFT JOIN nv USING ("row", col))"""
+_EAST, _SOUTH = GRID.west + (GRID.cols - 0.5) * GRID.cell_x, GRID.north - (GRID.rows - 0.5) * GRID.cell_y
+
+
+@query("height_model", f"""WITH {CELLS}, dd AS (SELECT DISTINCT ON (l_orderkey, l_linenumber, l_partkey, l_suppkey, x) * FROM c), id AS (SELECT *, row_number() OVER () AS i FROM dd),
+gm AS (SELECT "row", col, avg(z) AS value FROM id WHERE classification = 2 GROUP BY ALL),
+la AS (SELECT r."row", k.col FROM (SELECT unnest(range({GRID.rows}))::INT AS "row") r, (SELECT unnest(range({GRID.cols}))::INT AS col) k), gl AS (SELECT la."row", la.col, gm.value FROM la LEFT JOIN gm USING ("row", col)),
+{_FILL_HEIGHT}, us AS (SELECT i, greatest({GRID.west + GRID.cell_x / 2}, least({_EAST}, x)) AS x, greatest({_SOUTH}, least({GRID.north - GRID.cell_y / 2}, y)) AS y FROM id WHERE classification NOT IN (7, 18)),
+fr AS (SELECT i, (x - {GRID.west}) / {GRID.cell_x} - 0.5 AS fx, ({GRID.north} - y) / {GRID.cell_y} - 0.5 AS fy FROM us),
+co AS (SELECT i, floor(fx)::INT + b AS col, floor(fy)::INT + a AS "row", (CASE a WHEN 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) * (CASE b WHEN 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) AS w FROM fr, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(b)),
+el AS (SELECT i, CASE WHEN count(*) = count(fl.value) THEN sum(w * fl.value) END AS ground FROM co LEFT JOIN fl USING ("row", col) WHERE w > 0 GROUP BY i),
+ov AS (SELECT "row", col, greatest(z - ground, 0.0) AS h FROM id JOIN el USING (i)) SELECT "row", col, round(max(h), 6) AS value, count(*) AS n FROM ov WHERE h <= 100 GROUP BY 1, 2""")
 def _(t, spark, d):
     p = points(spark, d).withColumn("index", F.xxhash64(*KEYS, "x")).dropDuplicates(["index"])
     return rounded(terrain.height_above_ground(p, GRID))
@@ -50,7 +64,44 @@ def _(t, spark, d):
     return rounded(terrain.contour_edges(full_surface(spark, d), 0.5))
 
 
-@query("profile", None)
+@query("contour_segments", f"""WITH {FULL}, g AS (SELECT "row", col, value AS a, lead(value) OVER (PARTITION BY "row" ORDER BY col) AS b FROM f),
+h AS (SELECT *, lead(a) OVER w AS d, lead(b) OVER w AS c FROM g WINDOW w AS (PARTITION BY col ORDER BY "row")),
+k AS (SELECT *, unnest(range(floor(least(a, b, c, d) / 1.7)::BIGINT + 1, floor(greatest(a, b, c, d) / 1.7)::BIGINT + 1)) * 1.7 AS level FROM h WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND d IS NOT NULL),
+t AS (SELECT *, (a >= level) <> (b >= level) AS e1, (b >= level) <> (c >= level) AS e2, (d >= level) <> (c >= level) AS e3, (a >= level) <> (d >= level) AS e4, ((a + b + c + d) / 4 >= level) = (a >= level) AS through FROM k),
+m AS (SELECT *, [col + (level - a) / (b - a), "row"] AS p1, [col + 1, "row" + (level - b) / (c - b)] AS p2, [col + (level - d) / (c - d), "row" + 1] AS p3, [col, "row" + (level - a) / (d - a)] AS p4 FROM t),
+zz AS (SELECT *, unnest(CASE WHEN e1 AND e2 AND e3 AND e4 THEN CASE WHEN through THEN [[p1, p2], [p3, p4]] ELSE [[p1, p4], [p2, p3]] END
+  WHEN e1 AND e2 THEN [[p1, p2]] WHEN e1 AND e3 THEN [[p1, p3]] WHEN e1 AND e4 THEN [[p1, p4]] WHEN e2 AND e3 THEN [[p2, p3]] WHEN e2 AND e4 THEN [[p2, p4]] ELSE [[p3, p4]] END) AS z FROM m)
+SELECT round(level, 6) AS level, "row", col, round(z[1][1], 5) AS x1, round(z[1][2], 5) AS y1, round(z[2][1], 5) AS x2, round(z[2][2], 5) AS y2 FROM zz""")
+def _(t, spark, d):
+    lines = terrain.contour_segments(full_surface(spark, d), 1.7)
+    return lines.select(near("level", 6).alias("level"), "row", "col", *[near(c, 5).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+@query("contour_rings", None)
+def _(t, spark, d):
+    return rounded(terrain.contour_rings(terrain.contour_segments(full_surface(spark, d), 1.7)))
+
+
+# The voids of a lattice by the nearest filled cell, ties to the lesser value.
+_FILL = """nv AS (SELECT v."row", v.col, arg_min(s.value, row((v."row" - s."row") * (v."row" - s."row") + (v.col - s.col) * (v.col - s.col), s.value)) AS value
+FROM {f} v, {f} s WHERE v.value IS NULL AND s.value IS NOT NULL GROUP BY v."row", v.col),
+fl AS (SELECT v."row", v.col, coalesce(v.value, nv.value) AS value FROM {f} v LEFT JOIN nv USING ("row", col))"""
+_CORNERS = """co AS (SELECT {key}, floor(fx)::INT + b AS col, floor(fy)::INT + a AS "row", (CASE a WHEN 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) * (CASE b WHEN 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) AS w
+FROM {at}, (VALUES (0), (1)) i(a), (VALUES (0), (1)) j(b)),
+el AS (SELECT {key}, CASE WHEN count(*) = count(fl.value) THEN sum(w * fl.value) END AS ground FROM co LEFT JOIN fl USING ("row", col) WHERE w > 0 GROUP BY {key})"""
+_LINE_OF = [(5000.0, 10.0), (60_000.0, 40.0), (90_000.0, 12.0)]
+_LEGS = [(p, q, math.hypot(q[0] - p[0], q[1] - p[1])) for p, q in zip(_LINE_OF, _LINE_OF[1:], strict=False)]
+_TOTAL = sum(n for _, _, n in _LEGS)
+_LEG_ROWS = ", ".join(f"({sum(n for _, _, n in _LEGS[:k])!r}::DOUBLE, {n!r}::DOUBLE, {p[0]}::DOUBLE, {p[1]}::DOUBLE, {q[0] - p[0]}::DOUBLE, {q[1] - p[1]}::DOUBLE)" for k, (p, q, n) in enumerate(_LEGS))
+
+
+@query("profile", f"""WITH {FULL}, {_FILL.format(f="f")}, lg(d0, n, x0, y0, dx, dy) AS (VALUES {_LEG_ROWS}),
+sa AS (SELECT k AS sample, k * {_TOTAL!r} / 199 AS distance FROM (SELECT unnest(range(200)) AS k)),
+pt AS (SELECT sample, distance, arg_max(row(d0, n, x0, y0, dx, dy), d0) AS l FROM sa JOIN lg ON d0 <= distance GROUP BY ALL),
+xy AS (SELECT sample, distance, l[3] + least(1.0, (distance - l[1]) / l[2]) * l[5] AS x, l[4] + least(1.0, (distance - l[1]) / l[2]) * l[6] AS y FROM pt),
+fr AS (SELECT *, x / 1000.0 - 0.5 AS fx, ({GRID.north} - y) / 5.0 - 0.5 AS fy FROM xy), {_CORNERS.format(key="sample", at="fr")}
+SELECT sample, round(distance, 6) AS distance, round(x, 6) AS x, round(y, 6) AS y, round(ground, 6) AS elevation,
+round((lead(ground) OVER (ORDER BY sample) - lag(ground) OVER (ORDER BY sample)) / (2 * {_TOTAL!r} / 199), 6) AS gradient FROM xy JOIN el USING (sample)""")
 def _(t, spark, d):
     return rounded(terrain.profile(terrain.fill_all(full_surface(spark, d)), GRID, [(5000.0, 10.0), (60_000.0, 40.0), (90_000.0, 12.0)], 200))
 

@@ -162,6 +162,57 @@ def contour_edges(cells: DataFrame, interval: float, base: float = 0.0, index_ev
     return steps.select(level.alias("level"), "row", "col", ((level - F.col("value")) / (F.col("other") - F.col("value"))).alias("share"), "across", (F.col("k") % index_every == 0).alias("is_index"))
 
 
+def contour_segments(cells: DataFrame, interval: float, base: float = 0.0) -> DataFrame:
+    """Contour lines as segments, one for each crossing of a square of four cells: ``level, row, col, x1, y1, x2, y2, u, v``.
+
+    ``cells`` is a full lattice; ``x`` counts columns and ``y`` rows from the first centre. ``u`` and ``v`` name the lattice edges that
+    a segment ends on, so segments of one line share them. In a saddle the mean of the four corners says which sides join.
+    Squares with a void have no line.
+    """
+    right, down = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
+    east = cells.select("row", "col", F.col("value").alias("a"), F.lead("value").over(right).alias("b"))
+    square = east.withColumns({"d": F.lead("a").over(down), "c": F.lead("b").over(down)}).dropna(subset=["a", "b", "c", "d"])
+    low = F.floor((F.least("a", "b", "c", "d") - base) / interval).cast("long")
+    high = F.floor((F.greatest("a", "b", "c", "d") - base) / interval).cast("long")
+    levels = square.withColumns({"k1": low + 1, "k2": high}).filter("k1 <= k2").withColumn("k", F.explode(F.sequence("k1", "k2")))
+    levels = levels.withColumn("level", base + F.col("k") * interval)
+    a, b, c, d = (F.col(n) for n in "abcd")
+    level, x, y = F.col("level"), F.col("col").cast("double"), F.col("row").cast("double")
+    over = {n: F.col(n) >= level for n in "abcd"}
+    name = lambda row, col, side: F.shiftleft(F.col("k") + (1 << 15), 46).bitwiseOR(F.shiftleft(row.cast("long"), 23)).bitwiseOR(F.shiftleft(col.cast("long"), 1)).bitwiseOR(F.lit(side))
+    share = lambda p, q: (level - p) / (q - p)
+    sides = {
+        "top": (over["a"] != over["b"], x + share(a, b), y, name(F.col("row"), F.col("col"), 0)),
+        "right": (over["b"] != over["c"], x + 1, y + share(b, c), name(F.col("row"), F.col("col") + 1, 1)),
+        "bottom": (over["d"] != over["c"], x + share(d, c), y + 1, name(F.col("row") + 1, F.col("col"), 0)),
+        "left": (over["a"] != over["d"], x, y + share(a, d), name(F.col("row"), F.col("col"), 1)),
+    }
+    ends = {n: F.when(on, F.struct(px.alias("x"), py.alias("y"), e.alias("e"))) for n, (on, px, py, e) in sides.items()}
+    pair = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
+    met = F.array_compact(F.array(*ends.values()))
+    joined = ((a + b + c + d) / 4 >= level) == over["a"]  # the first corner's side runs through the middle
+    saddle = F.when(joined, F.array(pair(ends["top"], ends["right"]), pair(ends["bottom"], ends["left"]))).otherwise(F.array(pair(ends["top"], ends["left"]), pair(ends["right"], ends["bottom"])))
+    lines = levels.withColumn("met", met).withColumn("s", F.explode(F.when(F.size("met") == 4, saddle).otherwise(F.array(pair(F.get("met", F.lit(0)), F.get("met", F.lit(1)))))))
+    p, q = F.col("s.p"), F.col("s.q")
+    return lines.select("level", "row", "col", p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"), p["e"].alias("u"), q["e"].alias("v"))
+
+
+def contour_rings(segments: DataFrame) -> DataFrame:
+    """Lines of ``contour_segments``: ``level, ring, segments, length, closed``.
+
+    Segments that share an end are one line, found as connected components, so a line may run through any number of
+    tasks. It is closed if each of its ends has two segments.
+    """
+    from ..operators.graph import components
+
+    lines = materialise(segments, "segments")
+    roots = materialise(components(lines.select("u", "v")), "rings")
+    degree = lines.select(F.col("u").alias("node")).unionByName(lines.select(F.col("v").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    loose = degree.join(roots, "node").groupBy("root").agg(F.count_if(F.col("n") != 2).alias("loose"))
+    long = lines.join(roots, lines["u"] == roots["node"]).groupBy("level", "root").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"))).alias("length"))
+    return long.join(loose, "root").select("level", F.col("root").alias("ring"), "segments", "length", (F.col("loose") == 0).alias("closed"))
+
+
 def depth_buffer(points: DataFrame, size: float) -> DataFrame:
     """Least depth in each buffer pixel, and with it which points are hidden: ``row, col, depth``."""
     return points.groupBy(F.floor(F.col("v") / size).cast("int").alias("row"), F.floor(F.col("u") / size).cast("int").alias("col")).agg(F.min("depth").alias("depth"))

@@ -112,3 +112,21 @@ def test_mutual_matches_in_parts_against_all_pairs(spark, monkeypatch):
             if math.sqrt(order[0][0]) < 0.9 * math.sqrt(order[1][0]) and min((far[k, j], k) for k, _ in a)[1] == i:
                 want.add((i, j))
     assert got == want
+
+
+def test_contour_lines_of_two_hills_and_an_open_slope(spark):
+    from strataspark.plans import terrain
+
+    hill = lambda r, c: max(10 - math.hypot(r - 10, c - 10), 10 - math.hypot(r - 10, c - 32), 0.0)
+    df = spark.createDataFrame([(r, c, float(hill(r, c))) for r in range(21) for c in range(43)], "row int, col int, value double")
+    rings = terrain.contour_rings(terrain.contour_segments(df, 4.0)).collect()
+    assert sorted((r["level"], r["closed"]) for r in rings) == [(4.0, True), (4.0, True), (8.0, True), (8.0, True)]
+    for r in rings:
+        assert r["length"] == pytest.approx(2 * math.pi * (10 - r["level"]), rel=0.05)
+    slope = spark.createDataFrame([(r, c, r + 0.25) for r in range(4) for c in range(6)] + [(4, c, None) for c in range(6)], "row int, col int, value double")
+    lines = terrain.contour_rings(terrain.contour_segments(slope, 2.0)).collect()
+    assert [(r["level"], r["segments"], r["length"], r["closed"]) for r in lines] == [(2.0, 5, 5.0, False)]
+    saddle = spark.createDataFrame([(0, 0, 1.0), (0, 1, 0.0), (1, 0, 0.0), (1, 1, 1.2)], "row int, col int, value double")
+    found = terrain.contour_segments(saddle, 0.5).collect()
+    got = sorted((r["x1"], r["y1"], r["x2"], r["y2"]) for r in found if r["level"] == 0.5)
+    assert np.allclose(got, [(5 / 12, 1.0, 0.0, 0.5), (0.5, 0.0, 1.0, 5 / 12)])  # the corners under the level are cut off
