@@ -42,8 +42,8 @@ class WordBpe:
         self.pre = regex.compile(split["pattern"]["Regex"])
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.letters = byte_letters()
-        self.chunks = Memo(self._chunk)
-        self.words = Memo(self._word, 2)
+        self.chunks = Memo(self._chunk, 2)
+        self.words = Memo(self._word, 8)
 
     def merge(self, word: str) -> list[str]:
         """The symbols of one pre-token after all merges, lowest rank first and leftmost of equal ranks."""

@@ -70,7 +70,7 @@ def _batches(texts):
                 rows.append((k, -1))
                 parts.append(tail)
             size += len(points)
-            if size >= 4 * STRETCH:
+            if size >= STRETCH:
                 yield np.array(rows), np.concatenate(parts), np.cumsum([len(p) for p in parts])
                 rows, parts, size = [], [], 0
     if parts:
