@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import cameras, diagnostics, features, fits, grid, neighbours, volumes
+from ..operators import cameras, diagnostics, features, fits, grid, neighbours, stencils, volumes
 from . import mosaic, reports, terrain
 from .catalogue import _PATCHES, hyp, query
 from .tables import CELLS, FULL, GRID, KEYS, SURFACE, TWO, full_surface, near, points, rounded, surface
@@ -410,3 +410,35 @@ def _(t, spark, d):
 def _(t, spark, d):
     c = fits.checked(_line(t), [F.lit(1.0), F.col("x")], F.col("y"))
     return c.select("p_partkey", near("residual", 5).alias("residual"), near("redundancy", 6).alias("redundancy"), near("w", 5).alias("w"))
+
+
+# ---- certificates and alignment ----------------------------------------------------------------
+
+@query("word_rows", """WITH w AS (SELECT n_regionkey::INT AS page, n_name AS word, n_nationkey % 4 AS r, n_nationkey AS x FROM nation),
+d AS (SELECT *, dense_rank() OVER (PARTITION BY page ORDER BY r) - 1 AS "row" FROM w) SELECT page, "row"::INT AS "row", string_agg(word, ' ' ORDER BY x) AS line FROM d GROUP BY page, "row" """)
+def _(t, spark, d):
+    k = F.col("n_nationkey")
+    top = (k % 4) * 20 + (k % 3) * 0.5
+    words = t("nation").select(F.col("n_regionkey").cast("int").alias("page"), F.col("n_name").alias("text"), k.cast("double").alias("x0"), top.alias("y0"), (k + 1.0).alias("x1"), (top + 10).alias("y1"))
+    return diagnostics.word_rows(words)
+
+
+@query("certificate_fields", """SELECT s_suppkey::INT AS page, (150 + s_nationkey) || ',' || lpad((s_suppkey % 1000)::VARCHAR, 3, '0') AS focal_mm, '-0.0' || s_nationkey AS ppa_x_mm, 'UAG-' || s_suppkey AS serial FROM supplier""")
+def _(t, spark, d):
+    s = t("supplier")
+    lines = F.array(
+        F.lit("Report of calibration"),
+        F.concat(F.lit("Lens No. UAG-"), F.col("s_suppkey")),
+        F.concat(F.lit("Calibrated Focal Length: "), F.col("s_nationkey") + 150, F.lit(","), F.lpad((F.col("s_suppkey") % 1000).cast("string"), 3, "0"), F.lit(" mm")),
+        F.concat(F.lit("Principal Point of Autocollimation: -0.0"), F.col("s_nationkey"), F.lit(" mm")),
+        F.lit("Focal length 999.9 of another lens"),
+    )
+    return diagnostics.certificate_fields(s.select(F.col("s_suppkey").cast("int").alias("page"), F.posexplode(lines).alias("row", "line")))
+
+
+@query("raster_alignment", f"""WITH {FULL}, fl AS (SELECT * FROM f), gr AS (SELECT r * 100 + c AS id, 900.0 + c * 2300.0 AS x, 3.0 + r * 4.5 AS y FROM (SELECT unnest(range(10)) AS r), (SELECT unnest(range(45)) AS c)),
+fr AS (SELECT id, x / 1000.0 - 0.5 AS fx, ({GRID.north} - y) / 5.0 - 0.5 AS fy FROM gr), {_CORNERS.format(key="id", at="fr")} SELECT id, round(ground, 6) AS value FROM el""")
+def _(t, spark, d):
+    rows = spark.range(10).select(F.col("id").alias("r")).crossJoin(F.broadcast(spark.range(45).select(F.col("id").alias("c"))))  # a grid of fixed size
+    centres = rows.select((F.col("r") * 100 + F.col("c")).alias("id"), (900.0 + F.col("c") * 2300.0).alias("x"), (3.0 + F.col("r") * 4.5).alias("y"))
+    return rounded(stencils.bilinear(full_surface(spark, d), centres, 0.0, GRID.north, 1000.0, 5.0, "id"))
