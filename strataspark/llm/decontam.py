@@ -403,7 +403,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"), F.max("item_chars").alias("item_chars"))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
-    """The rows of ``docs`` without a leak, with all their columns. Rows without an id that leak go as one."""
-    bad = leaks(docs, benchmark, id_col, **names).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("__leak")), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
+    """The rows of ``docs`` without a leak, with all their columns. Rows are told apart by a hash of id and text, so of rows that share an id, or have none, those go that leak."""
+    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+    bad = leaks(docs.select(key.alias("__row"), F.col(text_col).alias("__text")), benchmark, "__row", "__text", **names).select(F.col("doc_id").alias("__leak")).distinct()
+    return docs.join(bad, key == F.col("__leak"), "left_anti")

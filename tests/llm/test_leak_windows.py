@@ -69,7 +69,7 @@ def test_recall_against_all_pairs_by_a_plain_distance(spark, share):
     plain = [_letters(t) for _, t in items]
     docs = []
     for k in range(3 * len(items)):
-        host = " ".join("".join(rng.choice(["th", "er", "on", "an", "ing", "re", "st", "ou"]) for _ in range(rng.randint(1, 4))) for _ in range(60))
+        host = " ".join("".join(rng.choice(["th", "er", "on", "an", "ing", "re", "st", "ou"]) for _ in range(rng.randint(1, 4))) for _ in range(25))
         own = plain[k % len(items)]
         docs.append((k, f"{host} {_with_edits(rng, own, int(share * len(own))).upper()}, {host}" if k < 2 * len(items) else host))
     read = [_letters(t) for _, t in docs]
@@ -125,3 +125,11 @@ def test_marks_beyond_ascii_part_words_and_vowel_signs_do_not():
     assert decontam.plain("“Hé”—l’eau…fin").decode() == "hé l eau fin"
     assert decontam.plain("好。「吗」").decode() == "好 吗"
     assert decontam.plain("ที่นี่").decode() == "ที่นี่"
+
+
+def test_rows_that_share_an_id_or_have_none_go_by_their_text(spark):
+    item = "the quick brown fox jumps over the lazy dog near the river bank"
+    rows = [(1, f"before {item} after"), (1, "a clean text"), (None, item), (None, "another clean text"), (2, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, item_id int")
+    kept = decontam.without_leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(r["item_id"] for r in kept.collect()) == [1, 3, 4, 5]
