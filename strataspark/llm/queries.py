@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..session import read_table
 from .bpe import bpe_digests
 from .decontam import leaks
+from .divergence import source_divergence, source_divergence_sql
 from .exact_dedup import exact_dedup, exact_dedup_sql
 from .filter_audit import filter_audit, filter_audit_sql
 from .langid import language_id
@@ -32,6 +33,7 @@ def queries() -> dict:
         "op8_bpe_encode_decode": _on_documents(bpe_digests),
         "op9_decontamination": lambda spark, sf_dir: leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")),
         "op10_suffix_dedup": _on_documents(suffix_dedup),
+        "op12_source_divergence": _on_documents(source_divergence),
         "op13_filter_audit": lambda spark, sf_dir: filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")),
     }
 
@@ -41,5 +43,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_license_scan": license_sql(),
         "op2_exact_dedup": exact_dedup_sql(),
         "op3_secret_scan": secret_sql(),
+        "op12_source_divergence": source_divergence_sql(),
         "op13_filter_audit": filter_audit_sql(),
     }
