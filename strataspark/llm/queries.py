@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup, exact_dedup_sql
 from .filter_audit import filter_audit, filter_audit_sql
 from .langid import language_id
 from .licenses import license_scan, license_sql
+from .pii import personal_data
 from .secrets import secret_scan, secret_sql
 from .simhash import simhash_components
 from .suffix_dedup import suffix_dedup
@@ -33,6 +34,7 @@ def queries() -> dict:
         "op8_bpe_encode_decode": _on_documents(bpe_digests),
         "op9_decontamination": lambda spark, sf_dir: leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")),
         "op10_suffix_dedup": _on_documents(suffix_dedup),
+        "op11_personal_data": _on_documents(personal_data),
         "op12_source_divergence": _on_documents(source_divergence),
         "op13_filter_audit": lambda spark, sf_dir: filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")),
     }

@@ -2,7 +2,7 @@
 
 import pytest
 
-from strataspark.llm import bpe, decontam, exact_dedup, langid, licenses, secrets, simhash, suffix_dedup, token_counts, token_files
+from strataspark.llm import bpe, decontam, exact_dedup, langid, licenses, pii, secrets, simhash, suffix_dedup, token_counts, token_files
 
 OPERATORS = {
     "licenses": licenses.license_scan,
@@ -16,6 +16,7 @@ OPERATORS = {
     "bpe": bpe.bpe_digests,
     "bpe_whole": bpe.bpe_encode_decode,
     "suffix": suffix_dedup.suffix_dedup,
+    "personal": pii.personal_data,
 }
 
 
