@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .names import free_names
 
 SHARE = 0.2  # edits that an item of a leaked passage may have, as a share of its characters
-GRAM = 8  # bytes from a word start that propose where a window begins
-RUN = 32  # bytes without a space beyond which each letter counts as a word start
+GRAM = 8  # bytes from a letter that propose where a window begins
 SLACK = 12  # places that the grams of one window may be out of line
-COVER = 13  # bytes of an item that grams in line must cover
+COVER = (6, 0.08)  # bytes of an item that grams in line must cover: so many, and a share of its length
+SEEN_BITS = 23  # of the hash of a gram, in the table that tells at once that no item has it
 REPEATS = 64  # embeddings, each with its own walk and tables
 MEET = 4  # tables in which a window and an item must meet
 TOGETHER = 8  # embeddings that are made side by side
@@ -114,17 +115,15 @@ class Items:
         self.longest = int(self.sizes.max(initial=0))
         keys, items, places = [], [], []
         self.short: dict[int, dict[bytes, list[int]]] = {}  # items under a gram, by their number of words
-        self.need = np.full(len(rows), COVER)  # bytes that grams in line must cover: no more than all grams of the item do
-        lone = []
+        # bytes that grams in line must cover: no more than all grams of the item do, and one gram at least
+        self.need = np.maximum(GRAM, COVER[0] + COVER[1] * self.sizes)
         for k, b in enumerate(self.bytes):
             if len(b) >= GRAM:
                 at, key = grams(np.frombuffer(b + bytes(GRAM), np.uint8), len(b))
                 keys.append(key)
                 items.append(np.full(len(at), k))
                 places.append(at)
-                self.need[k] = min(COVER, GRAM + np.minimum(np.diff(at), GRAM).sum())
-                if len(at) == 1:
-                    lone.append(key)
+                self.need[k] = min(self.need[k], GRAM + np.minimum(np.diff(at), GRAM).sum())
             elif b:
                 self.short.setdefault(b.count(b" ") + 1, {}).setdefault(b, []).append(k)
         key = np.concatenate([*keys, np.zeros(0, np.uint64)])
@@ -132,28 +131,12 @@ class Items:
         self.key = key[order]
         self.item = np.concatenate([*items, np.zeros(0, np.int64)]).astype(np.int64)[order]
         self.place = np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)[order]
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.key >> np.uint64(44)).astype(np.int64)] = True
-        self.lone = None
-        if lone:
-            self.lone = np.zeros(1 << 20, bool)
-            self.lone[(np.concatenate(lone) >> np.uint64(44)).astype(np.int64)] = True
-
-    def grams_of_text(self, b: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The grams of a text; if items have a single one, also those at all other letters that may be it."""
-        at, key = grams(b, end)
-        if self.lone is None:
-            return at, key
-        rest = np.flatnonzero((b[:end] != 32) & (b[:end] & 0xC0 != 0x80))
-        rest = rest[rest + GRAM <= end]
-        more = _keys(b, rest)
-        on = self.lone[(more >> np.uint64(44)).astype(np.int64)]
-        at, one = np.unique(np.concatenate([at, rest[on]]), return_index=True)
-        return at, np.concatenate([key, more[on]])[one]
+        self.seen = np.zeros(1 << SEEN_BITS, bool)
+        self.seen[(self.key >> np.uint64(64 - SEEN_BITS)).astype(np.int64)] = True
 
     def found(self, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of the grams that items have too, with where the items' list of each begins and how many items have it."""
-        on = self.seen[(key >> np.uint64(44)).astype(np.int64)]
+        on = np.flatnonzero(self.seen[(key >> np.uint64(64 - SEEN_BITS)).astype(np.int64)])
         at, key = at[on], key[on]
         low, high = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
         return at, low, high - low
@@ -166,20 +149,9 @@ class Items:
 
 
 def grams(b: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places up to ``end - GRAM`` and a hash of the bytes from each; ``b`` is padded.
-
-    Places are word starts, each letter of three bytes or more (of scripts that may write without spaces), and each
-    letter of a run without a space that is longer than ``RUN`` bytes.
-    """
-    own = b[:end]
-    space = own == 32
-    start = ~space & np.concatenate([[True], space[:-1]])[:end]
-    edge = np.concatenate([[-1], np.flatnonzero(space), [end]])
-    inside = own >= 0xE0
-    for k in np.flatnonzero(np.diff(edge) > RUN + 1).tolist():
-        inside[edge[k] + 1 : edge[k + 1]] = True
-    at = np.flatnonzero(start | (inside & (own & 0xC0 != 0x80)))
-    at = at[at + GRAM <= end]
+    """Places up to ``end - GRAM`` and a hash of the bytes from each letter or digit; ``b`` is padded."""
+    own = b[: max(0, end - GRAM + 1)]
+    at = np.flatnonzero((own != 32) & (own & 0xC0 != 0x80))
     return at, _keys(b, at)
 
 
@@ -196,13 +168,14 @@ def _windows(items: Items, at, low, count) -> tuple[np.ndarray, np.ndarray]:
     item, begin, place = items.proposals(at, low, count)
     if not len(item):
         return item, begin
-    order = np.lexsort((place, begin, item))
+    order = np.argsort(item * (1 << 40) + begin + (1 << 30), kind="stable")  # a text that is looked at at once has under 2 ** 30 bytes
     item, begin, place = item[order], begin[order], place[order]
     new = np.concatenate([[True], (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > SLACK)])
     first = np.flatnonzero(new)
     group = np.cumsum(new) - 1
-    order = np.lexsort((place, group))
-    in_line, step = group[order], np.minimum(np.diff(place[order], prepend=0), GRAM)
+    in_line = np.sort(group * (1 << 30) + place)
+    in_line, place = in_line >> 30, in_line & ((1 << 30) - 1)
+    step = np.minimum(np.diff(place, prepend=0), GRAM)
     step[np.flatnonzero(np.diff(in_line, prepend=-1))] = GRAM
     size = np.diff(np.concatenate([first, [len(item)]]))
     on = np.bincount(in_line, weights=step) >= items.need[item[first]]
@@ -297,7 +270,7 @@ class _Scanner:
     def _propose(self, ids: list, texts: list[bytes]) -> None:
         items, raw = self.items, b"".join(texts)
         starts = np.cumsum([0, *map(len, texts)])
-        at, key = items.grams_of_text(np.frombuffer(raw + bytes(GRAM), np.uint8), len(raw))
+        at, key = grams(np.frombuffer(raw + bytes(GRAM), np.uint8), len(raw))
         at, low, count = items.found(at, key)
         overlap = 2 * items.longest + 64
         if int(count.sum()) > HITS and (len(texts) > 1 or len(raw) > LEAST_PIECE + 2 * overlap):  # grams that very many items have: in halves, which hold each window whole
@@ -379,9 +352,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     Both texts are lower-cased, with one space for what is neither letter nor digit. A leak is a passage within
     ``share`` of the item's length in edits; ``edits`` is the exact distance of the best passage found near a window.
 
-    Windows of an item's size are taken where 8-byte grams at word starts stand in line with the item's and cover 13 of
-    its bytes (or all that its grams cover), from all words of the whole text. In scripts that write without spaces and in long runs each
-    letter counts as a word start, and for items with a single gram all letters are looked at. Each window asks the tables of up
+    Windows of an item's size are taken where 8-byte grams, from all letters of the whole text, stand in line with the
+    item's and cover six of its bytes and 8 % of its length (or all that its grams cover). Each window asks the tables of up
     to 64 CGK embeddings, whose keys are four sampled letters, for items of about its length;
     what it meets there in four tables is verified exactly. A verbatim passage is always found; recall under edits is measured
     against brute force in the tests. Items of under 8 bytes leak where they stand as whole words.
@@ -406,5 +378,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
     """The rows of ``docs`` without a leak, with all their columns. Rows are told apart by a hash of id and text, so of rows that share an id, or have none, those go that leak."""
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
-    bad = leaks(docs.select(key.alias("__row"), F.col(text_col).alias("__text")), benchmark, "__row", "__text", **names).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(bad, key == F.col("__leak"), "left_anti")
+    (leak,) = free_names(docs, "__leak")
+    found = leaks(docs.select(key.alias("row"), F.col(text_col).alias("own")), benchmark, "row", "own", **names)
+    return docs.join(found.select(F.col("doc_id").alias(leak)).distinct(), key == F.col(leak), "left_anti")

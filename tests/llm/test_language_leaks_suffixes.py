@@ -105,7 +105,7 @@ def test_cgk_keeps_near_strings_near():
         rows[k, : len(s)] = np.frombuffer(s.encode(), np.uint8)
     near, far = 0, 0
     for seed in range(10):
-        e = decontam.cgk(rows, np.array([200, len(edited), 200]), 200, seed)
+        e = decontam.cgk(rows, np.array([200, len(edited), 200]), 200, [seed])[:, 0].T
         near, far = near + (e[0] != e[1]).mean(), far + (e[0] != e[2]).mean()
     assert near < 0.6 * far
 

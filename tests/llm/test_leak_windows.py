@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from strataspark.llm import decontam
@@ -82,6 +83,41 @@ def test_recall_against_all_pairs_by_a_plain_distance(spark, share):
     assert len(got) >= (1 if share == 0 else 0.9) * len(want), f"{len(got)} of {len(want)}"
 
 
+def _letters_replaced(rng, text, n, place):
+    """``n`` letters replaced: anywhere, or one a word as far as that goes, at any place or at a fixed one."""
+    if place is None:
+        text = list(text)
+        for k in rng.sample(range(len(text)), n):
+            text[k] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+        return "".join(text)
+    words, done, first = [list(w) for w in text.split(" ")], 0, True
+    order = list(range(len(words)))
+    while done < n:
+        rng.shuffle(order)
+        for k in order[: n - done]:
+            words[k][min(place, len(words[k]) - 1) if first and place >= 0 else rng.randrange(len(words[k]))] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+            done += 1
+        first = False
+    return " ".join(map("".join, words))
+
+
+@pytest.mark.parametrize("place", [None, -1, 1], ids=["anywhere", "one a word", "second letter"])
+@pytest.mark.parametrize("share", [0.12, 0.15, 0.18, 0.2])
+def test_recall_of_letters_spread_over_all_words(share, place):
+    rng = random.Random(3)
+    items = [(r["item_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.1/benchmark.parquet").to_pylist()]
+    plain = [_letters(t) for _, t in items]
+    scanner = decontam._Scanner(decontam.Items(items))
+    host = " ".join(_word(rng) for _ in range(30))
+    texts = [decontam.plain(f"{host} {_letters_replaced(rng, t, int(share * len(t)), place)} {host}") + b" \0 " for t in plain]
+    scanner.propose(list(range(len(texts))), texts)
+    got = {(d, i) for d, i, _, _ in scanner.verified()}
+    want = {(k, items[k][0]) for k, t in enumerate(plain) if _least_edits(t, [texts[k].decode()])[0] <= int(0.2 * len(t))}
+    assert len(want) >= 0.95 * len(items)
+    print(f"recall at {share}: {len(got & want)} of {len(want)}")
+    assert len(got & want) >= 0.9 * len(want), f"{len(got & want)} of {len(want)}"
+
+
 def test_grams_of_very_many_items_are_looked_at_in_halves(monkeypatch):
     rng = random.Random(5)
     items = [(k, f"what is the question of the day {_cut(rng, 60)} what is the question") for k in range(20)]
@@ -133,3 +169,13 @@ def test_rows_that_share_an_id_or_have_none_go_by_their_text(spark):
     docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, item_id int")
     kept = decontam.without_leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
     assert kept.columns == docs.columns and sorted(r["item_id"] for r in kept.collect()) == [1, 3, 4, 5]
+
+
+def test_a_very_long_text_and_ties(spark):
+    rng = random.Random(6)
+    item = _cut(rng, 150)
+    long = " ".join(_word(rng) for _ in range(300_000))
+    docs = spark.createDataFrame([(1, f"{long} {item} {long} {item}"), (2, item), (2, item), (3, "x" * 1_000_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (8, item), (7, item)], "item_id long, text string")
+    rows = [(r["doc_id"], r["item_id"], r["edits"]) for r in decontam.leaks(docs, items).collect()]
+    assert sorted(rows) == [(1, 7, 0), (1, 8, 0), (2, 7, 0), (2, 8, 0)]
