@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, ship_package
+from .names import free_names
 
 SLOTS = 4
 KEYS_PER_SHARD = 100_000
@@ -254,15 +255,15 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     marked = exact_dedup(docs, id_col, text_col)
     kept = marked.filter("kept").groupBy("doc_id", F.unhex("text_sha256").alias("sha")).agg(F.count(F.lit(1)).alias("n"))
-    kept = materialise(kept.select(F.col("doc_id").alias("__keep"), F.col("sha").alias("__sha"), F.col("n").alias("__n")), "exact-kept")
-    columns = docs.columns
-    digest = F.unhex(F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WHITE, " "), 256))
-    rows = docs.select("*", F.col(id_col).cast("long").alias("__id"), digest.alias("__digest"))
-    stays = (rows["__digest"] == kept["__sha"]) & rows["__id"].eqNullSafe(kept["__keep"])
-    out = rows.join(kept.select("__keep", "__sha"), stays, "left_semi")
-    if not kept.filter("__n > 1").isEmpty():
-        out = out.dropDuplicates(["__id", "__digest"])
-    return out.select(*columns)
+    keep, sha, n, own, digest = free_names(docs, "__keep", "__sha", "__n", "__id", "__digest")
+    kept = materialise(kept.select(F.col("doc_id").alias(keep), F.col("sha").alias(sha), F.col("n").alias(n)), "exact-kept")
+    text = F.unhex(F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WHITE, " "), 256))
+    rows = docs.withColumns({own: F.col(id_col).cast("long"), digest: text})
+    stays = (F.col(digest) == F.col(sha)) & F.col(own).eqNullSafe(F.col(keep))
+    out = rows.join(kept.select(keep, sha), stays, "left_semi")
+    if not kept.filter(F.col(n) > 1).isEmpty():
+        out = out.dropDuplicates([own, digest])
+    return out.drop(own, digest)
 
 
 def exact_dedup_sql() -> str:

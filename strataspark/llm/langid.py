@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .sample import least_hashes
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -95,7 +96,7 @@ class Model:
         """Best language, its posterior probability and the evidence for it, of each text.
 
         The counts of n-grams of a batch are a sparse matrix (texts x buckets) and its product with the log
-        matrix gives all sums at once. The posterior takes the evidence of a thousand n-grams at most. ``evidence`` is
+        matrix gives all sums at once. The posterior is that of all n-grams of the text. ``evidence`` is
         1 where n-grams are as likely as in the learned documents of the language and 0 where they are as those
         of other letters; unlike the posterior it does not saturate.
         ``und``, 0.0 and 0.0 for a text without a letter, or if nothing was learned.
@@ -114,7 +115,7 @@ class Model:
                 np.add.at(total, own, sums * sign[:, None])
                 np.add.at(n, own, np.diff(first, append=len(part)) * sign)
         mean = total / np.maximum(n, 1)[:, None]
-        z = mean * np.minimum(n, 1000)[:, None] + self.prior
+        z = total + self.prior
         out = []
         for k, text in enumerate(texts):
             if not text or not self.languages or not any(map(str.isalpha, text)):
@@ -157,14 +158,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     """
     ship_package(labelled.sparkSession)
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    keys = rows.select(F.xxhash64(F.col(key_col)).alias("h"))
-    total = keys.count()
-    if total > sample_rows:
-        # the hash is uniform, so the least ``sample_rows`` hashes lie under this mark but for a share with odds of under one in a million
-        share = (sample_rows + 6 * sample_rows**0.5) / total
-        mark = int(-(2**63) + share * 2**64) if share < 1 else 2**63 - 1
-        limit = keys.filter(F.col("h") <= F.lit(mark)).orderBy("h").limit(sample_rows).agg(F.max("h")).head()[0]
-        rows = rows.filter(F.xxhash64(F.col(key_col)) <= F.lit(limit))
+    rows = least_hashes(rows, key_col, sample_rows)
     parts = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(_count, "lang string, buckets array<int>, counts array<long>")
     sums = parts.select("lang", F.explode(F.arrays_zip("buckets", "counts")).alias("x")).groupBy("lang", F.col("x.buckets").alias("bucket")).agg(F.sum("x.counts").alias("n"))
     held = sums.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts")).collect()
@@ -200,7 +194,10 @@ def _predict(model):
 
 
 def predict(docs: DataFrame, model: Model, keep: dict, text_col: str = "text") -> DataFrame:
-    """``keep`` (names to columns, with their types) and ``lang_pred``, ``score``, ``evidence`` of each row; the matrix is broadcast (buckets x languages)."""
+    """``keep`` (names to columns, with their types) and ``lang_pred``, ``score``, ``evidence`` of each row; the matrix is broadcast (buckets x languages).
+
+    ``keep`` gives the columns names of its own, so that a table that has columns of the answer's names can be asked again.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select(F.col(text_col).alias("__text"), *[c.alias(k) for k, c in keep.items()])

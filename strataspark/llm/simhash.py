@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..session import materialise, release, ship_package
+from .names import free_names
 
 SEED = 42
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -428,9 +429,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
 def keep_first_of_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The first row of each group of ``near_groups``, with all columns of ``docs``; of repeated rows one stays."""
     first = near_groups(docs, words, similarity, id_col, text_col).filter("first").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n"))
-    first = materialise(first.select(F.col("doc_id").alias("__first"), F.col("t").alias("__hash"), F.col("n").alias("__n")), "near-kept")
-    rows = docs.select("*", F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__t"))
-    out = rows.join(first.select("__first", "__hash"), (rows["__t"] == first["__hash"]) & rows["__id"].eqNullSafe(first["__first"]), "left_semi")
-    if not first.filter("__n > 1").isEmpty():
-        out = out.dropDuplicates(["__id", "__t"])
-    return out.select(*docs.columns)
+    head, mark, n, own, text = free_names(docs, "__first", "__hash", "__n", "__id", "__t")
+    first = materialise(first.select(F.col("doc_id").alias(head), F.col("t").alias(mark), F.col("n").alias(n)), "near-kept")
+    rows = docs.withColumns({own: F.col(id_col).cast("long"), text: F.xxhash64(text_col)})
+    out = rows.join(first.select(head, mark), (F.col(text) == F.col(mark)) & F.col(own).eqNullSafe(F.col(head)), "left_semi")
+    if not first.filter(F.col(n) > 1).isEmpty():
+        out = out.dropDuplicates([own, text])
+    return out.drop(own, text)

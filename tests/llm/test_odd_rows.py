@@ -47,3 +47,21 @@ def test_leaks_on_odd_rows(spark, odd, none):
     assert got == {(7, 1), (8, 4)}
     assert decontam.leaks(none, items).count() == 0
     assert decontam.leaks(odd, items.filter("item_id > 9")).count() == 0
+
+
+INSIDE = ["__id", "__digest", "__keep", "__sha", "__n", "__t", "__first", "__hash", "__leak", "__text", "lang_pred", "evidence", "score", "held_out", "own", "row", "c0", "C1", "head", "first"]
+
+
+def test_stages_keep_columns_of_any_name(spark, odd):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    docs = odd.drop("score", "held_out").select("*", *[F.lit(k).alias(c) for k, c in enumerate(INSIDE)])
+    items = spark.createDataFrame([(1, "renard brun saute par dessus le chien paresseux")], "item_id long, text string")
+    gone = {"keep_first": (exact_dedup.keep_first(docs), {2, 4, 5, 10}), "near": (simhash.keep_first_of_near(docs), {2, 10}), "leaks": (decontam.without_leaks(docs, items), {7}), "language": (corpus_pipeline.language(spark, docs, ""), {3, 4, 5, 8})}
+    every = {r["doc_id"] for r in docs.collect()}
+    for name, (kept, want) in gone.items():
+        assert kept.columns == docs.columns, name
+        rows = kept.collect()
+        assert {r["lang_pred"] for r in rows} == {INSIDE.index("lang_pred")}
+        assert every - {r["doc_id"] for r in rows} >= want & (every - {4, 5}) and (name != "leaks" or every - {r["doc_id"] for r in rows} == want)
