@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import project, transverse_mercator, transverse_mercator_inverse
+from .quantiles import middle
 from .ranks import global_rank
 
 MERIDIANS = range(15, 35, 2)  # Lo zones
@@ -52,7 +53,7 @@ def from_crs(x: Column, y: Column, name: str) -> tuple[Column, Column]:
 
 def fitting_presets(points: DataFrame, half_width: float = 1.5) -> list[str]:
     """Presets in which the middle of the points (``lon, lat``) lies within half a zone and half a degree."""
-    mid = points.agg(F.median("lon").alias("lon"), F.median("lat").alias("lat")).head()
+    mid = {c: middle(points, c).head()["m"] for c in ("lon", "lat")}
     out = []
     for name, p in presets().items():
         wide = 3.0 if name.startswith("UTM") else half_width

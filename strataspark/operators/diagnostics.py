@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import quaternion, rotation
 from ..session import ship_package
 from .neighbours import nearest
+from .quantiles import middle
 from .ranks import global_rank
 
 # Labels of the point classes of the LAS format.
@@ -42,7 +43,7 @@ def colour_ramp(share: Column, stops: list[tuple[float, tuple[int, int, int]]])
 
 def depth_band(points: DataFrame, depth: str = "depth", low: float = 0.45, high: float = 2.2) -> DataFrame:
     """Points whose depth lies between shares of the median depth."""
-    mid = points.agg(F.median(depth).alias("__m"))
+    mid = middle(points, depth, name="__m").drop("n")
     return points.crossJoin(F.broadcast(mid)).filter((F.col(depth) > low * F.col("__m")) & (F.col(depth) < high * F.col("__m"))).drop("__m")
 
 

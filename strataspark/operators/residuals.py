@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import middle
+
 # Two-sided 5 % points of Student's t for 1 to 30 degrees of freedom; beyond them 1.96.
 T_95 = [
     12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131,
@@ -70,11 +72,10 @@ def bias_test(rows: DataFrame, group: str, value: str) -> DataFrame:
 def mad_screen(groups: DataFrame, key: str, kind: str, value: str, limit: float = 3.5) -> DataFrame:
     """Members whose value lies over the median of their kind by ``limit`` scaled median deviations; kinds of four or more."""
     v = F.col(value)
-    middle = groups.filter(v.isNotNull()).groupBy(kind).agg(F.median(v).alias("m"), F.count(v).alias("n")).filter("n >= 4")
-    near = groups.join(F.broadcast(middle), kind)
-    spread = near.groupBy(kind).agg(F.median(F.abs(v - F.col("m"))).alias("mad"))
+    near = groups.join(middle(groups, v, [kind]).filter("n >= 4"), kind)
+    spread = middle(near, F.abs(v - F.col("m")), [kind], "mad").drop("n")
     score = (v - F.col("m")) / (1.4826 * F.when(F.col("mad") > 0, F.col("mad")))
-    return near.join(F.broadcast(spread), kind).select(kind, key, value, score.alias("score")).filter(F.col("score") >= limit)
+    return near.join(spread, kind).select(kind, key, value, score.alias("score")).filter(F.col("score") >= limit)
 
 
 def data_snooping(rows: DataFrame, limit: float = 3.29) -> DataFrame:
@@ -111,9 +112,9 @@ def histogram_unit(rows: DataFrame, value: str, bins: int = 10) -> DataFrame:
 
 def tie_outliers(points: DataFrame, value: str = "z") -> DataFrame:
     """Points within six robust deviations (of half a metre at least) and five metres of the median height."""
-    m = points.agg(F.median(value).alias("m"))
+    m = middle(points, value).drop("n")
     near = points.crossJoin(F.broadcast(m))
-    s = near.agg(F.greatest(1.4826 * F.median(F.abs(F.col(value) - F.col("m"))), F.lit(0.5)).alias("s"))
+    s = middle(near, F.abs(F.col(value) - F.col("m")), name="mad").select(F.greatest(1.4826 * F.col("mad"), F.lit(0.5)).alias("s"))
     return near.crossJoin(F.broadcast(s)).filter(F.abs(F.col(value) - F.col("m")) < 6 * F.col("s") + 5).drop("m", "s")
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+from .quantiles import exact_quantiles, middle
 
 def clean_elevations(cells: DataFrame, nodata: float = -9999.0) -> DataFrame:
     """Voids as nulls: the nodata value, not-a-number, and what no terrain has."""
@@ -15,34 +17,38 @@ def clean_elevations(cells: DataFrame, nodata: float = -9999.0) -> DataFrame:
 
 
 def raster_statistics(cells: DataFrame) -> DataFrame:
-    """One row over all cells, voids included in ``cells`` and ``coverage``."""
+    """One row over all cells, voids included in ``cells`` and ``coverage``; the median is exact whatever the number of cells."""
     v = F.col("value")
-    return cells.agg(
+    sums = cells.agg(
         F.count(F.lit(1)).alias("cells"), F.count_if(v.isNull()).alias("voids"), (F.count(v) / F.count(F.lit(1))).alias("coverage"),
-        F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.median(v).alias("median"),
+        F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
     )
+    return sums.crossJoin(F.broadcast(middle(cells, v, name="median").drop("n")))
 
 
 def band_statistics(cells: DataFrame) -> DataFrame:
     """Extremes, mean, population deviation and the 2nd and 98th percentile of each band, from all cells."""
     v = F.col("value")
-    p = F.percentile(v, F.array(F.lit(0.02), F.lit(0.98)))
-    return cells.groupBy("band").agg(F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), p[0].alias("p2"), p[1].alias("p98"))
+    sums = cells.groupBy("band").agg(F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+    cuts = exact_quantiles(cells, v, [0.02, 0.98], ["band"])
+    return sums.join(cuts, "band", "left").select("band", "low", "high", "mean", "std", F.get("q", F.lit(0)).alias("p2"), F.get("q", F.lit(1)).alias("p98"))
 
 
 def compare_surfaces(derived: DataFrame, reference: DataFrame) -> DataFrame:
     """Error figures of one surface against another over shared cells, as one row.
 
-    The normalised median deviation needs the median first; it comes back as a one-row broadcast.
+    The differences are written once; the normalised median deviation needs their median first, which comes back as a one-row broadcast.
     """
     both = derived.select("row", "col", F.col("value").alias("a")).join(reference.select("row", "col", F.col("value").alias("b")), ["row", "col"])
-    d = both.filter("a is not null and b is not null").withColumn("d", F.col("a") - F.col("b"))
-    mid = d.agg(F.median("d").alias("m"))
-    return d.crossJoin(F.broadcast(mid)).agg(
-        F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"),
-        F.max(F.abs("d")).alias("max_abs"), F.max("m").alias("median"), (F.lit(1.4826) * F.median(F.abs(F.col("d") - F.col("m")))).alias("nmad"),
-        F.percentile(F.abs("d"), F.lit(0.95)).alias("p95"), F.regr_slope("a", "b").alias("slope"), F.regr_intercept("a", "b").alias("intercept"), F.regr_r2("a", "b").alias("r2"),
+    d = materialise(both.filter("a is not null and b is not null").withColumn("d", F.col("a") - F.col("b")), "surface-differences")
+    mid = F.broadcast(middle(d, "d", name="median").drop("n"))
+    spread = F.broadcast(middle(d.crossJoin(mid), F.abs(F.col("d") - F.col("median")), name="mad").drop("n"))
+    high = F.broadcast(exact_quantiles(d, F.abs("d"), [0.95]).select(F.get("q", F.lit(0)).alias("p95")))
+    sums = d.agg(
+        F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse"), F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"), F.max(F.abs("d")).alias("max_abs"),
+        F.regr_slope("a", "b").alias("slope"), F.regr_intercept("a", "b").alias("intercept"), F.regr_r2("a", "b").alias("r2"),
     )
+    return sums.crossJoin(mid).crossJoin(spread).crossJoin(high).select("n", "rmse", "mean", "std", "max_abs", "median", (1.4826 * F.col("mad")).alias("nmad"), "p95", "slope", "intercept", "r2")
 
 
 def volume_between(surface: DataFrame, base: DataFrame, cell_area: float) -> DataFrame:
@@ -90,7 +96,8 @@ def vertical_offsets(layers: list[DataFrame], least: int = 500):
     s = stack(layers)
     a, b = s.alias("a"), s.alias("b")
     pairs = a.join(b, (F.col("a.row") == F.col("b.row")) & (F.col("a.col") == F.col("b.col")) & (F.col("a.layer") < F.col("b.layer")))
-    rows = pairs.groupBy(F.col("a.layer").alias("i"), F.col("b.layer").alias("j")).agg(F.median(F.col("b.value") - F.col("a.value")).alias("d"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).collect()
+    steps = pairs.select(F.col("a.layer").alias("i"), F.col("b.layer").alias("j"), (F.col("b.value") - F.col("a.value")).alias("step"))
+    rows = middle(steps, "step", ["i", "j"], "d").filter(F.col("n") >= least).collect()
     left, right = [np.ones(len(layers))], [0.0]
     for r in rows:
         e = np.zeros(len(layers))

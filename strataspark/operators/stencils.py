@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 
 def _across():
     return Window.partitionBy("row").orderBy("col")
@@ -154,8 +156,10 @@ def bilinear(cells: DataFrame, points: DataFrame, west: float, north: float, cel
 def stretch(cells: DataFrame, mode: str = "linear", gamma: float = 1.0) -> DataFrame:
     """Values as 0..255: ``linear``, ``linear2pct``, ``stddev`` (two deviations) or ``root``; one row of statistics is broadcast."""
     v = F.col("value")
-    p = F.percentile(v, F.array(F.lit(0.02), F.lit(0.98)))
-    stats = cells.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mu"), F.stddev_pop(v).alias("sd"), p[0].alias("p2"), p[1].alias("p98"))
+    stats = cells.agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.avg(v).alias("mu"), F.stddev_pop(v).alias("sd"))
+    if mode == "linear2pct":
+        cuts = exact_quantiles(cells, v, [0.02, 0.98])
+        stats = stats.crossJoin(F.broadcast(cuts.select(F.get("q", F.lit(0)).alias("p2"), F.get("q", F.lit(1)).alias("p98"))))
     low, high = {"linear": ("lo", "hi"), "root": ("lo", "hi"), "linear2pct": ("p2", "p98"), "stddev": (None, None)}[mode]
     lo = F.col(low) if low else F.col("mu") - 2 * F.col("sd")
     hi = F.col(high) if high else F.col("mu") + 2 * F.col("sd")

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import cameras, diagnostics, features, fits, grid, neighbours, stencils, volumes
+from ..operators.quantiles import exact_quantiles, middle
 from . import mosaic, reports, terrain
 from .catalogue import _PATCHES, hyp, query
 from .tables import CELLS, FULL, GRID, KEYS, SURFACE, TWO, full_surface, near, points, rounded, surface
@@ -262,7 +263,19 @@ def _(t, spark, d):
 def _(t, spark, d):
     s = _layers(spark, d)
     a, b = (s.select("row", "col", F.col("layer").alias(k), F.col("value").alias(f"v{k}")) for k in "ij")
-    return rounded(a.join(b, ["row", "col"]).filter("i < j").groupBy("i", "j").agg(F.median(F.col("vj") - F.col("vi")).alias("d"), F.count(F.lit(1)).alias("n")))
+    return rounded(middle(a.join(b, ["row", "col"]).filter("i < j"), F.col("vj") - F.col("vi"), ["i", "j"], "d"))
+
+
+_CUTS = [0.0, 0.02, 0.25, 0.5, 0.75, 0.98, 1.0]
+
+
+@query("price_quantiles", f"""SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n, unnest({_CUTS}) AS share,
+round(unnest(quantile_cont(l_extendedprice, {_CUTS})), 6) AS value FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+def _(t, spark, d):
+    by = ["l_returnflag", "l_linestatus"]
+    q = exact_quantiles(t("lineitem"), "l_extendedprice", _CUTS, by)
+    pair = F.explode(F.arrays_zip(F.array(*[F.lit(s) for s in _CUTS]).alias("share"), F.col("q").alias("value")))
+    return rounded(q.select(*by, "n", pair.alias("z")).select(*by, "n", "z.share", "z.value"))
 
 
 @query("surface_hull", f"WITH {SURFACE} SELECT min(\"row\") AS r0, max(\"row\") AS r1, min(col) AS c0, max(col) AS c1 FROM s")

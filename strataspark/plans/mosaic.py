@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.neighbours import overlap_area
+from ..operators.quantiles import exact_quantiles
+from ..session import materialise
 from .terrain import shared_cells
 
 QUANTILES = 101
@@ -39,11 +41,13 @@ def gains(layers: DataFrame, least: int = 50, offset: bool = False) -> dict:
 
 def quantile_match(layer: DataFrame, reference: DataFrame, least: int = 200) -> DataFrame:
     """Values of ``layer`` mapped so that its quantiles over the shared cells are those of ``reference``; unchanged if they share too few."""
-    p = F.array(*[F.lit(k / (QUANTILES - 1)) for k in range(QUANTILES)])
+    shares = [k / (QUANTILES - 1) for k in range(QUANTILES)]
     both = layer.select("row", "col", F.col("value").alias("a")).join(reference.select("row", "col", F.col("value").alias("b")), ["row", "col"])
-    row = both.agg(F.count(F.lit(1)).alias("n"), F.percentile("a", p).alias("a"), F.percentile("b", p).alias("b")).head()  # 101 numbers a side
-    if row["n"] < least:
+    both = materialise(both.filter("a is not null and b is not null"), "shared-values")
+    a, b = (exact_quantiles(both, c, shares).head() for c in "ab")  # 101 numbers a side
+    if (a["n"] or 0) < least:
         return layer
+    row = {"a": a["q"], "b": b["q"]}
     source = np.maximum.accumulate(np.array(row["a"]) + np.arange(QUANTILES) * 1e-6).tolist()
     steps = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("a0", "a1", "b0", "b1"), s, strict=True)]) for s in zip(source, source[1:], row["b"], row["b"][1:], strict=False)])
     v = F.greatest(F.lit(source[0]), F.least(F.lit(source[-1]), F.col("value")))
