@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
 from ..operators import cameras, diagnostics, features, fits, grid, neighbours, stencils, volumes
 from ..operators.quantiles import exact_quantiles, middle
+from ..operators.triangles import delaunay, pit_free, tin_grid
 from . import mosaic, reports, terrain
 from .catalogue import _PATCHES, hyp, query
 from .tables import CELLS, FULL, GRID, KEYS, SURFACE, TWO, full_surface, near, points, rounded, surface
@@ -455,3 +457,54 @@ def _(t, spark, d):
     rows = spark.range(10).select(F.col("id").alias("r")).crossJoin(F.broadcast(spark.range(45).select(F.col("id").alias("c"))))  # a grid of fixed size
     centres = rows.select((F.col("r") * 100 + F.col("c")).alias("id"), (900.0 + F.col("c") * 2300.0).alias("x"), (3.0 + F.col("r") * 4.5).alias("y"))
     return rounded(stencils.bilinear(full_surface(spark, d), centres, 0.0, GRID.north, 1000.0, 5.0, "id"))
+
+
+# ---- triangulated surfaces ---------------------------------------------------------------------
+# Suppliers as a sparse cloud: x balance, y their number folded. The SQL tries all triangles of all points: one belongs to the mesh if no point lies in its circle
+
+_CLOUD = "cl AS (SELECT s_acctbal AS x, (s_suppkey * 7919 % 10007)::DOUBLE AS y, s_nationkey * 1.0 AS z FROM supplier)"
+
+
+def _mesh_sql(layered: str) -> str:
+    """CTEs ``p`` (distinct points of the relation ``layered``) and ``tri``, its triangles."""
+    d = {k: f"({k}.x - d.x)" for k in "abc"} | {k.upper(): f"({k}.y - d.y)" for k in "abc"}
+    square = {k: f"({d[k]} * {d[k]} + {d[k.upper()]} * {d[k.upper()]})" for k in "abc"}
+    circle = " + ".join(f"{square[i]} * ({d[j]} * {d[k.upper()]} - {d[k]} * {d[j.upper()]})" for i, j, k in ("abc", "bca", "cab"))
+    return f"""p AS (SELECT layer, x, y, max(z) AS z, row_number() OVER (PARTITION BY layer ORDER BY x, y) AS k FROM {layered} GROUP BY layer, x, y),
+tri AS (SELECT a.layer, a.x AS xa, a.y AS ya, a.z AS za, b.x AS xb, b.y AS yb, b.z AS zb, c.x AS xc, c.y AS yc, c.z AS zc
+FROM p a JOIN p b ON b.layer = a.layer AND b.k > a.k JOIN p c ON c.layer = a.layer AND c.k > a.k AND c.k <> b.k
+WHERE (b.x - a.x) * (c.y - a.y) > (b.y - a.y) * (c.x - a.x) AND NOT EXISTS (SELECT 1 FROM p d WHERE d.layer = a.layer AND d.k <> a.k AND d.k <> b.k AND d.k <> c.k AND {circle} > 0))"""
+
+
+_TIN = grid.Grid(-1000.0, 10_000.0, 500.0, 500.0, 22, 20)
+_D = "((xb - xa) * (yc - ya) - (yb - ya) * (xc - xa))"
+_ON_CELLS = f"""ce AS (SELECT r AS "row", c AS col, {_TIN.west} + (c + 0.5) * {_TIN.cell_x} AS px, {_TIN.north} - (r + 0.5) * {_TIN.cell_y} AS py
+FROM (SELECT unnest(range({_TIN.rows}))::INT AS r) a, (SELECT unnest(range({_TIN.cols}))::INT AS c) b),
+w AS (SELECT "row", col, tri.*, ((px - xa) * (yc - ya) - (py - ya) * (xc - xa)) / {_D} AS wb, ((xb - xa) * (py - ya) - (yb - ya) * (px - xa)) / {_D} AS wc FROM tri, ce),
+su AS (SELECT layer, "row", col, max(za + wb * (zb - za) + wc * (zc - za)) AS value,
+max(greatest(hypot_(xa - xb, ya - yb), hypot_(xb - xc, yb - yc), hypot_(xc - xa, yc - ya))) AS edge FROM w WHERE wb >= 0 AND wc >= 0 AND wb + wc <= 1 GROUP BY layer, "row", col)"""
+_ON_CELLS = re.sub(r"hypot_\((.*?), (.*?)\)", r"sqrt((\1) * (\1) + (\2) * (\2))", _ON_CELLS)
+_RUNGS = [0.0, 5.0, 10.0, 15.0, 20.0]
+_HALF = f"""ha AS (SELECT max(row(z, x, y)) AS m FROM cl GROUP BY trunc(({_TIN.north} - y) / {_TIN.cell_y / 2}), trunc((x - {_TIN.west}) / {_TIN.cell_x / 2})),
+la AS (SELECT k::INT AS layer, m[2] AS x, m[3] AS y, m[1] AS z FROM ha, (SELECT unnest(range({len(_RUNGS)})) AS k, unnest({_RUNGS}) AS t) WHERE k = 0 OR (m[1] >= t AND t < (SELECT max(z) FROM cl)))"""
+
+
+def _cloud(t):
+    return t("supplier").select(F.col("s_acctbal").alias("x"), (F.col("s_suppkey") * 7919 % 10007).cast("double").alias("y"), (F.col("s_nationkey") * 1.0).alias("z"))
+
+
+@query("tin_triangles", f"WITH {_CLOUD}, la AS (SELECT 0 AS layer, * FROM cl), {_mesh_sql('la')} SELECT * EXCLUDE (layer) FROM tri")
+def _(t, spark, d):
+    return delaunay(_cloud(t)).drop("layer")
+
+
+@query("tin_surface", f'WITH {_CLOUD}, la AS (SELECT 0 AS layer, * FROM cl), {_mesh_sql("la")}, {_ON_CELLS} SELECT "row", col, round(value, 5) AS value FROM su WHERE edge <= 3000')
+def _(t, spark, d):
+    return rounded(tin_grid(_cloud(t), _TIN, 3000.0).select("row", "col", "value"), 5)
+
+
+@query("pit_free_heights", f"""WITH {_CLOUD}, {_HALF}, {_mesh_sql("la")}, {_ON_CELLS},
+oc AS (SELECT DISTINCT trunc(({_TIN.north} - y) / {_TIN.cell_y})::INT AS r, trunc((x - {_TIN.west}) / {_TIN.cell_x})::INT AS c FROM cl)
+SELECT "row", col, round(max(value), 5) AS value FROM su WHERE (layer = 0 OR edge <= 3000) AND EXISTS (SELECT 1 FROM oc WHERE abs(r - "row") + abs(c - col) <= 3) GROUP BY "row", col""")
+def _(t, spark, d):
+    return rounded(pit_free(_cloud(t), _TIN, max_edge=3000.0, reach=3, thresholds=_RUNGS[1:]), 5)
