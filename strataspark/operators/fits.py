@@ -209,85 +209,12 @@ def resection(observations: DataFrame, focal: float) -> DataFrame:
 
 
 def block_adjustment(observations: DataFrame, exterior: dict, points: dict, control: dict, focal: float, rounds: int = 15, loss: str = "linear", scale: float = 0.01, control_sigma: float = 0.05):
-    """Bundle adjustment with points eliminated: per-point blocks and their Schur parts in Spark, the camera system on the driver.
+    """``block.adjust`` for photos and points that the caller holds: the new exterior, the points table (``point_id, x, y, z``) and the RMS of each round."""
+    from .block import EXTERIOR, adjust
 
-    ``exterior`` (image: six values) bounds the driver's matrix; observations and points stay distributed.
-    Returns the new exterior, the points table (``point_id, x, y, z``) and the RMS of each round.
-    """
     spark = observations.sparkSession
-    ship_package(spark)
-    images = sorted(exterior)
-    place = {k: i for i, k in enumerate(images)}
-    size = 6 * len(images)
-    state = {k: np.array(v, float) for k, v in exterior.items()}
+    photos = spark.createDataFrame([(k, *map(float, v)) for k, v in exterior.items()], "image_id string, " + ", ".join(f"{c} double" for c in EXTERIOR))
     start = spark.createDataFrame([(k, *map(float, v)) for k, v in points.items()], "point_id string, x double, y double, z double")
-    fixed = spark.createDataFrame([(k, *map(float, v)) for k, v in control.items()] or [("", 0.0, 0.0, 0.0)], "point_id string, gx double, gy double, gz double")
-    table, history = start, []
-
-    def blocks(sent, lam, solve):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            eo = sent.value["state"]
-            delta = sent.value["delta"]
-            x = pdf[["x", "y", "z"]].iloc[0].to_numpy(float)
-            v, w_rows, g = np.zeros((3, 3)), {}, np.zeros(3)
-            cams, cost, count = {}, 0.0, 0
-            for img, ox, oy in zip(pdf["image_id"], pdf["x_mm"], pdf["y_mm"], strict=True):
-                e = eo[img]
-                r = (_film(x[None], e, focal) - [ox, oy]).ravel()
-                z = float(r @ r) / scale**2
-                weight = {"linear": 1.0, "soft_l1": 1 / np.sqrt(1 + z), "cauchy": 1 / (1 + z)}[loss]
-                a = _slopes(lambda u: _film(x[None], u, focal).ravel(), e)  # noqa: B023
-                b = _slopes(lambda u: _film(u[None], e, focal).ravel(), x)  # noqa: B023
-                v += weight * b.T @ b
-                g += weight * b.T @ r
-                u, h = cams.setdefault(img, (np.zeros((6, 6)), np.zeros(6)))
-                cams[img] = (u + weight * a.T @ a, h + weight * a.T @ r)
-                w_rows[img] = w_rows.get(img, np.zeros((6, 3))) + weight * a.T @ b
-                cost += float(r @ r)
-                count += 1
-            gcp = pdf[["gx", "gy", "gz"]].iloc[0].to_numpy(float)
-            if not np.isnan(gcp).any():
-                k = (scale / control_sigma) ** 2 if scale else 1.0
-                v += np.eye(3) * k
-                g += k * (x - gcp)
-            vi = np.linalg.inv(v + lam * np.diag(np.maximum(np.diag(v), 1e-12)))
-            if solve:
-                back = g + sum((w.T @ delta[img] for img, w in w_rows.items()), np.zeros(3))
-                x = x - vi @ back
-                return pd.DataFrame([[pdf["point_id"].iloc[0], *x]], columns=["point_id", "x", "y", "z"])
-            rows = []
-            for i, wi in w_rows.items():
-                u, h = cams[i]
-                rows.append((i, i, u.ravel().tolist(), (h - wi @ vi @ g).tolist(), cost, count))
-                cost, count = 0.0, 0
-                for j, wj in w_rows.items():
-                    rows.append((i, j, (-wi @ vi @ wj.T).ravel().tolist(), None, 0.0, 0))
-            return pd.DataFrame(rows, columns=["i", "j", "m", "h", "cost", "n"])
-
-        return run
-
-    from ..session import materialise
-
-    for _ in range(rounds):
-        joined = observations.join(table, "point_id").join(fixed, "point_id", "left")
-        sent = spark.sparkContext.broadcast({"state": state, "delta": None})
-        parts = joined.groupBy("point_id").applyInPandas(blocks(sent, 1e-6, False), "i string, j string, m array<double>, h array<double>, cost double, n long")
-        total = parts.groupBy("i", "j").agg(
-            F.array(*[F.sum(F.get("m", F.lit(k))) for k in range(36)]).alias("m"), F.array(*[F.coalesce(F.sum(F.get("h", F.lit(k))), F.lit(0.0)) for k in range(6)]).alias("h"), F.sum("cost").alias("cost"), F.sum("n").alias("n")
-        )
-        left, right, cost, count = np.zeros((size, size)), np.zeros(size), 0.0, 0
-        for r in total.collect():  # one row for each two photos that share a point
-            i, j = place[r["i"]], place[r["j"]]
-            left[6 * i : 6 * i + 6, 6 * j : 6 * j + 6] += np.array(r["m"]).reshape(6, 6)
-            if i == j:
-                right[6 * i : 6 * i + 6] += r["h"]
-            cost, count = cost + r["cost"], count + r["n"]
-        history.append(float(np.sqrt(cost / max(count, 1))))
-        step = -np.linalg.lstsq(left + 1e-9 * np.diag(np.maximum(np.diag(left), 1e-12)), right, rcond=None)[0]
-        delta = {k: step[6 * place[k] : 6 * place[k] + 6] for k in images}
-        sent = spark.sparkContext.broadcast({"state": state, "delta": delta})
-        table = materialise(joined.groupBy("point_id").applyInPandas(blocks(sent, 1e-6, True), "point_id string, x double, y double, z double"), "block-points")
-        state = {k: state[k] + delta[k] for k in images}
-        if len(history) > 1 and abs(history[-2] - history[-1]) < 1e-12 * max(history[-1], 1e-9):
-            break
-    return state, table, history
+    fixed = spark.createDataFrame([(k, *map(float, v)) for k, v in control.items()], "point_id string, gx double, gy double, gz double")
+    found = adjust(observations, photos, start, fixed, focal, rounds, loss, scale, control_sigma)
+    return dict(zip(found.images, found.exterior, strict=True)), found.points, found.history
