@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import cameras, diagnostics, features, fits, grid, neighbours, stencils, volumes
@@ -80,11 +81,42 @@ def _(t, spark, d):
     return lines.select(near("level", 6).alias("level"), "row", "col", *[near(c, 5).alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-@query("contour_rings", None)
+_PLACE = '(((k + 32768) << 46) | (("row" + {r})::BIGINT << 23) | ((col + {c})::BIGINT << 1) | {s})'
+_E1, _E2, _E3, _E4 = (_PLACE.format(r=r, c=c, s=s) for r, c, s in ((0, 0, 0), (0, 1, 1), (1, 0, 0), (0, 0, 1)))
+# Rings by their least edge: edges that each segment joins, closed over. Length and vertices do not need an order
+_RINGS = f"""{FULL}, g AS (SELECT "row", col, value AS a, lead(value) OVER (PARTITION BY "row" ORDER BY col) AS b FROM f),
+h AS (SELECT *, lead(a) OVER w AS d, lead(b) OVER w AS c FROM g WINDOW w AS (PARTITION BY col ORDER BY "row")),
+k AS (SELECT *, k * 1.7 AS level FROM (SELECT *, unnest(range(floor(least(a, b, c, d) / 1.7)::BIGINT + 1, floor(greatest(a, b, c, d) / 1.7)::BIGINT + 1)) AS k
+  FROM h WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND d IS NOT NULL)),
+t AS (SELECT *, (a >= level) <> (b >= level) AS e1, (b >= level) <> (c >= level) AS e2, (d >= level) <> (c >= level) AS e3, (a >= level) <> (d >= level) AS e4, ((a + b + c + d) / 4 >= level) = (a >= level) AS through FROM k),
+m AS (SELECT *, row(col + (level - a) / (b - a), "row", {_E1}) AS p1, row(col + 1, "row" + (level - b) / (c - b), {_E2}) AS p2, row(col + (level - d) / (c - d), "row" + 1, {_E3}) AS p3, row(col, "row" + (level - a) / (d - a), {_E4}) AS p4 FROM t),
+zz AS (SELECT k, level, unnest(CASE WHEN e1 AND e2 AND e3 AND e4 THEN CASE WHEN through THEN [[p1, p2], [p3, p4]] ELSE [[p1, p4], [p2, p3]] END
+  WHEN e1 AND e2 THEN [[p1, p2]] WHEN e1 AND e3 THEN [[p1, p3]] WHEN e1 AND e4 THEN [[p1, p4]] WHEN e2 AND e3 THEN [[p2, p3]] WHEN e2 AND e4 THEN [[p2, p4]] ELSE [[p3, p4]] END) AS z FROM m),
+sg AS (SELECT level, z[1][3] AS u, z[2][3] AS v, sqrt((z[1][1] - z[2][1]) * (z[1][1] - z[2][1]) + (z[1][2] - z[2][2]) * (z[1][2] - z[2][2])) AS long FROM zz),
+ed AS (SELECT u AS a, v AS b FROM sg UNION SELECT v, u FROM sg), re AS (SELECT a AS n, a AS r FROM ed UNION SELECT ed.b, re.r FROM re JOIN ed ON ed.a = re.n AND ed.b > re.r),
+ro AS (SELECT n, min(r) AS root FROM re GROUP BY n), dg AS (SELECT root, count(*) FILTER (x.ways <> 2) AS loose FROM (SELECT a, count(*) AS ways FROM ed GROUP BY a) x JOIN ro ON ro.n = x.a GROUP BY root),
+ri AS (SELECT round(level, 6) AS level, root AS ring, count(*) AS segments, round(sum(long), 6) AS length, loose = 0 AS closed FROM sg JOIN ro ON ro.n = sg.u JOIN dg USING (root) GROUP BY level, root, loose)"""
+
+
+@query("contour_rings", f"WITH RECURSIVE {_RINGS} SELECT * FROM ri")
 def _(t, spark, d):
     return rounded(terrain.contour_rings(terrain.contour_segments(full_surface(spark, d), 1.7)))
 
 
+@query("contour_lines", f"WITH RECURSIVE {_RINGS} SELECT level, ring AS line, segments + 1 AS vertices, segments AS last_seq, length, closed FROM ri")
+def _(t, spark, d):
+    lines = terrain.contour_lines(full_surface(spark, d), 1.7, tolerance=0.0, least=0)
+    after = Window.partitionBy("line").orderBy("seq")
+    step = F.hypot(F.lead("x").over(after) - F.col("x"), F.lead("y").over(after) - F.col("y"))
+    ways = lines.withColumn("step", step).groupBy("level", "line", "closed").agg(F.count(F.lit(1)).alias("vertices"), F.max("seq").alias("last_seq"), F.sum("step").alias("length"))
+    return rounded(ways)
+
+
+@query("contour_features", None)
+def _(t, spark, d):
+    return terrain.contour_features(terrain.contour_lines(full_surface(spark, d), 1.7, tolerance=0.3), GRID)
+
+
 # The voids of a lattice by the nearest filled cell, ties to the lesser value.
 _FILL = """nv AS (SELECT v."row", v.col, arg_min(s.value, row((v."row" - s."row") * (v."row" - s."row") + (v.col - s.col) * (v.col - s.col), s.value)) AS value
 FROM {f} v, {f} s WHERE v.value IS NULL AND s.value IS NOT NULL GROUP BY v."row", v.col),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import project
 from ..operators.grid import Grid, complete, grid_aggregate, keep_points
+from ..operators.polylines import chained, simplified
 from ..operators.stencils import bilinear, disk, gradient, halo, median_filter, opening_disk
 from ..session import materialise
 
@@ -163,10 +164,11 @@ def contour_edges(cells: DataFrame, interval: float, base: float = 0.0, index_ev
 
 
 def contour_segments(cells: DataFrame, interval: float, base: float = 0.0) -> DataFrame:
-    """Contour lines as segments, one for each crossing of a square of four cells: ``level, row, col, x1, y1, x2, y2, u, v``.
+    """Contour lines as segments, one for each crossing of a square of four cells: ``level, row, col, x1, y1, x2, y2, u, v, onward``.
 
     ``cells`` is a full lattice; ``x`` counts columns and ``y`` rows from the first centre. ``u`` and ``v`` name the lattice edges that
-    a segment ends on, so segments of one line share them. In a saddle the mean of the four corners says which sides join.
+    a segment ends on, so segments of one line share them. ``onward`` says that the way from 1 to 2 has the higher ground on its
+    left as the map shows it; else the way back has. In a saddle the mean of the four corners says which sides join.
     Squares with a void have no line.
     """
     right, down = Window.partitionBy("row").orderBy("col"), Window.partitionBy("col").orderBy("row")
@@ -179,7 +181,12 @@ def contour_segments(cells: DataFrame, interval: float, base: float = 0.0) -> Da
     a, b, c, d = (F.col(n) for n in "abcd")
     level, x, y = F.col("level"), F.col("col").cast("double"), F.col("row").cast("double")
     over = {n: F.col(n) >= level for n in "abcd"}
-    name = lambda row, col, side: F.shiftleft(F.col("k") + (1 << 15), 46).bitwiseOR(F.shiftleft(row.cast("long"), 23)).bitwiseOR(F.shiftleft(col.cast("long"), 1)).bitwiseOR(F.lit(side))
+    fits = F.col("row").between(0, (1 << 23) - 2) & F.col("col").between(0, (1 << 22) - 2) & F.col("k").between(-(1 << 15), (1 << 16) + (1 << 15) - 1)
+    number = F.when(fits, F.col("k")).otherwise(F.raise_error(F.lit("contour_segments: rows to 8,388,606, columns to 4,194,302 and level numbers -32,768 to 98,303 have names of their own")))
+
+    def name(row, col, side):
+        return F.shiftleft(number.cast("long") + (1 << 15), 46).bitwiseOR(F.shiftleft(row.cast("long"), 23)).bitwiseOR(F.shiftleft(col.cast("long"), 1)).bitwiseOR(F.lit(side))
+
     share = lambda p, q: (level - p) / (q - p)
     sides = {
         "top": (over["a"] != over["b"], x + share(a, b), y, name(F.col("row"), F.col("col"), 0)),
@@ -187,14 +194,42 @@ def contour_segments(cells: DataFrame, interval: float, base: float = 0.0) -> Da
         "bottom": (over["d"] != over["c"], x + share(d, c), y + 1, name(F.col("row") + 1, F.col("col"), 0)),
         "left": (over["a"] != over["d"], x, y + share(a, d), name(F.col("row"), F.col("col"), 1)),
     }
-    ends = {n: F.when(on, F.struct(px.alias("x"), py.alias("y"), e.alias("e"))) for n, (on, px, py, e) in sides.items()}
+    leaves = {"top": over["a"], "right": over["b"], "bottom": over["c"], "left": over["d"]}  # going around, from higher ground to lower
+    ends = {n: F.when(on, F.struct(px.alias("x"), py.alias("y"), e.alias("e"), leaves[n].alias("out"))) for n, (on, px, py, e) in sides.items()}
     pair = lambda p, q: F.struct(p.alias("p"), q.alias("q"))
     met = F.array_compact(F.array(*ends.values()))
     joined = ((a + b + c + d) / 4 >= level) == over["a"]  # the first corner's side runs through the middle
     saddle = F.when(joined, F.array(pair(ends["top"], ends["right"]), pair(ends["bottom"], ends["left"]))).otherwise(F.array(pair(ends["top"], ends["left"]), pair(ends["right"], ends["bottom"])))
     lines = levels.withColumn("met", met).withColumn("s", F.explode(F.when(F.size("met") == 4, saddle).otherwise(F.array(pair(F.get("met", F.lit(0)), F.get("met", F.lit(1)))))))
     p, q = F.col("s.p"), F.col("s.q")
-    return lines.select("level", "row", "col", p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"), p["e"].alias("u"), q["e"].alias("v"))
+    return lines.select("level", "row", "col", p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"), p["e"].alias("u"), q["e"].alias("v"), (~p["out"]).alias("onward"))
+
+
+def contour_lines(cells: DataFrame, interval: float, base: float = 0.0, tolerance: float = 0.7, index_every: int = 5, least: int = 4) -> DataFrame:
+    """Contour lines as ordered vertices: ``level, line, seq, x, y, closed, is_index``; higher ground is on their left as the map shows it.
+
+    Segments are chained and thinned by ``tolerance`` cells (0 keeps all vertices); rings of under ``least`` vertices left are
+    dropped. ``x`` counts columns and ``y`` rows from the first centre; a ring ends where it began.
+    """
+    s = materialise(contour_segments(cells, interval, base), "contour-segments")
+    turned = F.when(F.col("onward"), F.struct("u", "v", "x1", "y1", "x2", "y2")).otherwise(F.struct(F.col("v").alias("u"), F.col("u").alias("v"), F.col("x2").alias("x1"), F.col("y2").alias("y1"), F.col("x1").alias("x2"), F.col("y1").alias("y2")))
+    lines = materialise(chained(s.select(turned.alias("t")).select("t.*")), "contour-chains")
+    thin = simplified(lines, tolerance) if tolerance > 0 else lines
+    thin = materialise(thin, "contour-thin")
+    sizes = thin.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.max("closed").alias("ring"))
+    good = sizes.filter(~F.col("ring") | (F.col("n") > least)).select("line")
+    k = F.shiftright("line", 46) - (1 << 15)
+    return thin.join(good, "line", "left_semi").select((base + k * interval).alias("level"), "line", "seq", "x", "y", "closed", (k % index_every == 0).alias("is_index"))
+
+
+def contour_features(lines: DataFrame, grid: Grid) -> DataFrame:
+    """One GeoJSON feature a line of ``contour_lines``: ``line, feature``, with ``elevation`` and ``index`` as properties and map coordinates."""
+    at = F.array(grid.centre_x(F.col("x")), grid.centre_y(F.col("y")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", at.alias("at")))), lambda p: p["at"])
+    rows = lines.groupBy("level", "line", "is_index").agg(ordered.alias("coordinates"))
+    shape = F.struct(F.lit("LineString").alias("type"), "coordinates")
+    about = F.struct(F.round("level", 4).alias("elevation"), F.col("is_index").alias("index"))
+    return rows.select("line", F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), about.alias("properties"))).alias("feature"))
 
 
 def contour_rings(segments: DataFrame) -> DataFrame:
