@@ -116,6 +116,16 @@ def _(t, spark, d):
     return rasters.tiff_info(spark, _tiffs(spark, d)).select("width", "height", "bands", "west", "north", "cell_x", "cell_y", "nodata")
 
 
+@query("tiff_window", f'WITH {FULL} SELECT "row", col, value::FLOAT::DOUBLE AS value FROM f WHERE "row" % 4 BETWEEN 1 AND 2 AND col BETWEEN 10 AND 39')
+def _(t, spark, d):
+    """Two rows and thirty columns of each file."""
+    path = _tiffs(spark, d)
+    info = rasters.tiff_info(spark, path).select("file", "north", "cell_y")
+    first = F.round((F.lit(GRID.north) - F.col("north")) / F.col("cell_y")).cast("int")
+    cells = rasters.read_tiff(spark, path, (1, 10, 2, 30)).join(info, "file")
+    return cells.select((F.col("row") + first).alias("row"), "col", near("value", 9).alias("value"))
+
+
 @query("tiff_overview", f"""WITH {FULL}, g AS (SELECT "row", col, value::FLOAT::DOUBLE AS value FROM f) SELECT "row" // 4 AS "row", col // 4 AS col, round(avg(value), 6) AS value FROM g WHERE value IS NOT NULL GROUP BY 1, 2""")
 def _(t, spark, d):
     cells = _read_tiffs(spark, _tiffs(spark, d)).filter("value is not null")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..session import ship_package
@@ -17,25 +19,42 @@ def open_system(path: str):
     """The file system of a path, and the path in it."""
     from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), unquote(re.sub("^file:/*", "/", path))
+    if "://" in path:
         return fs.FileSystem.from_uri(path)
     return fs.LocalFileSystem(), path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and host that Spark would read it with, so that tasks on other machines mean the same place."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
+def arrow_reaches(path: str) -> bool:
+    """Whether byte ranges of files there can be read without Spark."""
+    try:
+        open_system(path)
+        return True
+    except Exception:  # a scheme that Arrow does not know, or a library that it lacks
+        return False
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
 class _Writer(DataSourceWriter):
-    """Tasks write under names of their own; the files get their names when all tasks have ended, so a repeated task leaves none twice."""
+    """Tasks write under names of their own, in a folder of the job; the files get their names when all tasks have ended, so a repeated task leaves none twice and two jobs may write to one place."""
 
     def __init__(self, path: str):
-        self.path = path.rstrip("/")
+        self.path, self.pending = path.rstrip("/"), f"_pending-{uuid.uuid4().hex}"
 
     def write(self, iterator):
         system, folder = open_system(self.path)
-        pending, files = f"{folder}/_pending", []
+        pending, files = f"{folder}/{self.pending}", []
         system.create_dir(pending, recursive=True)
         for row in iterator:
             own = f"{pending}/{uuid.uuid4().hex}"
@@ -58,8 +77,8 @@ class _Writer(DataSourceWriter):
     def _clear(self, system, folder):
         from pyarrow import fs
 
-        if system.get_file_info(f"{folder}/_pending").type == fs.FileType.Directory:
-            system.delete_dir(f"{folder}/_pending")
+        if system.get_file_info(f"{folder}/{self.pending}").type == fs.FileType.Directory:
+            system.delete_dir(f"{folder}/{self.pending}")
 
 
 class BlobDataSource(DataSource):
@@ -79,4 +98,4 @@ def write_files(files: DataFrame, path: str) -> None:
     spark = files.sparkSession
     ship_package(spark)
     spark.dataSource.register(BlobDataSource)
-    files.select("name", "content").write.format("blobs").mode("append").save(path)
+    files.select("name", "content").write.format("blobs").mode("append").save(qualified(spark, path))

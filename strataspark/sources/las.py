@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..session import ship_package
-from .blobs import open_system, write_files
+from .blobs import open_system, qualified, write_files
 
 CHUNK = 1_000_000
 SCHEMA = "index long, x double, y double, z double, intensity int, return_number short, number_of_returns short, classification short, file string"
@@ -135,7 +135,7 @@ def read_las(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     """The points of a file or a folder."""
     ship_package(spark)
     spark.dataSource.register(LasDataSource)
-    return spark.read.format("las").option("chunk", chunk).load(path)
+    return spark.read.format("las").option("chunk", chunk).load(qualified(spark, path))
 
 
 HEADER = "file string, points long, point_format int, west double, east double, south double, north double, low double, high double"

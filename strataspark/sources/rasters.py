@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .blobs import write_files
+from .blobs import arrow_reaches, open_system, qualified, write_files
 
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8}
 _CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
@@ -20,24 +20,26 @@ _TYPES = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2
 INFO = "file string, width int, height int, bands int, dtype string, west double, north double, cell_x double, cell_y double, nodata double"
 
 
-def _tags(raw: bytes) -> tuple[str, dict]:
-    end = {b"II": "<", b"MM": ">"}.get(raw[:2])
-    if end is None or struct.unpack_from(f"{end}H", raw, 2)[0] != 42:
+def _tags(read) -> tuple[str, dict]:
+    """Byte order and tags of a TIFF of which ``read(at, n)`` gives bytes; only the tags and what they point to are read."""
+    head = read(0, 8)
+    end = {b"II": "<", b"MM": ">"}.get(head[:2])
+    if end is None or len(head) < 8 or struct.unpack_from(f"{end}H", head, 2)[0] != 42:
         raise ValueError("not a classic TIFF file")
-    at, = struct.unpack_from(f"{end}I", raw, 4)
-    n, = struct.unpack_from(f"{end}H", raw, at)
-    tags = {}
+    at, = struct.unpack_from(f"{end}I", head, 4)
+    n, = struct.unpack(f"{end}H", read(at, 2))
+    body, tags = read(at + 2, 12 * n), {}
     for k in range(n):
-        tag, kind, count = struct.unpack_from(f"{end}HHI", raw, at + 2 + 12 * k)
+        tag, kind, count = struct.unpack_from(f"{end}HHI", body, 12 * k)
         size = _SIZES[kind] * count
-        place = at + 10 + 12 * k if size <= 4 else struct.unpack_from(f"{end}I", raw, at + 10 + 12 * k)[0]
-        tags[tag] = raw[place : place + size].split(b"\0")[0].decode("latin-1") if kind == 2 else struct.unpack_from(f"{end}{count}{_CODES.get(kind, 'B')}", raw, place)
+        data = body[12 * k + 8 : 12 * k + 8 + size] if size <= 4 else read(struct.unpack_from(f"{end}I", body, 12 * k + 8)[0], size)
+        tags[tag] = data.split(b"\0")[0].decode("latin-1") if kind == 2 else struct.unpack(f"{end}{count}{_CODES.get(kind, 'B')}", data)
     return end, tags
 
 
-def info(raw: bytes) -> dict:
-    """Size, type, place and nodata value of a TIFF; without a place the transform is that of pixels."""
-    end, t = _tags(raw)
+def info(read) -> dict:
+    """Size, type, place and nodata value of a TIFF; without a place the transform is that of pixels. ``read`` is a function ``(at, n)`` or the bytes."""
+    end, t = _tags(read if callable(read) else lambda at, n: read[at : at + n])
     one = lambda tag, default: t.get(tag, (default,))[0]
     kind = _TYPES[one(339, 1), one(258, 8)]
     sx, sy = t.get(33550, (1.0, 1.0))[:2]
@@ -47,70 +49,166 @@ def info(raw: bytes) -> dict:
     return {"width": one(256, 0), "height": one(257, 0), "bands": one(277, 1), "dtype": kind, "west": float(west), "north": float(north), "cell_x": float(sx), "cell_y": float(sy), "nodata": float(nodata) if nodata and nodata.strip() else None, "end": end, "tags": t}
 
 
-def blocks(raw: bytes):
-    """``(band or None, row, col, array)`` of each strip or tile; None: the last axis has the bands."""
-    h = info(raw)
-    t, bands = h["tags"], h["bands"]
+def layout(h: dict) -> list[tuple[int, int, int, int, int]]:
+    """``(band or -1, row, col, offset, bytes)`` of each strip or tile; -1: it holds all bands."""
+    t = h["tags"]
+    apart, tiled = t.get(284, (1,))[0] == 2, 324 in t
+    offsets, counts = (t[324], t[325]) if tiled else (t[273], t[279])
+    bw, bh = (t[322][0], t[323][0]) if tiled else (h["width"], t.get(278, (h["height"],))[0])
+    across, down = -(-h["width"] // bw), -(-h["height"] // bh)
+    found = []
+    for k, (at, n) in enumerate(zip(offsets, counts, strict=True)):
+        band, rest = divmod(k, across * down) if apart else (-1, k)
+        found.append((band, rest // across * bh, rest % across * bw, at, n))
+    return found
+
+
+def block(h: dict, band: int, r: int, c: int, data: bytes) -> np.ndarray:
+    """The values of one strip or tile, ``[row, col, band]``."""
+    t = h["tags"]
     how, predictor = t.get(259, (1,))[0], t.get(317, (1,))[0]
     if how not in (1, 8, 32946):
         raise ValueError(f"TIFF compression {how} needs a codec that is not here")
-    apart = t.get(284, (1,))[0] == 2
     tiled = 324 in t
-    offsets, counts = (t[324], t[325]) if tiled else (t[273], t[279])
     bw, bh = (t[322][0], t[323][0]) if tiled else (h["width"], t.get(278, (h["height"],))[0])
-    across, down = -(-h["width"] // bw), -(-h["height"] // bh)
     dtype = np.dtype(h["end"] + h["dtype"])
-    depth = 1 if apart else bands
-    for k, (at, n) in enumerate(zip(offsets, counts, strict=True)):
-        band, rest = divmod(k, across * down) if apart else (None, k)
-        r, c = rest // across * bh, rest % across * bw
-        data = raw[at : at + n] if how == 1 else zlib.decompress(raw[at : at + n])
-        rows = bh if tiled else min(bh, h["height"] - r)
-        if predictor == 3:
-            b = np.frombuffer(data, np.uint8)[: rows * bw * depth * dtype.itemsize].reshape(rows, -1)
-            b = np.cumsum(b.reshape(rows, -1, depth), axis=1, dtype=np.uint8).reshape(rows, dtype.itemsize, bw * depth)
-            a = np.ascontiguousarray(b.transpose(0, 2, 1)).view(np.dtype(">" + h["dtype"])).reshape(rows, bw, depth)
-        else:
-            a = np.frombuffer(data, dtype)[: rows * bw * depth].reshape(rows, bw, depth)
-            if predictor == 2:
-                a = np.cumsum(a, axis=1, dtype=dtype.newbyteorder("="))
-        a = a[: h["height"] - r, : h["width"] - c]
-        yield band, r, c, a
-
-
-def _cells(batches):
-    for batch in batches:
-        for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            nodata = info(raw)["nodata"]
-            for band, r, c, a in blocks(raw):
-                for k in range(a.shape[2]):
-                    v = a[:, :, k].astype(float)
-                    void = np.isnan(v) if nodata is None else np.isnan(v) | (v == nodata)
-                    rows, cols = np.indices(v.shape)
-                    n = v.size
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * n), pa.array(np.full(n, (k if band is None else band) + 1, np.int32)), pa.array((rows.ravel() + r).astype(np.int32)), pa.array((cols.ravel() + c).astype(np.int32)), pa.array(v.ravel(), mask=void.ravel())],
-                        names=["file", "band", "row", "col", "value"],
-                    )
-
-
-def _infos(batches):
-    for batch in batches:
-        rows = [(n, *[info(r)[k] for k in ("width", "height", "bands", "dtype", "west", "north", "cell_x", "cell_y", "nodata")]) for n, r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+    depth = h["bands"] if band < 0 else 1
+    data = data if how == 1 else zlib.decompress(data)
+    rows = bh if tiled else min(bh, h["height"] - r)
+    if predictor == 3:
+        b = np.frombuffer(data, np.uint8)[: rows * bw * depth * dtype.itemsize].reshape(rows, -1)
+        b = np.cumsum(b.reshape(rows, -1, depth), axis=1, dtype=np.uint8).reshape(rows, dtype.itemsize, bw * depth)
+        a = np.ascontiguousarray(b.transpose(0, 2, 1)).view(np.dtype(">" + h["dtype"])).reshape(rows, bw, depth)
+    else:
+        a = np.frombuffer(data, dtype)[: rows * bw * depth].reshape(rows, bw, depth)
+        if predictor == 2:
+            a = np.cumsum(a, axis=1, dtype=dtype.newbyteorder("="))
+    return a[: h["height"] - r, : h["width"] - c]
+
+
+def _opened(path: str):
+    """``read(at, n)`` of a file, by byte ranges."""
+    system, name = open_system(path)
+    source = system.open_input_file(name)
+
+    def read(at: int, n: int) -> bytes:
+        source.seek(at)
+        return source.read(n)
+
+    return read
+
+
+def _held(raw: bytes):
+    return lambda at, n: raw[at : at + n]
+
+
+_BLOCK_ROWS = "file string, band int, row int, col int, offset long, bytes long"
+_PART = 16  # blocks of a file that are read together
+
+
+def _blocks_of(window):
+    """Strips and tiles of each file that meet the window ``(row, col, rows, cols)``."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                h = info(_opened(path))
+                t = h["tags"]
+                high, wide = (t[323][0], t[322][0]) if 324 in t else (t.get(278, (h["height"],))[0], h["width"])
+                for band, r, c, at, n in layout(h):
+                    if window is None or (r < window[0] + window[2] and r + high > window[0] and c < window[1] + window[3] and c + wide > window[1]):
+                        rows.append((path, band, r, c, at, n))
+            types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(types)], names=[c.split()[0] for c in _BLOCK_ROWS.split(", ")])
+
+    return run
+
+
+def _cell_rows(name: str, h: dict, band: int, r: int, c: int, a: np.ndarray, window):
+    """Arrow batches of one block's cells, those of the window alone."""
+    if window is not None:
+        top, left = max(window[0] - r, 0), max(window[1] - c, 0)
+        a = a[top : max(top, window[0] + window[2] - r), left : max(left, window[1] + window[3] - c)]
+        r, c = r + top, c + left
+    if not a.size:
+        return
+    for k in range(a.shape[2]):
+        v = a[:, :, k].astype(float)
+        void = np.isnan(v) if h["nodata"] is None else np.isnan(v) | (v == h["nodata"])
+        rows, cols = np.indices(v.shape)
+        n = v.size
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([name] * n), pa.array(np.full(n, (k if band < 0 else band) + 1, np.int32)), pa.array((rows.ravel() + r).astype(np.int32)), pa.array((cols.ravel() + c).astype(np.int32)), pa.array(v.ravel(), mask=void.ravel())],
+            names=["file", "band", "row", "col", "value"],
+        )
+
+
+def _cells_of(window):
+    def run(batches):
+        for batch in batches:
+            path, read, h = None, None, None
+            for name, band, r, c, at, n in zip(*[batch.column(k).to_pylist() for k in range(6)], strict=True):
+                if name != path:
+                    path, read = name, _opened(name)
+                    h = info(read)
+                yield from _cell_rows(name, h, band, r, c, block(h, band, r, c, read(at, n)), window)
+
+    return run
+
+
+def _whole_cells(window):
+    def run(batches):
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = info(raw)
+                for band, r, c, at, n in layout(h):
+                    yield from _cell_rows(name, h, band, r, c, block(h, band, r, c, raw[at : at + n]), window)
+
+    return run
+
+
+def _infos(ranged: bool):
+    def run(batches):
         names = [c.split()[0] for c in INFO.split(", ")]
         types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * 5]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+        for batch in batches:
+            files = batch.column(0).to_pylist()
+            reads = [_opened(f) for f in files] if ranged else [_held(raw) for raw in batch.column(1).to_pylist()]
+            heads = [info(read) for read in reads]
+            rows = [(f, *[h[k] for k in names[1:]]) for f, h in zip(files, heads, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
+
+    return run
+
+
+def _files(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
+    """The files of a path, and whether their bytes can be read in ranges; where only Spark reaches them, their content comes along."""
+    found = spark.read.format("binaryFile").load(path)
+    ranged = arrow_reaches(qualified(spark, path))
+    return found.select("path") if ranged else found.select("path", "content"), ranged
+
 
+def read_tiff(spark: SparkSession, path: str, window: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """``file, band, row, col, value`` of TIFF files, or of the ``window`` (first row, first col, rows, cols) of each.
 
-def read_tiff(spark: SparkSession, path: str) -> DataFrame:
-    """``file, band, row, col, value`` of TIFF files; a file is one task, a strip or tile one batch."""
+    Tasks read the headers, then the byte ranges of those strips or tiles alone that meet the window, dealt over tasks in
+    lots of a few, so a file of any size is read by many. In a store that only Spark reads, a file is one value and one task.
+    """
     ship_package(spark)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_cells, "file string, band int, row int, col int, value double")
+    files, ranged = _files(spark, path)
+    ddl = "file string, band int, row int, col int, value double"
+    if not ranged:
+        return files.mapInArrow(_whole_cells(window), ddl)
+    parts = files.mapInArrow(_blocks_of(window), _BLOCK_ROWS).withColumn("lot", F.floor(F.col("offset") / F.greatest(F.col("bytes") * _PART, F.lit(1))))
+    return parts.repartition("file", "lot").sortWithinPartitions("file", "offset").drop("lot").mapInArrow(_cells_of(window), ddl)
 
 
 def tiff_info(spark: SparkSession, path: str) -> DataFrame:
+    """Header figures of TIFF files, from their tags alone."""
     ship_package(spark)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_infos, INFO)
+    files, ranged = _files(spark, path)
+    return files.mapInArrow(_infos(ranged), INFO)
 
 
 def encode_tiff(values: np.ndarray, west: float, north: float, cell_x: float, cell_y: float, nodata: float = -9999.0, strip: int = 64) -> bytes:

@@ -150,3 +150,40 @@ def test_throttle_keeps_finished_jobs(spark):
     df = rows.withColumn("ts", F.timestamp_micros((F.col("at") * 1e6).cast("long")))
     got = sorted((r["job"], r["share"]) for r in S.throttled(df, "job", 0.12, done="share").collect())
     assert got == [(1, 0.1), (1, 0.3), (1, 1.0), (2, 0.4)]
+
+
+def test_a_window_opens_the_strips_that_it_meets(spark, tmp_path, monkeypatch):
+    values = np.arange(300 * 20, dtype=float).reshape(300, 20)
+    values[7, 3] = np.nan
+    (tmp_path / "a.tif").write_bytes(rasters.encode_tiff(values, 0.0, 300.0, 1.0, 1.0, strip=16))
+    whole = rasters.read_tiff(spark, str(tmp_path / "a.tif"))
+    assert whole.count() == values.size
+    got = {(r["row"], r["col"]): r["value"] for r in rasters.read_tiff(spark, f"file:{tmp_path}/a.tif", (5, 2, 30, 4)).collect()}
+    assert got == {(r, c): None if np.isnan(values[r, c]) else values[r, c] for r in range(5, 35) for c in range(2, 6)}
+    assert rasters.read_tiff(spark, str(tmp_path / "a.tif"), (290, 15, 100, 100)).count() == 50
+    assert rasters.read_tiff(spark, str(tmp_path / "a.tif"), (400, 0, 5, 5)).count() == 0
+    asked = []
+    raw = (tmp_path / "a.tif").read_bytes()
+
+    def read(at, n):
+        asked.append((at, n))
+        return raw[at : at + n]
+
+    h = rasters.info(read)
+    assert sum(n for _, n in asked) < 600 and h["height"] == 300  # the tags and what they point to
+    monkeypatch.setattr(rasters, "arrow_reaches", lambda path: False)  # a store that only Spark reads
+    again = {(r["row"], r["col"]): r["value"] for r in rasters.read_tiff(spark, str(tmp_path / "a.tif"), (5, 2, 30, 4)).collect()}
+    assert again == got and rasters.tiff_info(spark, str(tmp_path / "a.tif")).head()["width"] == 20
+
+
+def test_two_jobs_write_to_one_folder(spark, tmp_path):
+    from strataspark.sources import blobs
+
+    one, two = blobs._Writer(f"file:{tmp_path}/out"), blobs._Writer(str(tmp_path / "out"))
+    kept = one.write(iter([{"name": "a.bin", "content": b"1"}]))
+    two.commit([two.write(iter([{"name": "b.bin", "content": b"2"}]))])
+    one.commit([kept])
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == {"a.bin": b"1", "b.bin": b"2"}
+    assert blobs.qualified(spark, "some/place").startswith("file:/")
+    blobs.write_files(spark.createDataFrame([("x y.bin", b"3")], blobs.SCHEMA), f"{tmp_path}/with space")
+    assert (tmp_path / "with space" / "x y.bin").read_bytes() == b"3"
