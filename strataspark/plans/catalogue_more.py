@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import cameras, diagnostics, features, fits, grid, neighbours, stencils, volumes
+from ..operators import block, cameras, diagnostics, features, fits, grid, meshes, neighbours, seams, stencils, volumes
 from ..operators.quantiles import exact_quantiles, middle
 from ..operators.triangles import delaunay, pit_free, tin_grid
 from . import mosaic, reports, terrain
@@ -433,9 +433,13 @@ SELECT f.ix + 0.5, f.iy + 0.5 + f.value / (f.value - g.value), f.iz + 0.5 FROM f
 SELECT f.ix + 0.5, f.iy + 0.5, f.iz + 0.5 + f.value / (f.value - g.value) FROM fu f JOIN fu g ON g.ix = f.ix AND g.iy = f.iy AND g.iz = f.iz + 1 WHERE (f.value < 0) <> (g.value < 0))
 SELECT round(x * 2.0, 6) AS x, round(y * 2.0, 6) AS y, round(z * 2.0, 6) AS z FROM cr""")
 def _(t, spark, d):
+    return rounded(volumes.surface_voxels(_fused(t), 2.0))
+
+
+def _fused(t):
     key = F.col("c_custkey")
-    fused = t("customer").select((key % 7).cast("int").alias("ix"), (F.floor(key / 7) % 11).cast("int").alias("iy"), F.floor(key / 77).cast("int").alias("iz"), F.col("c_acctbal").alias("value"), F.lit(1).alias("weight"))
-    return rounded(volumes.surface_voxels(fused, 2.0))
+    place = [(key % 7).cast("int").alias("ix"), (F.floor(key / 7) % 11).cast("int").alias("iy"), F.floor(key / 77).cast("int").alias("iz")]
+    return t("customer").select(*place, F.col("c_acctbal").alias("value"), F.lit(1).alias("weight"))
 
 
 _LINE = "ln AS (SELECT p_partkey, p_retailprice / 100 AS x, p_size + 0.3 * p_retailprice / 100 AS y FROM part), ss AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, sum(x * x) - count(*) * avg(x) * avg(x) AS sxx, sum(x * y) - count(*) * avg(x) * avg(y) AS sxy, sum(y * y) - count(*) * avg(y) * avg(y) AS syy FROM ln), li AS (SELECT *, sxy / sxx AS b, my - sxy / sxx * mx AS a, sqrt((syy - sxy * sxy / sxx) / (n - 2)) AS s0 FROM ss)"
@@ -540,3 +544,40 @@ oc AS (SELECT DISTINCT trunc(({_TIN.north} - y) / {_TIN.cell_y})::INT AS r, trun
 SELECT "row", col, round(max(value), 5) AS value FROM su WHERE (layer = 0 OR edge <= 3000) AND EXISTS (SELECT 1 FROM oc WHERE abs(r - "row") + abs(c - col) <= 3) GROUP BY "row", col""")
 def _(t, spark, d):
     return rounded(pit_free(_cloud(t), _TIN, max_edge=3000.0, reach=3, thresholds=_RUNGS[1:]), 5)
+
+
+# ---- meshes and seams --------------------------------------------------------------------------
+
+_CUBES = " JOIN ".join(["fu c0"] + [f"fu c{k} ON c{k}.ix = c0.ix + {k & 1} AND c{k}.iy = c0.iy + {k >> 1 & 1} AND c{k}.iz = c0.iz + {k >> 2 & 1}" for k in range(1, 8)])
+_EDGES = sorted({tuple(sorted((t[i], t[j]))) for t in meshes.TETRAHEDRA for i in range(4) for j in range(i)})
+_MESH = f"""{_FUSED}, cu AS (SELECT c0.ix, c0.iy, c0.iz, [{", ".join(f"c{k}.value" for k in range(8))}] AS v FROM {_CUBES}),
+te AS (SELECT iz, unnest([{", ".join("[" + ", ".join(f"v[{k + 1}]" for k in t) + "]" for t in meshes.TETRAHEDRA)}]) AS w FROM cu),
+tr AS (SELECT iz, sum(CASE len(list_filter(w, lambda x: x < 0)) WHEN 1 THEN 1 WHEN 3 THEN 1 WHEN 2 THEN 2 ELSE 0 END)::BIGINT AS triangles FROM te GROUP BY iz),
+ed AS (SELECT ix, iy, iz, unnest([{", ".join(f"row({i}, {j}, v[{i + 1}], v[{j + 1}])" for i, j in _EDGES)}]) AS e FROM cu),
+ve AS (SELECT DISTINCT iz, ix + (e[1] & 1) AS x, iy + (e[1] >> 1 & 1) AS y, iz + (e[1] >> 2 & 1) AS z, e[2] & ~e[1] AS d FROM ed WHERE (e[3] < 0) <> (e[4] < 0))"""
+
+
+@query("mesh_layers", f"WITH {_MESH} SELECT tr.iz, triangles, count(*) AS corners FROM tr JOIN ve USING (iz) GROUP BY tr.iz, triangles")
+def _(t, spark, d):
+    """Triangles of each layer of cubes, and the distinct lattice edges that their corners lie on."""
+    faces = meshes.surface_triangles(_fused(t), 2.0)
+    # the cube of a triangle: the least lattice point of its corners, which all corners of one cube share in z or exceed by one
+    low = F.least(*[F.floor((F.col(f"z{k}") / 2.0) - 0.5) for k in "abc"])
+    high = F.greatest(*[F.ceil((F.col(f"z{k}") / 2.0) - 0.5) for k in "abc"])
+    layer = F.when(high - low == 1, low)
+    rows = faces.withColumn("iz", layer.cast("int"))
+    corners = rows.select("iz", F.explode(F.array(*[F.struct(*[F.col(f"{c}{k}").alias(c) for c in ("ix", "iy", "iz", "d")]) for k in "abc"])).alias("n"))
+    counts = corners.groupBy("iz").agg(F.count_distinct("n").alias("corners"))
+    return rows.groupBy("iz").agg(F.count(F.lit(1)).alias("triangles")).join(counts, "iz")
+
+
+@query("seam_costs", f"""WITH {_LAYERS}, m AS (SELECT "row", col, count(*)::INT AS covered, median(value) AS mid FROM s GROUP BY "row", col),
+sp AS (SELECT s."row", s.col, covered, CASE WHEN covered > 1 THEN avg(abs(value - mid)) ELSE 0 END AS spread FROM s JOIN m USING ("row", col) GROUP BY s."row", s.col, covered)
+SELECT "row", col, covered, round(1 + 8 * spread / greatest((SELECT median(spread) FROM sp WHERE covered > 1), 1e-6), 6) AS cost FROM sp""")
+def _(t, spark, d):
+    return rounded(seams.disagreement(_layers(spark, d)))
+
+
+@query("seam_owners", None)
+def _(t, spark, d):
+    return rounded(seams.least_difference(_layers(spark, d), 16))
