@@ -326,6 +326,28 @@ def adjust(
     return Block(images, state, table, history, sigma0, redundancy, normals, rows, settings, place)
 
 
+PRECISION = "image_id string, sigmas array<double>, corner_m double, corner_px double, pixel_m double"
+WEAK_PIXELS = 5.0
+
+
+def photo_precision(block: Block, half_width: float, half_height: float, ground: float, pixel_mm: float, together: int = 50) -> DataFrame:
+    """``image_id, sigmas, corner_m, corner_px, pixel_m`` of each photo: its standard errors, and how far its worst frame corner may lie off on the ground."""
+    from .diagnostics import corner_uncertainty
+
+    focal, rows = block.settings[0], []
+    for image, cov in block.photo_covariances(block.images, together).items():
+        v = block.exterior[block.place[image]]
+        corner = corner_uncertainty(v, cov, focal, half_width, half_height, ground)
+        pixel = pixel_mm * (v[2] - ground) / focal
+        rows.append((image, np.sqrt(np.maximum(np.diag(cov), 0)).tolist(), float(corner), float(corner / pixel), float(pixel)))
+    return block.rows.sparkSession.createDataFrame(rows, PRECISION)
+
+
+def weak_photos(precision: DataFrame, control_sigma: float | None = None) -> DataFrame:
+    """Photos whose corners are over ``WEAK_PIXELS`` pixels uncertain, and beyond what control of ``control_sigma`` explains (two and a half times it)."""
+    return precision.filter((F.col("corner_px") > WEAK_PIXELS) & (F.col("corner_m") > 2.5 * (control_sigma or 0.0)))
+
+
 def _summed(parts: DataFrame, photos: int) -> tuple[ReducedNormals, np.ndarray]:
     """The blocks of all chunks summed up, in order of their row, and the right-hand side."""
     sums = [F.sum(F.get("m", F.lit(k))) for k in range(36)]

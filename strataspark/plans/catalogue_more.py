@@ -581,3 +581,51 @@ def _(t, spark, d):
 @query("seam_owners", None)
 def _(t, spark, d):
     return rounded(seams.least_difference(_layers(spark, d), 16))
+
+
+# ---- blocks ------------------------------------------------------------------------------------
+# Customers as ground points; a photo for each of 25 places, which sees the customers in its frame. Measurements are the projections with an error that follows from the keys
+
+
+def _block(t, spark):
+    from ..functions.geometry import project
+
+    p = t("customer").select(
+        F.concat(F.lit("c"), "c_custkey").alias("point_id"), (F.col("c_custkey") * 7919 % 1009).cast("double").alias("x"), (F.col("c_custkey") * 104729 % 1013).cast("double").alias("y"), (F.col("c_custkey") * 31 % 61).cast("double").alias("z"), "c_custkey"
+    )
+    k = F.col("n_nationkey").cast("int")
+    angle = lambda m: ((k * m % 11) - 5) * 0.004
+    photos = t("nation").select(
+        F.format_string("n%02d", k).alias("image_id"), (100 + (k % 5) * 200.0).alias("X0"), (100 + F.floor(k / 5) * 200.0).alias("Y0"), F.lit(1000.0).alias("Z0"), angle(3).alias("omega"), angle(5).alias("phi"), (angle(7) * 3).alias("kappa")
+    )
+    names = block.EXTERIOR
+    seen = p.join(photos, (F.abs(F.col("x") - F.col("X0")) < 330) & (F.abs(F.col("y") - F.col("Y0")) < 330))
+    u, v = project([F.col("x"), F.col("y"), F.col("z")], [F.col(c) for c in names[:3]], [F.col(c) for c in names[3:]], F.lit(150.0))
+    error = lambda m: (F.pmod(F.xxhash64("point_id", "image_id", F.lit(m)), F.lit(1001)) - 500) / 500 * 0.004
+    inside = (F.abs("x_mm") < 45) & (F.abs("y_mm") < 45)
+    observed = seen.select("image_id", "point_id", (u + error(1)).alias("x_mm"), (v + error(7)).alias("y_mm")).filter(inside)
+    control = p.filter("c_custkey % 10 = 0").select("point_id", *[F.col(c).alias(f"g{c}") for c in "xyz"])
+    start = photos.select("image_id", *[(F.col(c) + off).alias(c) for c, off in zip(names, (2.0, -1.5, 3.0, 0.002, -0.003, 0.004), strict=True)])
+    first = p.select("point_id", F.col("x") + 1.0, F.col("y") - 1.0, F.col("z") + 2.0).toDF("point_id", "x", "y", "z")
+    return block.adjust(observed, start, first, control, 150.0, rounds=8, control_sigma=0.05), photos
+
+
+@query("block_adjustment", "SELECT printf('n%02d', n_nationkey) AS image_id, true AS within, true AS sigma_fits FROM nation")
+def _(t, spark, d):
+    """Each photo found within a few of its standard errors of where it was, and the error of the measurements recovered."""
+    found, photos = _block(t, spark)
+    errors = block.photo_precision(found, 45.0, 45.0, 30.0, 0.01)
+    fits_ = 0.5 * 0.004 / 3**0.5 < found.sigma0 < 2 * 0.004 / 3**0.5
+    rows = [(i, *map(float, v)) for i, v in zip(found.images, found.exterior, strict=True)]
+    solved = spark.createDataFrame(rows, "image_id string, " + ", ".join(f"s_{c} double" for c in block.EXTERIOR))
+    off = [F.abs(F.col(f"s_{c}") - F.col(c)) <= 6 * F.get("sigmas", F.lit(k)) + 1e-9 for k, c in enumerate(block.EXTERIOR)]
+    within = off[0] & off[1] & off[2] & off[3] & off[4] & off[5]
+    return photos.join(solved, "image_id").join(errors, "image_id").select("image_id", within.alias("within"), F.lit(fits_).alias("sigma_fits"))
+
+
+@query("block_precision", None)
+def _(t, spark, d):
+    found, _ = _block(t, spark)
+    p = block.photo_precision(found, 45.0, 45.0, 30.0, 0.01)
+    weak = block.weak_photos(p, 0.05).select("image_id", F.lit(True).alias("weak"))
+    return rounded(p.join(weak, "image_id", "left").select("image_id", "corner_m", "corner_px", "pixel_m", F.coalesce("weak", F.lit(False)).alias("weak")), 3)

@@ -15,28 +15,59 @@ QUANTILES = 101
 
 
 def gains(layers: DataFrame, least: int = 50, offset: bool = False) -> dict:
-    """Factor (and offset) of each layer that brings overlaps together: pair means in Spark, a least-squares solve of the layers here."""
+    """Factor (and offset) of each layer that brings overlaps together: pair means in Spark, a sparse least-squares solve of the layers here.
+
+    A pair of layers that overlap is one row (there are some for each layer, however many layers there are), and the normals are
+    applied pair by pair, by conjugate gradients, so no matrix of all layers is made.
+    """
     names = [r["layer"] for r in layers.select("layer").distinct().orderBy("layer").collect()]
     place, n = {k: i for i, k in enumerate(names)}, len(names)
-    pairs = shared_cells(layers, least).collect()  # one row for each two layers
-    firm = 100 * max(1.0, sum(r["n"] for r in pairs)) ** 0.5  # the mean gain is one, whatever the overlaps say
-    left, right = [firm * np.concatenate([np.full(n, 1.0), np.zeros(n)]), firm * np.concatenate([np.zeros(n), np.full(n, 1.0)])], [firm * n, 0.0]
-    if not offset:
-        left += [firm * np.eye(2 * n)[n + i] for i in range(n)]
-        right += [0.0] * n
-    for r in pairs:
-        i, j, w = place[r["i"]], place[r["j"]], np.sqrt(r["n"])
-        row = np.zeros(2 * n)
-        row[i], row[j], row[n + i], row[n + j] = r["mean_i"], -r["mean_j"], 1.0, -1.0
-        left.append(w * row)
-        right.append(0.0)
+    pairs = shared_cells(layers, least).collect()
+    i, j = (np.array([place[r[k]] for r in pairs], np.int64) for k in "ij")
+    count, mi, mj, si, sj = (np.array([r[k] or 0.0 for r in pairs], float) for k in ("n", "mean_i", "mean_j", "std_i", "std_j"))
+    firm = 100 * max(1.0, count.sum()) ** 0.5  # the mean gain is one, whatever the overlaps say
+    root = np.sqrt(count)
+
+    def forward(x):
+        """What each condition says of ``x``: overlaps agree in mean (and in spread), gains have mean one, offsets mean zero (or are zero)."""
+        g, o = x[:n], x[n:]
+        parts = [root * (mi * g[i] - mj * g[j] + o[i] - o[j]), [firm * g.sum(), firm * o.sum()]]
+        return np.concatenate([*parts, root * (si * g[i] - sj * g[j]) if offset else firm * o])
+
+    def back(r):
+        m, g, o = len(i), np.zeros(n), np.zeros(n)
+        w = root * r[:m]
+        np.add.at(g, i, mi * w), np.add.at(g, j, -mj * w)
+        np.add.at(o, i, w), np.add.at(o, j, -w)
         if offset:
-            spread = np.zeros(2 * n)
-            spread[i], spread[j] = r["std_i"], -r["std_j"]
-            left.append(w * spread)
-            right.append(0.0)
-    x = np.linalg.lstsq(np.array(left), np.array(right), rcond=None)[0]
-    return {k: (float(x[i]), float(x[n + i])) for k, i in place.items()}
+            w = root * r[m + 2 :]
+            np.add.at(g, i, si * w), np.add.at(g, j, -sj * w)
+        else:
+            o += firm * r[m + 2 :]
+        return np.concatenate([g + firm * r[m], o + firm * r[m + 1]])
+
+    right = np.zeros(len(i) + 2 + (len(i) if offset else n))
+    right[len(i)] = firm * n
+    x = _least_squares(forward, back, right, np.concatenate([np.ones(n), np.zeros(n)]))
+    return {k: (float(x[p]), float(x[n + p])) for k, p in place.items()}
+
+
+def _least_squares(forward, back, right: np.ndarray, start: np.ndarray, most: int = 20_000) -> np.ndarray:
+    """The least-squares solution nearest to ``start``, by conjugate gradients on the normals."""
+    x, r = start.copy(), right - forward(start)
+    s = back(r)
+    p, gamma = s.copy(), float(s @ s)
+    goal = max(gamma, float(back(right) @ back(right))) * 1e-28
+    for _ in range(most):
+        if gamma <= goal:
+            break
+        q = forward(p)
+        step = gamma / max(float(q @ q), 1e-300)
+        x, r = x + step * p, r - step * q
+        s = back(r)
+        gamma, before = float(s @ s), gamma
+        p = s + gamma / before * p
+    return x
 
 
 def quantile_match(layer: DataFrame, reference: DataFrame, least: int = 200) -> DataFrame:

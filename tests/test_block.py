@@ -118,3 +118,25 @@ def test_nothing_to_adjust(spark):
     obs, photos, first, fixed = _tables(spark, rng, exterior, ground, control, rows)
     with pytest.raises(ValueError):
         B.adjust(obs.limit(0), photos, first, fixed, 150.0)
+
+
+def test_precision_of_photos(spark):
+    rng, exterior, ground, control, rows = _scene()
+    found = B.adjust(*_tables(spark, rng, exterior, ground, control, rows), 150.0, rounds=6, control_sigma=0.02)
+    p = {r["image_id"]: r for r in B.photo_precision(found, 55.0, 55.0, 30.0, 0.01).collect()}
+    assert p.keys() == exterior.keys()
+    photo = found.images[0]
+    cov, at = found.photo_covariances([photo])[photo], found.exterior[0]
+    worst = 0.0
+    for u in (-55.0, 55.0):
+        for v in (-55.0, 55.0):
+            def place(q):
+                d = fits._matrix(*q[3:]).T @ np.array([u, v, -150.0])  # noqa: B023
+                return q[:2] + (30.0 - q[2]) / d[2] * d[:2]
+
+            j = fits._slopes(place, at)
+            worst = max(worst, float(np.sqrt(np.trace(j @ cov @ j.T))))
+    assert p[photo]["corner_m"] == pytest.approx(worst, rel=1e-3)
+    assert p[photo]["corner_px"] == pytest.approx(worst / (0.01 * (at[2] - 30) / 150), rel=1e-3)
+    table = B.photo_precision(found, 55.0, 55.0, 30.0, 0.01)
+    assert B.weak_photos(table, 1e9).count() == 0 and B.weak_photos(table).count() == sum(r["corner_px"] > 5 for r in p.values())

@@ -153,5 +153,5 @@ def test_missing_voxels_and_empty_tables(spark):
     assert meshes.surface_triangles(df.filter("not (ix = 1 and iy = 1 and iz = 1)"), 1.0).count() == 0
     assert meshes.surface_triangles(df.limit(0), 1.0).count() == 0
     flat = meshes.surface_triangles(df, 1.0).collect()
-    assert len(flat) == 8  # four cubes, two triangles across each
+    assert len(flat) == 32  # four cubes, eight triangles across each
     assert {r[f"x{k}"] for r in flat for k in "abc"} == {1.5}
