@@ -17,6 +17,7 @@ COUNTS = [60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 240, 1]
 BITS = [1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0, 60]
 ESCAPE, ZEROS = 15, 14
 GROUP = 256  # values between two offsets; a group begins with a word of its own
+SHARD_ROWS = 200_000  # documents of a shard, about, where there are more than the session's shuffle partitions hold
 BLOCK = 1 << 17  # a block closes after the document that fills it
 END_ID = 2
 
@@ -191,22 +192,16 @@ def write_token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A file is a Parquet container, so that Spark's committer guards against lost and repeated tasks on any store.
     A row is a block: ids of its documents and their lengths, group offsets and Simple-8b words.
-    ``shard`` orders the blocks (a range of ids each), then ``block``.
-    Shards split the ids at quantiles of the id column alone, so texts are read once and moved once.
+    ``shard`` orders the blocks, then ``block``. A shard is a range of ids and, within one id, of text hashes, with some
+    ``SHARD_ROWS`` rows at most, so that neither the size of the table nor an id that very many rows share (or lack) fills one task.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.col(id_col).cast("long")
-    cuts = docs.agg(F.percentile_approx(key, [k / shards for k in range(1, shards)] or [0.5], 10_000)).head()[0] if shards > 1 else None
-    cuts = sorted(set(cuts or []))
-    shard = F.lit(0)
-    if cuts:
-        # the number of cuts below the id
-        edges = F.array(*[F.lit(c) for c in cuts])
-        shard = F.coalesce(F.size(F.filter(edges, lambda c: c < key)), F.lit(0))
-    rows = docs.select(shard.cast("int").alias("shard"), key.alias("doc_id"), F.col(text_col).alias("text"))
-    placed = rows.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // SHARD_ROWS))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ranged = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    placed = ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "text")
     blocks = placed.mapInArrow(_writer(path, end_id), _BLOCKS_DDL)
     if to is None:
         return materialise(blocks, "token-ids")
