@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +42,16 @@ class CountTree:
     def __init__(self, text: str, encoder: ByteEncoder):
         self.encoder = encoder
         self.recounted = 0
-        self._build(cut(text))
+        pieces = cut(text)
+        self._build(pieces, [self._count(p) for p in pieces])
+
+    @classmethod
+    def of(cls, pieces: list[str], counts: list[int], encoder: ByteEncoder) -> CountTree:
+        """A tree that was kept as its pieces and their counts; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.encoder, tree.recounted = encoder, 0
+        tree._build(pieces, counts)
+        return tree
 
     def _count(self, piece: str) -> int:
         if piece[0] == " " and len(piece) > 1 and not piece[1].isspace() and " " not in piece[1:] and piece not in self.encoder.special:
@@ -49,9 +59,9 @@ class CountTree:
                 return len(self.encoder.pieces[piece[1:]]) // 4
         return len(self.encoder.encode(piece)) // 4
 
-    def _build(self, pieces: list[str]) -> None:
+    def _build(self, pieces: list[str], counts: list[int]) -> None:
         self.leaves = [pieces[k : k + LEAF] for k in range(0, len(pieces), LEAF)] or [[]]
-        self.counts = [[self._count(p) for p in leaf] for leaf in self.leaves]
+        self.counts = [counts[k : k + LEAF] for k in range(0, len(pieces), LEAF)] or [[]]
         self.size = 1 << (len(self.leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
         for k, (leaf, count) in enumerate(zip(self.leaves, self.counts, strict=True)):
@@ -109,7 +119,8 @@ class CountTree:
         self.recounted += len(fresh)
         pieces[low:high], counts[low:high] = fresh, new
         if len(pieces) > FULL * (b - a + 1) or (not pieces and len(self.leaves) > 1):
-            self._build([p for leaf in (*self.leaves[:a], pieces, *self.leaves[b + 1 :]) for p in leaf])
+            every = [p for leaf in (*self.leaves[:a], pieces, *self.leaves[b + 1 :]) for p in leaf]
+            self._build(every, [c for count in (*self.counts[:a], counts, *self.counts[b + 1 :]) for c in count])
             return
         step = -(-len(pieces) // (b - a + 1)) or 1
         for k in range(a, b + 1):
@@ -157,6 +168,70 @@ def token_counts(docs: DataFrame, edits: Column | None = None, id_col: str = "do
     return rows.mapInArrow(_counter(path), _SCHEMA)
 
 
+TREE = "doc_id long, n_tokens long, text string, lengths binary, counts binary, n_recounted long"
+
+
+def _kept(doc_id, tree: CountTree) -> tuple:
+    """A tree as a row: the text, and of its pieces the lengths and counts."""
+    lengths = np.array([len(p) for leaf in tree.leaves for p in leaf], "<u4")
+    counts = np.array([c for count in tree.counts for c in count], "<u4")
+    return doc_id, tree.total, tree.text(), lengths.tobytes(), counts.tobytes(), tree.recounted
+
+
+def _tree_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    names, types = zip(*[c.split() for c in TREE.split(", ")], strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, t in enumerate(types)], names=list(names))
+
+
+def token_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """The tree of each document as a row, to be written to a table: ``doc_id, n_tokens, text, lengths, counts, n_recounted`` (0).
+
+    Null text is empty. Rows without id have a tree too, which no edit meets; ids should differ, as edits meet all rows of an id.
+    """
+    ship_package(docs.sparkSession)
+
+    def run(batches):
+        encoder = byte_encoder(path)
+        for batch in batches:
+            yield _tree_batch([_kept(i, CountTree(t or "", encoder)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, TREE)
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, path: str | None = None) -> DataFrame:
+    """The trees that ``edits`` (``doc_id, place, start, end, text``, applied by ``place``) change, as rows like those of ``token_trees``.
+
+    Edits meet the trees by id, so documents without one are not read into Python, and of the others only the regions that an
+    edit touches are encoded (``n_recounted`` pieces). Places are those in the text as the edits before left it. Edits of
+    unknown ids, and nulls, change nothing; edits of one place go by start, end and text.
+    """
+    ship_package(trees.sparkSession)
+    mine = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in ("place", "start", "end", "text")])))
+    asked = edits.filter("doc_id is not null").groupBy(F.col("doc_id").alias("edited")).agg(mine.alias("edits"))
+    met = trees.join(asked, trees["doc_id"] == asked["edited"]).select("doc_id", "text", "lengths", "counts", "edits")
+
+    def run(batches):
+        encoder = byte_encoder(path)
+        for batch in batches:
+            rows = []
+            for doc_id, text, lengths, counts, todo in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+                ends = list(accumulate(np.frombuffer(lengths, "<u4").tolist(), initial=0))
+                tree = CountTree.of([text[a:b] for a, b in zip(ends, ends[1:], strict=False)], np.frombuffer(counts, "<u4").tolist(), encoder)
+                for e in todo:
+                    tree.edit(e["start"] or 0, e["end"] or 0, e["text"] or "")
+                rows.append(_kept(doc_id, tree))
+            yield _tree_batch(rows)
+
+    return met.mapInArrow(run, TREE)
+
+
+def merged_trees(trees: DataFrame, changed: DataFrame) -> DataFrame:
+    """The table of trees with the changed ones in the place of the old."""
+    ids = changed.select(F.col("doc_id").alias("edited")).distinct()
+    return trees.join(ids, trees["doc_id"] == ids["edited"], "left_anti").unionByName(changed)
+
+
 def trial_edits(text_col: str = "text") -> Column:
     """Three edits for any text, by a fixed rule: a word in the middle, seven characters less at a quarter, a new end."""
     n = F.coalesce(F.length(text_col), F.lit(0))
