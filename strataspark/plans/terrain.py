@@ -45,12 +45,12 @@ def fill_voids(cells: DataFrame, radius: int, how: str = "nearest", power: float
     return cells.join(made, ["row", "col"], "left").select("row", "col", F.coalesce("value", "made").alias("value"))
 
 
-def fill_all(cells: DataFrame, most: int = 1 << 12) -> DataFrame:
-    """All voids of a full lattice by the nearest filled cell, with radii that double until none is left."""
+def fill_all(cells: DataFrame) -> DataFrame:
+    """All voids of a full lattice by the nearest filled cell, with radii that double until none is left; a lattice without a value stays as it is."""
     radius, now = 4, cells.select("row", "col", "value")
     while True:
         now = materialise(fill_voids(now, radius), "filled")
-        if radius >= most or now.filter("value is null").isEmpty() or now.filter("value is not null").isEmpty():
+        if now.filter("value is null").isEmpty() or now.filter("value is not null").isEmpty():
             return now
         radius *= 2
 

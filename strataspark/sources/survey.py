@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import european_float
 
-# The names that files may give a column of each role, as letters and digits.
+# The names that files may give a column of each role, as letters and digits. In Lo systems x and y change places.
 ALIASES = {
     "id": ["id", "point", "pointid", "pointno", "pointnum", "pointnumber", "pointname", "name", "station", "stationid", "stationno", "no", "nr", "number", "label", "pt", "ptid", "ptno", "beacon", "mark", "target", "gcp", "gcpid", "code", "descriptor"],
-    "x": ["x", "easting", "east", "e", "lon", "long", "longitude", "xlo", "xcoord"],
-    "y": ["y", "northing", "north", "n", "lat", "latitude", "ylo", "ycoord"],
+    "x": ["x", "easting", "east", "e", "lon", "long", "longitude", "ylo", "xcoord"],
+    "y": ["y", "northing", "north", "n", "lat", "latitude", "xlo", "ycoord"],
     "z": ["z", "elevation", "elev", "height", "h", "alt", "altitude", "ortho", "orthoheight", "zcoord"],
     "image": ["image", "imagename", "photo", "frame", "img", "picture", "file", "filename", "photoid"],
     "col": ["col", "column", "sample", "px", "pixel", "ximage", "i"],
@@ -67,7 +67,7 @@ def sniff(lines: list[str]) -> dict:
     cut = lambda r: [c.strip().strip('"') for c in (r.split() if sep == " " else r.split(sep))]
     first = cut(rows[0])
     second = cut(rows[1]) if len(rows) > 1 else []
-    header = sum(map(_number, first)) <= 1 and (not second or sum(map(_number, second)) >= 2)
+    header = bool(second) and sum(map(_number, first)) <= 1 and sum(map(_number, second)) >= 2  # a single line is data
     return {"sep": sep, "header": first if header else None, "columns": len(first)}
 
 
@@ -77,7 +77,10 @@ def read_table(spark: SparkSession, path: str, roles: list[str], mapping: dict[s
     The sniff looks at the first lines only; the rows are those of the whole file.
     """
     text = spark.read.text(path)
-    head = [r["value"] for r in text.limit(SNIFF_LINES).collect()]
+    said = text.filter(F.trim(F.regexp_replace("value", "^﻿", "")) != "")
+    for mark in COMMENTS:
+        said = said.filter(~F.ltrim(F.regexp_replace("value", "^﻿", "")).startswith(mark))
+    head = [r["value"] for r in said.limit(SNIFF_LINES).collect()]
     kind = sniff(head)
     places = mapping or (match_columns(kind["header"], roles) if kind["header"] else {r: k for k, r in enumerate(roles) if k < kind["columns"]})
     from ..operators.ranks import global_rank

@@ -36,7 +36,8 @@ def test_sniffing():
     assert survey.sniff(["a;b;c", "1;2;3"]) == {"sep": ";", "header": ["a", "b", "c"], "columns": 3}
     assert survey.sniff(["1 2 3", "4 5 6"])["header"] is None
     assert survey.sniff([])["columns"] == 0
-    assert survey.match_columns(["Point No", "Easting", "Y_lo"], ["id", "x", "y"]) == {"id": 0, "x": 1, "y": 2}
+    assert survey.match_columns(["Point No", "Easting", "Northing"], ["id", "x", "y"]) == {"id": 0, "x": 1, "y": 2}
+    assert survey.match_columns(["Point No", "X_lo", "Y_lo"], ["id", "x", "y"]) == {"id": 0, "x": 2, "y": 1}  # x runs south there, y west
 
 
 def test_rpc_sidecar_and_cameras(spark, tmp_path):
@@ -187,3 +188,10 @@ def test_two_jobs_write_to_one_folder(spark, tmp_path):
     assert blobs.qualified(spark, "some/place").startswith("file:/")
     blobs.write_files(spark.createDataFrame([("x y.bin", b"3")], blobs.SCHEMA), f"{tmp_path}/with space")
     assert (tmp_path / "with space" / "x y.bin").read_bytes() == b"3"
+
+
+def test_comments_and_single_lines_do_not_fool_the_sniff(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("".join(f"# comment {k}\n" for k in range(80)) + "id;xLo;yLo;z\np1;5,5;6,5;7\n")
+    points, bad = survey.read_control(spark, str(tmp_path / "long.csv"))
+    assert [tuple(r) for r in points.select("id", "x", "y", "z").collect()] == [("p1", 6.5, 5.5, 7.0)] and bad.count() == 0
+    assert survey.sniff(["a,1,2,3"])["header"] is None and survey.sniff(["id,x,y,z"])["header"] is None
