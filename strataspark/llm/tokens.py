@@ -54,6 +54,7 @@ class Memo(dict):
         if len(piece) <= MEMO_LONGEST:
             size = len(piece) + MEMO_ENTRY
             if self.room < size:
+                self.old.clear()  # before the copy is made, so that no more than two generations are held
                 self.old = dict(self)
                 self.clear()
                 self.room = self.size
