@@ -138,7 +138,16 @@ def rpc_inverse(sample: Column, line: Column, height: Column, model: dict, steps
 
 
 # Semi-major axis and flattening of the ellipsoids that the presets name.
-ELLIPSOIDS = {"WGS84": (6378137.0, 1 / 298.257223563), "Clarke1880": (6378249.145, 1 / 293.4663077)}
+ELLIPSOIDS = {
+    "WGS84": (6378137.0, 1 / 298.257223563),
+    "GRS80": (6378137.0, 1 / 298.257222101),
+    "WGS72": (6378135.0, 1 / 298.26),
+    "Clarke1880": (6378249.145, 1 / 293.4663077),
+    "Clarke1866": (6378206.4, 1 / 294.9786982),
+    "Bessel1841": (6377397.155, 1 / 299.1528128),
+    "Airy1830": (6377563.396, 1 / 299.3249646),
+    "International1924": (6378388.0, 1 / 297.0),
+}
 
 
 def _series(n: float) -> tuple[list[float], list[float]]:
@@ -232,3 +241,48 @@ def refraction_constant(camera: float, ground: float, nodes: int = 401) -> float
         h = ground + k * step
         total += (0.5 if k in (0, nodes - 1) else 1.0) * (refractivity(h) - top) * step
     return total / (camera - ground)
+
+
+def geocentric(lon: Column, lat: Column, height: Column, ellipsoid: str = "WGS84") -> tuple[Column, Column, Column]:
+    """Geocentric metres of a place in degrees and metres over the ellipsoid."""
+    a, f = ELLIPSOIDS[ellipsoid]
+    e2 = f * (2 - f)
+    u, v = F.radians(lat), F.radians(lon)
+    n = a / F.sqrt(1 - e2 * F.sin(u) * F.sin(u))
+    return (n + height) * F.cos(u) * F.cos(v), (n + height) * F.cos(u) * F.sin(v), (n * (1 - e2) + height) * F.sin(u)
+
+
+def geographic(x: Column, y: Column, z: Column, ellipsoid: str = "WGS84") -> tuple[Column, Column, Column]:
+    """Degrees and height of a geocentric place: Bowring's formula, used twice (under a micrometre off up to satellites).
+
+    The state is one struct, so the place is worked out once however often the formula names it.
+    """
+    a, f = ELLIPSOIDS[ellipsoid]
+    b, e2 = a * (1 - f), f * (2 - f)
+    start = F.struct(x.alias("x"), y.alias("y"), z.alias("z"), F.hypot(x, y).alias("p"), (z * a).alias("s"), (F.hypot(x, y) * b).alias("c"))
+
+    def step(t, _):
+        n = F.hypot(t["s"], t["c"])  # sine and cosine of the reduced latitude, up to a factor
+        up, out = t["z"] + e2 / (1 - e2) * b * F.pow(t["s"] / n, 3), t["p"] - e2 * a * F.pow(t["c"] / n, 3)
+        return F.struct(t["x"].alias("x"), t["y"].alias("y"), t["z"].alias("z"), t["p"].alias("p"), (b * up).alias("s"), (a * out).alias("c"))
+
+    def finish(t):
+        u = F.atan2(t["s"] / b, t["c"] / a)
+        height = t["p"] * F.cos(u) + t["z"] * F.sin(u) - a * F.sqrt(1 - e2 * F.sin(u) * F.sin(u))
+        return F.struct(F.degrees(F.atan2(t["y"], t["x"])).alias("lon"), F.degrees(u).alias("lat"), height.alias("height"))
+
+    done = F.aggregate(F.array(F.lit(1), F.lit(2)), start, step, finish)
+    return done["lon"], done["lat"], done["height"]
+
+
+def seven_parameters(x: Column, y: Column, z: Column, shift: tuple[float, float, float], turn: tuple[float, float, float] = (0.0, 0.0, 0.0), ppm: float = 0.0, frame: bool = False) -> tuple[Column, Column, Column]:
+    """Geocentric similarity: shifts in metres, small turns in seconds of arc (of the position vector, or of the coordinate ``frame``), scale in parts per million."""
+    sign = -1.0 if frame else 1.0
+    rx, ry, rz = (sign * math.radians(t / 3600) for t in turn)
+    m, (dx, dy, dz) = 1 + ppm * 1e-6, shift
+    return m * (x - rz * y + ry * z) + dx, m * (rz * x + y - rx * z) + dy, m * (-ry * x + rx * y + z) + dz
+
+
+def datum_shift(lon: Column, lat: Column, height: Column, source: str, target: str, shift, turn=(0.0, 0.0, 0.0), ppm: float = 0.0, frame: bool = False) -> tuple[Column, Column, Column]:
+    """Longitude, latitude (degrees) and height on another ellipsoid and datum."""
+    return geographic(*seven_parameters(*geocentric(lon, lat, height, source), shift, turn, ppm, frame), target)

@@ -131,3 +131,16 @@ def camera_sanity(cameras: DataFrame) -> DataFrame:
         ("principal_point", "warning", F.hypot(F.coalesce("ppx_mm", F.lit(0.0)), F.coalesce("ppy_mm", F.lit(0.0))) > F.col("focal_mm") / 10, "the principal point lies far from the middle"),
     ]
     return sanity(cameras, rules).select("camera", "code", "severity", "message")
+
+
+def grid_shift(points: DataFrame, shifts: DataFrame, west: float, north: float, step_lon: float, step_lat: float, key: str) -> DataFrame:
+    """``key, lon, lat`` moved by a grid of shifts (``row, col, dlon, dlat`` in seconds of arc at cell centres), bilinear between centres; places beyond the grid are null."""
+    from .stencils import bilinear
+
+    at = points.select(key, F.col("lon").alias("x"), F.col("lat").alias("y"))
+    out = points.select(key, "lon", "lat")
+    for c in ("lon", "lat"):
+        cells = shifts.select("row", "col", F.col(f"d{c}").alias("value"))
+        moved = bilinear(cells, at, west, north, step_lon, step_lat, key).select(F.col(key).alias("moved"), F.col("value").alias(f"by_{c}"))
+        out = out.join(moved, out[key] == moved["moved"], "left").drop("moved")
+    return out.select(key, *[(F.col(c) + F.col(f"by_{c}") / 3600).alias(c) for c in ("lon", "lat")])

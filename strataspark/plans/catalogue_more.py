@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry
 from ..operators import block, cameras, diagnostics, features, fits, grid, meshes, neighbours, seams, stencils, volumes
 from ..operators.quantiles import exact_quantiles, middle
 from ..operators.triangles import delaunay, pit_free, tin_grid
@@ -629,3 +630,26 @@ def _(t, spark, d):
     p = block.photo_precision(found, 45.0, 45.0, 30.0, 0.01)
     weak = block.weak_photos(p, 0.05).select("image_id", F.lit(True).alias("weak"))
     return rounded(p.join(weak, "image_id", "left").select("image_id", "corner_m", "corner_px", "pixel_m", F.coalesce("weak", F.lit(False)).alias("weak")), 3)
+
+
+# ---- datums ------------------------------------------------------------------------------------
+
+_SHIFT = {"source": "Clarke1880", "target": "WGS84", "shift": (-136.0, -108.0, -292.0), "turn": (0.1, -0.2, 0.554), "ppm": 1.5}
+_A1, _F1 = geometry.ELLIPSOIDS["Clarke1880"]
+_A2, _F2 = geometry.ELLIPSOIDS["WGS84"]
+_E1, _E2 = _F1 * (2 - _F1), _F2 * (2 - _F2)
+_RX, _RY, _RZ = (math.radians(t / 3600) for t in _SHIFT["turn"])
+
+
+@query("datum_shift", f"""WITH RECURSIVE p AS (SELECT c_custkey, radians(16 + (c_custkey * 7919 % 1000) / 60.0) AS v, radians(-35 + (c_custkey * 104729 % 1000) / 80.0) AS u, c_acctbal / 10 AS h FROM customer),
+n AS (SELECT *, {_A1} / sqrt(1 - {_E1} * sin(u) * sin(u)) AS n FROM p),
+g AS (SELECT c_custkey, (n + h) * cos(u) * cos(v) AS x, (n + h) * cos(u) * sin(v) AS y, (n * {1 - _E1} + h) * sin(u) AS z FROM n),
+t AS (SELECT c_custkey, {1 + _SHIFT["ppm"] * 1e-6} * (x - {_RZ} * y + {_RY} * z) - 136 AS x, {1 + _SHIFT["ppm"] * 1e-6} * ({_RZ} * x + y - {_RX} * z) - 108 AS y, {1 + _SHIFT["ppm"] * 1e-6} * ({-_RY} * x + {_RX} * y + z) - 292 AS z FROM g),
+i AS (SELECT 0 AS k, c_custkey, x, y, z, atan2(z, sqrt(x * x + y * y) * {1 - _E2}) AS u FROM t
+  UNION ALL SELECT k + 1, c_custkey, x, y, z, atan2(z + {_E2} * {_A2} / sqrt(1 - {_E2} * sin(u) * sin(u)) * sin(u), sqrt(x * x + y * y)) FROM i WHERE k < 12)
+SELECT c_custkey, round(degrees(atan2(y, x)), 9) AS lon, round(degrees(u), 9) AS lat, round(sqrt(x * x + y * y) * cos(u) + z * sin(u) - {_A2} * sqrt(1 - {_E2} * sin(u) * sin(u)), 4) AS height FROM i WHERE k = 12""")
+def _(t, spark, d):
+    """The SQL goes back to degrees by iteration, the operator by a formula."""
+    lon, lat = 16 + (F.col("c_custkey") * 7919 % 1000) / 60.0, -35 + (F.col("c_custkey") * 104729 % 1000) / 80.0
+    x, y, h = geometry.datum_shift(lon, lat, F.col("c_acctbal") / 10, **_SHIFT)
+    return t("customer").select("c_custkey", near(x, 9).alias("lon"), near(y, 9).alias("lat"), near(h, 4).alias("height"))
