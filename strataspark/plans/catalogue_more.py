@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import block, cameras, diagnostics, features, fits, grid, meshes, neighbours, seams, stencils, volumes
+from ..operators import block, cameras, diagnostics, features, fits, grid, levelling, meshes, neighbours, seams, stencils, volumes
 from ..operators.quantiles import exact_quantiles, middle
 from ..operators.triangles import delaunay, pit_free, tin_grid
 from . import mosaic, reports, terrain
@@ -653,3 +653,23 @@ def _(t, spark, d):
     lon, lat = 16 + (F.col("c_custkey") * 7919 % 1000) / 60.0, -35 + (F.col("c_custkey") * 104729 % 1000) / 80.0
     x, y, h = geometry.datum_shift(lon, lat, F.col("c_acctbal") / 10, **_SHIFT)
     return t("customer").select("c_custkey", near(x, 9).alias("lon"), near(y, 9).alias("lat"), near(h, 4).alias("height"))
+
+
+@query("scene_levelling", """SELECT c_custkey, round(c_acctbal / 100 - (SELECT quantile_cont(c_acctbal / 100, 0.02) FROM customer), 5) AS height FROM customer""")
+def _(t, spark, d):
+    """Customers as a scene that was tilted, with a photo for each supplier whose x axis is level: the heights come back."""
+    from ..operators.fits import _matrix
+
+    turned = _matrix(0.5, -0.3, 0.9)
+    tilt = lambda df: diagnostics.similarity_3d(df, 1.0, turned.tolist(), [10.0, -5.0, 3.0])
+    scene = tilt(t("customer").select("c_custkey", (F.col("c_custkey") * 7919 % 1009).cast("double").alias("x"), (F.col("c_custkey") * 104729 % 211).cast("double").alias("y"), (F.col("c_acctbal") / 100).alias("z")))
+    heading, pitch = F.col("s_suppkey") * 2.39996, (F.col("s_suppkey") % 7 - 3) * 0.05
+    level_rows = [
+        [F.sin(heading), -F.cos(heading), F.lit(0.0)],
+        [F.sin(pitch) * F.cos(heading), F.sin(pitch) * F.sin(heading), -F.cos(pitch)],
+        [F.cos(pitch) * F.cos(heading), F.cos(pitch) * F.sin(heading), F.sin(pitch)],
+    ]
+    pose = {f"r{i}{j}": sum((float(turned[j][k]) * level_rows[i][k] for k in range(3)), F.lit(0.0)) for i in range(3) for j in range(3)}
+    photos = tilt(t("supplier").select((F.col("s_suppkey") * 31 % 997).cast("double").alias("x"), (F.col("s_suppkey") * 17 % 97).cast("double").alias("y"), F.lit(1.5).alias("z"), *[v.alias(k) for k, v in pose.items()]))
+    found = levelling.level(photos, scene)
+    return diagnostics.similarity_3d(scene, found["scale"], found["rotation"], found["shift"]).select("c_custkey", near("z", 5).alias("height"))
