@@ -10,6 +10,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread for each Python worker
 
 MEMO_BYTES = 100_000_000  # of the entries of one generation, with some 150 bytes that each takes besides its text
+BYTE_MEMO_BYTES = 180_000_000  # the same of the byte-level encoder, whose tasks hold little else
 MEMO_ENTRY = 150
 MEMO_LONGEST = 100  # characters of a piece that is remembered
 # Fixed value: the pre-token pattern of the byte-level vocabulary.
@@ -40,11 +41,11 @@ class Memo(dict):
     follows the texts, where a table that keeps whoever came first would serve ever fewer of them.
     """
 
-    def __init__(self, make, part: int = 1):
+    def __init__(self, make, part: int = 1, whole: int | None = None):
         super().__init__()
         self.make = make
         self.old: dict = {}
-        self.size = MEMO_BYTES // part
+        self.size = (whole or MEMO_BYTES) // part
         self.room = self.size
 
     def __missing__(self, piece: str) -> bytes:
@@ -81,7 +82,7 @@ class ByteEncoder:
         self.pre = regex.compile(PRE_TOKENS)
         self.model = self.tokenizer.model
         self.letters = dict(enumerate(byte_letters()))
-        self.pieces = Memo(self._piece)
+        self.pieces = Memo(self._piece, whole=BYTE_MEMO_BYTES)
         self.words = Memo(self._library, 4)
         self.marks = {c: self._library(c) for c in ".,"}
 
