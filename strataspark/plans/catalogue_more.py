@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import block, cameras, diagnostics, features, fits, grid, levelling, meshes, neighbours, seams, stencils, volumes
+from ..operators import block, cameras, diagnostics, features, fits, grid, levelling, meshes, neighbours, relative, seams, stencils, volumes
 from ..operators.quantiles import exact_quantiles, middle
 from ..operators.triangles import delaunay, pit_free, tin_grid
 from . import mosaic, reports, terrain
@@ -673,3 +673,17 @@ def _(t, spark, d):
     photos = tilt(t("supplier").select((F.col("s_suppkey") * 31 % 997).cast("double").alias("x"), (F.col("s_suppkey") * 17 % 97).cast("double").alias("y"), F.lit(1.5).alias("z"), *[v.alias(k) for k, v in pose.items()]))
     found = levelling.level(photos, scene)
     return diagnostics.similarity_3d(scene, found["scale"], found["rotation"], found["shift"]).select("c_custkey", near("z", 5).alias("height"))
+
+
+@query("pair_models", """WITH m AS (SELECT (c_nationkey % 3)::VARCHAR AS a, (c_nationkey % 3 + 1)::VARCHAR AS b, c_custkey % 5 <> 0 AS good FROM customer)
+SELECT a, b, count(*) AS matches, count(*) FILTER (good) AS inliers, true AS told_apart FROM m GROUP BY a, b""")
+def _(t, spark, d):
+    """Customers as matches of three image pairs, every fifth of them wrong; the rest lie on a plane."""
+    k = F.col("c_custkey")
+    x, y = (k * 7919 % 1009).cast("double"), (k * 104729 % 1013).cast("double")
+    w = 1 + 1e-4 * x - 2e-4 * y
+    wrong = F.when(k % 5 == 0, 60 + (k * 31 % 97)).otherwise(0)
+    m = t("customer").select((F.col("c_nationkey") % 3).alias("a"), (F.col("c_nationkey") % 3 + 1).alias("b"), x.alias("xa"), y.alias("ya"), ((1.1 * x + 0.02 * y + 5) / w + wrong).alias("xb"), ((0.95 * y - 0.03 * x - 7) / w - wrong).alias("yb"))
+    found = relative.relative_models(m, "plane", 0.5)
+    good = F.col("inlier") == (F.abs(F.col("xb") - (1.1 * F.col("xa") + 0.02 * F.col("ya") + 5) / (1 + 1e-4 * F.col("xa") - 2e-4 * F.col("ya"))) < 1)
+    return found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("matches"), F.count_if("inlier").alias("inliers"), F.bool_and(good).alias("told_apart"))
