@@ -56,10 +56,28 @@ class Sums:
     b: np.ndarray
     weight: np.ndarray
     inverse: np.ndarray
+    rank: np.ndarray
     g: np.ndarray
     cost: float
 
 
+LEAST_SHARE = 1e-12  # of a point's greatest eigenvalue: what lies below is a direction that no ray fixes
+
+
+def _inverse(v: np.ndarray, damp: float) -> tuple[np.ndarray, np.ndarray]:
+    """Inverses of the points' normals, and how many directions each point has fixed.
+
+    Damped normals have an inverse. Without damping a point on a single ray (or on rays of one centre) has none along it: there the
+    pseudo-inverse leaves the point where it is, so that its two equations say nothing about the photo.
+    """
+    if damp > 0:
+        return np.linalg.inv(v), np.full(len(v), 3)
+    values, vectors = np.linalg.eigh(v)
+    fixed = values > LEAST_SHARE * values[:, -1:]
+    parts = np.where(fixed, 1 / np.where(fixed, values, 1.0), 0.0)
+    return (vectors * parts[:, None, :]) @ vectors.transpose(0, 2, 1), fixed.sum(1)
+
+
 def _chunk(table: pa.Table, state: np.ndarray, focal: float, loss: str, scale: float, control_sigma: float, damp: float) -> Sums:
     col = lambda c: table.column(c).to_numpy()
     image = col("i").astype(np.int64)
@@ -80,7 +98,8 @@ def _chunk(table: pa.Table, state: np.ndarray, focal: float, loss: str, scale: f
     g += k * off
     diagonal = np.einsum("nii->ni", v)
     diagonal += damp * np.maximum(diagonal, 1e-12)
-    return Sums(image, point, r, a, b, weight, np.linalg.inv(v), g, float(rho.sum() + k * (off * off).sum() / scale**2))
+    inverse, rank = _inverse(v, damp)
+    return Sums(image, point, r, a, b, weight, inverse, rank, g, float(rho.sum() + k * (off * off).sum() / scale**2))
 
 
 def _couples(point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +113,7 @@ def _couples(point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, order[start[own] + place % size[own]]
 
 
-_NORMAL = "i int, j int, m array<double>, h array<double>, cost double, n long, points long, held long"
+_NORMAL = "i int, j int, m array<double>, h array<double>, cost double, n long, fixed long, held long"
 
 
 def _normals(sent, settings):
@@ -117,7 +136,7 @@ def _normals(sent, settings):
         count = lambda v: pa.array((first * v).astype(np.int64))
         held = int(np.isfinite(table.column("gx").to_numpy()[np.unique(s.point, return_index=True)[1]]).sum())
         cols = [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(list(blocks.reshape(-1, 36)), pa.list_(pa.float64())), pa.array(list(sides), pa.list_(pa.float64())), pa.array(first * s.cost)]
-        return pa.table([*cols, count(len(s.image)), count(len(s.inverse)), count(held)], names=[c.split()[0] for c in _NORMAL.split(", ")])
+        return pa.table([*cols, count(len(s.image)), count(int(s.rank.sum())), count(held)], names=[c.split()[0] for c in _NORMAL.split(", ")])
 
     return run
 
@@ -144,7 +163,8 @@ def _loads(sent, settings, wanted):
         rows = []
         for k in np.flatnonzero(np.isin(ids, list(wanted))):
             tie = s.inverse[s.point[k]] @ (s.weight[k] * s.b[k].T @ s.a[k])
-            rows.append((ids[k], int(s.image[k]), tie.ravel().tolist(), s.inverse[s.point[k]].ravel().tolist()))
+            own = s.inverse[s.point[k]] if s.rank[s.point[k]] == 3 else np.full((3, 3), np.nan)
+            rows.append((ids[k], int(s.image[k]), tie.ravel().tolist(), own.ravel().tolist()))
         cols = list(zip(*rows, strict=True)) or [[]] * 4
         return pa.table([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.list_(pa.float64())) for c in cols[2:]]], names=["point_id", "i", "tie", "own"])
 
@@ -246,7 +266,7 @@ class Block:
         return out
 
     def point_covariances(self, points: list[str]) -> dict[str, np.ndarray]:
-        """Covariance (3 x 3) of each asked point: its own block, and what the photos that see it add."""
+        """Covariance (3 x 3) of each asked point: its own block, and what the photos that see it add. NaN for a point that its rays do not fix."""
         wanted = sorted(set(points))
         sent = self.rows.sparkSession.sparkContext.broadcast(self.exterior)
         asked = self.rows.drop("x", "y", "z").join(self.points, "point_id").filter(F.col("point_id").isin(wanted))
@@ -274,7 +294,7 @@ def adjust(
     known within ``control_sigma``); ``exterior`` has ``image_id`` and six numbers a photo. Chunks of whole points are linearised at once,
     eliminate their points and give blocks of the reduced normals for each two photos that share one; these are summed into
     a table. A step that does not lower the cost is taken back with more damping. Observations of unknown photos or
-    points do not count; a point that a single photo sees moves along with it.
+    points do not count; a point that a single photo sees moves along with it, says nothing about the photo and adds nothing to the redundancy.
     """
     spark = observations.sparkSession
     ship_package(spark)
@@ -294,7 +314,7 @@ def adjust(
         settings = (focal, loss, scale, control_sigma, damp)
         chunked = rows.join(table, "point_id").groupBy("chunk")
         parts = materialise(chunked.applyInArrow(_normals(spark.sparkContext.broadcast(state), settings), _NORMAL), "block-parts")
-        sums = parts.agg(F.sum("cost"), F.sum("n"), F.sum("points"), F.sum("held")).head()
+        sums = parts.agg(F.sum("cost"), F.sum("n"), F.sum("fixed"), F.sum("held")).head()
         if not sums[1]:
             raise ValueError("no observation meets a photo and a point")
         return parts, sums, settings
@@ -320,7 +340,7 @@ def adjust(
             break
     history.append(scale * float(np.sqrt(sums[0] / sums[1])))
     parts, sums, settings = linear(state, table, 0.0)
-    redundancy = 2 * sums[1] + 3 * sums[3] - 6 * len(images) - 3 * sums[2]
+    redundancy = 2 * sums[1] + 3 * sums[3] - 6 * len(images) - sums[2]
     sigma0 = scale * float(np.sqrt(sums[0] / redundancy)) if redundancy > 0 else float("nan")
     normals, _ = _summed(parts, len(images))
     return Block(images, state, table, history, sigma0, redundancy, normals, rows, settings, place)

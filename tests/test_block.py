@@ -140,3 +140,20 @@ def test_precision_of_photos(spark):
     assert p[photo]["corner_px"] == pytest.approx(worst / (0.01 * (at[2] - 30) / 150), rel=1e-3)
     table = B.photo_precision(found, 55.0, 55.0, 30.0, 0.01)
     assert B.weak_photos(table, 1e9).count() == 0 and B.weak_photos(table).count() == sum(r["corner_px"] > 5 for r in p.values())
+
+
+def test_a_point_on_one_ray_changes_nothing(spark):
+    """Its normals are singular without damping; it says nothing about its photo, and its own place has no covariance."""
+    rng, exterior, ground, control, rows = _scene()
+    tables = _tables(spark, rng, exterior, ground, control, rows)
+    lone = fits._film(np.array([[10.0, 20.0, 30.0]]), exterior["p00"], 150.0)[0]
+    seen = tables[0].union(spark.createDataFrame([("p00", "lone", float(lone[0]), float(lone[1]))], tables[0].schema))
+    place = tables[2].union(spark.createDataFrame([("lone", 11.0, 19.0, 32.0)], tables[2].schema))
+    without = B.adjust(*tables, 150.0, rounds=6, control_sigma=0.02)
+    found = B.adjust(seen, tables[1], place, tables[3], 150.0, rounds=6, control_sigma=0.02)
+    assert found.redundancy == without.redundancy
+    assert found.sigma0 == pytest.approx(without.sigma0, rel=1e-6)
+    np.testing.assert_allclose(found.exterior, without.exterior, rtol=1e-6, atol=1e-6)
+    one, two = (b.photo_covariances(["p00"])["p00"] for b in (found, without))
+    np.testing.assert_allclose(one, two, rtol=1e-4, atol=1e-10)
+    assert np.isnan(found.point_covariances(["lone"])["lone"]).all()
