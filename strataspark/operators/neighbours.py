@@ -35,35 +35,62 @@ def radius_count(points: DataFrame, radius: float, key: str = "index", axes=AXES
     return points.select(key).join(near, points[key] == near["q"], "left").select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def nearest(points: DataFrame, k: int, size: float, key: str = "index", axes=AXES, queries: DataFrame | None = None, rounds: int = 12) -> DataFrame:
+CROWD = 8  # candidates for each wanted neighbour that the fullest of the first boxes may hold
+
+
+def _thinned(points: DataFrame, k: int, key: str, axes) -> DataFrame:
+    """Of the points at one place the ``k + 1`` with the least keys: no other can be among the ``k`` nearest of any point."""
+    order = Window.partitionBy(*axes).orderBy(key)
+    return points.select(key, *axes).withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= k + 1).drop("__r")
+
+
+def _first_size(pool: DataFrame, k: int, size: float, reach: float, axes) -> float:
+    """``size``, halved until its fullest box holds some ``CROWD * (k + 1)`` points, or boxes near what doubles can tell apart."""
+    least = reach * 1e-12
+    while size > least:
+        n = _boxes(pool, axes, size).groupBy(*[f"c_{a}" for a in axes]).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0]
+        if n is None or n <= CROWD * (k + 1):
+            break
+        size /= 2
+    return size
+
+
+def nearest(points: DataFrame, k: int, size: float, key: str = "index", axes=AXES, queries: DataFrame | None = None) -> DataFrame:
     """The ``k`` nearest other points of each, exactly: ``q, p, distance, rank``; ties by ``p``.
 
-    A box and those around it hold all neighbours nearer than the box is wide. Queries whose k-th
-    neighbour lies beyond go another round with boxes twice as wide, until none is left or a box holds all.
+    A box and those around it hold all neighbours nearer than the box is wide. Boxes begin as small as the densest place
+    asks, so that work follows the number of points and not their density. Each round asks the points whose own box holds enough
+    of them, and what has found its neighbours is done; the rest go another round with boxes twice as wide, until none is left or a box holds all.
     """
     left = (points if queries is None else queries).select(key, *axes)
-    pool = points.select(key, *axes)
+    pool = materialise(_thinned(points, k, key, axes), "nearest-pool")
     extent = pool.agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).head()
+    if queries is not None:  # queries may lie outside the pool
+        outer = pool.unionByName(left).agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).head()
+        extent = {a: max(float(extent[a] or 0), float(outer[a] or 0)) for a in axes}
     reach = max([float(extent[a] or 0) for a in axes] + [size])
+    size = _first_size(pool, k, size, reach, axes)
+    order = Window.partitionBy("q").orderBy("d2", "p")
     done: list[DataFrame] = []
-    for _ in range(rounds):
-        order = Window.partitionBy("q").orderBy("d2", "p")
-        ranked = _candidates(left, pool, axes, size, key).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        found = materialise(ranked.select("q", "p", F.sqrt("d2").alias("distance"), "rank"), "nearest")
+    while True:
         last = size >= reach
+        asked = left
+        if not last:
+            cell = [f"c_{a}" for a in axes]
+            full = _boxes(pool, axes, size).groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * 4 >= k).drop("n")
+            asked = _boxes(left, axes, size).join(full, cell, "left_semi").drop(*cell)
+        near = _candidates(asked, pool, axes, size, key)
+        ranked = (near if last else near.filter(F.col("d2") <= (size * (1 - 1e-9)) ** 2)).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        found = materialise(ranked.select("q", "p", F.sqrt("d2").alias("distance"), "rank"), "nearest")
         if last:
             done.append(found)
             break
-        full = found.filter((F.col("rank") == k) & (F.col("distance") <= size)).select("q")
-        done.append(found.join(full, "q", "left_semi"))
-        left = materialise(left.join(full, left[key] == full["q"], "left_anti"), "nearest-left")
+        settled = found.filter(F.col("rank") == k).select("q")
+        done.append(found.join(settled, "q", "left_semi"))
+        left = materialise(left.join(settled, left[key] == settled["q"], "left_anti"), "nearest-left")
         if left.isEmpty():
             break
         size *= 2
-    else:
-        size = 2 * reach
-        ranked = _candidates(left, pool, axes, size, key).withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("d2", "p"))).filter(F.col("rank") <= k)
-        done.append(ranked.select("q", "p", F.sqrt("d2").alias("distance"), "rank"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -378,3 +378,22 @@ def test_rational_model_there_and_back(spark):
     lon, lat = G.rpc_inverse(F.col("s"), F.col("l"), F.col("h"), model)
     for r in df.select("*", s.alias("s"), t.alias("l")).select("*", lon.alias("lon2"), lat.alias("lat2")).collect():
         assert abs(r["lon"] - r["lon2"]) < 1e-9 and abs(r["lat"] - r["lat2"]) < 1e-9
+
+
+def test_pairs_of_the_neighbour_search_follow_the_points_and_not_their_density(spark, monkeypatch):
+    """2,000 points in one box, 1,000 more at one place, and a few far out: exact neighbours from some hundred pairs a point."""
+    rng = np.random.default_rng(4)
+    xyz = np.concatenate([rng.uniform(0, 4, (2000, 3)), np.full((1000, 3), 2.0), rng.uniform(300, 900, (12, 3))])
+    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(xyz)], "index long, x double, y double, z double")
+    made, pairs = [], neighbours._candidates
+    monkeypatch.setattr(neighbours, "_candidates", lambda *a: made.append(pairs(*a)) or made[-1])
+    found = {}
+    for r in neighbours.nearest(df, 3, 8.0).collect():
+        found.setdefault(r["q"], {})[r["rank"]] = (r["p"], r["distance"])
+    for q in [*range(0, 2000, 97), 2000, 2001, 2999, *range(3000, 3012)]:
+        d = np.sqrt(((xyz - xyz[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = np.lexsort((np.arange(len(d)), d))[:3]
+        assert [found[q][k][0] for k in (1, 2, 3)] == want.tolist()
+        np.testing.assert_allclose([found[q][k][1] for k in (1, 2, 3)], d[want])
+    assert len(found) == len(xyz) and sum(m.count() for m in made) < 400 * len(xyz)
