@@ -5,9 +5,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 
 def rotation(omega: Column, phi: Column, kappa: Column) -> list[list[Column]]:
     """Rows of the ground-to-camera matrix Rz(kappa) Ry(phi) Rx(omega), each turn positive about its axis."""
@@ -102,16 +106,24 @@ def parabola_peak(before: Column, at: Column, after: Column) -> Column:
 
 def cubic_terms(x: Column, y: Column, z: Column) -> list[Column]:
     """The twenty terms of a rational cubic in the order of the RPC00B format (x longitude, y latitude, z height)."""
-    one = F.lit(1.0)
-    return [one, x, y, z, x * y, x * z, y * z, x * x, y * y, z * z, x * y * z, x**3, x * y * y, x * z * z, x * x * y, y**3, y * z * z, x * x * z, y * y * z, z**3]
+    return [F.lit(1.0), *_beyond_one(x, y, z)]
+
+
+def _beyond_one(x, y, z) -> list:
+    return [x, y, z, x * y, x * z, y * z, x * x, y * y, z * z, x * y * z, x**3, x * y * y, x * z * z, x * x * y, y**3, y * z * z, x * x * z, y * y * z, z**3]
 
 
 def rpc_forward(lon: Column, lat: Column, height: Column, model: dict) -> tuple[Column, Column]:
     """Sample and line of a rational function model: offsets, scales, and four lists of twenty coefficients."""
+    return _rational(lon, lat, height, model, F.lit(1.0))
+
+
+def _rational(lon, lat, height, model: dict, one) -> tuple:
+    """``rpc_forward`` on columns or on arrays of numbers."""
     x = (lon - model["long_off"]) / model["long_scale"]
     y = (lat - model["lat_off"]) / model["lat_scale"]
     z = (height - model["height_off"]) / model["height_scale"]
-    terms = cubic_terms(x, y, z)
+    terms = [one, *_beyond_one(x, y, z)]
     poly = lambda c: reduce(lambda s, p: s + p, [t * float(v) for t, v in zip(terms, c, strict=True)])
     line = poly(model["line_num"]) / poly(model["line_den"])
     sample = poly(model["samp_num"]) / poly(model["samp_den"])
@@ -119,21 +131,32 @@ def rpc_forward(lon: Column, lat: Column, height: Column, model: dict) -> tuple[
 
 
 def rpc_inverse(sample: Column, line: Column, height: Column, model: dict, steps: int = 8) -> tuple[Column, Column]:
-    """Longitude and latitude of a pixel at a height, by Newton steps with differences; the state is one struct."""
-    ds, dl = 1e-5 * model["long_scale"], 1e-5 * model["lat_scale"]
+    """Longitude and latitude of a pixel at a height, by Newton steps with differences, over a batch of rows at once; null where there is none.
 
-    def step(s, _):
-        a, b = rpc_forward(s["lon"], s["lat"], height, model)
-        ax, bx = rpc_forward(s["lon"] + ds, s["lat"], height, model)
-        ay, by = rpc_forward(s["lon"], s["lat"] + dl, height, model)
-        p, q, r, t = (ax - a) / ds, (ay - a) / dl, (bx - b) / ds, (by - b) / dl
-        det = p * t - q * r
-        det = F.when(F.abs(det) > 1e-30, det)
-        ra, rb = sample - a, line - b
-        return F.struct((s["lon"] + (t * ra - q * rb) / det).alias("lon"), (s["lat"] + (p * rb - r * ra) / det).alias("lat"))
-
-    start = F.struct(F.lit(float(model["long_off"])).alias("lon"), F.lit(float(model["lat_off"])).alias("lat"))
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
+    A step needs the model at three places, and each of them several times: as a column expression it would be worked out anew wherever it is named.
+    """
+    ship_package(SparkSession.active())
+    names = ("long_off", "long_scale", "lat_off", "lat_scale", "height_off", "height_scale", "line_num", "line_den", "samp_num", "samp_den", "line_off", "line_scale", "samp_off", "samp_scale")
+    m = {k: [float(v) for v in model[k]] if isinstance(model[k], (list, tuple)) else float(model[k]) for k in names}
+
+    @F.pandas_udf("lon double, lat double")
+    def solved(sample: pd.Series, line: pd.Series, height: pd.Series) -> pd.DataFrame:
+        u, v, h = (c.to_numpy(float, na_value=np.nan) for c in (sample, line, height))
+        ds, dl = 1e-5 * m["long_scale"], 1e-5 * m["lat_scale"]
+        lon, lat = np.full(len(u), m["long_off"]), np.full(len(u), m["lat_off"])
+        with np.errstate(all="ignore"):
+            for _ in range(steps):
+                a, b = _rational(lon, lat, h, m, 1.0)
+                ax, bx = _rational(lon + ds, lat, h, m, 1.0)
+                ay, by = _rational(lon, lat + dl, h, m, 1.0)
+                p, q, r, t = (ax - a) / ds, (ay - a) / dl, (bx - b) / ds, (by - b) / dl
+                det = p * t - q * r
+                det = np.where(np.abs(det) > 1e-30, det, np.nan)
+                ra, rb = u - a, v - b
+                lon, lat = lon + (t * ra - q * rb) / det, lat + (p * rb - r * ra) / det
+        return pd.DataFrame({"lon": lon, "lat": lat}).astype("Float64")
+
+    done = solved(sample.cast("double"), line.cast("double"), height.cast("double"))
     return done["lon"], done["lat"]
 
 

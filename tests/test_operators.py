@@ -397,3 +397,20 @@ def test_pairs_of_the_neighbour_search_follow_the_points_and_not_their_density(s
         assert [found[q][k][0] for k in (1, 2, 3)] == want.tolist()
         np.testing.assert_allclose([found[q][k][1] for k in (1, 2, 3)], d[want])
     assert len(found) == len(xyz) and sum(m.count() for m in made) < 400 * len(xyz)
+
+
+def test_rational_inverse_is_no_expression_that_grows_with_its_steps(spark):
+    model = {"long_off": 30.0, "long_scale": 0.25, "lat_off": -25.0, "lat_scale": 0.5, "height_off": 500.0, "height_scale": 400.0, "samp_off": 2000.0, "samp_scale": 1800.0, "line_off": 1000.0, "line_scale": 900.0}
+    list_ = lambda **c: [c.get(f"c{k}", 0.0) for k in range(20)]
+    model |= {"samp_num": list_(c0=0.02, c1=0.9, c5=0.05), "samp_den": list_(c0=1.0, c3=0.03), "line_num": list_(c0=0.01, c2=1.1), "line_den": list_(c0=1.0, c1=0.02)}
+    g = spark.createDataFrame([(30.1, -24.9, 510.0), (29.9, -25.2, 700.0), (None, -25.0, 500.0)], "lon double, lat double, h double")
+    sample, line = G.rpc_forward(F.col("lon"), F.col("lat"), F.col("h"), model)
+    seen = g.select("lon", "lat", "h", sample.alias("s"), line.alias("l"))
+    lon, lat = G.rpc_inverse(F.col("s"), F.col("l"), F.col("h"), model)
+    out = seen.select("lon", "lat", lon.alias("a"), lat.alias("b"))
+    for r in out.collect():
+        if r["lon"] is None:
+            assert r["a"] is None and r["b"] is None
+        else:
+            assert abs(r["a"] - r["lon"]) < 1e-9 and abs(r["b"] - r["lat"]) < 1e-9
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000
