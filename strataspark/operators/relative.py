@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from ..session import ship_package
 
 MOST_DRAWS = 2_000
+PART = 100_000  # matches that are worked on at once
 SURE = 0.9999
 KINDS = {"epipolar": 8, "plane": 4}
 _MATCH = ["xa", "ya", "xb", "yb"]
@@ -25,15 +27,26 @@ def _normal(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (p - middle) * s, np.array([[s, 0, -s * middle[0]], [0, s, -s * middle[1]], [0, 0, 1]])
 
 
-def _null(rows: np.ndarray) -> np.ndarray:
-    return np.linalg.svd(rows, full_matrices=True)[2][-1].reshape(3, 3)
+def _null(parts: Iterable[np.ndarray]) -> np.ndarray:
+    """The vector of nine numbers that the rows of all parts make least. Long parts are folded into a triangle of nine rows one by one."""
+    held = np.zeros((0, 9))
+    for rows in parts:
+        held = np.concatenate([held, rows])
+        if len(held) > 9:
+            held = np.linalg.qr(held, mode="r")
+    return np.linalg.svd(held, full_matrices=True)[2][-1].reshape(3, 3)
+
+
+def _parts(p: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for k in range(0, max(len(p), 1), PART):
+        yield p[k : k + PART], q[k : k + PART]
 
 
 def epipolar(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """The matrix ``f`` of rank two with ``q' f p`` least over the matches."""
     (p, tp), (q, tq) = _normal(p), _normal(q)
-    one = np.ones((len(p), 1))
-    f = _null((np.concatenate([q, one], 1)[:, :, None] * np.concatenate([p, one], 1)[:, None, :]).reshape(-1, 9))
+    with_one = lambda v: np.column_stack([v, np.ones(len(v))])
+    f = _null((with_one(w)[:, :, None] * with_one(v)[:, None, :]).reshape(-1, 9) for v, w in _parts(p, q))
     u, s, vt = np.linalg.svd(f)
     f = tq.T @ (u * [s[0], s[1], 0.0]) @ vt @ tp
     return f / (np.linalg.norm(f) or 1.0)
@@ -42,15 +55,22 @@ def epipolar(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def plane(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """The matrix ``h`` that takes ``p`` to ``q``."""
     (p, tp), (q, tq) = _normal(p), _normal(q)
-    one, zero = np.ones((len(p), 1)), np.zeros((len(p), 3))
-    u = np.concatenate([p, one], 1)
-    h = _null(np.concatenate([np.concatenate([u, zero, -q[:, :1] * u], 1), np.concatenate([zero, u, -q[:, 1:] * u], 1)]))
+
+    def rows(p, q):
+        u, zero = np.column_stack([p, np.ones(len(p))]), np.zeros((len(p), 3))
+        return np.concatenate([np.concatenate([u, zero, -q[:, :1] * u], 1), np.concatenate([zero, u, -q[:, 1:] * u], 1)])
+
+    h = _null(rows(v, w) for v, w in _parts(p, q))
     h = np.linalg.inv(tq) @ h @ tp
     return h / (np.linalg.norm(h) or 1.0)
 
 
 def distances(kind: str, m: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """How far matches lie from a model, in pixels: Sampson's distance, or the greater way between a point and its transfer, there and back."""
+    return np.concatenate([_distances(kind, m, v, w) for v, w in _parts(p, q)])
+
+
+def _distances(kind: str, m: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     u, v = np.column_stack([p, np.ones(len(p))]), np.column_stack([q, np.ones(len(q))])
     with np.errstate(divide="ignore", invalid="ignore"):
         if kind == "epipolar":
@@ -80,7 +100,7 @@ def consensus(kind: str, p: np.ndarray, q: np.ndarray, tolerance: float, seed: i
             best = (key, m, d)
             share = key[0] / len(p)
             if share > 0:
-                draws = min(draws, int(np.ceil(np.log(1 - SURE) / np.log(max(1 - share**need, 1e-12) if share < 1 else 1e-12))) + 1)
+                draws = min(draws, int(np.ceil(np.log(1 - SURE) / np.log1p(-min(share**need, 1 - 1e-12)))) + 1)
     (count, _), m, d = best
     for _ in range(10):
         inside = d <= tolerance
@@ -111,10 +131,11 @@ def relative_models(matches: DataFrame, kind: str = "epipolar", tolerance: float
         xy = xy[np.isfinite(xy).all(1)]
         found = consensus(kind, xy[:, :2], xy[:, 2:], tolerance, zlib.crc32(f"{seed}|{a}|{b}".encode()))
         n = len(xy)
-        model, d = (None, np.full(n, np.nan)) if found is None else (found[0].ravel().tolist(), found[1])
+        d = np.full(n, np.nan) if found is None else found[1]
         inside = np.zeros(n, bool) if found is None else d <= tolerance
-        cols = [pa.array([a] * n, pa.string()), pa.array([b] * n, pa.string()), *[pa.array(xy[:, k]) for k in range(4)], pa.array(d, pa.float64(), mask=np.isnan(d)), pa.array(inside)]
-        cols += [pa.array([model] * n, pa.list_(pa.float64())), pa.array([n] * n, pa.int64()), pa.array([int(inside.sum())] * n, pa.int64())]
+        cols = [pa.repeat(pa.scalar(a, pa.string()), n), pa.repeat(pa.scalar(b, pa.string()), n), *[pa.array(xy[:, k]) for k in range(4)], pa.array(d, pa.float64(), mask=np.isnan(d)), pa.array(inside)]
+        models = pa.nulls(n, pa.list_(pa.float64())) if found is None else pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 9), pa.array(np.tile(found[0].ravel(), n)))
+        cols += [models, pa.array(np.full(n, n, np.int64)), pa.array(np.full(n, int(inside.sum()), np.int64))]
         return pa.table(cols, names=[c.split()[0] for c in _REPLY.split(", ")])
 
     rows = matches.selectExpr("cast(a as string) as a", "cast(b as string) as b", *[f"cast({c} as double) as {c}" for c in _MATCH])

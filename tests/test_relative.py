@@ -65,3 +65,18 @@ def test_empty_tables_and_kinds(spark):
     assert R.relative_models(df).count() == 0
     with pytest.raises(ValueError):
         R.relative_models(df, "sphere")
+
+
+def test_many_matches_take_memory_in_proportion():
+    """A fit to 200,000 matches holds no matrix as wide as it is long, and a first draw that few agree with asks for finitely many more."""
+    rng = np.random.default_rng(5)
+    p = rng.uniform(0, 1000, (200_000, 2))
+    w = 1 + 1e-4 * p[:, 0] - 2e-4 * p[:, 1]
+    q = np.stack([(1.1 * p[:, 0] + 0.02 * p[:, 1] + 5) / w, (0.95 * p[:, 1] - 0.03 * p[:, 0] - 7) / w], 1)
+    wrong = np.arange(len(p)) % 5 == 0
+    q[wrong] += rng.uniform(60, 160, (wrong.sum(), 2))
+    _, d = R.consensus("plane", p, q, 0.5, 3)
+    np.testing.assert_array_equal(d <= 0.5, ~wrong)
+    assert R.distances("plane", R.plane(p[~wrong], q[~wrong]), p[~wrong], q[~wrong]).max() < 1e-6
+    for share in (4e-6, 1.0):
+        assert np.isfinite(np.ceil(np.log(1 - R.SURE) / np.log1p(-min(share**8, 1 - 1e-12))))
