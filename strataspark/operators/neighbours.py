@@ -6,7 +6,7 @@ import itertools
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -154,47 +154,123 @@ def _squared(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q).cast("double") * (p - q).cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-MATCH_ROWS = 1024  # left descriptors of a block whose distances to the right ones are held at once
-
-
-def _matches(ratio: float):
-    """Mutual best matches of one block, by products of descriptor matrices."""
-
-    def run(part):
-        left, right = part[part["side"] == 0], part[part["side"] == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "distance": []})
-        left, right = left.sort_values("id", kind="stable"), right.sort_values("id", kind="stable")  # ties go to the least id
-        ids_a, ids_b = left["id"].to_numpy(), right["id"].to_numpy()
-        one, two = (np.array(d["vector"].tolist(), float) for d in (left, right))
-        best, d2 = np.zeros(len(one), np.int64), np.zeros(len(one))
-        second, back, back_d = np.full(len(one), np.inf), np.zeros(len(two), np.int64), np.full(len(two), np.inf)
-        for s in range(0, len(one), MATCH_ROWS):
-            part = one[s : s + MATCH_ROWS]
-            far = np.maximum((part**2).sum(1)[:, None] - 2 * part @ two.T + (two**2).sum(1), 0.0)
-            rows = np.arange(len(part))
-            own = far.argmin(1)
-            nearer = far.min(0) < back_d
-            back[nearer], back_d[nearer] = far.argmin(0)[nearer] + s, far.min(0)[nearer]
-            best[s : s + len(part)], d2[s : s + len(part)] = own, ((part - two[own]) ** 2).sum(1)
-            far[rows, own] = np.inf
-            second[s : s + len(part)] = far.min(1)
-        good = (np.sqrt(d2) < ratio * np.sqrt(second)) & (back[best] == np.arange(len(one)))
-        return pd.DataFrame({"a": ids_a[good], "b": ids_b[best[good]], "distance": np.sqrt(d2[good])})
+MATCH_ROWS = 1024  # descriptors of one side whose distances to as many times ``MATCH_WIDE`` of the other are held at once
+MATCH_WIDE = 4
+MATCH_SHARE = 16_384  # descriptors of a side that a task holds; a larger block is dealt into shares, of which each two meet
+
+
+def _exact(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Squared distances as the column form has them: differences in the type of the descriptors, squares summed in order."""
+    d = (one - two).astype(float)
+    return np.cumsum(d * d, axis=1)[:, -1] if d.shape[1] else np.zeros(len(d))
+
+
+def _least_two(one: np.ndarray, two: np.ndarray, ids: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """For each row of ``one`` its two nearest rows of ``two`` in order of ``(distance, id)``: places (-1: none) and squared distances.
+
+    ``two`` is in order of ``ids``. Products of matrices tell which rows can be among the two nearest; those are measured exactly.
+    ``own`` are the ids of ``one`` where a row is not its own neighbour.
+    """
+    place, d2 = np.full((len(one), 2), -1), np.full((len(one), 2), np.inf)
+    if not len(two):
+        return place, d2
+    first = np.unique(two, axis=0, return_index=True, return_inverse=True)
+    group = first[2].reshape(-1)
+    rank = np.arange(len(two)) - np.concatenate([[0], np.cumsum(np.bincount(group))])[:-1][group[np.argsort(group, kind="stable")]]
+    keep = np.sort(np.argsort(group, kind="stable")[rank < 3])  # of equal rows the three least ids: one may be the row itself
+    wide, a2, b2 = two[keep].astype(float), (one.astype(float) ** 2).sum(1), (two[keep].astype(float) ** 2).sum(1)
+    slack = 1e-12 * (one.shape[1] + 8) * (a2.max() + b2.max())
+    if one.dtype == np.float32:  # differences of the column form are rounded to single precision
+        slack += 1e-6 * (a2.max() + b2.max())
+    for s in range(0, len(one), MATCH_ROWS):
+        part = one[s : s + MATCH_ROWS].astype(float)
+        row, hit = [], []
+        bound = np.full((len(part), 2), np.inf)
+        for c in range(0, len(wide), MATCH_ROWS * MATCH_WIDE):
+            far = a2[s : s + MATCH_ROWS, None] - 2 * part @ wide[c : c + MATCH_ROWS * MATCH_WIDE].T + b2[c : c + MATCH_ROWS * MATCH_WIDE]
+            if own is not None:
+                far[own[s : s + MATCH_ROWS, None] == ids[keep[c : c + MATCH_ROWS * MATCH_WIDE]]] = np.inf
+            low = np.partition(far, 1, axis=1)[:, :2] if far.shape[1] > 1 else far
+            bound = np.sort(np.concatenate([bound, low], 1), axis=1)[:, :2]
+            r, h = np.nonzero((far <= bound[:, 1:] + 2 * slack) & np.isfinite(far))
+            row.append(r)
+            hit.append(h + c)
+        row, hit = np.concatenate(row), np.concatenate(hit)
+        order = np.lexsort((hit, row))
+        row, hit = row[order], keep[hit[order]]
+        exact = np.concatenate([_exact(one[s + row[k : k + 50_000]], two[hit[k : k + 50_000]]) for k in range(0, max(len(row), 1), 50_000)])
+        order = np.lexsort((hit, exact, row))
+        row, hit, exact = row[order], hit[order], exact[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        for k in (0, 1):
+            at = nth == k
+            place[s + row[at], k], d2[s + row[at], k] = hit[at], exact[at]
+    return place, d2
+
+
+_BEST = "side int, id long, other long, d2 double"
+
+
+def _side(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    ids = table.column("id").to_numpy()
+    column = table.column("vector").combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    order = np.argsort(ids, kind="stable")
+    return ids[order], flat.reshape(len(ids), -1)[order]
+
+
+def _best(same: bool):
+    """Rows of ``_BEST`` of two shares: the two nearest right ones of each left descriptor, and the nearest left one of each right one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        (a, one), (b, two) = (_side(table.filter(pa.array(side == k))) if (side == k).any() else (np.zeros(0, np.int64), np.zeros((0, 1), np.float32)) for k in (0, 1))
+        out = []
+        if len(a) and len(b):
+            for k, (p, x, q, y) in enumerate([(a, one, b, two)] if same else [(a, one, b, two), (b, two, a, one)]):
+                place, d2 = _least_two(x, y, q, p if same else None)
+                for n in range(1 if same or k else 2):
+                    at = place[:, n] >= 0
+                    out.append((np.full(at.sum(), k, np.int32), p[at], q[place[at, n]], d2[at, n]))
+        columns = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, t) for k, t in enumerate((np.int32, np.int64, np.int64, float))]
+        return pa.table(columns, names=["side", "id", "other", "d2"])
 
     return run
 
 
+def _met(left: DataFrame, right: DataFrame, block: str, same: bool) -> DataFrame:
+    """``_BEST`` of all pairs of shares of each block. A block is dealt by id into shares of some ``MATCH_SHARE`` rows a side."""
+    ship_package(left.sparkSession)
+    rows = [d.select(F.col(block).alias("block"), F.lit(k).alias("side"), F.col("id").cast("long").alias("id"), "vector").filter("vector is not null") for k, d in enumerate((left, right))]
+    sizes = rows[0].unionByName(rows[1]).groupBy("block").agg(*[F.greatest(F.lit(1), F.ceil(F.count_if(F.col("side") == k) / MATCH_SHARE)).cast("int").alias(f"n{k}") for k in (0, 1)])
+    sizes = materialise(sizes, "match-shares")
+    own = lambda k: F.pmod(F.xxhash64("id"), F.col(f"n{k}"))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(f"n{k}") - 1))
+    one = rows[0].join(sizes, "block").withColumns({"i": own(0).cast("int"), "j": every(1)})
+    two = rows[1].join(sizes, "block").withColumns({"j": own(1).cast("int"), "i": every(0)})
+    names = ["block", "i", "j", "side", "id", "vector"]
+    return one.select(names).unionByName(two.select(names)).groupBy("block", "i", "j").applyInArrow(_best(same), _BEST)
+
+
+def nearest_vectors(rows: DataFrame, block: str = "block") -> DataFrame:
+    """``q, p``: the nearest other descriptor of its block for each of ``id, vector``; ties by ``p``. A row alone in its block is left out."""
+    return _met(rows, rows, block, True).groupBy(F.col("id").alias("q")).agg(F.min_by("other", F.struct("d2", "other")).alias("p"))
+
+
 def ratio_match(left: DataFrame, right: DataFrame, ratio: float = 0.8, block: str = "block") -> DataFrame:
-    """Mutual best matches of descriptors within a block that pass the ratio test: ``a, b, distance``.
+    """Mutual best matches of descriptors within a block that pass the ratio test: ``a, b, distance``; ties by id.
 
-    ``left`` and ``right`` have ``id, vector`` and a block column. A block is a photo pair, whose features the detector
-    bounds, and is one task: descriptors move once, and distances are products of matrices in parts of bounded height.
+    ``left`` and ``right`` have ``id, vector`` and a block column; ids are whole numbers. A block is a photo pair: it is dealt into shares,
+    of which each two meet in a task, as products of matrices in parts of bounded size; what each task finds best is combined.
     """
     kind = left.schema["id"].dataType.simpleString()
-    both = [d.select(F.col(block).alias("block"), F.lit(k).alias("side"), "id", "vector") for k, d in enumerate((left, right))]
-    ship_package(left.sparkSession)
-    return both[0].unionByName(both[1]).groupBy("block").applyInPandas(_matches(ratio), f"a {kind}, b {kind}, distance double")
+    found = materialise(_met(left, right, block, False), "matches")
+    least = F.min(F.struct("d2", "other"))
+    best = found.filter("side = 0").groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "other"))), 1, 2).alias("m"))
+    back = found.filter("side = 1").groupBy("id").agg(least.alias("m")).select(F.col("id").alias("b"), F.col("m.other").alias("a"))
+    first = best.select(F.col("id").alias("a"), F.col("m")[0]["other"].alias("b"), F.sqrt(F.col("m")[0]["d2"]).alias("distance"), F.sqrt(F.get("m", F.lit(1))["d2"]).alias("second"))
+    good = first.join(back, ["a", "b"]).filter(F.col("second").isNull() | (F.col("distance") < ratio * F.col("second")))
+    return good.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"), "distance")
 
 
 def overlap_area(a: str, b: str) -> Column:

@@ -320,9 +320,8 @@ def _(t, spark, d):
 
 @query("knn_vectors", "WITH d AS (SELECT a.vec_id AS q, b.vec_id AS p, a.label, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1] - z[2])::DOUBLE * (z[1] - z[2])::DOUBLE)) AS d2 FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT q, arg_min(p, row(d2, p)) AS p FROM d GROUP BY q")
 def _(t, spark, d):
-    e = t("embeddings")
-    pairs = e.select(F.col("vec_id").alias("q"), F.col("embedding").alias("a"), "label").join(e.select(F.col("vec_id").alias("p"), F.col("embedding").alias("b"), "label"), "label").filter("q <> p")
-    return pairs.withColumn("d2", neighbours._squared(F.col("a"), F.col("b"))).groupBy("q").agg(F.min_by("p", F.struct("d2", "p")).alias("p"))
+    e = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("block"))
+    return neighbours.nearest_vectors(e)
 
 
 # ---- block diagnostics -------------------------------------------------------------------------

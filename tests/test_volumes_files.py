@@ -130,3 +130,28 @@ def test_contour_lines_of_two_hills_and_an_open_slope(spark):
     found = terrain.contour_segments(saddle, 0.5).collect()
     got = sorted((r["x1"], r["y1"], r["x2"], r["y2"]) for r in found if r["level"] == 0.5)
     assert np.allclose(got, [(5 / 12, 1.0, 0.0, 0.5), (0.5, 0.0, 1.0, 5 / 12)])  # the corners under the level are cut off
+
+
+def test_vectors_meet_across_shares(spark, monkeypatch):
+    """Blocks dealt into shares give what brute force gives, with many equal vectors; ties go to the least id."""
+    monkeypatch.setattr(neighbours, "MATCH_SHARE", 40)
+    monkeypatch.setattr(neighbours, "MATCH_ROWS", 16)
+    monkeypatch.setattr(neighbours, "MATCH_WIDE", 1)
+    rng = np.random.default_rng(8)
+    v = rng.normal(0, 1, (150, 6)).astype(np.float32)
+    v[20:90] = v[20]
+    rows = [(k, k % 3 == 0, v[k].tolist()) for k in rng.permutation(150).tolist()]
+    df = spark.createDataFrame(rows, "id long, block boolean, vector array<float>")
+    d2 = ((v[:, None] - v[None]).astype(float) ** 2).sum(2)
+    same = np.equal.outer(np.arange(150) % 3 == 0, np.arange(150) % 3 == 0)
+    far = np.where(same & ~np.eye(150, dtype=bool), d2, np.inf)
+    assert {r["q"]: r["p"] for r in neighbours.nearest_vectors(df).collect()} == dict(enumerate(far.argmin(1).tolist()))
+    odd = np.arange(150) % 2 == 1
+    ab = np.where(same & ~odd[:, None] & odd[None], d2, np.inf)
+    want = set()
+    for a in np.flatnonzero(~odd).tolist():
+        b, two = int(ab[a].argmin()), np.sort(ab[a])[:2]
+        if ab[:, b].argmin() == a and np.sqrt(two[0]) < 0.9 * np.sqrt(two[1]):
+            want.add((a, b))
+    got = {(r["a"], r["b"]) for r in neighbours.ratio_match(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), 0.9).collect()}
+    assert got == want and want
