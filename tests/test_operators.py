@@ -414,3 +414,23 @@ def test_rational_inverse_is_no_expression_that_grows_with_its_steps(spark):
         else:
             assert abs(r["a"] - r["lon"]) < 1e-9 and abs(r["b"] - r["lat"]) < 1e-9
     assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+
+
+def test_spaced_choice_reads_groups_in_batches(spark):
+    rng = np.random.default_rng(12)
+    rows = [(None if k % 4 == 3 else k % 4, float(x), float(y), float(s)) for k, (x, y, s) in enumerate(rng.integers(0, 30, (400, 3)))]
+    df = spark.createDataFrame(rows, "tile int, x double, y double, score double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = features.spaced(df, "tile", "score", 6.0, 9)
+        got = sorted((str(r["tile"]), r["x"], r["y"], r["score"]) for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for tile in (None, 0, 1, 2):
+        kept = []
+        for _, x, y, s in sorted((r for r in rows if r[0] == tile), key=lambda r: (-r[3], r[1], r[2])):
+            if len(kept) < 9 and all(math.hypot(x - a, y - b) >= 6.0 for a, b, _ in kept):
+                kept.append((x, y, s))
+        want += [(str(tile), *k) for k in kept]
+    assert got == sorted(want) and "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
