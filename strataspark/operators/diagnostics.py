@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import quaternion, rotation
-from ..session import ship_package
+from ..session import materialise, ship_package
 from .neighbours import nearest
 from .quantiles import middle
 from .ranks import global_rank
@@ -106,16 +106,19 @@ def accept_control(proposals: DataFrame, existing: DataFrame, radius: float = 1.
     """Proposals ``image_id, x, y, z`` joined to the automatic point within the radius that their photo has not seen yet, else new points.
 
     ``existing`` has ``point_id, x, y, image_id``. Returns the proposals with ``point_id`` (null: new); an equi-join on cells of the radius.
+    Of the points at one place that the same photos have seen only the least can be the answer, and of equal proposals one is asked,
+    so work follows the number of different places.
     """
     cell = lambda c: F.floor(F.col(c) / radius)
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    places = existing.groupBy("point_id").agg(F.first("x").alias("ex"), F.first("y").alias("ey"), F.collect_set("image_id").alias("seen"))
-    p = proposals.withColumn("__id", F.xxhash64("image_id", "x", "y", "z"))
-    spread = p.select("__id", "image_id", "x", "y", F.explode(steps).alias("s")).withColumns({"i": cell("x") + F.col("s.a"), "j": cell("y") + F.col("s.b")})
+    places = existing.groupBy("point_id").agg(F.first("x").alias("ex"), F.first("y").alias("ey"), F.array_sort(F.collect_set("image_id")).alias("seen"))
+    places = materialise(places.groupBy("ex", "ey", "seen").agg(F.min("point_id").alias("point_id")), "control-places")
+    asked = materialise(proposals.select("image_id", "x", "y").distinct(), "control-asked")
+    spread = asked.select("image_id", "x", "y", F.explode(steps).alias("s")).withColumns({"i": cell("x") + F.col("s.a"), "j": cell("y") + F.col("s.b")})
     met = spread.join(places.withColumns({"i": cell("ex"), "j": cell("ey")}), ["i", "j"])
     near = met.filter((F.hypot(F.col("x") - F.col("ex"), F.col("y") - F.col("ey")) <= radius) & ~F.array_contains("seen", F.col("image_id")))
-    best = near.groupBy("__id").agg(F.min("point_id").alias("point_id"))
-    return p.join(best, "__id", "left").drop("__id")
+    best = near.groupBy(*[F.col(c).alias(f"__{c}") for c in ("image_id", "x", "y")]).agg(F.min("point_id").alias("point_id"))
+    return proposals.join(best, (proposals["image_id"] == best["__image_id"]) & (proposals["x"] == best["__x"]) & (proposals["y"] == best["__y"]), "left").drop("__image_id", "__x", "__y")
 
 
 def corner_uncertainty(exterior: np.ndarray, covariance: np.ndarray, focal: float, half_width: float, half_height: float, ground: float) -> float:

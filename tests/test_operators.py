@@ -434,3 +434,14 @@ def test_spaced_choice_reads_groups_in_batches(spark):
                 kept.append((x, y, s))
         want += [(str(tile), *k) for k in kept]
     assert got == sorted(want) and "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_control_at_one_place_is_met_once(spark, monkeypatch):
+    made, write = {}, diagnostics.materialise
+    monkeypatch.setattr(diagnostics, "materialise", lambda df, name: made.setdefault(name, write(df, name)))
+    existing = spark.createDataFrame([(k, 10.0, 5.0, k % 2) for k in range(600)] + [(900, 10.5, 5.0, 7)], "point_id long, x double, y double, image_id int")
+    proposals = spark.createDataFrame([(k % 3, 10.0, 5.5, float(k)) for k in range(300)] + [(0, 50.0, 5.0, 0.0), (None, 10.0, 5.0, 0.0)], "image_id int, x double, y double, z double")
+    got = {(r["image_id"], r["x"], r["y"], r["z"]): r["point_id"] for r in diagnostics.accept_control(proposals, existing).collect()}
+    assert len(got) == 302 and got[None, 10.0, 5.0, 0.0] is None and got[0, 50.0, 5.0, 0.0] is None
+    assert all(got[k % 3, 10.0, 5.5, float(k)] == (1 if k % 3 == 0 else 0) for k in range(300))
+    assert made["control-places"].count() == 3 and made["control-asked"].count() == 5
