@@ -110,17 +110,31 @@ def ordered_by_distance(frames: DataFrame, start: str | None = None) -> DataFram
     return own.crossJoin(F.broadcast(middle)).withColumn("away", F.hypot(F.col("cx") - F.col("mx"), F.col("cy") - F.col("my"))).drop("mx", "my", "cx", "cy").orderBy("away", "layer")
 
 
+MEET = 1_000  # frames of a cell that one share of it holds
+MEETINGS = 20_000_000  # pairs of frames of one cell that a task looks at
+
+
 def overlaps(frames: DataFrame) -> DataFrame:
     """Common area of each two frames that meet.
 
     Frames are filed under the cells they touch, cells being as large as the largest frame (so at most four each), and
-    meet in an equi-join; a pair counts in the cell of its common corner only.
+    meet in an equi-join; a pair counts in the cell of its common corner only. A cell with many frames is dealt into shares of
+    some ``MEET``, each of which meets them all in a task of its own: pairs are as many as the answer has, but no cell is one task's.
     """
     size = frames.agg(F.greatest(F.max(F.col("east") - F.col("west")), F.max(F.col("north") - F.col("south"))).alias("s")).head()["s"] or 1.0
     cell = lambda c: F.floor(F.col(c) / float(size))
     filed = frames.withColumns({"__i": F.explode(F.sequence(cell("west"), cell("east")))}).withColumn("__j", F.explode(F.sequence(cell("south"), cell("north"))))
+    filed = materialise(filed.select("__i", "__j", "layer", "west", "south", "east", "north"), "frames-filed")
     a, b = (filed.select("__i", "__j", F.col("layer").alias(f"{s}_layer"), F.struct("west", "south", "east", "north").alias(s)) for s in "ab")
-    met = a.join(b, ["__i", "__j"]).filter(F.col("a_layer") < F.col("b_layer"))
+    shares = filed.groupBy("__i", "__j").agg(F.ceil(F.count(F.lit(1)) / MEET).alias("__n"), F.pow(F.count(F.lit(1)), F.lit(2.0)).alias("__pairs"))
+    tasks = int((shares.agg(F.sum("__pairs")).head()[0] or 0) // MEETINGS)
+    shares = shares.drop("__pairs")
+    a = a.join(shares, ["__i", "__j"]).withColumn("__s", F.pmod(F.xxhash64("a_layer"), F.col("__n"))).drop("__n")
+    b = b.join(shares, ["__i", "__j"]).withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1))).drop("__n")
+    cells = ["__i", "__j", "__s"]
+    if tasks > int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        a, b = (d.repartition(tasks, *cells) for d in (a, b))
+    met = a.join(b, cells).filter(F.col("a_layer") < F.col("b_layer"))
     corner = (F.floor(F.greatest("a.west", "b.west") / float(size)) == F.col("__i")) & (F.floor(F.greatest("a.south", "b.south") / float(size)) == F.col("__j"))
     return met.filter(corner).select("a_layer", "b_layer", overlap_area("a", "b").alias("area")).filter("area > 0")
 

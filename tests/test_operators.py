@@ -445,3 +445,19 @@ def test_control_at_one_place_is_met_once(spark, monkeypatch):
     assert len(got) == 302 and got[None, 10.0, 5.0, 0.0] is None and got[0, 50.0, 5.0, 0.0] is None
     assert all(got[k % 3, 10.0, 5.5, float(k)] == (1 if k % 3 == 0 else 0) for k in range(300))
     assert made["control-places"].count() == 3 and made["control-asked"].count() == 5
+
+
+def test_frames_of_a_full_cell_meet_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(mosaic, "MEET", 4)
+    monkeypatch.setattr(mosaic, "MEETINGS", 50)
+    rng = np.random.default_rng(3)
+    rows = [(k, float(x), float(y), float(x + 4), float(y + 3)) for k, (x, y) in enumerate(rng.integers(0, 12, (60, 2)))]
+    df = spark.createDataFrame(rows, "layer long, west double, south double, east double, north double")
+    want = {}
+    for a in rows:
+        for b in rows:
+            wide, high = min(a[3], b[3]) - max(a[1], b[1]), min(a[4], b[4]) - max(a[2], b[2])
+            if a[0] < b[0] and wide > 0 and high > 0:
+                want[a[0], b[0]] = wide * high
+    got = [(r["a_layer"], r["b_layer"], r["area"]) for r in mosaic.overlaps(df).collect()]
+    assert len(got) == len(want) and {(a, b): v for a, b, v in got} == want
