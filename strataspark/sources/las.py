@@ -5,6 +5,8 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -61,41 +63,47 @@ def decode(raw: bytes, h: dict, first: int, name: str) -> pa.RecordBatch:
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, first: int, count: int):
-        super().__init__((path, first, count))
-        self.path, self.first, self.count = path, first, count
+    """Ranges ``path, first, count`` that one task reads, one after another."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        super().__init__(ranges)
+        self.ranges = ranges
+
+
+MOST_TASKS = 200  # beyond so many ranges, and beyond some for each core, a task takes several
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, chunk: int):
-        self.path, self.chunk = path, chunk
+    def __init__(self, path: str, chunk: int, tasks: int):
+        self.path, self.chunk, self.tasks = path, chunk, tasks
 
     def partitions(self):
-        """A range of points each; only headers are read here."""
-        out = []
+        """Ranges of up to ``chunk`` points; only headers are read here, several at a time."""
         system, _ = open_system(self.path)
-        for f in files(self.path):
+
+        def count(f):
             with system.open_input_file(f) as s:
-                h = header(s.read(375))
-            out += [_Part(f, k, min(self.chunk, h["count"] - k)) for k in range(0, h["count"], self.chunk)]
-        return out or [_Part("", 0, 0)]
+                return f, header(s.read(375))["count"]
+
+        with ThreadPoolExecutor(16) as pool:
+            ranges = [(f, k, min(self.chunk, n - k)) for f, n in pool.map(count, files(self.path)) for k in range(0, n, self.chunk)]
+        each = -(-len(ranges) // self.tasks)
+        return [_Part(ranges[k : k + each]) for k in range(0, len(ranges), max(each, 1))] or [_Part([])]
 
     def read(self, part) -> Iterator[pa.RecordBatch]:
-        if not part.count:
-            return
         system, _ = open_system(self.path)
-        with system.open_input_file(part.path) as s:
-            h = header(s.read(375))
-            done = 0
-            while done < part.count:
-                n = min(100_000, part.count - done)
-                s.seek(h["start"] + (part.first + done) * h["size"])
-                yield decode(s.read(n * h["size"]), h, part.first + done, part.path)
-                done += n
+        for path, k in groupby(part.ranges, lambda r: r[0]):
+            with system.open_input_file(path) as s:
+                h = header(s.read(375))
+                for _, first, count in k:
+                    for done in range(0, count, 100_000):
+                        n = min(100_000, count - done)
+                        s.seek(h["start"] + (first + done) * h["size"])
+                        yield decode(s.read(n * h["size"]), h, first + done, path)
 
 
 class LasDataSource(DataSource):
-    """``spark.read.format("las").load(path)``: points with their place in the file as ``index``. Option ``chunk``: points of a partition."""
+    """``spark.read.format("las").load(path)``: points with their place in the file as ``index``. Option ``chunk``: points of a range; a partition is one range, or several if there are more than ``tasks``."""
 
     @classmethod
     def name(cls):
@@ -105,7 +113,7 @@ class LasDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return _Reader(self.options["path"], int(self.options.get("chunk", CHUNK)))
+        return _Reader(self.options["path"], int(self.options.get("chunk", CHUNK)), int(self.options.get("tasks", MOST_TASKS)))
 
 
 def encode(points: dict, scale: float = 0.001) -> bytes:
@@ -135,7 +143,7 @@ def read_las(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     """The points of a file or a folder."""
     ship_package(spark)
     spark.dataSource.register(LasDataSource)
-    return spark.read.format("las").option("chunk", chunk).load(qualified(spark, path))
+    return spark.read.format("las").option("chunk", chunk).option("tasks", max(MOST_TASKS, 16 * spark.sparkContext.defaultParallelism)).load(qualified(spark, path))
 
 
 HEADER = "file string, points long, point_format int, west double, east double, south double, north double, low double, high double"

@@ -155,3 +155,14 @@ def test_vectors_meet_across_shares(spark, monkeypatch):
             want.add((a, b))
     got = {(r["a"], r["b"]) for r in neighbours.ratio_match(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), 0.9).collect()}
     assert got == want and want
+
+
+def test_many_small_ranges_of_points_share_tasks(spark, tmp_path):
+    points = spark.range(900).selectExpr("double(id) as x", "double(id % 7) as y", "0.0 as z")
+    las.write_las(points.repartition(3), str(tmp_path / "cloud"), 0.01, 50)
+    read = spark.read.format("las").option("chunk", 10).option("tasks", 8)
+    assert las.read_las(spark, str(tmp_path / "cloud"), 10).count() == 900
+    rows = read.load(las.qualified(spark, str(tmp_path / "cloud")))
+    assert rows.rdd.getNumPartitions() <= 8
+    assert sorted(r["x"] for r in rows.collect()) == [float(k) for k in range(900)]
+    assert rows.groupBy("file").agg(F.max("index").alias("m"), F.count_distinct("index").alias("n")).filter("m + 1 <> n").isEmpty()
