@@ -334,7 +334,7 @@ def _bucket_links(most: int, salted: bool = False, mixed: bool = False):
     return run
 
 
-def _sets(words: int):
+def sets_of(words: int):
     """``node, shingles`` of each text: the distinct hashes of its runs of words."""
 
     def run(batches):
@@ -362,7 +362,7 @@ def _confirmed(asked: DataFrame, texts: DataFrame, unique: DataFrame, words: int
     members = asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct().join(unique.select("node", "doc_id", "t"), "node")
     rows = texts.withColumnsRenamed({"doc_id": "__id", "t": "__t"})
     mine = members.join(rows, (members["t"] == rows["__t"]) & members["doc_id"].eqNullSafe(rows["__id"])).select("node", "text")
-    sets = mine.mapInArrow(_sets(words), "node long, shingles array<long>").groupBy("node").agg(F.min("shingles").alias("shingles"))
+    sets = mine.mapInArrow(sets_of(words), "node long, shingles array<long>").groupBy("node").agg(F.min("shingles").alias("shingles"))
     sets = materialise(sets, f"{name}-sets")
     one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = asked.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
@@ -384,6 +384,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     ``component_id`` is the least id of the group (rows without an id count only where no row has one), and ``first`` marks
     the row that it names; ``t`` is a hash of the text, which tells rows of one id apart. Repeated rows are marked alike.
     Texts without words (null and empty ones too) are not near anything. Equal fingerprints are one point.
+    Some pairs at the similarity are never candidates; ``near_sets.similar_groups`` leaves none out.
     """
     marked = materialise(fingerprints(docs, words, LANES, id_col, text_col, distinct=True, hashed=True), "near-prints")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
@@ -426,9 +427,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     return near_groups(docs, words, similarity, id_col, text_col).select("doc_id", "component_id")
 
 
-def keep_first_of_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The first row of each group of ``near_groups``, with all columns of ``docs``; of repeated rows one stays."""
-    first = near_groups(docs, words, similarity, id_col, text_col).filter("first").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n"))
+def keep_first_of_near(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", groups=near_groups) -> DataFrame:
+    """The first row of each group of ``groups``, with all columns of ``docs``; of repeated rows one stays."""
+    first = groups(docs, words, similarity, id_col, text_col).filter("first").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n"))
     head, mark, n, own, text = free_names(docs, "__first", "__hash", "__n", "__id", "__t")
     first = materialise(first.select(F.col("doc_id").alias(head), F.col("t").alias(mark), F.col("n").alias(n)), "near-kept")
     rows = docs.withColumns({own: F.col(id_col).cast("long"), text: F.xxhash64(text_col)})
