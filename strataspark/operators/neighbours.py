@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise, ship_package
+from ..session import exchanges, materialise, release, ship_package
 
 AXES = ("x", "y", "z")
 
@@ -117,23 +117,44 @@ def relabel(points: DataFrame, noise: DataFrame, low: Column, key: str = "index"
     return marked.withColumn("classification", new.cast("short")).drop("__noise")
 
 
+PART_ROWS = 1_000_000  # rows or pairs that a task is dealt
+ITEM_PARTS = 16  # tasks over which the pairs of an item are dealt
+
+
+def _parts(rows: int) -> int:
+    return rows // PART_ROWS + 1
+
+
 def co_occurrence(seen: DataFrame, item: str, group: str, least: int = 1) -> DataFrame:
     """``a, b, shared``: pairs of items and the groups both are in. Groups are the points of a block, so small.
 
     The distinct rows are written first: both sides of the join are then plain exchanges, and a group that is large all the
-    same is split over tasks. Counts are combined before the shuffle.
+    same is split over tasks. Counts are combined before the shuffle, and written. Rows and pairs are dealt to tasks as many as they ask for.
     """
-    rows = materialise(seen.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct(), "co-occurrence")
-    pairs = rows.select("g", F.col("i").alias("a")).join(rows.select("g", F.col("i").alias("b")), "g").filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least)
+    spark = seen.sparkSession
+    with exchanges(spark, _parts(seen.count())):
+        rows = materialise(seen.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct(), "co-occurrence")
+        n = F.count(F.lit(1)).cast("double")
+        made = int(rows.groupBy("g").agg((n * (n - 1) / 2).alias("n")).agg(F.sum("n")).head()[0] or 0)
+    with exchanges(spark, _parts(made)):
+        pairs = rows.select("g", F.col("i").alias("a")).join(rows.select("g", F.col("i").alias("b")), "g").filter("a < b")
+        shared = materialise(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least), "co-occurrence-pairs")
+    release(rows)
+    return shared
 
 
 def best_partners(pairs: DataFrame, score: Column, per_item: int = 2) -> DataFrame:
-    """The best pairs of each item, each unordered pair once; ties by the other item."""
+    """The best pairs of each item, each unordered pair once; ties by the other item.
+
+    The pairs of an item are dealt to up to ``ITEM_PARTS`` tasks, whose best are ranked; so neither many pairs nor an item in many fill one.
+    """
     scored = pairs.withColumn("score", score)
     both = scored.select("a", "b", "score").unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-    top = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).filter(F.col("r") <= per_item)
-    return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").distinct()
+    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "b"))
+    with exchanges(pairs.sparkSession, _parts(2 * pairs.count())):
+        first = both.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(ITEM_PARTS))).repartition("a", "s").withColumn("r", best("a", "s")).filter(F.col("r") <= per_item)
+        top = first.withColumn("r", best("a")).filter(F.col("r") <= per_item)
+        return materialise(top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").distinct(), "best-partners")
 
 
 def stereo_score(shared: Column, ratio: Column) -> Column:
@@ -144,9 +165,10 @@ def stereo_score(shared: Column, ratio: Column) -> Column:
 def stereo_pairs(images: DataFrame, shared: DataFrame, height: float, per_photo: int = 2, least: int = 40) -> DataFrame:
     """Pairs for dense matching: base over height in range, enough shared points, the best few of each photo."""
     a, b = (images.select(F.col("image_id").alias(s), F.col("x").alias(f"x_{s}"), F.col("y").alias(f"y_{s}")) for s in "ab")
-    pairs = shared.filter(F.col("shared") >= least).join(a, "a").join(b, "b")
-    ratio = F.hypot(F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")) / height
-    scored = pairs.withColumn("ratio", ratio).filter(F.col("ratio").between(0.2, 0.67))
+    with exchanges(images.sparkSession, _parts(shared.count())):
+        pairs = shared.filter(F.col("shared") >= least).join(a, "a").join(b, "b")
+        ratio = F.hypot(F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")) / height
+        scored = materialise(pairs.withColumn("ratio", ratio).filter(F.col("ratio").between(0.2, 0.67)), "stereo-pairs")
     return best_partners(scored, stereo_score(F.col("shared"), F.col("ratio")), per_photo)
 
 
