@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..session import ship_package
 
@@ -46,8 +46,8 @@ class _Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
-class _Writer(DataSourceWriter):
-    """Tasks write under names of their own, in a folder of the job; the files get their names when all tasks have ended, so a repeated task leaves none twice and two jobs may write to one place."""
+class _Writer(DataSourceArrowWriter):
+    """Contents go to their files straight from the Arrow batch, no copy of it is made. Tasks write under names of their own, in a folder of the job; the files get their names when all tasks have ended, so a repeated task leaves none twice and two jobs may write to one place."""
 
     def __init__(self, path: str):
         self.path, self.pending = path.rstrip("/"), f"_pending-{uuid.uuid4().hex}"
@@ -56,11 +56,15 @@ class _Writer(DataSourceWriter):
         system, folder = open_system(self.path)
         pending, files = f"{folder}/{self.pending}", []
         system.create_dir(pending, recursive=True)
-        for row in iterator:
-            own = f"{pending}/{uuid.uuid4().hex}"
-            with system.open_output_stream(own) as out:
-                out.write(row["content"] or b"")
-            files.append((own, row["name"]))
+        for batch in iterator:
+            content = None
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+                own = f"{pending}/{uuid.uuid4().hex}"
+                with system.open_output_stream(own) as out:
+                    if content.is_valid:
+                        out.write(content.as_buffer())
+                files.append((own, name))
+            del batch, content  # before the next one is read
         return _Written(files)
 
     def commit(self, messages):
